@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, token_count, topk, url_filter
+from . import automaton_dedup, decontam, langid, mixing, quality, suffix_dedup, token_count, topk, url_filter
 from .common import id_crc, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -17,6 +17,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10, scale=1024)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = automaton_dedup.remove_substrings(table(spark, sf_dir, "documents"), min_words=50, with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = quality.train(docs, labels, id_crc() % 3 != 1)
@@ -47,6 +52,11 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200, with_text=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), F.col("text"))
@@ -66,7 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op9_decontamination, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk, op2_substring_dedup, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op7_suffix_array, op9_decontamination, op10_mixing)
+}
 
 ORACLES = {
     "op1_topk": """
