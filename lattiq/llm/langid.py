@@ -170,3 +170,12 @@ def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 25
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(_OUT))
 
     return judge(text)
+
+
+def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more; a null language is filled in. A model
+    that has learned no language rejects only texts without a letter."""
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.withColumn("__p", predict(docs, model, F.col(text_col))).filter((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least))
+    return rows.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__p.lang_pred"))).drop("__p")

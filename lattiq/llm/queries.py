@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, decontam, langid, mixing, quality, suffix_dedup, token_count, topk, url_filter
+from . import automaton_dedup, decontam, jaccard_join, langid, mixing, quality, suffix_dedup, token_count, topk, url_filter
 from .common import id_crc, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -57,6 +57,11 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), F.col("text"))
@@ -78,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_substring_dedup, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op7_suffix_array, op9_decontamination, op10_mixing)
+    for f in (op1_topk, op2_substring_dedup, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op7_suffix_array, op8_jaccard_join, op9_decontamination, op10_mixing)
 }
 
 ORACLES = {

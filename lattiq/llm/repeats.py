@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
@@ -46,14 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, doc_id, text). Repeated rows have equal keys, and equal results."""
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, bool]:
+    """(d, h) and whether ids are unique and not null, so that ``h`` can be 0. Repeated rows have equal keys."""
     ids = docs.select(F.col(id_col).alias("i"))
     n, some = ids.agg(F.count("*"), F.count("i")).first()
     plain = n == some and not ids.groupBy("i").count().filter("count > 1").limit(1).count()
-    text, key = F.col(text_col), F.col(id_col).cast("long")
-    own = F.lit(0).cast("long") if plain else F.xxhash64(F.coalesce(text, F.lit("")), key.isNull())
-    return docs.select(F.coalesce(key, F.lit(0)).alias("d"), own.alias("h"), F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    key = F.col(id_col).cast("long")
+    own = F.lit(0).cast("long") if plain else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), key.isNull())
+    return F.coalesce(key, F.lit(0)), own, plain
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(d, h, doc_id, text), and with ``carry`` a struct ``rest`` of all other columns. Equal rows get equal results."""
+    d, h, _ = row_key(docs, id_col, text_col)
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col,)]).alias("rest")] if carry else []
+    return docs.select(d.alias("d"), h.alias("h"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
 
 
 def units(texts: pa.Array, words: bool):
@@ -223,7 +230,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, plan: Plan, method, max
 
     def fetched(requests: DataFrame) -> DataFrame:
         by_doc = requests.groupBy("d", "h").agg(F.collect_list(F.struct("at", "anchor", "ctx")).alias("asked"))
-        return docs.join(by_doc.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "doc_id", "text", "asked").mapInArrow(_fetch(plan, splitters), FETCHED)
+        return docs.join(by_doc.hint("shuffle_hash"), ["d", "h"]).select(*docs.columns, "asked").mapInArrow(_fetch(plan, splitters), FETCHED)
 
     ends = fetched(asked).repartition(parts, "part").sortWithinPartitions("anchor").drop("part").mapInArrow(_compare(plan, method), ENDS)
     if hot is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .repeats import Contexts, Plan, covered, equal_runs, keyed, repeated_spans
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+OUT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:string>"
 
 
 def sorted_runs(plan: Plan, c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,23 +30,30 @@ def sorted_runs(plan: Plan, c: Contexts) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _cut(with_text: bool):
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = text.encode("utf-8", "surrogatepass")
-                runs, kept, at = covered(spans or []), [], 0
-                for a, b in runs:
-                    kept.append(raw[at:a])
-                    at = b
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                out.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
-            cols = list(zip(*out)) if out else [()] * 6
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return rows
+    @F.arrow_udf(OUT)
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            raw = text.encode("utf-8", "surrogatepass")
+            runs, kept, at = covered(own or []), [], 0
+            for a, b in runs:
+                kept.append(raw[at:a])
+                at = b
+            kept.append(raw[at:])
+            rest = b"".join(kept)
+            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+        cols = list(zip(*out)) if out else [()] * 5
+        types = [pa.int64()] * 3 + [pa.string()] * 2
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return cut
+
+
+def _judged(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool, carry: bool) -> DataFrame:
+    plan = Plan(words=False, length=length, gram=min(24, length), first_wins=False)
+    rows = keyed(docs, id_col, text_col, carry)
+    spans = repeated_spans(docs.sparkSession, rows, plan, sorted_runs)
+    return rows.join(spans.hint("shuffle_hash"), ["d", "h"], "left").withColumn("c", _cut(with_text)("text", "spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -56,8 +63,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     copies go, and strings are judged on the input. Null counts as empty; texts shorter than ``length`` stay whole. Repeated
     rows and ids are separate texts. ``kept`` leaves out characters that a cut has split; other columns are dropped.
     """
-    plan = Plan(words=False, length=length, gram=min(24, length), first_wins=False)
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs.sparkSession, rows, plan, sorted_runs)
-    joined = rows.join(spans.hint("shuffle_hash"), ["d", "h"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_cut(with_text), OUT)
+    return _judged(docs, length, id_col, text_col, with_text, False).select("doc_id", "c.*")
+
+
+def strip_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what ``remove_repeats`` keeps as the text (null texts become empty); other columns are as they were."""
+    found = _judged(docs, length, id_col, text_col, True, True)
+    return found.select(*[F.col("c.kept").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
