@@ -23,7 +23,7 @@ def grid_shape(height: Column, width: Column, resolution: int = 448, patch: int
 def rle_runs(annotations: DataFrame) -> DataFrame:
     """(image_id, class_id, start, length) with 0-based starts, from 1-based run-length text."""
     numbers = F.transform(F.split(F.trim("rle"), r"\s+"), lambda x: x.cast("long"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(numbers) / 2 - 1), lambda i: F.struct((F.get(numbers, (2 * i).cast("int")) - 1).alias("start"), F.get(numbers, (2 * i + 1).cast("int")).alias("length")))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 2).cast("int") - 1), lambda i: F.struct((F.get(numbers, 2 * i) - 1).alias("start"), F.get(numbers, 2 * i + 1).alias("length")))
     rows = annotations.filter(F.trim("rle") != "").select("image_id", "class_id", F.explode(pairs).alias("r"))
     return rows.select("image_id", "class_id", "r.start", "r.length").filter("length > 0")
 
