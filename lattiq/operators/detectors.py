@@ -89,7 +89,7 @@ class Mahalanobis(Detector):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*KEYS).join(grid.mahalanobis(df, self.reference), ["image_id", "row", "col"]).select(*KEYS, "score")
+        return grid.mahalanobis(df, self.reference, KEYS)
 
 
 class Sobel(Detector):

@@ -105,13 +105,13 @@ def cell_deviation(df: DataFrame, stats: DataFrame, value: str = "score") -> Dat
     return df.join(F.broadcast(stats), ["row", "col"]).withColumn("deviation", F.abs(F.col(value) - F.col("mu")) / F.col("sigma")).drop("mu", "sigma")
 
 
-def mahalanobis(df: DataFrame, reference: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, row, col, score): diagonal Mahalanobis distance to the cell's reference mean, with sample variance + 1e-5."""
+def mahalanobis(df: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("image_id", "row", "col")) -> DataFrame:
+    """(keys, score): diagonal Mahalanobis distance to the cell's reference mean, with sample variance + 1e-5."""
     parts = reference.select("row", "col", F.posexplode("features").alias("dim", "x"))
     facts = parts.groupBy("row", "col", "dim").agg(F.avg("x").alias("m"), (F.coalesce(F.var_samp("x"), F.lit(0.0)) + 1e-5).alias("v"))
     cells = facts.groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("dim", "m", "v"))).alias("s"))
     term = F.zip_with("features", "s", lambda x, s: (x - s["m"]) * (x - s["m"]) / s["v"])
-    return df.join(F.broadcast(cells), ["row", "col"]).select(image, "row", "col", F.sqrt(F.aggregate(term, F.lit(0.0), lambda a, b: a + b)).alias("score"))
+    return df.join(F.broadcast(cells), ["row", "col"]).select(*keys, F.sqrt(F.aggregate(term, F.lit(0.0), lambda a, b: a + b)).alias("score"))
 
 
 def mean_vector(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

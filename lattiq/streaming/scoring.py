@@ -18,7 +18,7 @@ def thresholded(stream: DataFrame, threshold: float, score: str = "value") -> Da
 
 def error_rates(stream: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Per tumbling window: events, flagged ones and their share; state of windows older than the watermark is dropped."""
-    groups = stream.withWatermark("ts", late).groupBy(F.window("ts", window))
+    groups = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window))
     rows = groups.agg(F.count("*").alias("n"), F.count_if("flag").alias("flagged"))
     return rows.select(F.col("window.start").alias("start"), "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"))
 
