@@ -27,10 +27,10 @@ from .url_filter import _level
 
 SLOTS = 1 << 16
 BINS = 96
-KEYS = 4
+KEYS = 6
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-FEATURES = "kind int, d long, h long, n int, s1 long, s2 long, keys array<long>"
+FEATURES = "kind int, d long, h long, n int, s1 long, s2 long, keys array<long>, bins binary"
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +66,12 @@ def _sum(value: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _features(width: int):
-    """Kind 0: a text's set size, set hashes and min-hashes. Kind 1: how many shingles fell in slot ``d``."""
+    """Kind 0: a text's set size, set hashes, min-hashes and bins (how many shingles fall in each of ``BINS`` hash ranges, for
+    the suffix filter). Kind 1: how many shingles fell in slot ``d``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
-        names = ["kind", "d", "h", "n", "s1", "s2", "keys"]
+        names = ["kind", "d", "h", "n", "s1", "s2", "keys", "bins"]
         for batch in batches:
             for a, b in chunks(batch.column(2)):
                 code, off = shingles(batch.column(2).slice(a, b - a), width)
@@ -80,14 +81,16 @@ def _features(width: int):
                 keys = np.stack([_least(mix(code ^ U((BASES[0] * (j + 2)) & (2**64 - 1))), off, some) for j in range(KEYS)], 1).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, KEYS), pa.int32()), pa.array(keys.view(np.int64)))
                 s1, s2 = _sum(mix(code + U(1)), off), _sum(mix(code ^ U(BASES[1])), off)
+                place = np.repeat(np.arange(b - a), n) * BINS + (mix(code) % U(BINS)).astype(np.int64)
+                bins = np.minimum(np.bincount(place, minlength=(b - a) * BINS), 255).astype(np.uint8).reshape(b - a, BINS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(b - a), pa.int32()), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int32()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], names
+                    [pa.array(np.zeros(b - a), pa.int32()), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int32()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names
                 )
         slot = np.flatnonzero(seen)
         if len(slot):
             zero = pa.array(np.zeros(len(slot), np.int64))
             nothing = pa.array([None] * len(slot), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slot)), pa.int32()), pa.array(slot), zero, zero.cast(pa.int32()), pa.array(seen[slot]), zero, nothing], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slot)), pa.int32()), pa.array(slot), zero, zero.cast(pa.int32()), pa.array(seen[slot]), zero, nothing, pa.nulls(len(slot), pa.binary())], names)
 
     return rows
 
@@ -119,8 +122,18 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 21):
-    """Pairs of one shingle's rows that are of different components and pass the length and positional filters.
+def _table(bins: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _close(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """The suffix filter: sets differ in at least the sum of the differences of their bins."""
+    apart = np.abs(p.astype(np.int16) - q).sum(1, dtype=np.int64)
+    return (a + b - apart) // 2 >= needed(a, b, percent)
+
+
+def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 19):
+    """Pairs of one shingle's rows that are of different components and pass the length, positional and suffix filters.
 
     Rows come sorted by shingle and size. The smaller set of a pair has the shingle in its index prefix; a pair is listed for
     each shingle it shares and made distinct afterwards.
@@ -128,6 +141,7 @@ def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 21):
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         token, d, h, comp, n, place = (t.column(i).combine_chunks().to_numpy() for i in range(6))
+        bins = _table(t.column(6).combine_chunks())
         cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
         end = np.repeat(cuts[1:], np.diff(cuts))
         last = np.minimum(end, len(token))
@@ -145,6 +159,8 @@ def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 21):
             x, y = x[good], y[good]
             room = 1 + np.minimum(n64[x] - place[x], n64[y] - place[y]) - 1
             good = room >= needed(n64[x], n64[y], percent)
+            x, y = x[good], y[good]
+            good = np.concatenate([_close(n64[u], bins[u], n64[v], bins[v], percent) for u, v in zip(np.array_split(x, len(x) // 50_000 + 1), np.array_split(y, len(x) // 50_000 + 1))])
             out.append((x[good], y[good]))
             begin = stop
         x, y = (np.concatenate([o[i] for o in out]) if out else np.array([], np.int64) for i in (0, 1))
@@ -171,33 +187,11 @@ def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 21):
     return rows
 
 
-def _bins(width: int):
-    """How many shingles of a text fall in each of ``BINS`` hash ranges, for the suffix filter."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(batch.column(2)):
-                code, off = shingles(batch.column(2).slice(a, b - a), width)
-                owner = np.repeat(np.arange(b - a), np.diff(off))
-                hist = np.bincount(owner * BINS + (mix(code) % U(BINS)).astype(np.int64), minlength=(b - a) * BINS).reshape(b - a, BINS)
-                small = np.minimum(hist, 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(off), pa.int32()), pa.array([r.tobytes() for r in small], pa.binary()), batch.column(2).slice(a, b - a)],
-                    ["d", "h", "n", "bins", "text"],
-                )
-
-    return rows
-
-
 def _suffix_filter(percent: int):
-    """Sets differ in at least the sum of the differences of their bins."""
-
     @F.arrow_udf("boolean")
     def passes(xn: pa.Array, xb: pa.Array, yn: pa.Array, yb: pa.Array) -> pa.Array:
         a, b = (z.to_numpy(zero_copy_only=False).astype(np.int64) for z in (xn, yn))
-        p, q = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for z in (xb, yb))
-        apart = np.abs(p - q).sum(1)
-        return pa.array((a + b - apart) // 2 >= needed(a, b, percent))
+        return pa.array(_close(a, _table(xb), b, _table(yb), percent))
 
     return passes
 
@@ -232,19 +226,20 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.filter(may(F.xxhash64("d", "h", F.lit(1)), F.xxhash64("d", "h", F.lit(2))))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct pairs (xd, xh, yd, yh), those that link, as (x, y) structs. One verification per pair."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("xd").alias("d"), F.col("xh").alias("h")).union(pairs.select("yd", "yh"))
-    found = _only(docs, ends).select("d", "h", "text").mapInArrow(_bins(width), "d long, h long, n int, bins binary, text string")
-    found = written(found.join(ends.distinct(), ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "sets")
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, bins: DataFrame | None = None) -> DataFrame:
+    """Of distinct pairs (xd, xh, yd, yh), those that link, as (x, y) structs; each is verified once, on whole texts. With
+    ``bins`` (d, h, n, bins) those that the suffix filter rejects are left out first."""
 
-    def side(s: str, *cols: str) -> DataFrame:
-        return found.select(F.col("d").alias(f"{s}d"), F.col("h").alias(f"{s}h"), *[F.col(c).alias(f"{s}{c}") for c in cols])
+    def side(rows: DataFrame, s: str, *cols: str) -> DataFrame:
+        return rows.select(F.col("d").alias(f"{s}d"), F.col("h").alias(f"{s}h"), *[F.col(c).alias(f"{s}{c}") for c in cols])
 
-    near = pairs.join(side("x", "n", "bins"), ["xd", "xh"]).join(side("y", "n", "bins"), ["yd", "yh"])
-    near = written(near.filter(_suffix_filter(percent)("xn", "xbins", "yn", "ybins")).select("xd", "xh", "yd", "yh"), "near")
-    both = near.join(side("x", "text"), ["xd", "xh"]).join(side("y", "text"), ["yd", "yh"])
+    if bins is not None:
+        pairs = pairs.join(side(bins, "x", "n", "bins"), ["xd", "xh"]).join(side(bins, "y", "n", "bins"), ["yd", "yh"])
+        pairs = pairs.filter(_suffix_filter(percent)("xn", "xbins", "yn", "ybins")).select("xd", "xh", "yd", "yh")
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("xd").alias("d"), F.col("xh").alias("h")).union(pairs.select("yd", "yh")).distinct()
+    texts = written(_only(docs, ends).select("d", "h", "text").join(ends, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "texts")
+    both = pairs.join(side(texts, "x", "text"), ["xd", "xh"]).join(side(texts, "y", "text"), ["yd", "yh"])
     linked = both.filter(_links(width, percent)("xtext", "ytext"))
     return linked.select(F.struct(F.col("xd").alias("d"), F.col("xh").alias("h")).alias("x"), F.struct(F.col("yd").alias("d"), F.col("yh").alias("h")).alias("y"))
 
@@ -253,6 +248,12 @@ def _key(d: str = "d", h: str = "h") -> Column:
     return F.struct(F.col(d).alias("d"), F.col(h).alias("h"))
 
 
+def _pairs(both: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of keys a and b."""
+    rows = both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return rows.select(F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("y.d").alias("yd"), F.col("y.h").alias("yh"))
+
+
 def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``d, h`` that tell rows of equal ids apart.
 
@@ -268,10 +269,12 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     classes = written(sets.filter("n > 0").groupBy(same).agg(F.min(_key()).alias("r")), "classes")
     # min-hash stars: each class with the first of those that share the key
     keyed_rows = classes.select("r", "n", F.posexplode("keys").alias("j", "m"))
-    firsts = keyed_rows.groupBy("j", "m").agg(F.min(F.struct("r", "n")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    # the first by a hash that differs from key to key, so that a group of copies has several centres
+    firsts = keyed_rows.groupBy("j", "m").agg(F.min_by(F.struct("r", "n"), F.struct(F.xxhash64("j", "r"), "r")).alias("f"), F.count("*").alias("c")).filter("c > 1")
     stars = keyed_rows.join(firsts, ["j", "m"]).filter((F.col("r") != F.col("f.r")) & (100 * F.least("n", "f.n") >= percent * F.greatest("n", "f.n")))
-    stars = stars.select(F.col("f.r.d").alias("xd"), F.col("f.r.h").alias("xh"), F.col("r.d").alias("yd"), F.col("r.h").alias("yh")).distinct()
-    first_links = written(_verified(docs, stars, width, percent), "links")
+    stars = _pairs(stars.select(F.col("f.r").alias("a"), F.col("r").alias("b")))
+    bins = sets.select("d", "h", "n", "bins").dropDuplicates(["d", "h"])
+    first_links = written(_verified(docs, stars, width, percent, bins), "links")
     comps = components(first_links)
     # the prefix join over classes of different components
     slots = features.filter("kind = 1").groupBy("d").agg(F.sum("s1").alias("k")).collect()  # at most SLOTS rows
@@ -284,10 +287,9 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     mine = written(mine, "prefixes")
     several = mine.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = mine.join(several, "token").select("token", "d", "h", "comp", "n", "place").repartition(parts, "token").sortWithinPartitions("token", "n")
+    shared = mine.join(several, "token").join(bins.drop("n"), ["d", "h"]).select("token", "d", "h", "comp", "n", "place", "bins").repartition(parts, "token").sortWithinPartitions("token", "n")
     pairs = shared.mapInArrow(_candidates(percent), "xd long, xh long, yd long, yh long")
-    pairs = pairs.select(F.least(_key("xd", "xh"), _key("yd", "yh")).alias("x"), F.greatest(_key("xd", "xh"), _key("yd", "yh")).alias("y")).distinct()
-    pairs = pairs.select(F.col("x.d").alias("xd"), F.col("x.h").alias("xh"), F.col("y.d").alias("yd"), F.col("y.h").alias("yh"))
+    pairs = _pairs(pairs.select(_key("xd", "xh").alias("a"), _key("yd", "yh").alias("b")))
     links = first_links.unionByName(_verified(docs, pairs, width, percent))
     comps = components(links).select(F.col("node").alias("r"), F.col("comp"))
     groups = classes.join(comps, "r", "left").select(*same, F.coalesce("comp.d", "r.d").alias("component_id"))

@@ -26,7 +26,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if len(off) else data[:0], off - (off[0] if len(off) else 0)
 
 
-def chunks(texts: pa.Array, most: int = 2 << 20):
+def chunks(texts: pa.Array, most: int = 1 << 20):
     """(first row, row after the last) of parts of at most ``most`` bytes, or a single longer text."""
     size = texts.cast(pa.large_string()).fill_null("")
     off = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1]

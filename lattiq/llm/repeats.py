@@ -206,7 +206,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, plan: Plan, method, max
     occ = written(docs.select("d", "h", "text").mapInArrow(_occurrences(plan), "d long, h long, at long, anchor long, ctx long"), "anchors")
     again = F.col("d0") < F.col("d1") if plan.first_wins else F.col("n") > 1
     by_anchor = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1")).filter(again)
-    hits = written(occ.join(by_anchor.select("anchor", (F.col("c0") != F.col("c1")).alias("multi"), "d0"), "anchor"), "hits")
+    # a table of its own, so that the join can split an anchor that very many texts hold
+    by_anchor = written(by_anchor.select("anchor", (F.col("c0") != F.col("c1")).alias("multi"), "d0"), "repeated")
+    hits = written(occ.join(by_anchor, "anchor"), "hits")
     start = F.shiftright("at", AT) - F.shiftright("at", 10).bitwiseAND(F.lit(1023))
     whole = (F.shiftleft(start, 32) + F.shiftright("at", AT) + F.col("at").bitwiseAND(F.lit(1023))).alias("span")
     single = hits.filter(~F.col("multi"))
