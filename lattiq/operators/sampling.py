@@ -13,23 +13,39 @@ from ..functions.scalars import code
 from .bank import first_by
 
 
+def hash_rank(items: DataFrame, namespace: str, seed: int, ident: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``rank`` from 0 by sha256 code, ties by id, within ``keys``. Codes are even, so their first digits cut the rows into
+    4,096 parts: counts of parts are cumulated, then rows are ranked inside each part."""
+    rows = items.withColumn("__c", code(namespace, seed, F.col(ident))).withColumn("__b", F.substring("__c", 1, 3))
+    heads = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__h"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    match = F.col("__b") == F.col("__h")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__c", ident)) - 1
+    return rows.withColumn("rank", inside).join(heads, match).withColumn("rank", F.col("rank") + F.col("__before")).drop("__c", "__b", "__h", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
 def hash_folds(items: DataFrame, k: int, seed: int, label: str | None = None, ident: str = "image_id") -> DataFrame:
-    """(id, fold): folds by hash rank, in each label if given. The order is over ids alone."""
-    w = Window.partitionBy(*([label] if label else [])).orderBy(code("fold", seed, F.col(ident)), ident)
-    return items.select(ident, ((F.row_number().over(w) - 1) % k).alias("fold"))
+    """(id, fold): folds by hash rank, in each label if given."""
+    ranked = hash_rank(items.select(ident, *([label] if label else [])), "fold", seed, ident, [label] if label else [])
+    return ranked.select(ident, (F.col("rank") % k).cast("int").alias("fold"))
 
 
 def circular_pick(items: DataFrame, count: int, seed: int, ident: str = "image_id", exclude: DataFrame | None = None) -> DataFrame:
-    """``count`` ids (all for -1) in order of id from place (seed * count) mod n on, around the end; excluded ids are passed over."""
-    ranked = items.select(ident).distinct().withColumn("__n", F.row_number().over(Window.orderBy(ident)) - 1)
-    n = ranked.count()
-    if count == -1:
-        count = n
-    start = (seed * count) % n if n else 0
-    rows = ranked.withColumn("pick", F.pmod(F.col("__n") - start, F.lit(max(n, 1))))
-    if exclude is not None:
-        rows = rows.join(exclude.select(ident), ident, "left_anti")
-    return first_by(rows, ["pick"], count).select(ident, "pick")
+    """``count`` ids (all for -1) in order of id from place (seed * count) mod n on, around the end; excluded ids are passed over.
+    ``pick`` numbers them from 0. Only the picked rows are ranked in one place."""
+    ids = items.select(ident).distinct()
+    n = ids.count()
+    count = n if count == -1 else count
+    if not n or not count:
+        return ids.limit(0).withColumn("pick", F.lit(0))
+    pivot = ids.orderBy(ident).offset((seed * count) % n).limit(1).first()[0]
+    open_ = ids if exclude is None else ids.join(exclude.select(ident), ident, "left_anti")
+    turn = (F.col(ident) < F.lit(pivot)).cast("int")
+    picked = open_.withColumn("__t", turn).orderBy("__t", ident).limit(count)
+    return picked.select(ident, (F.row_number().over(Window.orderBy("__t", ident)) - 1).alias("pick"))
 
 
 def class_balanced_pick(members: DataFrame, shots: int, classes: Sequence[int], seed: int, ident: str = "image_id") -> DataFrame:
@@ -58,8 +74,7 @@ def few_shot_slice(items: DataFrame, n: int, seed: int, ident: str = "image_id")
     """Places seed * n to (seed + 1) * n - 1 in order of id; all for -1; may be empty."""
     if n == -1:
         return items
-    rows = items.orderBy(ident).limit((seed + 1) * n)
-    return rows.withColumn("__n", F.row_number().over(Window.orderBy(ident))).filter(F.col("__n") > seed * n).drop("__n")
+    return items.orderBy(ident).offset(seed * n).limit(n)
 
 
 def equalise(items: DataFrame, label: str, seed: int, ident: str = "id") -> DataFrame:

@@ -213,6 +213,39 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.layered({"a": {"b": 1, "c": 2}}, {"a": {"b": 3, "c": None}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_maps(spark):
+    from lattiq.operators import maps
+
+    rng = np.random.default_rng(3)
+    m = rng.random((7, 9))
+    rows = spark.createDataFrame([(1, y, x, float(m[y, x])) for y in range(7) for x in range(9)], "image_id long, y long, x long, score double")
+    w = np.array(geometry.gaussian(1.0))
+    r = len(w) // 2
+    p = np.pad(m, r, mode="symmetric")
+    want = sum(w[i] * w[j] * p[i : i + 7, j : j + 9] for i in range(len(w)) for j in range(len(w)))
+    assert all(math.isclose(x.score, want[x.y, x.x], abs_tol=1e-12) for x in maps.smooth(rows, 7, 9, 1.0).collect())
+    z = np.pad(m, 1)
+    gx = sum(a * z[1 + dy : 8 + dy, 1 + dx : 10 + dx] for (dy, dx), (a, _) in grid.SOBEL.items())
+    gy = sum(b * z[1 + dy : 8 + dy, 1 + dx : 10 + dx] for (dy, dx), (_, b) in grid.SOBEL.items())
+    got = maps.image_sobel(rows.withColumnRenamed("score", "value"), 20, "max").first().score
+    assert math.isclose(got, np.sqrt(gx**2 + gy**2 + 1e-8).max())
+
+
+def test_schemas(spark):
+    from lattiq.sources import schema
+
+    assert all(schema.empty(spark, n).count() == 0 for n in schema.SCHEMAS)
+    with pytest.raises(ValueError):
+        schema.conform(spark.range(1), "folds")
+    assert schema.resolve_layers("last", 12) == [11] and schema.resolve_layers([-1, 3], 12) == [3, 11] and len(schema.resolve_layers("all", 4)) == 4
+
+
+def test_folds_are_even(spark):
+    items = spark.range(1000).withColumnRenamed("id", "image_id").withColumn("label", F.col("image_id") % 3)
+    got = sampling.hash_folds(items, 5, 1, "label").groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in got)[0] >= 198 and len(got) == 5
+
+
 def test_stream(spark, tmp_path):
     from lattiq.streaming import scoring
 
