@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -28,6 +28,8 @@ from .url_filter import _level
 SLOTS = 1 << 16
 BINS = 96
 KEYS = 6
+#: Shingles before a shared one that a row carries along, to tell that a pair was listed before.
+BEFORE = 6
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 FEATURES = "kind int, d long, h long, n int, s1 long, s2 long, keys array<long>, bins binary"
@@ -135,13 +137,27 @@ def _close(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, percent:
 def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 19):
     """Pairs of one shingle's rows that are of different components and pass the length, positional and suffix filters.
 
-    Rows come sorted by shingle and size. The smaller set of a pair has the shingle in its index prefix; a pair is listed for
-    each shingle it shares and made distinct afterwards.
+    Rows come sorted by shingle and size. A pair is left out where the shared shingles just before this one have one in common,
+    as it is then listed at an earlier one; the first shingle that two prefixes share has none before it in common.
     """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         token, d, h, comp, n, place = (t.column(i).combine_chunks().to_numpy() for i in range(6))
         bins = _table(t.column(6).combine_chunks())
+        lists = t.column(7).combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        before, owner = np.zeros((len(token), BEFORE), np.int64), np.repeat(np.arange(len(token)), size)
+        before[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy(zero_copy_only=False)
+        some = np.arange(BEFORE)[None, :] < size[:, None]
+
+        def later(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """Whether a pair has a shared shingle just before this one."""
+            out = np.zeros(len(u), bool)
+            for i in range(BEFORE):
+                for j in range(BEFORE):
+                    out |= (before[u, i] == before[v, j]) & some[u, i] & some[v, j]
+            return out
+
         cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
         end = np.repeat(cuts[1:], np.diff(cuts))
         last = np.minimum(end, len(token))
@@ -160,6 +176,8 @@ def _candidates(percent: int, rows_at_once: int = 20_000, cells: int = 1 << 19):
             room = 1 + np.minimum(n64[x] - place[x], n64[y] - place[y]) - 1
             good = room >= needed(n64[x], n64[y], percent)
             x, y = x[good], y[good]
+            good = ~later(x, y)
+            x, y = x[good], y[good]
             good = np.concatenate([_close(n64[u], bins[u], n64[v], bins[v], percent) for u, v in zip(np.array_split(x, len(x) // 50_000 + 1), np.array_split(y, len(x) // 50_000 + 1))])
             out.append((x[good], y[good]))
             begin = stop
@@ -282,12 +300,15 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     for r in slots:
         rank[r.d] = r.k
     reps = classes.select("r", F.col("r.d").alias("d"), F.col("r.h").alias("h")).join(comps.withColumnRenamed("node", "r"), "r", "left")
-    reps = reps.select("d", "h", F.xxhash64(F.coalesce("comp", "r")).alias("comp"))
+    comp = F.coalesce("comp", "r")  # as one number; ids alone where those are unique
+    reps = reps.select("d", "h", F.when(comp["h"] == 0, comp["d"]).otherwise(F.xxhash64(comp)).alias("comp"))
     mine = docs.join(reps.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "comp", "text").mapInArrow(_prefixes(width, percent, rank), "token long, d long, h long, comp long, n int, place int")
     mine = written(mine, "prefixes")
     several = mine.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = mine.join(several, "token").join(bins.drop("n"), ["d", "h"]).select("token", "d", "h", "comp", "n", "place", "bins").repartition(parts, "token").sortWithinPartitions("token", "n")
+    ahead = Window.partitionBy("d", "h").orderBy("place").rowsBetween(-BEFORE, -1)  # a text's own prefix
+    shared = mine.join(several, "token").join(bins.drop("n"), ["d", "h"]).withColumn("before", F.collect_list("token").over(ahead))
+    shared = shared.select("token", "d", "h", "comp", "n", "place", "bins", "before").repartition(parts, "token").sortWithinPartitions("token", "n")
     pairs = shared.mapInArrow(_candidates(percent), "xd long, xh long, yd long, yh long")
     pairs = _pairs(pairs.select(_key("xd", "xh").alias("a"), _key("yd", "yh").alias("b")))
     links = first_links.unionByName(_verified(docs, pairs, width, percent))
