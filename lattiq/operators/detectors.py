@@ -279,8 +279,8 @@ def pca_mask(df: DataFrame, rows: int, cols: int, limit: float = 0.0, centre_sha
 
 #: Names of detectors.
 REGISTRY = {
-    "anomaly_dino": KnnBank, "dino_cls_cosine": Prototype, "patch_l2": VectorNorm, "dino_mahalanobis": Mahalanobis, "dino_sobel": Sobel,
-    "isolation_forest": IsolationForest, "dino_linear_probe": LinearProbe, "focal_probe": FocalProbe,
+    "knn_bank": KnnBank, "prototype": Prototype, "vector_norm": VectorNorm, "mahalanobis": Mahalanobis, "sobel": Sobel,
+    "isolation_forest": IsolationForest, "linear_probe": LinearProbe, "focal_probe": FocalProbe,
 }
 
 

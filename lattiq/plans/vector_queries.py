@@ -241,7 +241,7 @@ MEAN = "m AS (SELECT list(x ORDER BY i) AS p FROM (SELECT i, avg(features[i]) AS
 
 @query(f"WITH {PF}, {MEAN} SELECT q.vec_id AS id, round(1 - list_inner_product(q.features, p) / ((sqrt(list_inner_product(q.features, q.features)) + 1e-8) * (sqrt(list_inner_product(p, p)) + 1e-8)), 6) + 0.0 AS score FROM pf q, m WHERE q.role = 'query'")
 def cls_prototype(spark, d):
-    return rounded_score(detectors.build("dino_cls_cosine").fit(part(spark, d, "clean")).transform(part(spark, d, "query")).select("id", "score"))
+    return rounded_score(detectors.build("prototype").fit(part(spark, d, "clean")).transform(part(spark, d, "query")).select("id", "score"))
 
 
 @query(f"WITH {PF} SELECT vec_id AS id, round(sqrt(list_inner_product(features, features)), 6) + 0.0 AS score FROM pf")
@@ -251,7 +251,7 @@ def patch_l2(spark, d):
 
 @query(f"WITH {PF}, s AS (SELECT row, col, i, avg(features[i]) AS m, coalesce(var_samp(features[i]), 0) + 1e-5 AS v FROM pf, range(1, 65) t(i) WHERE role = 'clean' GROUP BY ALL) SELECT q.vec_id AS id, round(sqrt(sum((q.features[i] - m) * (q.features[i] - m) / v)), 6) + 0.0 AS score FROM pf q JOIN s USING (row, col) WHERE q.role = 'query' GROUP BY 1")
 def mahalanobis_diag(spark, d):
-    return rounded_score(detectors.build("dino_mahalanobis").fit(part(spark, d, "clean")).transform(part(spark, d, "query")).select("id", "score"))
+    return rounded_score(detectors.build("mahalanobis").fit(part(spark, d, "clean")).transform(part(spark, d, "query")).select("id", "score"))
 
 
 ATT = "att AS (SELECT i AS image_id, l AS layer, q, k, ((i + 1) * (l + 2) * (q + 3) * (k + 5)) % 7 + 1.0::DOUBLE AS w FROM range(3) a(i), range(2) b(l), range(5) c(q), range(5) e(k))"
@@ -326,7 +326,7 @@ def raw_pca_forest(spark, d):
 
 @query()
 def linear_probe(spark, d):
-    return detectors.build("dino_linear_probe").fit(part(spark, d, "candidate")).transform(part(spark, d, "query"))
+    return detectors.build("linear_probe").fit(part(spark, d, "candidate")).transform(part(spark, d, "query"))
 
 
 @query()

@@ -166,7 +166,7 @@ def test_coreset_is_farthest_first(spark):
     assert [r.id for r in bank.coreset(rows, 3).orderBy("pick").collect()] == [0, 3, 2]
 
 
-@pytest.mark.parametrize("name, params", [("anomaly_dino", {}), ("dino_mahalanobis", {}), ("isolation_forest", {"trees": 20}), ("dino_cls_cosine", {}), ("dino_linear_probe", {}), ("focal_probe", {"epochs": 10})])
+@pytest.mark.parametrize("name, params", [("knn_bank", {}), ("mahalanobis", {}), ("isolation_forest", {"trees": 20}), ("prototype", {}), ("linear_probe", {}), ("focal_probe", {"epochs": 10})])
 def test_polarity(spark, name, params):
     rng = np.random.default_rng(2)
     make = lambda at, n, d: [(at + i, i % 4, i % 2, i % 3, (rng.normal(0, 0.1, 6) + np.eye(6)[0] + d * np.eye(6)[1]).tolist(), d > 0) for i in range(n)]
