@@ -339,13 +339,20 @@ def pca_mask(spark, d):
     return detectors.pca_mask(patch_features(spark, d), 4, 5)
 
 
-@query()
+@query(f"WITH {PF}, r AS (SELECT vec_id, image_id, row, col, NOT is_defect AS keep FROM pf) SELECT image_id, row, col, vec_id, keep OR NOT EXISTS (SELECT 1 FROM r b WHERE b.image_id = a.image_id AND NOT b.keep AND abs(a.row - b.row) + abs(a.col - b.col) = 1) AS keep FROM r a")
 def spatial_cleanup(spark, d):
     rows = patch_features(spark, d).select("vec_id", "image_id", "row", "col", (~F.col("is_defect")).alias("keep"))
     return geometry.spatial_cleanup(rows, 2)
 
 
-@query()
+BOXES = f"""WITH RECURSIVE {PF}, cells AS (SELECT image_id, row * 5 + col AS k, row, col FROM pf WHERE is_defect),
+reach AS (SELECT image_id, k AS a, k AS b FROM cells UNION SELECT r.image_id, r.a, y.k FROM reach r JOIN cells x ON x.image_id = r.image_id AND x.k = r.b JOIN cells y ON y.image_id = x.image_id AND abs(x.row - y.row) <= 1 AND abs(x.col - y.col) <= 1),
+root AS (SELECT image_id, b AS k, min(a) AS root FROM reach GROUP BY ALL), num AS (SELECT image_id, k, (dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1)::INTEGER AS component FROM root),
+box AS (SELECT image_id, component, count(*) AS area, min(row) * 14.0::DOUBLE AS y1, min(col) * 28.0::DOUBLE AS x1, (max(row) + 1) * 14.0::DOUBLE AS y2, (max(col) + 1) * 28.0::DOUBLE AS x2 FROM num JOIN cells USING (image_id, k) GROUP BY ALL)
+SELECT image_id, component, area, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM box WHERE area >= 2"""
+
+
+@query(BOXES)
 def component_boxes(spark, d):
     parts = geometry.components(patch_features(spark, d).filter("is_defect"), 8)
     return geometry.component_boxes(parts, 14, 1.0, 2.0, 2)
