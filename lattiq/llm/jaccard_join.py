@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, and the groups they link into.
 
-1. Equal sets are one class and go on as one. 2. Classes that share a min-hash are compared with the first of them, which
-finds most links within groups of copies without listing their pairs. 3. The join proper finds every other link: each
+1. Equal sets are one class and go on as one. 2. Classes that share a min-hash are compared with a few centres among
+them, which finds most links within groups of copies without listing their pairs. 3. The join proper finds every other link: each
 class's shingles in global order, rare first, and of those its prefix; classes of different components that share a
 prefix shingle and pass the length, positional and suffix filters are candidates, each verified once on its whole sets.
 Links inside a component would not change the result, so they aren't listed.
@@ -28,6 +28,8 @@ from .url_filter import _level
 SLOTS = 1 << 16
 BINS = 96
 KEYS = 6
+#: Further centres of a key with which classes of other components are compared.
+CENTRES = 4
 #: Shingles before a shared one that a row carries along, to tell that a pair was listed before.
 BEFORE = 6
 LOWER = np.arange(256, dtype=np.uint8)
@@ -287,13 +289,26 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     classes = written(sets.filter("n > 0").groupBy(same).agg(F.min(_key()).alias("r")), "classes")
     # min-hash stars: each class with the first of those that share the key
     keyed_rows = classes.select("r", "n", F.posexplode("keys").alias("j", "m"))
-    # the first by a hash that differs from key to key, so that a group of copies has several centres
-    firsts = keyed_rows.groupBy("j", "m").agg(F.min_by(F.struct("r", "n"), F.struct(F.xxhash64("j", "r"), "r")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    # even keys: the member whose keys are the most common, as the text that others were made from is; odd keys: one by hash
+    sizes = keyed_rows.groupBy("j", "m").agg(F.count("*").alias("c")).filter("c > 1")
+    common = keyed_rows.join(sizes, ["j", "m"]).groupBy("r").agg(F.sum("c").alias("c"))
+    centre = F.when(F.col("j") % 2 == 0, F.col("c")).otherwise(0)
+    firsts = keyed_rows.join(sizes.drop("c"), ["j", "m"]).join(common, "r").groupBy("j", "m")
+    firsts = firsts.agg(F.max_by(F.struct("r", "n"), F.struct(centre.alias("c"), F.xxhash64("j", "r"), "r")).alias("f"))
     stars = keyed_rows.join(firsts, ["j", "m"]).filter((F.col("r") != F.col("f.r")) & (100 * F.least("n", "f.n") >= percent * F.greatest("n", "f.n")))
     stars = _pairs(stars.select(F.col("f.r").alias("a"), F.col("r").alias("b")))
     bins = sets.select("d", "h", "n", "bins").dropDuplicates(["d", "h"])
     first_links = written(_verified(docs, stars, width, percent, bins), "links")
     comps = components(first_links)
+    # the same with other centres, for classes that are still apart from them
+    apart = keyed_rows.join(sizes.drop("c"), ["j", "m"]).join(comps.withColumnRenamed("node", "r"), "r", "left").withColumn("comp", F.coalesce("comp", "r"))
+    member = F.struct("r", "n", "comp")
+    others = apart.groupBy("j", "m").agg(F.array(*[F.max_by(member, F.struct(F.xxhash64(F.lit(i), "j", "r"), F.col("r"))) for i in range(1, CENTRES + 1)]).alias("f"))
+    more = apart.join(others, ["j", "m"]).select("r", "n", "comp", F.explode(F.array_distinct("f")).alias("f"))
+    more = more.filter((F.col("comp") != F.col("f.comp")) & (100 * F.least("n", "f.n") >= percent * F.greatest("n", "f.n")))
+    more = _pairs(more.select(F.col("f.r").alias("a"), F.col("r").alias("b")))
+    first_links = written(first_links.unionByName(_verified(docs, more, width, percent, bins)), "links")
+    comps = components(first_links)
     # the prefix join over classes of different components
     slots = features.filter("kind = 1").groupBy("d").agg(F.sum("s1").alias("k")).collect()  # at most SLOTS rows
     rank = np.zeros(SLOTS, np.int64)
