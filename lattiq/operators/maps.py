@@ -21,8 +21,9 @@ def image_sobel(pixels: DataFrame, patch: int, pool: str = "mean") -> DataFrame:
     return g.groupBy("image_id", F.expr(f"row div {patch}").alias("row"), F.expr(f"col div {patch}").alias("col")).agg(how.alias("score"))
 
 
-def smooth(pixels: DataFrame, height: int, width: int, sigma: float) -> DataFrame:
-    """(image_id, y, x, score) after a Gaussian with mirrored edges; missing pixels count as 0. An image is one group."""
+def smooth(pixels: DataFrame, height: int | None, width: int, sigma: float) -> DataFrame:
+    """(image_id, y, x, score) after a Gaussian with mirrored edges; missing pixels count as 0. An image is one group; with no
+    ``height`` it ends at its own last row."""
     weights = np.array(gaussian(sigma))
     r = len(weights) // 2
 
@@ -32,8 +33,9 @@ def smooth(pixels: DataFrame, height: int, width: int, sigma: float) -> DataFram
 
     def one(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        m = np.zeros((height, width))
-        m[t.column("y").to_numpy(), t.column("x").to_numpy()] = t.column("score").to_numpy()
+        y = t.column("y").to_numpy()
+        m = np.zeros((int(y.max()) + 1 if height is None else height, width))
+        m[y, t.column("x").to_numpy()] = t.column("score").to_numpy()
         m = blur(blur(m).T).T
         y, x = np.indices(m.shape).reshape(2, -1)
         return pa.table({"image_id": pa.array([t.column("image_id")[0].as_py()] * m.size, t.schema.field("image_id").type), "y": y, "x": x, "score": m.reshape(-1)})

@@ -14,7 +14,7 @@ KERNEL = "k AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1,
 
 
 def pixels(spark, d):
-    return event_scores(spark, d).filter("image_id < 20").select("image_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("score").alias("value"))
+    return event_scores(spark, d).select("image_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("score").alias("value"))
 
 
 @query(f"WITH {PIX}, {KERNEL}, g AS (SELECT p.image_id, p.y, p.x, sqrt(sum(o.value * wx) ** 2 + sum(o.value * wy) ** 2 + 1e-8) AS m FROM pix p CROSS JOIN k JOIN pix o ON o.image_id = p.image_id AND o.y = p.y + a AND o.x = p.x + b GROUP BY ALL) SELECT image_id, y // 4 AS row, x // 4 AS col, round(avg(m), 6) + 0.0 AS score FROM g GROUP BY ALL")
@@ -24,8 +24,7 @@ def image_sobel(spark, d):
 
 @query()
 def smooth_map(spark, d):
-    rows = pixels(spark, d).filter("y < 8").withColumnRenamed("value", "score")
-    return show(maps.smooth(rows, 8, 8, 1.0), "score")
+    return show(maps.smooth(pixels(spark, d).withColumnRenamed("value", "score"), None, 8, 1.0), "score")
 
 
 @query()
