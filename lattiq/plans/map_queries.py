@@ -50,8 +50,7 @@ def score_histogram(spark, d):
 
 @query("WITH x AS (SELECT l_linenumber AS fold, l_orderkey % 2 AS seed, l_returnflag, list_sort(list(DISTINCT l_suppkey % 3)) AS ids FROM lineitem WHERE l_orderkey < 50 GROUP BY ALL) SELECT fold, seed, count(DISTINCT ids) AS variants FROM x GROUP BY ALL")
 def paired_ids(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 50")
-    lists = rows.groupBy(F.col("l_linenumber").alias("fold"), (F.col("l_orderkey") % 2).alias("seed"), "l_returnflag").agg(F.collect_set(F.col("l_suppkey") % 3).alias("ids"))
+    lists = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("fold"), (F.col("l_orderkey") % 2).alias("seed"), "l_returnflag").agg(F.collect_set(F.col("l_suppkey") % 3).alias("ids"))
     return study.paired_ids(lists)
 
 

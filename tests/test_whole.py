@@ -57,3 +57,8 @@ def test_smooth_takes_images_of_any_height(spark):
     rows = spark.createDataFrame([(1, 0, 0, 1.0), (2, 11, 7, 1.0)], "image_id long, y long, x long, score double")
     sizes = {r.image_id: r["count"] for r in maps.smooth(rows, None, 8, 1.0).groupBy("image_id").count().collect()}
     assert sizes == {1: 8, 2: 96}
+
+
+def test_paired_ids_reads_every_line(spark):
+    got, want = whole(spark, "paired_ids", "sf0.01", "lineitem", " WHERE l_orderkey < 50")
+    assert got == want
