@@ -62,3 +62,8 @@ def test_smooth_takes_images_of_any_height(spark):
 def test_paired_ids_reads_every_line(spark):
     got, want = whole(spark, "paired_ids", "sf0.01", "lineitem", " WHERE l_orderkey < 50")
     assert got == want
+
+
+def test_neighbour_mean_has_every_image(spark):
+    got, want = whole(spark, "neighbour_mean", "sf0.1", "embeddings", " WHERE q.image_id < 25")
+    assert len(got) == 2000 and got == want
