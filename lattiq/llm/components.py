@@ -1,4 +1,5 @@
-"""Connected components of a link table by min-label propagation with pointer jumping; nothing is collected."""
+"""Connected components of a link table by contraction: roots hook on to lower ones, trees are flattened by pointer
+jumping, and links go on between roots. Nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,19 +9,35 @@ from pyspark.sql import functions as F
 from .repeats import written
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, comp) for every node of ``links`` (x, y), comp being the least node it is linked with. No links, no rows."""
-    both = links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x != y").distinct()
-    edges = written(both, "edges")
-    label = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("comp")), "labels")
-    for _ in range(max_rounds):
-        near = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("other"))
-        seen = label.join(near, "node").select("node", "comp", F.least("comp", "other").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("comp").alias("further"))
-        step = seen.join(jump, "low").select("node", F.least("low", "further").alias("new"), "comp")
-        step = written(step, "labels")
-        changed = step.filter(F.col("new") < F.col("comp")).limit(1).count()
-        label = step.select("node", F.col("new").alias("comp"))
-        if not changed:
+def _roots(parent: DataFrame) -> DataFrame:
+    """(node, comp) with every ``comp`` at the root of its tree; the depth halves at each step."""
+    while True:
+        jump = parent.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+        step = written(parent.join(jump, "comp").select("node", "comp", "new"), "labels")
+        parent = step.select("node", F.col("new").alias("comp"))
+        if not step.filter(F.col("new") < F.col("comp")).limit(1).count():
+            return parent
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``links`` (x, y), comp being the least node it is linked with. No links, no rows.
+
+    Each node hooks on to its lowest neighbour if that is lower, so no tree's root is higher than a member. A root that
+    no round merges with another has only neighbours below other roots, and hooks in the next: roots with links at least
+    halve in two rounds.
+    """
+    edges = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x != y").distinct(), "edges")
+    label = None
+    while True:
+        parent = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("comp")), "labels")
+        roots = _roots(parent)
+        if label is None:
+            label = roots
+        else:  # roots without links to others stay as they are
+            up = roots.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+            label = written(label.join(up, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+        low = lambda c: roots.select(F.col("node").alias(c), F.col("comp").alias(f"r{c}"))
+        edges = edges.join(low("x"), "x").join(low("y"), "y").filter("rx != ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct()
+        edges = written(edges, "edges")
+        if not edges.limit(1).count():
             return label
-    raise RuntimeError("components did not settle")
