@@ -275,7 +275,8 @@ def _pairs(both: DataFrame) -> DataFrame:
 
 
 def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``d, h`` that tell rows of equal ids apart.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, ``d, h`` that tell rows of equal ids apart, and
+    ``component``, the least (d, h) of the group, which tells groups of equal ids apart.
 
     A-Z are lower-cased and words parted by the six ASCII white-space characters. A set is the distinct ``width``-word
     shingles; with fewer words the whole sequence is one; null, empty and word-less texts have an empty set and link with
@@ -328,8 +329,9 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     pairs = _pairs(pairs.select(_key("xd", "xh").alias("a"), _key("yd", "yh").alias("b")))
     links = first_links.unionByName(_verified(docs, pairs, width, percent))
     comps = components(links).select(F.col("node").alias("r"), F.col("comp"))
-    groups = classes.join(comps, "r", "left").select(*same, F.coalesce("comp.d", "r.d").alias("component_id"))
-    member = sets.join(groups, same, "left").select("d", "h", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"))
+    groups = classes.join(comps, "r", "left").select(*same, F.coalesce("comp", "r").alias("component"))
+    member = sets.join(groups, same, "left").select("d", "h", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", _key()).alias("component"))
+    member = member.withColumn("component_id", F.col("component.d"))
     return docs.select("d", "h", "doc_id").join(member.dropDuplicates(["d", "h"]), ["d", "h"])
 
 
@@ -337,7 +339,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     """The rows of ``docs``, with all their columns, that are the first of their group (by id, then text hash; one of equal
     rows). Rows whose text is null, empty or without words are no copies of anything and all stay."""
     groups = linked_groups(docs, width, percent, id_col, text_col)
-    best = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(_key()).alias("best"))
+    best = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(_key()).alias("best"))
     chosen = best.select(F.col("best.d").alias("__d"), F.col("best.h").alias("__h"))
     d, h, plain = row_key(docs, id_col, text_col)
     rows = docs.withColumns({"__d": d, "__h": h})
