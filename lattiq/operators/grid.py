@@ -22,8 +22,8 @@ def _offsets(kernel: int) -> list[tuple[int, int]]:
 
 
 def neighbour_mean(df: DataFrame, rows: int, cols: int, kernel: int = 3, image: str = "image_id") -> DataFrame:
-    """(image, row, col, features): the mean of the vectors of a window of odd size, edges repeated. A size of 1 or less
-    changes nothing. Each vector goes to the cells that see it, with a weight, and sums are combined before the shuffle."""
+    """(image, row, col, features): the mean of the vectors of a window of odd size, edges repeated, over the
+    cells that an image has. A size of 1 or less changes nothing. Each vector goes to the cells that see it, with a weight, and sums are combined before the shuffle."""
     if kernel <= 1:
         return df.select(image, "row", "col", "features")
     if kernel % 2 == 0:
@@ -38,7 +38,8 @@ def neighbour_mean(df: DataFrame, rows: int, cols: int, kernel: int = 3, image:
 
     sent = df.select(image, "features", F.explode(seen(F.col("row"), rows)).alias("a"), "col").select(image, "features", "a", F.explode(seen(F.col("col"), cols)).alias("b"))
     sent = sent.select(image, F.col("a.c").alias("row"), F.col("b.c").alias("col"), (F.col("a.w") * F.col("b.w")).alias("w"), F.posexplode("features").alias("dim", "x"))
-    sums = sent.groupBy(image, "row", "col", "dim").agg((F.sum(F.col("x") * F.col("w")) / float(kernel * kernel)).alias("x"))
+    sums = sent.groupBy(image, "row", "col", "dim").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
+    sums = sums.join(df.select(image, "row", "col").distinct(), [image, "row", "col"], "left_semi")
     return sums.groupBy(image, "row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("features"))
 
 

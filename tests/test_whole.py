@@ -12,11 +12,11 @@ from lattiq.plans import all_oracles, all_queries
 DATA = "/root/testdata"
 
 
-def whole(spark, name, sf, table, cut):
+def whole(spark, name, sf, table, cut, data=DATA):
     """The query's rows, and those of its SQL without ``cut``."""
-    df = all_queries()[name](spark, f"{DATA}/{sf}")
+    df = all_queries()[name](spark, f"{data}/{sf}")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{sf}/{table}.parquet'")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{sf}/{table}.parquet'")
     cur = con.execute(all_oracles()[name].replace(cut, ""))
     names = [d[0] for d in cur.description]
     cols = sorted(df.columns)
@@ -67,3 +67,10 @@ def test_paired_ids_reads_every_line(spark):
 def test_neighbour_mean_has_every_image(spark):
     got, want = whole(spark, "neighbour_mean", "sf0.1", "embeddings", " WHERE q.image_id < 25")
     assert len(got) == 2000 and got == want
+
+
+def test_neighbour_mean_of_an_image_with_missing_cells(spark, tmp_path):
+    (tmp_path / "part").mkdir()
+    duckdb.sql(f"COPY (SELECT * FROM '{DATA}/sf0.001/embeddings.parquet' WHERE vec_id < 42) TO '{tmp_path}/part/embeddings.parquet' (FORMAT parquet)")
+    got, want = whole(spark, "neighbour_mean", "part", "embeddings", " WHERE q.image_id < 25", tmp_path)
+    assert len(got) == 42 and got == want
