@@ -1,11 +1,11 @@
 """Substring dedup by suffix automata: words of windows that a document with a smaller id has too.
 
-The reference of a self-dedup is the corpus itself. Passages that can repeat are found by their anchors (see ``repeats``) and
-dealt in shards; a shard's passages, one copy of each, in order of id, make a suffix automaton over words. Every passage is
-streamed through the automaton of those with smaller ids for its matching statistics, the longest match that ends at each
-word; runs at or above the threshold are removed. A passage that matches from end to end adds nothing to the automaton.
-A shard goes to the passages that share an anchor with it rather than to all documents, which would cost the square of the
-corpus.
+The reference of a self-dedup is the corpus itself. Passages that can repeat are those around anchors that several documents
+hold (see ``repeats``); the passages of an anchor, one copy of each, are dealt together in order of id. A shard of them
+makes a suffix automaton over words, and every later passage is streamed through it for its matching statistics, the
+longest match that ends at each word; runs at or above the threshold are removed. Further shards follow until each passage
+has met all with smaller ids. A passage that matches from end to end adds nothing to an automaton. Shards so meet the
+passages that share an anchor with them rather than all documents, which would cost the square of the corpus.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Contexts, Plan, covered, equal_runs, keyed, repeated_spans
+from .repeats import Contexts, Plan, covered, keyed, repeated_spans
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -88,33 +88,47 @@ class SuffixAutomaton:
         return out
 
 
-def streamed(plan: Plan, c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    far, near = np.full(len(c.at), -1), np.full(len(c.at), plan.length)
-    for row, place, _ in equal_runs(plan, c):  # the part of each context that can match another at all
-        np.maximum.at(far, row, place)
-        np.minimum.at(near, row, place)
-    keep = np.flatnonzero(far >= 0)
-    passages: dict[tuple, list[int]] = {}
-    for i in keep[np.argsort(c.d[keep], kind="stable")].tolist():
-        mid = (int(c.at[i]) >> 10) & 1023
-        words = c.texts[i].split()[mid - far[i] : mid - near[i] + plan.length]
-        passages.setdefault(tuple(words), []).append(i)
-    machine, rows = SuffixAutomaton(), []
-    pending: list[tuple] = []  # of the id at hand: they don't match each other
-    current = None
-    for words, owners in passages.items():
-        least = c.d[owners[0]]
-        if least != current:
-            for w in pending:
-                machine.add(w)
-            pending, current = [], least
-        ends = [i for i, n in enumerate(machine.matching(words)) if n >= plan.length]
-        if len(ends) < len(words) - plan.length + 1:
-            pending.append(words)
-        for i in owners:
-            got = ends if c.d[i] == least else range(plan.length - 1, len(words))
-            if len(got):  # all windows hold the anchor, so what they cover is one run
-                rows.append((i, far[i] - (got[0] - plan.length + 1), far[i] - (got[-1] - plan.length + 1)))
+def _stream(passages: list[tuple[int, tuple]], length: int, shard: int) -> list[list[int]]:
+    """For each passage (least id, words), in order of id: the places where matches of ``length`` or more words with those
+    of smaller ids end."""
+    ends: list[set[int] | list[int]] = [set() for _ in passages]
+    left = range(len(passages))
+    while left:
+        machine, rest = SuffixAutomaton(), []
+        pending: list[tuple] = []  # of the id at hand: they don't match each other
+        current = None
+        for i in left:
+            least, words = passages[i]
+            if least != current:
+                for w in pending:
+                    machine.add(w)
+                pending, current = [], least
+            ends[i].update(j for j, n in enumerate(machine.matching(words)) if n >= length)
+            if len(ends[i]) < len(words) - length + 1:
+                if len(machine.next) < shard:
+                    pending.append(words)
+                else:
+                    rest.append(i)
+        left = rest
+    return [sorted(e) for e in ends]
+
+
+def streamed(plan: Plan, c: Contexts, shard: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each passage that a smaller id has in part: the first and the last window to go, as words before the anchor.
+    ``shard`` bounds the states of an automaton."""
+    texts, rows = c.texts(), []
+    cuts = np.r_[0, np.flatnonzero(np.diff(c.group)) + 1, len(c.group)].tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        ids: dict[bytes, int] = {}
+        owners: dict[tuple, list[int]] = {}
+        for i in (a + np.argsort(c.d[a:b], kind="stable")).tolist():
+            owners.setdefault(tuple(ids.setdefault(w, len(ids)) for w in texts[i].split()), []).append(i)
+        passages = [(int(c.d[own[0]]), words) for words, own in owners.items()]
+        for (least, words), own, ends in zip(passages, owners.values(), _stream(passages, plan.length, shard)):
+            for i in own:
+                got = ends if c.d[i] == least else range(plan.length - 1, len(words))
+                if len(got):  # all windows hold the anchor, so what they cover is one run
+                    rows.append((i, c.back[i] - (got[0] - plan.length + 1), c.back[i] - (got[-1] - plan.length + 1)))
     return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """Uses the shared folder of ``spark.checkpoint.dir``. Where none is set, a single-process session (tests, bench) gets a
+    temporary one; a cluster, whose machines would not see it, an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for df in tables:
+        spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_crc(col: str = "doc_id") -> Column:

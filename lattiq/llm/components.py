@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import written
+from .common import written
 
 
 def _roots(parent: DataFrame) -> DataFrame:

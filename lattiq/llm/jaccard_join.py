@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 from .components import components
 from .ragged import BASES, Rolling, U, chunks, mix, text_bytes, word_hashes, word_spans
-from .repeats import keyed, row_key, written
+from .repeats import keyed, row_key
 from .url_filter import _level
 
 SLOTS = 1 << 16

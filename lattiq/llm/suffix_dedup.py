@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of strings of a given length that occur again anywhere.
 
-Sampled suffixes (those at anchors, see ``repeats``) go to ranges of their leading gram's code, between splitters sampled
-from all of them. Inside a bucket the suffixes that can start a repeated string are sorted by multikey partitioning: by
-their leading, then trailing eight bytes, then the rest, leaving out what is alone at each step; neighbours that stay
-together are equal. A gram never straddles a boundary between buckets; groups too large for a bucket are counted across all.
+Sampled suffixes, those at anchors (see ``repeats``), are dealt to ranges of their leading bytes between sampled splitters.
+Each bucket sorts its suffixes by multikey partitioning of their real bytes, some bytes at a time, leaving out what is
+already alone, and notes how long a prefix neighbours share; what stands before the anchors is sorted alike, backwards.
+A string that starts ``o`` bytes before an anchor occurs again where ``o`` bytes before it and the rest after it are both
+shared. Equal leading units never straddle a boundary between buckets, so neighbours across one share no anchor.
 """
 
 from __future__ import annotations
@@ -15,16 +16,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Contexts, Plan, covered, equal_runs, keyed, repeated_spans
+from .ragged import U, eights, release
+from .repeats import Contexts, Plan, covered, keyed, repeated_spans
 
 OUT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:string>"
 
 
+def multikey(group: np.ndarray, depth: int, word) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows of each group (ascending numbers) by ``depth`` bytes: (rows in order, bytes that each shares with the row
+    before it, -1 at a group's first). ``word(rows, at)`` gives five bytes of each row from ``at`` on as a number."""
+    n = len(group)
+    order, share = np.arange(n), np.full(n, depth)
+    new = np.r_[True, group[1:] != group[:-1]]
+    share[new] = -1
+    live = np.arange(n)  # places of rows that are not alone
+    for at in range(0, depth, 5):
+        number = np.cumsum(new[live])
+        alone = np.r_[new[live], True]
+        keep = ~(alone[:-1] & alone[1:])
+        live, number = live[keep], number[keep]
+        if not len(live):
+            break
+        rows = order[live]
+        key = (number.astype(U) << U(40)) | word(rows, at)
+        by = np.argsort(key)
+        key, order[live] = key[by], rows[by]
+        apart = np.r_[U(0), key[1:] ^ key[:-1]]
+        split = np.flatnonzero((apart > 0) & (apart < U(1 << 40)) & ~new[live])
+        new[live[split]] = True
+        share[live[split]] = at + sum((apart[split] < U(1 << (8 * i))).astype(np.int64) for i in range(1, 5))
+    return order, share
+
+
 def sorted_runs(plan: Plan, c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    far, near = np.full(len(c.at), -1), np.full(len(c.at), plan.length)
-    for row, place, _ in equal_runs(plan, c):
-        np.maximum.at(far, row, place)
-        np.minimum.at(near, row, place)
+    """For each context that shares a run with another of its group: the run that starts furthest before the anchor, and the
+    nearest."""
+    n, mid = len(c.group), c.first + c.back
+    ahead, behind = eights(c.data), eights(c.data[::-1])
+    end = len(c.data)
+
+    def word(text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int):
+        def five(rows: np.ndarray, at: int) -> np.ndarray:
+            left = np.clip(np.minimum(size[rows], most) - at, 0, 5).astype(U)
+            value = text[np.minimum(start[rows] + at, end - 1)].astype(U) >> U(24)
+            return value & ((U(1) << U(40)) - (U(1) << (U(8) * (U(5) - left))))
+
+        return five
+
+    sides = []
+    for text, start, size, most in ((ahead, mid, c.fore, plan.length), (behind, end - mid, c.back, plan.reach)):
+        order, share = multikey(c.group, most, word(text, start, size, most))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        longest = np.maximum(share, np.r_[share[1:], -1])[place]  # with any other row
+        sides.append((share, place, np.minimum(longest, size)))
+    (fshare, fplace, fmost), (bshare, bplace, bmost) = sides
+    least, most = np.maximum(plan.length - fmost, 0), np.minimum(bmost, plan.reach)
+    far, near = np.full(n, -1), np.full(n, plan.length)
+    for o in range(plan.reach + 1):
+        rows = np.flatnonzero((least <= o) & (o <= most))
+        if not len(rows):
+            continue
+        # rows that share length - o bytes from the anchor on have one number, and so have those that share o before it
+        key = np.cumsum(fshare < plan.length - o)[fplace[rows]] * (n + 1) + np.cumsum(bshare < o)[bplace[rows]]
+        by = np.argsort(key)
+        same = key[by][1:] == key[by][:-1]
+        hit = rows[by[np.r_[same, False] | np.r_[False, same]]]
+        far[hit] = o
+        near[hit] = np.minimum(near[hit], o)
     hit = np.flatnonzero(far >= 0)
     return hit, far[hit], near[hit]
 
