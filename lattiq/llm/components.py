@@ -6,17 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spent, written
 
 
-def _roots(parent: DataFrame) -> DataFrame:
-    """(node, comp) with every ``comp`` at the root of its tree; the depth halves at each step."""
+def _roots(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, comp) with every ``comp`` at the root of its tree, and the table that it is in; the depth halves at each step."""
+    parent = table
     while True:
         jump = parent.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
         step = written(parent.join(jump, "comp").select("node", "comp", "new"), "labels")
-        parent = step.select("node", F.col("new").alias("comp"))
+        spent(table)
+        table, parent = step, step.select("node", F.col("new").alias("comp"))
         if not step.filter(F.col("new") < F.col("comp")).limit(1).count():
-            return parent
+            return parent, table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,14 +32,18 @@ def components(links: DataFrame) -> DataFrame:
     label = None
     while True:
         parent = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("comp")), "labels")
-        roots = _roots(parent)
+        roots, table = _roots(parent)
         if label is None:
-            label = roots
+            new = written(roots, "components")
         else:  # roots without links to others stay as they are
             up = roots.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            label = written(label.join(up, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+            new = written(label.join(up, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
+            spent(label)
+        label, old = new, edges
         low = lambda c: roots.select(F.col("node").alias(c), F.col("comp").alias(f"r{c}"))
         edges = edges.join(low("x"), "x").join(low("y"), "y").filter("rx != ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct()
         edges = written(edges, "edges")
+        spent(table, old)
         if not edges.limit(1).count():
+            spent(edges)
             return label
