@@ -1,20 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a queue of shuffled documents that may be replayed (``max_epochs`` times). Serving document ``d``
-ends at virtual time ``(source words served up to and with d) / target of the source``. Sorting all queues by that
-time interleaves them in proportion to their targets, and the total budget is used up exactly at virtual time 1,
-where every source has been served its target; the document being served then is cut there.
+Each source is a queue of shuffled documents that may be replayed (``max_epochs`` times). Serving a document ends at virtual
+time ``(words of the source served up to and with it) / target of the source``. All servings of all queues are sorted by
+that time, which interleaves the sources in proportion to their targets, and the schedule is truncated where its words
+reach the total budget: what is served before is taken, the serving in which the budget ends in part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Parts into which each source's shuffled order is cut, so that running sums need no task with a whole source.
 BUCKETS = 4096
+#: Ranges of virtual time, per unit of it, that the schedule is sorted in; every source's words spread evenly over them.
+RANGES = 2048
+#: The last range, which has all later times.
+LAST = 32 * RANGES
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -50,59 +54,71 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=(1, 2, 3),
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def fair_queue(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: int = 3
-) -> DataFrame:
-    """The mix, one row per row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``,
-    ``virtual_start`` and ``virtual_finish`` (of the first serving; null where the target is 0).
-
-    Null, empty and word-less texts have size 0 and take nothing; a null source is a source of its own. Repeated rows
-    are separate documents. The shuffle is by md5 of the id, so a rerun gives the same mix; other columns are dropped.
-    """
+def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_epochs: int) -> DataFrame:
+    """Each document's place in its source: the words before it in shuffled order (``start``), with the source's figures."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__key"),
-    ).withColumn("__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
+    ).withColumn("__bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    rows = written(rows, "sizes")
     targets = source_targets(rows, "source", "size", weights, max_epochs)
     # running words of a source in two steps: over its buckets, then inside each bucket
     parts = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
     ahead = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "__bucket", F.coalesce(F.sum("__words").over(ahead), F.lit(0)).alias("__before"))
     heads = parts.join(targets, parts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    inside = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     r, h = rows.alias("r"), heads.alias("h")
     joined = r.join(h, F.col("r.source").eqNullSafe(F.col("h.source")) & (F.col("r.__bucket") == F.col("h.__bucket")))
-    start = F.col("h.__before") + F.col("r.__inside")
-    served = sum(
-        F.greatest(F.lit(0), F.least(F.col("r.size"), F.floor(F.col("h.target")) - epoch * F.col("h.source_size") - start))
-        for epoch in range(max_epochs)
-    )
-    time = lambda words: F.when(F.col("h.target") > 0, words / F.col("h.target"))
-    return joined.select(
-        F.col("r.doc_id").alias("doc_id"),
-        F.col("r.source").alias("source"),
-        F.col("r.size").alias("size"),
-        F.col("h.source_size").alias("source_size"),
-        F.col("h.target").alias("target"),
-        served.cast("long").alias("taken"),
-        time(start).alias("virtual_start"),
-        time(start + F.col("r.size")).alias("virtual_finish"),
-    )
+    return joined.select("r.doc_id", "r.source", "r.size", "r.key", "h.source_size", "h.target", (F.col("h.__before") + F.col("r.__inside")).alias("start"))
 
 
-def schedule(mix: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """The order of serving: ``mix`` with one row per serving of a document that takes words, range-sorted by virtual
-    finish time and ended at the total budget (virtual time 1). ``words`` are those taken in that serving."""
-    epoch = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
-    offset = F.col("epoch") * F.col("source_size") / F.col("target")
-    served = mix.filter("taken > 0").select("*", epoch).withColumns(
-        {
-            "virtual_start": F.col("virtual_start") + offset,
-            "virtual_finish": F.col("virtual_finish") + offset,
-            "words": F.least(F.col("size"), F.floor(F.col("target")) - F.round(F.col("target") * (F.col("virtual_start") + offset))).cast("long"),
-        }
-    )
-    return served.filter("words > 0 and virtual_start < 1").orderBy("virtual_finish", "doc_id", "epoch")
+def _finish(epoch: Column) -> Column:
+    return (epoch * F.col("source_size") + F.col("start") + F.col("size")) / F.col("target")
+
+
+def schedule(queues: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """The servings that the mix takes, one row each: the columns of ``queues``, ``epoch``, ``finish`` (virtual time),
+    ``before`` (words served earlier) and ``words`` (taken in this serving). ``finish``, then ``key``, ``start``,
+    ``epoch`` and ``source`` give the order. Its end is the total of all sizes.
+
+    The sort goes by ranges of virtual time, of which those that begin beyond the budget are left out before it.
+    """
+    budget = queues.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    served = queues.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    served = served.withColumn("finish", _finish(F.col("epoch"))).withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(LAST)).cast("int"))
+    totals = served.groupBy("range").agg(F.sum("size").alias("all"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most LAST + 1 rows
+    heads = totals.select("range", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("head")).filter(F.col("head") < budget)
+    inside = Window.partitionBy("range").orderBy("finish", "key", "start", "epoch", "source").rowsBetween(Window.unboundedPreceding, -1)
+    rows = served.join(F.broadcast(heads), "range")
+    rows = rows.withColumn("before", F.col("head") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter(F.col("before") < budget)
+    return rows.withColumn("words", F.least(F.col("size"), budget - F.col("before"))).drop("range", "head")
+
+
+def fair_queue(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: int = 3
+) -> DataFrame:
+    """The mix, one row per row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``,
+    ``virtual_start`` and ``virtual_finish`` (of the first serving; null where the target is 0).
+
+    ``taken`` counts the words of the schedule (above), repeats too; a source's differ from its target by less than the
+    largest documents. Null, empty and word-less texts have size 0 and take nothing; a null source is a source of its own.
+    Repeated rows are separate documents, and texts of any length count whole. The shuffle is by md5 of the id, and ties
+    go by words before, so a rerun gives the same mix. An empty table gives no rows; other columns are dropped.
+    """
+    queues = written(_queues(docs, id_col, text_col, source_col, weights, max_epochs), "queues")
+    # a document with words is known by its place in its source
+    taken = schedule(queues, max_epochs).groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum("words").alias("words"))
+    place = F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
+    mix = queues.join(taken, place, "left")
+    time = lambda words: F.when(F.col("target") > 0, words / F.col("target"))
+    return mix.select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.coalesce("words", F.lit(0)).cast("long").alias("taken"),
+        time(F.col("start")).alias("virtual_start"),
+        time(F.col("start") + F.col("size")).alias("virtual_finish"),
+    )

@@ -114,9 +114,12 @@ c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, i ROWS BETWEEN UNBOUNDED
 l AS (SELECT (total - used) / open AS level FROM c WHERE ratio * open >= total - used ORDER BY ratio, i LIMIT 1),
 t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM c, l),
 r AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
-        + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken FROM r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+v AS (SELECT r.*, epoch, (epoch * source_size + start + size) / target AS finish FROM r, (VALUES (0), (1), (2)) e(epoch) WHERE size > 0),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, k, start, epoch, encode(source) NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(size) OVER () // 3 AS budget FROM v),
+g AS (SELECT source, start, sum(least(size, budget - before)) AS words FROM b WHERE before < budget GROUP BY source, start)
+SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken
+FROM r LEFT JOIN g ON size > 0 AND r.source IS NOT DISTINCT FROM g.source AND r.start = g.start
 """,
 }
