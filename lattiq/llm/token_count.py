@@ -1,14 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
 White space starts a new pre-token, since no piece has a blank after another character; equal pre-tokens are encoded once.
-A batch of pre-tokens is one ragged numpy array of symbols. Each round looks up all adjacent pairs, takes the pair of
-lowest rank of every sequence (the leftmost if it occurs twice) and merges it in all sequences at once, until no
-sequence has a pair left; the surviving symbols are counted.
+A batch of pre-tokens is one ragged numpy array of symbols. Each round looks up the adjacent pairs, takes the pair of
+lowest rank of every sequence and merges it in all sequences at once, until no sequence has a pair left; the surviving
+symbols are counted. Within a sequence the lowest pair is merged wherever it occurs, from the left, up to the first merge
+that makes a pair of still lower rank, which is due before the others.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: The character that stands for a blank in pieces.
 BLANK = "▁"
-#: Longer sequences are merged one by one with a heap, as rounds would cost the square of their length.
-LONGEST = 96
 NONE = np.iinfo(np.int64).max
 KNOWN = 1 << 19
 
@@ -80,7 +78,6 @@ class PieceBpe:
         for c, i in self.ids.items():
             if len(c) == 1:
                 self.chars[ord(c)] = i
-        self.table = {x << 32 | y: (r, t) for x, y, r, t in pairs}
         self.known: dict[str, int] = {}
 
     def count_batch(self, seqs: list[str]) -> list[int]:
@@ -90,12 +87,6 @@ class PieceBpe:
         sym, owner = self.chars[code], np.repeat(np.arange(len(seqs)), sizes)
         strange = sym < 0
         total = np.bincount(owner[strange], 1 + (code[strange] > 0x7F) + (code[strange] > 0x7FF) + (code[strange] > 0xFFFF), len(seqs)).astype(np.int64)
-        if (sizes > LONGEST).any():
-            stop = np.cumsum(sizes)
-            for i in np.flatnonzero(sizes > LONGEST):
-                total[i] += self._count_long(sym[stop[i] - sizes[i] : stop[i]].tolist())
-            short = sizes[owner] <= LONGEST
-            sym, owner = sym[short], owner[short]
         rank, into = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
 
         def look(at: np.ndarray) -> None:
@@ -115,7 +106,16 @@ class PieceBpe:
                 done = ended & (sym >= 0)
                 total += np.bincount(owner[done], self.cost[sym[done]], len(seqs)).astype(np.int64)
             hit = np.flatnonzero((rank == np.repeat(lowest, lengths)) & ~ended)
-            first = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]] if len(hit) else hit
+            # every second of the hits in a row, from the left
+            begins = np.r_[True, hit[1:] != hit[:-1] + 1][: len(hit)]
+            nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
+            first = hit[nth % 2 == 0]
+            again = np.r_[False, owner[first[1:]] == owner[first[:-1]]][: len(first)]
+            many = again | np.r_[again[1:], False][: len(first)]  # of sequences with several
+            if many.any():
+                keep = ~many
+                keep[many] = self._before_lower(sym, owner, rank, into, first[many], again[many])
+                first = first[keep]
             sym[first] = into[first]
             keep = ~ended
             keep[first + 1] = False
@@ -125,30 +125,20 @@ class PieceBpe:
             look(place[place > 0] - 1)
         return total.tolist()
 
-    def _count_long(self, ids: list[int]) -> int:
-        """The same order of merges with a heap: lowest rank, then leftmost."""
-        after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and ids[a] >= 0 and ids[b] >= 0 and (found := self.table.get(ids[a] << 32 | ids[b])):
-                heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
-
-        for i in range(len(ids) - 1):
-            offer(i, i + 1)
-        gone = bytearray(len(ids))
-        while heap:
-            _, a, x, y, into = heapq.heappop(heap)
-            b = after[a]
-            if gone[a] or b < 0 or ids[a] != x or ids[b] != y:
-                continue
-            ids[a], gone[b] = into, 1
-            after[a] = after[b]
-            if after[a] >= 0:
-                before[after[a]] = a
-            offer(before[a], a)
-            offer(a, after[a])
-        return sum(int(self.cost[s]) for s, g in zip(ids, gone) if not g and s >= 0)
+    def _before_lower(self, sym, owner, rank, into, first, again) -> np.ndarray:
+        """Which of a round's merges at ``first`` come no later than the first in their sequence that makes a pair of lower rank;
+        ``again`` marks those that are not the first of their sequence."""
+        z, lower = into[first], np.zeros(len(first), bool)
+        left = sym[first - 1]
+        joined = np.r_[False, first[1:] == first[:-1] + 2][: len(first)]  # the left neighbour has just been merged
+        left[joined] = z[np.flatnonzero(joined) - 1]
+        on = (first > 0) & (owner[first - 1] == owner[first]) & (left >= 0)
+        lower[on] = self.pairs.find((left[on] << 32) | z[on])[0] < rank[first[on]]
+        after = np.minimum(first + 2, len(sym) - 1)
+        on = (first + 2 < len(sym)) & (owner[after] == owner[first]) & (sym[after] >= 0)
+        lower[on] |= self.pairs.find((z[on] << 32) | sym[after[on]])[0] < rank[first[on]]
+        so_far = np.cumsum(lower) - lower
+        return so_far == so_far[~again][np.cumsum(~again) - 1]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; None counts as empty."""
@@ -192,8 +182,9 @@ def model(path: str) -> PieceBpe:
 
 
 def token_count(text: Column, path: str, texts_at_once: int = 256) -> Column:
-    """Tokens of the whole text (null and empty: 0), without begin, end or special tokens. ``path`` must be readable on
-    every executor, as a vocabulary installed with the tokenizer's package is."""
+    """Tokens of the whole text (null and empty: 0), without begin, end or special tokens. Very long texts and pre-tokens are
+    merged whole, by the same rounds; repeated rows are counted alike; an empty table gives no rows, and other columns
+    play no part. ``path`` must be readable on every executor, as a vocabulary installed with the tokenizer's package is."""
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
