@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_share
@@ -137,27 +137,26 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", keys=("doc_id",), docs_per_lang: int = 1000, rows_per_table: int = 20_000, max_langs: int = 1000) -> Model:
-    """Fits on a bounded sample: about ``docs_per_lang`` documents of each language, drawn by a hash of ``keys``; of each
-    language the ``rows_per_table`` most frequent words and grams of each length. Rows with null language or text teach
-    nothing; without any labelled row every text is ``und``. More than ``max_langs`` languages are refused."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", keys=("doc_id",), docs_per_lang: int = 1000, max_docs: int = 20_000) -> Model:
+    """Fits on a bounded sample: about ``docs_per_lang`` documents of each language, or fewer where all would be more than
+    ``max_docs``, drawn by a hash of ``keys``. All words and grams of their whole texts are learned. Rows with null language
+    or text teach nothing, repeated rows are drawn together; without any labelled row every text is ``und``. Other columns
+    play no part."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hash_share(5, *keys).alias("at"))
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"over {max_langs} languages")
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], {})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    drawn = labelled.filter(F.col("at") < F.element_at(share, F.col("lang"))).select("lang", "text")
+    most = max(1, min(docs_per_lang, max_docs // len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in sizes.items()], "lang string, share double")
+    drawn = labelled.join(shares, "lang").filter("at < share").select("lang", "text")
     words = drawn.mapInArrow(_count_words, "lang string, word string, k bigint").groupBy("lang", "word").agg(F.sum("k").alias("k"))
     counts = words.mapInArrow(_count_grams, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")
-    kept = counts.withColumn("__r", F.row_number().over(top)).filter(F.col("__r") <= rows_per_table).drop("__r")
-    return Model([tuple(r) for r in kept.collect()], sizes)
+    return Model([tuple(r) for r in counts.collect()], sizes)
 
 
 def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 256) -> Column:
-    """A struct column: ``lang_pred`` (``und`` with score 0 if the text is null or has no letter) and ``score``."""
+    """A struct column: ``lang_pred`` (``und`` with score 0 if the text is null, empty or has no letter) and ``score``. Whole
+    texts are judged, however long; equal texts alike, and equal sums go to the first language by code point."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
