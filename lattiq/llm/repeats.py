@@ -213,8 +213,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, plan: Plan, method, max
 
     def fetched(requests: DataFrame) -> DataFrame:
         by_doc = requests.groupBy("d", "h").agg(F.collect_list(F.struct("at", "anchor", "ctx")).alias("asked"))
-        texts = docs.select("d", "h", "text").join(by_doc.hint("shuffle_hash"), ["d", "h"])
-        return texts.select("d", "h", "text", "asked").mapInArrow(_fetch(plan, splitters), FETCHED)
+        # all columns, so that the shuffle of the texts is used again when the spans are cut out of them
+        return docs.join(by_doc.hint("shuffle_hash"), ["d", "h"]).select(*docs.columns, "asked").mapInArrow(_fetch(plan, splitters), FETCHED)
 
     ends = fetched(asked).repartitionById(parts, "part").sortWithinPartitions("anchor").drop("part").mapInArrow(_compare(plan, method), ENDS)
     if hot is not None:
