@@ -1,5 +1,5 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised test items, run once over each
-text, with hits mapped back to character offsets of the original text."""
+text, with hits mapped back to character offsets of the original text. The automaton's letters are whole words."""
 
 from __future__ import annotations
 
@@ -10,61 +10,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words of the contract, after A-Z are lower-cased: runs of 0-9, a-z and everything beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
-ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-HIT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,stop:int>>>"
-_HIT = pa.struct(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
-)
-
-
-def normalised(text: str) -> str:
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(TABLE).split()).decode("utf-8", "surrogatepass")
-
-
-def item_windows(items: list[tuple[str, str]], width: int) -> dict[str, list[str]]:
-    """Window -> ids of the items that hold it. An item of fewer words is one window; an item without words has none."""
-    found: dict[str, set[str]] = {}
-    for key, text in items:
-        words = normalised(text or "").split(" ")
-        if words == [""]:
-            continue
-        for i in range(max(1, len(words) - width + 1)):
-            found.setdefault(" ".join(words[i : i + width]), set()).add(key)
-    return {w: sorted(keys) for w, keys in found.items()}
-
-
-def build(windows: dict[str, list[str]]):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for window, keys in windows.items():
-        machine.add_word(f" {window} ", (len(window) + 1, window.count(" ") + 1, keys))
-    if windows:
-        machine.make_automaton()
-    return machine
-
-
-def scan(machine, text: str | None, spans: bool) -> dict:
-    line = normalised(text or "")
-    n_words = line.count(" ") + 1 if line else 0
-    if not n_words or not len(machine):
-        return {"n_words": n_words, "n_hit": 0, "items": [], "spans": []}
-    keys: set[str] = set()
-    hits: list[tuple[int, int]] = []
-    at = word = 0  # words before the character at
-    line = f" {line} "
-    for end, (length, n, items) in machine.iter(line):
-        start = end - length  # the blank before the window
-        if start >= at:
-            word += line.count(" ", at, start)
-            first = word
-            at = start
-        else:
-            first = word - line.count(" ", start, at)
-        hits.append((first, first + n))
-        keys.update(items)
+ORIGINAL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORIGINAL_WORD = re.compile(ORIGINAL)
+HIT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,runs:array<struct<start:int,stop:int>>,spans:array<struct<start:int,stop:int>>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_HIT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("runs", _RUNS), ("spans", _RUNS)])
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
+
+
+class Letters(dict):
+    """A character for each known word, NUL for others; surrogates are left out."""
+
+    def learn(self, word: bytes) -> str:
+        if word not in self:
+            n = len(self) + 1
+            self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return self[word]
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
+class Windows:
+    """The windows of some items; an item of fewer words is one window, one without words has none."""
+
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
+        self.letters, self.found = Letters(), {}
+        for key, text in items:
+            line = "".join(map(self.letters.learn, words_of(text)))
+            for i in range(max(1, len(line) - width + 1) if line else 0):
+                self.found.setdefault(line[i : i + width], set()).add(key)
+
+    def machine(self):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for window, keys in self.found.items():
+            machine.add_word(window, (len(window), sorted(k for k in keys if k is not None)))
+        if self.found:
+            machine.make_automaton()
+        return machine
+
+
+def scan(windows: Windows, machine, text: str | None, earlier: dict | None, spans: bool) -> dict:
+    """The hits of a text, with those of ``earlier`` scans."""
+    words = words_of(text)
+    keys, hits = (set(earlier["items"]), [(r["start"], r["stop"]) for r in earlier["runs"]]) if earlier else (set(), [])
+    if words and len(machine):
+        for end, (n, items) in machine.iter("".join(map(windows.letters.__getitem__, words))):
+            hits.append((end - n + 1, end + 1))
+            keys.update(items)
     merged: list[list[int]] = []
     for a, b in sorted(hits):
         if merged and a <= merged[-1][1]:
@@ -75,37 +77,55 @@ def scan(machine, text: str | None, spans: bool) -> dict:
     if merged and spans:
         where = [m.span() for m in ORIGINAL_WORD.finditer(text)]
         places = [{"start": where[a][0], "stop": where[b - 1][1]} for a, b in merged]
-    return {"n_words": n_words, "n_hit": sum(b - a for a, b in merged), "items": sorted(keys), "spans": places}
+    return {"n_words": len(words), "n_hit": sum(b - a for a, b in merged), "items": sorted(keys), "runs": [{"start": a, "stop": b} for a, b in merged], "spans": places}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _machine(shared):
-    return build(shared.value)
+    return shared.value, shared.value.machine()
+
+
+def _scans(shared, spans: bool):
+    @F.arrow_udf(HIT)
+    def first(texts: pa.Array) -> pa.Array:
+        windows, machine = _machine(shared)
+        return pa.array([scan(windows, machine, t.as_py(), None, spans) for t in texts], _HIT)
+
+    @F.arrow_udf(HIT)
+    def further(texts: pa.Array, earlier: pa.Array) -> pa.Array:
+        windows, machine = _machine(shared)
+        return pa.array([scan(windows, machine, t.as_py(), e.as_py(), spans) for t, e in zip(texts, earlier)], _HIT)
+
+    return first, further
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: Column, width: int = 13, with_spans: bool = True, max_chars: int = 64 << 20, item_id: str = "item_id", item_text: str = "text"
-) -> Column:
-    """A struct column for ``docs``: ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (ids, as
-    strings, sorted, of items with occurring windows) and ``spans`` (maximal hit runs as character offsets of ``text``).
-
-    The items are read to the driver and their windows broadcast: a benchmark is a small table, and one whose text is
-    over ``max_chars`` is refused (scan it in parts then, and unite the spans). Null and empty texts have no words.
-    Null items and items without words have no windows; repeated items hit together; an empty benchmark hits nothing.
+    docs: DataFrame, benchmark: DataFrame, out: str = "hit", text_col: str = "text", width: int = 13, with_spans: bool = True, max_words: int = 300_000, item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """``docs`` with a struct column ``out`` (a column of that name is replaced): ``n_words``, ``n_hit`` (words inside any
+    occurrence of a window), ``items`` (ids, as strings, sorted, of items with occurring windows), ``runs`` (maximal hit
+    runs of words) and ``spans`` (the same as character offsets of the text).
+
+    The windows of at most ``max_words`` benchmark words are broadcast, as one automaton; a larger benchmark is cut into shards
+    of whole items, which are scanned for one after the other with the hits so far in a table. Null and empty texts have no
+    words; texts are scanned whole, however long. Null item texts and items without words have no windows; the windows of
+    items with a null id hit words but are listed under no id; repeated items hit together. An empty benchmark hits
+    nothing, an empty table of documents gives no rows, and repeated rows are judged alike.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if size > max_chars:
-        raise ValueError(f"the benchmark has {size} characters, over the {max_chars} that are broadcast; scan it in parts")
-    shared = spark.sparkContext.broadcast(item_windows([(r.k, r.t) for r in items.collect()], width))
-
-    @F.arrow_udf(HIT)
-    def hit(texts: pa.Array) -> pa.Array:
-        machine = _machine(shared)
-        return pa.array([scan(machine, t.as_py(), with_spans) for t in texts], _HIT)
+    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).filter("t is not null")
+    words = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(ORIGINAL))), F.lit(0))).first()[0]
+    shards = max(1, -(-2 * words // max_words)) if words > max_words else 1  # half full on average, as items are dealt by hash
+    rows = docs
+    for i in range(shards):
+        part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == i) if shards > 1 else items
+        shared = spark.sparkContext.broadcast(Windows([(r.k, r.t) for r in part.collect()], width))
 
-    return hit(text)
+        first, further = _scans(shared, with_spans)
+        rows = rows.withColumn(out, further(F.col(text_col), F.col(out)) if i else first(F.col(text_col)))
+        if i + 1 < shards:
+            rows = written(rows, "hits")
+    return rows
 
 
 def is_contaminated(hit: Column) -> Column:
@@ -114,6 +134,8 @@ def is_contaminated(hit: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    hit = contamination(docs, benchmark, F.col(text_col), with_spans=False)
-    return docs.withColumn("__hit", hit).filter(~is_contaminated(F.col("__hit"))).drop("__hit")
+    """The rows of ``docs`` that aren't contaminated, with all their columns; null and empty texts stay."""
+    hit = "__hit"
+    while hit in docs.columns:
+        hit += "_"
+    return contamination(docs, benchmark, hit, text_col, with_spans=False).filter(~is_contaminated(F.col(hit))).drop(hit)

@@ -19,15 +19,15 @@ SF = "/root/testdata/sf0.01"
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i % 60, rng.normal(0, 0.2, rng.integers(3, 6)).tolist(), "x") for i in range(90)]
-    rows += [(70, [float("nan"), 1.0], "x"), (71, None, "x"), (72, [None, 1.0], "x"), (73, [], "x"), (None, [1.0], "x")]
+    rows += [(70, [float("nan"), 1.0], "x"), (71, None, "x"), (72, [None, 1.0], "x"), (73, [], "x"), (None, [1.0], "x"), rows[0], rows[0], rows[10], rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = topk.top_k(df.filter("vec_id % 10 = 0"), df, 5, 1024, query_block=3, candidate_block=7).collect()
     good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    queries_ = [(i, v) for i, v in good if i % 10 == 0]
     want = []
-    for q in {i for i, _ in queries_}:
-        found = sorted(((-sum(a * b for a, b in zip(v, w)), c) for i, v in queries_ if i == q for c, w in good if c != q))[:5]
-        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    for j, (q, v) in enumerate(good):  # every row but the query's own
+        if q % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, (c, w) in enumerate(good) if i != j)[:5]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
@@ -79,19 +79,22 @@ def test_quality(spark):
 
 
 def test_contamination(spark):
-    items = [(1, "a b c d e"), (2, "C d"), (10, None), (11, "!!"), (3, "é B"), (3, "x")]
-    texts = ["a, b! C d e f", "A b c d", "c--D é b", None, "", "zz", "b c d e a b c d e", "x" * 3000 + " x"]
+    items = [(1, "a b c d e"), (2, "C d"), (10, None), (11, "!!"), (3, "é B"), (3, "x"), (None, "q r s t")]
+    texts = ["a, b! C d e f", "A b c d", "c--D é b", None, "", "zz", "b c d e a b c d e", "x" * 3000 + " x", "o p q R s", "a b " * 20_000 + "c", "zz"]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = docs.select("doc_id", "text", decontam.contamination(docs, bench, F.col("text"), width=3).alias("h")).collect()
-    for r in got:
-        assert (r.h.n_words, r.h.n_hit, r.h.items) == contamination(r.text, items, 3)
-    first = next(r for r in got if r.doc_id == 0)
-    assert [first.text[s.start : s.stop] for s in first.h.spans] == ["a, b! C d e"]
-    assert docs.select(decontam.contamination(docs, bench.limit(0), F.col("text"))["n_hit"].alias("n")).agg(F.sum("n")).first()[0] == 0
-    assert decontam.decontaminate(docs, bench.filter("item_id = 2")).columns == docs.columns
-    with pytest.raises(ValueError):
-        decontam.contamination(docs, bench, F.col("text"), max_chars=3)
+    for most in (300_000, 4):  # one automaton, and several after each other
+        got = decontam.contamination(docs, bench, "h", width=3, max_words=most).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            n, k, ids = contamination(r.text, items, 3)
+            assert (r.h.n_words, r.h.n_hit, r.h.items) == (n, k, [i for i in ids if i != "None"])
+        first = next(r for r in got if r.doc_id == 0)
+        assert [first.text[s.start : s.stop] for s in first.h.spans] == ["a, b! C d e"]
+    assert decontam.contamination(docs, bench.limit(0)).agg(F.sum("hit.n_hit")).first()[0] == 0
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+    kept = decontam.decontaminate(docs.withColumnRenamed("items", "__hit"), bench.filter("item_id = 2"))
+    assert kept.columns == ["doc_id", "text", "__hit"] and kept.count() == len(texts) - 4
 
 
 def test_urls(spark):
