@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, ensure_checkpoint_dir
 
 SEED_A, SEED_B = 11, 13
+#: 64-bit words of a bit array that come to the driver as one row.
+SEGMENT = 1 << 13
 
 
 def host_of(url: Column) -> Column:
@@ -81,7 +83,7 @@ class Cascade:
 
 
 def _level(keys: DataFrame, n: int, rate: float, salt: int, max_bits: int) -> Level:
-    """Encodes the keys' hashes (columns a, b); only the non-zero words of the bit array come to the driver."""
+    """Encodes the keys' hashes (columns a, b). Bits are united by aggregation; the array's segments come to the driver as bytes."""
     hashes = max(1, round(-np.log2(rate)))
     bits = min(max_bits, max(64, int(np.ceil(n * hashes / np.log(2)))))
 
@@ -94,10 +96,16 @@ def _level(keys: DataFrame, n: int, rate: float, salt: int, max_bits: int) -> Le
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.array([], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(mask.view(np.int64), pa.int64())], ["w", "m"])
 
-    rows = keys.select("a", "b").mapInArrow(spread, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).collect()
-    words = np.zeros((bits + 63) // 64, np.uint64)
-    for r in rows:
-        words[r.w] = np.uint64(r.m & (2**64 - 1))
+    def pack(part: pa.Table) -> pa.Table:
+        own = np.zeros(SEGMENT, np.uint64)
+        own[part.column("w").to_numpy() % SEGMENT] = part.column("m").to_numpy().view(np.uint64)
+        return pa.table({"s": part.column("s").slice(0, 1), "b": pa.array([own.tobytes()], pa.binary())})
+
+    set_words = keys.select("a", "b").mapInArrow(spread, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m"))
+    segments = set_words.withColumn("s", F.floor(F.col("w") / SEGMENT)).groupBy("s").applyInArrow(pack, "s bigint, b binary")
+    words = np.zeros(-(-bits // (64 * SEGMENT)) * SEGMENT, np.uint64)
+    for r in segments.collect():  # at most max_bits in all, as bytes
+        words[r.s * SEGMENT : (r.s + 1) * SEGMENT] = np.frombuffer(r.b, np.uint64)
     return Level(bits, hashes, words)
 
 
@@ -135,7 +143,8 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: st
 
     A rule is ``host/path``. It fits its host and all subdomains if the url's path starts with the rule's path; the longest
     wins, and a url that no rule fits is allowed. A rule listed both ways blocks. Null urls and urls without ``://``
-    have empty host and path and fit no rule. Hosts with long chains of labels and very long paths are judged whole.
+    have empty host and path and fit no rule. Hosts with long chains of labels and very long paths are judged whole;
+    repeated rows are judged alike, and an empty table gives no rows.
     """
     spark = pages.sparkSession
     split = lambda rule: (rule.partition("/")[0], "/" + rule.partition("/")[2])
@@ -154,7 +163,7 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: st
 
     for rules in (block, allow):
         listed = spark.createDataFrame([(r,) for r in dict.fromkeys(rules)], "k string")
-        others = universe.filter(~F.col("k").isin(list(dict.fromkeys(rules)))) if rules else universe
+        others = universe.join(listed, "k", "left_anti")
         cascades.append(build_cascade(hashed(listed), hashed(others)))
     shared = spark.sparkContext.broadcast(cascades)
 
