@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, spent, written
 from .components import components
-from .ragged import BASES, Rolling, U, chunks, mix, release, text_bytes, word_hashes, word_spans
+from .ragged import BASES, LOWER, Rolling, U, chunks, mix, release, text_bytes, word_hashes, word_spans
 from .repeats import keyed, row_key
 from .url_filter import _level
 
@@ -31,8 +31,6 @@ BINS = 96
 BLOCK = 4096
 #: Shingles before a shared one that a row carries along, to tell that a pair was listed before.
 BEFORE = 6
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 FEATURES = "kind int, d long, h long, n int, s1 long, s2 long, bins binary"
 
 

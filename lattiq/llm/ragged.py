@@ -13,6 +13,8 @@ U = np.uint64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Bytes that are worked on at once; longer texts are cut into overlapping parts.
 PIECE = 1 << 18
 #: Low bits of an anchor's hash that give way to its place, alike in every piece: a tie of the others goes to the first.
@@ -124,6 +126,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return mix(np.add.reduceat(mix(value ^ mix(nth.astype(U) + U(1))), first) + size.astype(U))
 
 
+def owner_of(off: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+
 @dataclass
 class Piece:
     """Whole texts, or a part of one longer text."""
