@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Words of the contract, after A-Z are lower-cased: runs of 0-9, a-z and everything beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
@@ -113,6 +113,7 @@ def contamination(
     nothing, an empty table of documents gives no rows, and repeated rows are judged alike.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).filter("t is not null")
     words = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(ORIGINAL))), F.lit(0))).first()[0]
     shards = max(1, -(-2 * words // max_words)) if words > max_words else 1  # half full on average, as items are dealt by hash

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import hash_share, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
@@ -157,6 +157,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", keys=
 def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 256) -> Column:
     """A struct column: ``lang_pred`` (``und`` with score 0 if the text is null, empty or has no letter) and ``score``. Whole
     texts are judged, however long; equal texts alike, and equal sums go to the first language by code point."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_share
+from .common import hash_share, small_batches
 from .ragged import LOWER, chunks, owner_of, text_bytes, word_hashes, word_spans
 
 FEATURES = (
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: Column, positives: int =
 def quality_score(docs: DataFrame, net: Network | None, text: Column) -> Column:
     """The score of every text in 0 to 1, from its whole text alone, however long; null counts as empty, and equal texts score
     alike. 0.5 for all if there is no model."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spent, written
+from .common import small_batches, spent, written
 from .ragged import Rolling, U, anchors, byte_tokens, chunks, mix, pieces, release, text_bytes, word_hashes, word_spans
 
 #: Contexts of one anchor that are compared in one task. Those of more common anchors have their runs counted by all tasks.
@@ -61,6 +61,7 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """(d, h, doc_id, text), and with ``carry`` a struct ``rest`` of all other columns. Equal rows get equal results."""
+    small_batches(docs.sparkSession)
     d, h, _ = row_key(docs, id_col, text_col)
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col,)]).alias("rest")] if carry else []
     return docs.select(d.alias("d"), h.alias("h"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
