@@ -67,6 +67,21 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.concatenate([own, word_shares(texts)], 1).astype(np.float32)
 
 
+def slopes(s: np.ndarray, b: int, prior: float, plain: bool = False) -> np.ndarray:
+    """The slope of the risk in each output before the sigmoid; ``s`` has the scores of ``b`` positives, then of the unlabelled.
+    Losses are logistic: l(+1) = -log s, l(-1) = -log(1 - s), with slopes s - 1 and s. Where the unlabelled part less the
+    positives' is negative, it is over-fitted, and the step goes back from it alone. ``plain``: of telling the sets apart."""
+    n, g = len(s) - b, np.zeros(len(s))
+    minus = -np.log1p(-np.clip(s, 0, 1 - 1e-12))
+    if plain:
+        g[:b], g[b:] = (s[:b] - 1) / b, s[b:] / n
+    elif minus[b:].mean() - prior * minus[:b].mean() >= 0:
+        g[:b], g[b:] = prior * (s[:b] - 1) / b - prior * s[:b] / b, s[b:] / n
+    else:
+        g[:b], g[b:] = prior * s[:b] / b, -s[b:] / n
+    return g
+
+
 class Network:
     """One hidden layer with sigmoid output, trained on the non-negative risk."""
 
@@ -93,20 +108,7 @@ class Network:
                 x = np.concatenate([pos[rng.integers(0, len(pos), batch)], u])
                 a, z = self._forward(x)
                 s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                b = batch
-                # logistic losses: l(+1) = -log s, l(-1) = -log(1 - s), with slopes s - 1 and s in z
-                minus = -np.log1p(-np.clip(s, 0, 1 - 1e-12))
-                slack = minus[b:].mean() - prior * minus[:b].mean()
-                g = np.zeros(len(x))
-                if plain:
-                    g[:b] = (s[:b] - 1) / b
-                    g[b:] = s[b:] / len(u)
-                elif slack >= 0:
-                    g[:b] = prior * (s[:b] - 1) / b - prior * s[:b] / b
-                    g[b:] = s[b:] / len(u)
-                else:  # the negative part is over-fitted: step back from it alone
-                    g[:b] = prior * s[:b] / b
-                    g[b:] = -s[b:] / len(u)
+                g = slopes(s, batch, prior, plain)
                 h = np.outer(g, self.p[2]) * (1 - a * a)
                 t = np.clip((x - self.mean) / self.scale, -6, 6)
                 grads = [t.T @ h + decay * self.p[0], h.sum(0), a.T @ g + decay * self.p[2], np.array([g.sum()])]

@@ -39,6 +39,23 @@ def suffix(docs, length):
     return out
 
 
+def kept_bytes(docs, length):
+    """What is left of each text, by id."""
+    rows = {i: (t or "").encode() for i, t in docs}
+    seen = defaultdict(int)
+    for b in rows.values():
+        for j in range(len(b) - length + 1):
+            seen[b[j : j + length]] += 1
+    out = {}
+    for i, b in rows.items():
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            if seen[b[j : j + length]] > 1:
+                gone[j : j + length] = b"\1" * length
+        out[i] = bytes(x for x, y in zip(b, gone) if not y)
+    return out
+
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

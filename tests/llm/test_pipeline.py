@@ -4,7 +4,8 @@ import os
 
 import duckdb
 import pytest
-from brute import contamination, groups, suffix
+from brute import contamination, groups, kept_bytes
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -27,8 +28,9 @@ def test_stages(spark):
             want = groups([(i, r.text) for i, r in before.items()], 5, 80)
             assert set(after) == {i for i, _, c in want if i == c}
         elif name == "repeated_strings":
-            removed = {r[0]: r[2] for r in suffix([(i, r.text) for i, r in before.items()], 200)}
-            assert set(after) == set(before) and all(len(before[i].text.encode()) - removed[i] == len(after[i].text.encode()) or removed[i] for i in before)
+            assert set(after) == set(before)
+            for i, kept in kept_bytes([(i, r.text) for i, r in before.items()], 200).items():
+                assert after[i].text == kept.decode("utf-8", "ignore")
             assert all(after[i].n_chars == len(after[i].text) for i in after)
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -36,9 +38,38 @@ def test_stages(spark):
             assert set(after) == set(before) - bad
         else:
             assert set(after) == set(before)
+            assert all(r.size == len((before[i].text or "").encode().split()) and 0 <= r.taken <= 3 * r.size for i, r in after.items())
+            assert sum(r.taken for r in after.values()) == sum(r.size for r in after.values())
+            most = max(r.size for r in after.values())
+            for source in {r.source for r in after.values()}:
+                own = [r for r in after.values() if r.source == source]
+                assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * most
     assert len(pipeline.STAGES) == 5
 
 
+def test_stages_with_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows, and columns whose names the operators use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = docs.collect()
+    extra = [r.asDict() for r in rows[:3]] + [rows[4].asDict() | {"doc_id": None}, rows[5].asDict() | {"doc_id": None}, rows[6].asDict() | {"text": None}, rows[7].asDict() | {"source": None, "lang": None}]
+    odd = docs.unionByName(spark.createDataFrame([tuple(e[c] for c in docs.columns) for e in extra], docs.schema))
+    for name in ("d", "h", "spans", "rest", "comp", "size", "hit", "__hit", "score", "taken", "c", "k"):
+        odd = odd.withColumn(name, F.lit(7))
+    for name, stage in pipeline.STAGES[:-1]:
+        before, columns = odd.count(), odd.columns
+        odd = pipeline.written(stage(spark, odd, SF), name)
+        assert odd.columns == columns and 0 < odd.count() <= before and odd.filter("taken != 7 or h != 7 or __hit != 7").count() == 0
+        if name == "near_copies":
+            assert odd.count() == odd.distinct().count()
+    assert pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+
+
+def test_stages_with_empty_tables(spark):
+    none = pipeline.written(spark.read.parquet(f"{SF}/documents.parquet").limit(0), "none")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF)
     assert {"doc_id", "taken"} <= set(rows.columns) and rows.count() > 0

@@ -157,3 +157,120 @@ def test_mixing(spark):
     assert [r.before for r in order] == [sum(r.words for r in order[:i]) for i in range(len(order))]
     assert [r.finish for r in order] == sorted(r.finish for r in order) and all(r.words == r.size for r in order[:-1])
     assert mixing.fair_queue(df.limit(0)).count() == 0
+
+
+def test_languages_by_plain_backoff(spark):
+    import math
+    import re
+    import zlib
+
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").filter("doc_id % 3 = 0")
+    rows = docs.collect()
+    word = re.compile(r"[^\W\d_]+")
+    words = lambda t: [w for w in word.findall((t or "").lower())]
+    cut = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    seen, prior = {n: defaultdict(lambda: defaultdict(int)) for n in range(5)}, defaultdict(int)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            prior[r.lang] += 1
+            for w in words(r.text):
+                for n in range(5):
+                    for g in cut(w, n) if n else [w]:
+                        seen[n][g][r.lang] += 1
+    langs = sorted(prior)
+    size = {(n, x): sum(c[x] for c in seen[n].values()) for n in seen for x in langs}
+    value = lambda n, g, x: math.log((seen[n][g][x] + 0.5) / (size[n, x] + 0.5 * len(seen[n]) + 1))
+
+    def judge(text):
+        found = words(text)
+        if not found:
+            return "und", 0.0
+        total = {x: math.log(prior[x] / sum(prior.values())) for x in langs}
+        for w in found:
+            n, known = (0, [w]) if w in seen[0] else next(((n, k) for n in (4, 3, 2, 1) if (k := [g for g in cut(w, n) if g in seen[n]])), (0, []))
+            for x in langs:
+                total[x] += sum(value(n, g, x) for g in known) / len(known) if known else 0
+        best = max(langs, key=lambda x: total[x])
+        return best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+    model = langid.train(docs.filter(id_crc() % 5 != 0), docs_per_lang=10**6)
+    odd = spark.createDataFrame([(-1, "zzzq the xylo", "x"), (-2, "zzzq the xylo", "x"), (-3, "\u4e2d\u6587", None), (-4, "the " * 50_000, None)], docs.schema)
+    every = docs.unionByName(odd)
+    got = {r.doc_id: r.p for r in every.select("doc_id", langid.predict(docs, model, F.col("text")).alias("p")).collect()}
+    for r in every.collect():
+        lang, score = judge(r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-6
+
+
+def test_quality_network_by_plain_arithmetic():
+    rng = np.random.default_rng(1)
+    net = quality.Network(rng.normal(size=3), np.array([1.0, 2.0, 0.5]), 2, 3)
+    x = rng.normal(size=(5, 3))
+    for row, got in zip(x, net.score(x)):
+        t = [min(6, max(-6, (row[i] - net.mean[i]) / net.scale[i])) for i in range(3)]
+        a = [np.tanh(sum(t[i] * net.p[0][i][j] for i in range(3)) + net.p[1][j]) for j in range(2)]
+        assert abs(got - 1 / (1 + np.exp(-(sum(a[j] * net.p[2][j] for j in range(2)) + net.p[3][0])))) < 1e-12
+
+    def risk(z, b, prior, plain):
+        plus, minus = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        if plain:
+            return plus[:b].mean() + minus[b:].mean()
+        slack = minus[b:].mean() - prior * minus[:b].mean()
+        return prior * plus[:b].mean() + slack if slack >= 0 else -slack
+
+    for seed, prior, plain in [(2, 0.3, False), (3, 0.9, False), (4, 0.5, True), (5, 0.99, False)]:
+        z = np.random.default_rng(seed).normal(0, 2, 9)
+        z[:4] += 3 if prior == 0.99 else 0  # so that the unlabelled part is over-fitted
+        g = quality.slopes(1 / (1 + np.exp(-z)), 4, prior, plain)
+        for i in range(9):
+            d = np.zeros(9)
+            d[i] = 1e-6
+            assert abs((risk(z + d, 4, prior, plain) - risk(z - d, 4, prior, plain)) / 2e-6 - g[i]) < 1e-6
+
+
+def test_quality_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    pad = np.zeros((4000, len(quality.FEATURES) - 2))
+    for share in (0.2, 0.7):
+        good = rng.random(4000) < share
+        unl = np.c_[rng.normal(0, 1, (4000, 2)) + np.where(good, 3, 0)[:, None], pad]
+        pos = np.c_[rng.normal(3, 1, (1500, 2)), pad[:1500]]
+        assert abs(quality.estimated_prior(pos, unl, 8, 0) - share) < 0.1
+
+
+def test_quality_rows(spark):
+    """Repeated rows, conflicting labels, clashing columns, null ids."""
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    some = docs.filter("doc_id < 300")
+    odd = some.unionByName(some.filter("doc_id < 40")).unionByName(spark.createDataFrame([(None, "x y"), (5, None)], some.schema))
+    clash = labels.unionByName(labels.filter("doc_id < 20").withColumn("quality", (1 - F.col("quality")).cast(labels.schema["quality"].dataType)))
+    net = quality.train(odd.withColumn("score", F.lit("s")).withColumn("x", F.lit(1)), clash.withColumn("text", F.lit(0)), F.lit(True))
+    again = quality.train(odd.repartition(5), clash.repartition(3), F.lit(True))
+    scored = odd.withColumn("score", quality.quality_score(odd, net, F.col("text"))).collect()
+    assert len(scored) == odd.count() and len({(r.text, r.score) for r in scored}) == len({r.text for r in scored})
+    assert all(np.allclose(a, b) for a, b in zip(net.p, again.p))
+
+
+def test_repeated_and_missing_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = spark.createDataFrame([("a b",), ("a b",), (None,)], "text string")
+    assert [r.n for r in texts.select(token_count.token_count(F.col("text"), path).alias("n")).collect()] == [2, 2, 0]
+    assert texts.limit(0).select(token_count.token_count(F.col("text"), path).alias("n")).count() == 0
+    pages = spark.createDataFrame([("http://a.net/x", 1), ("http://a.net/x", 1), (None, 2)], "url string, host int")
+    got = url_filter.judge_urls(pages, queries.BLOCK, queries.ALLOW).collect()
+    assert sorted((r.host, r.verdict) for r in got) == [("", "allow"), ("a.net", "block"), ("a.net", "block")]
+    long = spark.createDataFrame([(1, "w " * 200_000, "s"), (2, "v " * 10, "t"), (2, "v " * 10, "t"), (None, None, None)], "doc_id long, text string, source string")
+    mix = mixing.fair_queue(long).collect()
+    assert len(mix) == 4 and max(r.size for r in mix) == 200_000 and sum(r.taken for r in mix) == 200_020
+
+
+def test_long_words_are_merged_alike(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in ("ab", "theingonab", "aeiou\u65e5t0", "a", "=-") for n in (97, 500, 4000)]
+    model = token_count.PieceBpe(path)
+    assert model.count(texts) == [len(sp.encode(t)) for t in texts]
+    assert [model.count([t])[0] for t in texts] == [len(sp.encode(t)) for t in texts]
