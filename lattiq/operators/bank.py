@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code, ratio0
+from .order import first_n, percentiles, ranked
 
 #: Composition modes.
 MODES = ("clean", "contaminated_all", "class_balanced_all", "oracle_purified", "auto_purified", "random_filtered", "fixed_ratio_trim")
 
 
-def first_by(df: DataFrame, order: list, n: int | Column, keys: list[str] | None = None) -> DataFrame:
-    """The first n rows in an order; with an int and no keys by a distributed top-n, not a window over all rows."""
-    if keys is None and isinstance(n, int):
-        return df.orderBy(*order).limit(n)
-    w = Window.partitionBy(*(keys or [])).orderBy(*order)
+def first_by(df: DataFrame, leads: list[Column], n: int | Column, keys: list[str] | None = None) -> DataFrame:
+    """The first n rows in ascending order of ``leads``, of each key if given. Of all rows, by ranks that no task holds alone; of
+    keys, by a window, whose tasks pass on n rows of a key at most."""
+    if not keys:
+        return first_n(df, leads, n)
+    w = Window.partitionBy(*keys).orderBy(*leads)
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
@@ -52,19 +54,19 @@ def mine_suspects(scored: DataFrame, level: float, image: str = "image_id", scor
 def trim(scored: DataFrame, fraction: float, order: list[str], score: str = "score") -> DataFrame:
     """The round((1 - fraction) n) smallest (halves to even), ties by ``order``; ``accept_threshold`` is the last kept score."""
     n = scored.count()
-    kept = first_by(scored, [score, *order], int(round((1 - fraction) * n)))
+    kept = first_by(scored, [F.col(c) for c in (score, *order)], int(round((1 - fraction) * n)))
     return kept.crossJoin(F.broadcast(kept.agg(F.max(score).alias("accept_threshold"))))
 
 
 def random_keep(rows: DataFrame, n: int, namespace: str, seed: int, ident: str = "id") -> DataFrame:
     """n rows by hash rank (all, if fewer)."""
-    return first_by(rows, [code(namespace, seed, F.col(ident)), ident], n)
+    return first_by(rows, [code(namespace, seed, F.col(ident)), F.col(ident)], n)
 
 
 def top_distance(df: DataFrame, per_image: int, total: int | None, ident: str, image: str = "image_id", score: str = "score") -> DataFrame:
     """The most distant patches of each image, then of all."""
-    rows = first_by(df, [F.desc(score), ident], per_image, [image])
-    return rows if total is None else first_by(rows, [F.desc(score), ident], total)
+    rows = first_by(df, [-F.col(score), F.col(ident)], per_image, [image])
+    return rows if total is None else first_by(rows, [-F.col(score), F.col(ident)], total)
 
 
 def compose(clean: DataFrame, candidates: DataFrame, mode: str, *, threshold: float | None = None, fraction: float = 0.2, matched: int | None = None, seed: int = 42, per_class: int | None = None, allow_oracle: bool = False) -> DataFrame:
@@ -80,7 +82,7 @@ def compose(clean: DataFrame, candidates: DataFrame, mode: str, *, threshold: fl
         more = candidates
     elif mode == "class_balanced_all":
         n = per_class if per_class is not None else min((r["count"] for r in candidates.groupBy("class_id").count().collect()), default=0)
-        more = first_by(candidates, [code("balance", seed, F.col("id")), "id"], n, ["class_id"])
+        more = first_by(candidates, [code("balance", seed, F.col("id")), F.col("id")], n, ["class_id"])
     elif mode == "oracle_purified":
         more = candidates.filter(~F.col("is_defect"))
     elif mode == "auto_purified":
@@ -107,13 +109,13 @@ def contaminate_by_growth(clean: DataFrame, pool: DataFrame, rate: float, seed:
 
 
 def contaminate_by_replacement(clean: DataFrame, pool: DataFrame, rate: float, seed: int) -> DataFrame:
-    """A bank of constant size: round(rate n) slots (by hash rank) take the vector and provenance of donors (by hash rank). The
-    number of slots, which bounds the ranked rows, is at most the size of the pool."""
+    """A bank of constant size: round(rate n) slots (by hash rank) take the vector and provenance of donors (by hash rank). There
+    are no more slots than rows in the pool."""
     n, have = clean.count(), pool.count()
     slots = min(round(rate * n), have)
-    rank = lambda ns, rows: rows.withColumn("__rank", F.row_number().over(Window.orderBy(code(ns, seed, F.col("id")), "id")))
-    chosen = rank("slot", random_keep(clean, slots, "slot", seed).select("id"))
-    donors = rank("donor", random_keep(pool, slots, "donor", seed)).select("__rank", *[F.col(c).alias(f"__d_{c}") for c in pool.columns])
+    rank = lambda ns, rows, size: ranked(rows, [code(ns, seed, F.col("id")), F.col("id")], size, "__rank").filter(F.col("__rank") < slots)
+    chosen = rank("slot", clean.select("id"), n)
+    donors = rank("donor", pool, have).select("__rank", *[F.col(c).alias(f"__d_{c}") for c in pool.columns])
     put = clean.join(chosen.join(donors, "__rank").drop("__rank"), "id", "left")
     hit = F.col("__d_id").isNotNull()
     cols = [F.when(hit, F.col(f"__d_{c}")).otherwise(F.col(c)).alias(c) for c in clean.columns if c != "id"]
@@ -148,7 +150,7 @@ def select_anomalies(df: DataFrame, rule: str, *, level: float | None = None, pe
     rows = df if held_out is None else df.withColumn("overlap", F.when(F.col("class_id") == held_out, 0.0).otherwise(F.col("overlap")))
     rows = rows.filter(overlap_rule(F.col("overlap"), rule))
     if level is not None:
-        gate = df.agg(F.percentile("score", F.lit(level / 100)).alias("__g"))
+        gate = percentiles(df, "score", [level / 100]).select(F.get("ps", F.lit(0)).alias("__g"))
         rows = rows.crossJoin(F.broadcast(gate)).filter(F.col("score") >= F.col("__g")).drop("__g")
     if per_image is not None:
         rows = top_distance(rows, per_image, None, ident)

@@ -8,23 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .order import percentiles
 
+#: Levels of a calibration's percentile map.
 PERCENTILES = (50.0, 75.0, 90.0, 95.0, 97.5, 99.0, 99.5)
 
 
+def _at(i: int) -> Column:
+    return F.get("ps", F.lit(i))
+
+
 def summary(scores: DataFrame, levels: Sequence[float] = PERCENTILES, score: str = "score") -> DataFrame:
     """One row: n, mean, population std, median, IQR, and the percentile map (exact, linear)."""
-    p = lambda q: F.percentile(score, F.lit(q / 100))
+    facts = scores.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    ps = percentiles(scores, score, [0.5, 0.25, 0.75, *(q / 100 for q in levels)])
     names = F.array(*[F.lit(float(q)) for q in levels])
-    return scores.agg(
-        F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.median(score).alias("median"), (p(75) - p(25)).alias("iqr"),
-        F.map_from_arrays(names, F.percentile(score, F.array(*[F.lit(q / 100) for q in levels]))).alias("percentiles"),
-    )
+    cuts = ps.select(_at(0).alias("median"), (_at(2) - _at(1)).alias("iqr"), F.map_from_arrays(names, F.slice("ps", 4, len(levels))).alias("percentiles"))
+    return facts.crossJoin(F.broadcast(cuts))
 
 
 def threshold_at(scores: DataFrame, level: float, stored: DataFrame | None = None, score: str = "score") -> DataFrame:
     """One row ``threshold``: the stored percentile if there is one, else computed."""
-    fresh = scores.agg(F.percentile(score, F.lit(level / 100)).alias("fresh"))
+    fresh = percentiles(scores, score, [level / 100]).select(_at(0).alias("fresh"))
     if stored is None:
         return fresh.select(F.col("fresh").alias("threshold"))
     return fresh.crossJoin(stored.select("percentiles")).select(F.coalesce(F.try_element_at("percentiles", F.lit(float(level))), "fresh").alias("threshold"))
@@ -32,13 +37,14 @@ def threshold_at(scores: DataFrame, level: float, stored: DataFrame | None = Non
 
 def robust(scores: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """Median and IQR per key; an IQR of 1e-12 or less counts as 1."""
-    iqr = F.percentile(score, F.lit(0.75)) - F.percentile(score, F.lit(0.25))
-    return scores.groupBy(*keys).agg(F.median(score).alias("median"), F.when(iqr <= 1e-12, 1.0).otherwise(iqr).alias("iqr"))
+    iqr = _at(2) - _at(1)
+    return percentiles(scores, score, [0.5, 0.25, 0.75], keys).select(*keys, _at(0).alias("median"), F.when(iqr <= 1e-12, 1.0).otherwise(iqr).alias("iqr"))
 
 
 def stats(scores: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
-    p = lambda q: F.percentile(score, F.lit(q))
-    return scores.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.median(score).alias("median"), p(0.25).alias("q1"), p(0.75).alias("q3"), p(0.95).alias("p95"))
+    facts = scores.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    cuts = percentiles(scores, score, [0.5, 0.25, 0.75, 0.95], keys).select(*keys, *[_at(i).alias(n) for i, n in enumerate(("median", "q1", "q3", "p95"))])
+    return facts.join(cuts, list(keys)) if keys else facts.crossJoin(F.broadcast(cuts))
 
 
 def per_image(df: DataFrame, facts: dict[str, Column], image: str = "image_id") -> DataFrame:

@@ -123,9 +123,11 @@ class IsolationForest(Detector):
             x = (x - self.center) @ self.axes
         self.mean, self.std = (x.mean(0), x.std(0) + 1e-8) if self.standardise else (0.0, 1.0)
         x = (x - self.mean) / self.std
+        if not len(x):
+            raise ValueError("an empty reference grows no forest")
         rng, size = np.random.default_rng(self.seed), min(self.sample, len(x))
-        depth = int(np.ceil(np.log2(max(size, 2))))
-        self.forest = [self._grow(x[rng.choice(len(x), size, replace=False)], depth, rng) for _ in range(self.trees)]
+        self.levels = int(np.ceil(np.log2(max(size, 2))))
+        self.forest = [self._grow(x[rng.choice(len(x), size, replace=False)], self.levels, rng) for _ in range(self.trees)]
         self.norm = self._c(size)
         return self
 
@@ -133,34 +135,43 @@ class IsolationForest(Detector):
     def _c(n: int) -> float:
         return 0.0 if n <= 1 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
-    def _grow(self, x: np.ndarray, depth: int, rng) -> tuple:
-        if depth == 0 or len(x) <= 1 or (x.max(0) == x.min(0)).all():
-            return (self._c(len(x)),)
-        dim = rng.choice(np.flatnonzero(x.max(0) > x.min(0)))
-        cut = rng.uniform(x[:, dim].min(), x[:, dim].max())
-        low = x[:, dim] < cut
-        return dim, cut, self._grow(x[low], depth - 1, rng), self._grow(x[~low], depth - 1, rng)
-
-    @classmethod
-    def _depth(cls, tree: tuple, x: np.ndarray, rows: np.ndarray, at: int, out: np.ndarray) -> None:
-        if len(tree) == 1:
-            out[rows] += at + tree[0]
-            return
-        low = x[rows, tree[0]] < tree[1]
-        cls._depth(tree[2], x, rows[low], at + 1, out)
-        cls._depth(tree[3], x, rows[~low], at + 1, out)
+    def _grow(self, x: np.ndarray, depth: int, rng) -> np.ndarray:
+        """A tree as rows (dimension or -1 for a leaf, cut, left child, right child, path length that a leaf stands for)."""
+        nodes: list[list[float]] = []
+
+        def add(rows: np.ndarray, left: int) -> int:
+            at = len(nodes)
+            nodes.append([-1, 0, at, at, depth - left + self._c(len(rows))])
+            if left and len(rows) > 1 and (rows.max(0) > rows.min(0)).any():
+                dim = rng.choice(np.flatnonzero(rows.max(0) > rows.min(0)))
+                cut = rng.uniform(rows[:, dim].min(), rows[:, dim].max())
+                low = rows[:, dim] < cut
+                nodes[at][:2] = dim, cut
+                nodes[at][2], nodes[at][3] = add(rows[low], left - 1), add(rows[~low], left - 1)
+            return at
+
+        add(x, depth)
+        return np.array(nodes)
+
+    @staticmethod
+    def _depth(tree: np.ndarray, x: np.ndarray, levels: int) -> np.ndarray:
+        """The path length of each row: all rows go down one level at a time; leaves are their own children."""
+        at, every = np.zeros(len(x), np.int64), np.arange(len(x))
+        dim, cut, left, right = tree[:, 0].astype(np.int64), tree[:, 1], tree[:, 2].astype(np.int64), tree[:, 3].astype(np.int64)
+        for _ in range(levels):
+            at = np.where(x[every, dim[at]] < cut[at], left[at], right[at])
+        return tree[at, 4]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast((self.forest, self.center, self.axes, self.mean, self.std, self.norm))
+        shared = df.sparkSession.sparkContext.broadcast((self.forest, self.levels, self.center, self.axes, self.mean, self.std, self.norm))
 
         @F.arrow_udf("double")
         def score(v: pa.Array) -> pa.Array:
-            forest, center, axes, mean, std, c = shared.value
+            forest, levels, center, axes, mean, std, c = shared.value
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
             x = ((x - center) @ axes if axes is not None else x) - mean
-            x, total = x / std, np.zeros(len(v))
-            for tree in forest:
-                IsolationForest._depth(tree, x, np.arange(len(v)), 0, total)
+            x = x / std
+            total = sum(IsolationForest._depth(tree, x, levels) for tree in forest)
             return pa.array(2.0 ** (-total / len(forest) / max(c, 1e-12)))
 
         return df.select(*KEYS, score("features").alias("score"))
@@ -201,7 +212,7 @@ class FocalProbe(Detector):
         dim = reference.select(F.size("features").alias("n")).first()[0]
         w, b, gamma, alpha = np.zeros(dim), 0.0, self.gamma, self.alpha
         m, v = np.zeros(dim + 1), np.zeros(dim + 1)
-        rows = reference.select("features", "is_defect")
+        rows = reference.select("features", "is_defect").persist()  # read once for all steps
         for epoch in range(1, self.epochs + 1):
             def gradient(batches, w=w, b=b):
                 total = np.zeros(dim + 2)
@@ -219,6 +230,7 @@ class FocalProbe(Detector):
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = self.rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
             w, b = w * (1 - self.rate * self.decay) - step[:-1], b - step[-1]
+        rows.unpersist()
         self.w, self.b = w.tolist(), float(b)
         return self
 
@@ -251,30 +263,34 @@ def gated_class_scores(df: DataFrame, threshold: float, classes: list[int]) -> D
     return df.withColumn("class_scores", F.create_map(*cells))
 
 
-def pca_mask(df: DataFrame, rows: int, cols: int, limit: float = 0.0, centre_share: float = 0.35) -> DataFrame:
-    """(image_id, row, col, keep): the first principal component over ``limit`` is foreground, flipped where the centre of the
-    image keeps ``centre_share`` or less, then dilated and closed (3 x 3). An image is one task's group."""
+def pca_mask(df: DataFrame, rows: int, cols: int, limit: float = 10.0, border: float = 0.2, centre_share: float = 0.35) -> DataFrame:
+    """(image_id, row, col, keep): the first principal component above ``limit`` is foreground; where the centre (without
+    ``border`` on each side) keeps ``centre_share`` or less, the negated component above it is. Then the mask is dilated and
+    closed (3 x 3, the outside has no say). The sign of the component makes its largest weight positive. An image is one
+    task's group."""
 
-    def grow(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, 1)
-        return np.any([p[i : i + m.shape[0], j : j + m.shape[1]] for i in range(3) for j in range(3)], axis=0)
+    def near(m: np.ndarray, outside: bool, how) -> np.ndarray:
+        p = np.pad(m, 1, constant_values=outside)
+        return how([p[i : i + m.shape[0], j : j + m.shape[1]] for i in range(3) for j in range(3)], axis=0)
 
     def one(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         r, c = t.column("row").to_numpy(), t.column("col").to_numpy()
-        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
+        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1).astype(float)
         axis = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0]
-        axis = axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1)
-        mask = np.zeros((rows, cols), bool)
-        mask[r, c] = (x - x.mean(0)) @ axis > limit
-        mid = mask[rows // 4 : max(rows - rows // 4, rows // 4 + 1), cols // 4 : max(cols - cols // 4, cols // 4 + 1)]
-        if mid.mean() <= centre_share:
-            mask = ~mask
-        mask = grow(grow(mask))
-        mask = ~grow(~np.pad(mask, 1))[1:-1, 1:-1]
+        first = np.full((rows, cols), -np.inf)
+        first[r, c] = (x - x.mean(0)) @ (axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1))
+        mask = first > limit
+        mid = mask[int(rows * border) : int(rows * (1 - border)), int(cols * border) : int(cols * (1 - border))]
+        if mid.sum() <= mid.size * centre_share:
+            mask = np.where(np.isfinite(first), -first > limit, False)
+        for _ in range(2):
+            mask = near(mask, False, np.any)
+        mask = near(mask, True, np.all)
         return pa.table({"image_id": t.column("image_id"), "row": t.column("row"), "col": t.column("col"), "keep": pa.array(mask[r, c])})
 
-    return df.select("image_id", "row", "col", "features").groupBy("image_id").applyInArrow(one, "image_id long, row long, col long, keep boolean")
+    kinds = ", ".join(f"{n} {k}" for n, k in df.select("image_id", "row", "col").dtypes)
+    return df.select("image_id", "row", "col", "features").groupBy("image_id").applyInArrow(one, f"{kinds}, keep boolean")
 
 
 #: Names of detectors.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The Sobel weights (row offset, column offset) -> (x, y).
@@ -16,44 +16,54 @@ def with_grid(df: DataFrame, width: int, index: str = "idx") -> DataFrame:
     return df.withColumn("row", F.expr(f"`{index}` div {width}")).withColumn("col", F.col(index) % width)
 
 
-def _offsets(kernel: int) -> list[tuple[int, int]]:
-    r = kernel // 2
-    return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
+def per_grid(df: DataFrame, image: str, compute, out: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """(image, row, col, ``out``): each image's vectors as one array of cells (missing ones are 0, with a mask of those that are
+    there) through ``compute``, which gives one value or vector a cell. Each vector is moved once; an image is one group."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        r, c = t.column("row").to_numpy(), t.column("col").to_numpy()
+        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
+        high, wide = shape or (int(r.max()) + 1, int(c.max()) + 1)
+        cells, there = np.zeros((high, wide, x.shape[1])), np.zeros((high, wide), bool)
+        cells[r, c], there[r, c] = x, True
+        found = compute(cells, there)[r, c]
+        values = pa.array(found) if found.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.reshape(-1)))
+        return pa.table({image: t.column(image), "row": t.column("row"), "col": t.column("col"), out.split()[0]: values})
+
+    rows = df.select(image, "row", "col", F.transform("features", lambda v: v.cast("double")).alias("features"))
+    kinds = ", ".join(f"`{n}` {k}" for n, k in df.select(image, "row", "col").dtypes)
+    return rows.groupBy(image).applyInArrow(one, f"{kinds}, {out}")
 
 
 def neighbour_mean(df: DataFrame, rows: int, cols: int, kernel: int = 3, image: str = "image_id") -> DataFrame:
     """(image, row, col, features): the mean of the vectors of a window of odd size, edges repeated, over the
-    cells that an image has. A size of 1 or less changes nothing. Each vector goes to the cells that see it, with a weight, and sums are combined before the shuffle."""
+    cells that an image has. A size of 1 or less changes nothing."""
     if kernel <= 1:
         return df.select(image, "row", "col", "features")
     if kernel % 2 == 0:
         raise ValueError("the kernel must be odd")
     r = kernel // 2
 
-    def seen(x: Column, n: int) -> Column:
-        """(cell, how often its window shows x)."""
-        cells = F.sequence(F.greatest(x - r, F.lit(0)), F.least(x + r, F.lit(n - 1)))
-        shows = lambda c: sum(F.when(F.least(F.greatest(c + d, F.lit(0)), F.lit(n - 1)) == x, 1).otherwise(0) for d in range(-r, r + 1))
-        return F.transform(cells, lambda c: F.struct(c.alias("c"), shows(c).alias("w")))
+    def mean(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
+        value, weight = np.pad(cells, ((r, r), (r, r), (0, 0)), mode="edge"), np.pad(there.astype(float), r, mode="edge")
+        moved = [(slice(a, a + rows), slice(b, b + cols)) for a in range(kernel) for b in range(kernel)]
+        return sum(value[m] for m in moved) / np.maximum(sum(weight[m] for m in moved), 1e-12)[:, :, None]
 
-    sent = df.select(image, "features", F.explode(seen(F.col("row"), rows)).alias("a"), "col").select(image, "features", "a", F.explode(seen(F.col("col"), cols)).alias("b"))
-    sent = sent.select(image, F.col("a.c").alias("row"), F.col("b.c").alias("col"), (F.col("a.w") * F.col("b.w")).alias("w"), F.posexplode("features").alias("dim", "x"))
-    sums = sent.groupBy(image, "row", "col", "dim").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    sums = sums.join(df.select(image, "row", "col").distinct(), [image, "row", "col"], "left_semi")
-    return sums.groupBy(image, "row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("features"))
+    return per_grid(df, image, mean, "features array<double>", (rows, cols))
 
 
 def sobel_norm(df: DataFrame, reduce: str = "l2", image: str = "image_id") -> DataFrame:
     """(image, row, col, score): sqrt(gx^2 + gy^2 + 1e-8) of each channel with zero padding, then l2, mean or max over channels."""
-    steps = F.array(*[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(float(x)).alias("wx"), F.lit(float(y)).alias("wy")) for (a, b), (x, y) in SOBEL.items()])
-    own = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy")))
-    sent = df.select(image, "row", "col", "features", F.explode(F.concat(steps, own)).alias("o"))
-    sent = sent.select(image, (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "o.wx", "o.wy", F.posexplode("features").alias("dim", "v"))
-    cells = df.select(image, "row", "col").distinct()
-    g = sent.groupBy(image, "row", "col", "dim").agg(F.sum(F.col("v") * F.col("wx")).alias("gx"), F.sum(F.col("v") * F.col("wy")).alias("gy"))
-    g = g.join(cells, [image, "row", "col"], "left_semi").withColumn("m", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1e-8))
-    out = {"l2": F.sqrt(F.sum(F.col("m") * F.col("m"))), "mean": F.avg("m"), "max": F.max("m")}[reduce]
-    return g.groupBy(image, "row", "col").agg(out.alias("score"))
+    how = {"l2": lambda g: np.sqrt((g * g).sum(2)), "mean": lambda g: g.mean(2), "max": lambda g: g.max(2)}[reduce]
+
+    def gradient(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
+        p = np.pad(cells, ((1, 1), (1, 1), (0, 0)))
+        part = lambda a, b: p[1 + a : 1 + a + cells.shape[0], 1 + b : 1 + b + cells.shape[1]]
+        gx, gy = (sum(w[i] * part(a, b) for (a, b), w in SOBEL.items() if w[i]) for i in (0, 1))
+        return how(np.sqrt(gx * gx + gy * gy + 1e-8))
+
+    return per_grid(df, image, gradient, "score double")
 
 
 def reduce_heads(attention: DataFrame, how: str = "mean") -> DataFrame:

@@ -16,7 +16,8 @@ from ..functions.scalars import dot, norm, squared_distance
 
 #: Bytes of a bank (8 a component) up to which it is broadcast.
 BROADCAST_BYTES = 128 << 20
-BLOCK = 4096
+#: Bytes of vectors that a block of either side holds, so that both sides of a larger search are copied about equally.
+BLOCK_BYTES = 32 << 20
 #: Bytes of distances that a task of ``mutual_scores`` holds.
 HELD_BYTES = 128 << 20
 FOUND = "query_id long, bank_id long, dist double"
@@ -70,7 +71,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "cosi
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _broadcast(q: DataFrame, b: DataFrame, k: int, metric: str) -> DataFrame:
+def _broadcast(q: DataFrame, b: DataFrame, k: int, metric: str, search=_nearest) -> DataFrame:
     rows = b.toArrow().combine_chunks()
     n = rows.num_rows
     ids, grp = (rows.column(c).to_numpy() for c in ("id", "grp"))
@@ -80,16 +81,16 @@ def _broadcast(q: DataFrame, b: DataFrame, k: int, metric: str) -> DataFrame:
         bank_ids, bank_groups, matrix = shared.value
         for x in batches:
             if x.num_rows and len(bank_ids):
-                yield _nearest(x.column(0).to_numpy(), x.column(1).to_numpy(), _matrix(x.column(2)), bank_ids, bank_groups, matrix, k, metric)
+                yield search(x.column(0).to_numpy(), x.column(1).to_numpy(), _matrix(x.column(2)), bank_ids, bank_groups, matrix, k, metric)
 
     return q.mapInArrow(score, FOUND)
 
 
-def _blocks(q: DataFrame, b: DataFrame, k: int, metric: str) -> DataFrame:
+def _blocks(q: DataFrame, b: DataFrame, k: int, metric: str, search=_nearest) -> DataFrame:
     def packed(rows: DataFrame, name: str, count: int) -> DataFrame:
         return rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("blk").agg(F.collect_list(F.struct("id", "grp", "features")).alias(name))
 
-    n_q, n_b = (max(1, -(-x.count() // BLOCK)) for x in (q, b))
+    n_q, n_b = (max(1, -(-8 * (x.agg(F.sum(F.size("features"))).first()[0] or 0) // BLOCK_BYTES)) for x in (q, b))
     spread = min(n_b, 256)
     left = packed(q, "q", n_q).select("q", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
     right = packed(b, "b", n_b).select("b", F.pmod("blk", F.lit(spread)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"))
@@ -98,7 +99,7 @@ def _blocks(q: DataFrame, b: DataFrame, k: int, metric: str) -> DataFrame:
         for x in batches:
             for i in range(x.num_rows):
                 u, v = x.column(0)[i].values, x.column(1)[i].values
-                yield _nearest(u.field(0).to_numpy(), u.field(1).to_numpy(), _matrix(u.field(2)), v.field(0).to_numpy(), v.field(1).to_numpy(), _matrix(v.field(2)), k, metric)
+                yield search(u.field(0).to_numpy(), u.field(1).to_numpy(), _matrix(u.field(2)), v.field(0).to_numpy(), v.field(1).to_numpy(), _matrix(v.field(2)), k, metric)
 
     return left.join(right, ["i", "s"]).select("q", "b").mapInArrow(score, FOUND)
 
@@ -135,13 +136,24 @@ def with_provenance(found: DataFrame, bank: DataFrame) -> DataFrame:
     return found.join(facts, "bank_id")
 
 
-def class_scores(queries: DataFrame, bank: DataFrame, metric: str = "cosine", **how) -> DataFrame:
-    """``query_id, class_id, dist``: distance to the nearest bank row of each class (classes are few)."""
-    out = None
-    for (c,) in bank.select("class_id").distinct().orderBy("class_id").collect():
-        part = nearest(queries, bank.filter(F.col("class_id") == c), 1, metric, **how).select("query_id", F.lit(c).alias("class_id"), "dist")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _nearest_of_classes(ids, groups, vectors, bank_ids, classes, bank, k: int, metric: str):
+    """For each query and class, the least distance; the class stands in the place of the bank id."""
+    order = np.argsort(classes, kind="stable")
+    kinds, first = np.unique(classes[order], return_index=True)
+    out = [np.minimum.reduceat(distances(vectors[i : i + 512], bank[order], metric), first, axis=1) for i in range(0, len(ids), 512)]
+    found = np.concatenate(out) if out else np.zeros((0, len(kinds)))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids)).astype(np.int64)), pa.array(found.reshape(-1))], ["query_id", "bank_id", "dist"])
+
+
+def class_scores(queries: DataFrame, bank: DataFrame, metric: str = "cosine", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``query_id, class_id, dist``: distance to the nearest bank row of each class, all classes in one pass; no rows for an
+    empty bank."""
+    q = queries.select("id", F.lit(-1).cast("long").alias("grp"), "features").filter("features IS NOT NULL")
+    b = bank.select("id", F.col("class_id").cast("long").alias("grp"), "features").filter("features IS NOT NULL AND class_id IS NOT NULL")
+    size = b.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] * 8
+    found = (_broadcast if size <= limit_bytes else _blocks)(q, b, 1, metric, _nearest_of_classes)
+    kind = dict(bank.dtypes)["class_id"]
+    return found.groupBy("query_id", F.col("bank_id").cast(kind).alias("class_id")).agg(F.min("dist").alias("dist"))
 
 
 def best_class(scores: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f1_of, finite, ratio, ratio0
-
-RANGES = 64
+from .order import cumulated, part_of, percentiles, with_previous
 
 
 def usable(df: DataFrame, score: str = "score", valid: str | None = None) -> DataFrame:
@@ -51,29 +50,20 @@ def score_groups(df: DataFrame, score: str = "score", label: str = "is_defect",
 
 def running(df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """Adds running sums (name -> column) in order of ``order``, whose values are distinct within ``keys``."""
-    cuts = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    splits = F.array(*[F.lit(float(c)) for c in dict.fromkeys(cuts)]) if cuts else F.array().cast("array<double>")
-    part = F.size(F.filter(splits, lambda c: c < F.col(order)))
-    rows = df.withColumn("__part", -part if descending else part)
-    heads = rows.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*keys, "__part", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "__part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    heads = heads.withColumnsRenamed({"__part": "__h", **{k: f"__h{i}" for i, k in enumerate(keys)}})
-    match = F.col("__part") == F.col("__h")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__h{i}"))
-    rows = rows.join(heads, match).drop("__part", "__h", *[f"__h{i}" for i in range(len(keys))])
-    return rows.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop(*[f"__{n}" for n in sums])
-
-
-def curve(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score: counts at or above it (tp, fp) and totals (tot_p, tot_n)."""
-    groups = score_groups(df, score, label, keys)
-    rows = running(groups, "score", {"tp": "pos", "fp": "neg"}, keys)
+    lead = -F.col(order) if descending else F.col(order)
+    return cumulated(df.withColumn("__part", part_of(df, [lead])), "__part", [lead], {n: F.col(c) for n, c in sums.items()}, keys).drop("__part")
+
+
+def with_totals(rows: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the totals of each key (tot_p, tot_n)."""
     totals = groups.groupBy(*keys).agg(F.sum("pos").alias("tot_p"), F.sum("neg").alias("tot_n"))
-    return rows.join(F.broadcast(totals), list(keys)) if keys else rows.crossJoin(F.broadcast(totals))
+    return rows.join(totals, list(keys)) if keys else rows.crossJoin(F.broadcast(totals))
+
+
+def curve(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """One row per distinct score: counts at or above it (or below, if not ``descending``) as tp and fp, and totals."""
+    groups = score_groups(df, score, label, keys)
+    return with_totals(running(groups, "score", {"tp": "pos", "fp": "neg"}, keys, descending), groups, keys)
 
 
 def ranking(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
@@ -96,7 +86,7 @@ def threshold_grid(df: DataFrame, score: str = "score", n: int = 80) -> DataFram
     """Distinct default thresholds: exact percentiles at max(n / 2, 20) even steps and n even steps from least to largest.
     Constant scores give one threshold, no scores the even steps of 0 to 1."""
     q = max(n // 2, 20)
-    facts = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.percentile(score, F.array(*[F.lit(i / (q - 1)) for i in range(q)])).alias("ps"))
+    facts = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).crossJoin(F.broadcast(percentiles(df, score, [i / (q - 1) for i in range(q)])))
     even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.col("lo"), F.lit(0.0)) + (F.coalesce(F.col("hi"), F.lit(1.0)) - F.coalesce(F.col("lo"), F.lit(0.0))) * i / float(n - 1))
     grid = F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array_union(F.coalesce("ps", F.array().cast("array<double>")), even))
     return facts.select(F.explode(grid).alias("threshold")).distinct()
@@ -149,32 +139,41 @@ def fixed_threshold(df: DataFrame, threshold: float | Column, score: str = "scor
     return rows.withColumn("n_gt_pos", F.col("tp") + F.col("fn")).withColumn("n_pred_pos", F.col("tp") + F.col("fp"))
 
 
-def separability(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
-    """Cohen's d (pooled sample variance; null below two values a side), KS statistic, 1-D Wasserstein distance, AUROC."""
+def cohens_d(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
+    """Cohen's d by the pooled sample variance; null below two values a side."""
     v, d = F.col(score), F.col(label)
     a, b = F.when(d, v), F.when(~d, v)
     pooled = ((F.count(a) - 1) * F.var_samp(a) + (F.count(b) - 1) * F.var_samp(b)) / (F.count(a) + F.count(b) - 2)
-    facts = df.groupBy(*keys).agg(F.when((F.count(a) >= 2) & (F.count(b) >= 2) & (pooled > 0), (F.avg(a) - F.avg(b)) / F.sqrt(pooled)).alias("cohens_d"))
-    groups = score_groups(df, score, label, keys)
-    rows = running(groups, "score", {"cp": "pos", "cn": "neg"}, keys, descending=False)
-    totals = groups.groupBy(*keys).agg(F.sum("pos").alias("tot_p"), F.sum("neg").alias("tot_n"))
-    rows = rows.join(F.broadcast(totals), list(keys)) if keys else rows.crossJoin(F.broadcast(totals))
-    gap = F.abs(ratio(F.col("cp"), F.col("tot_p")) - ratio(F.col("cn"), F.col("tot_n")))
+    return df.groupBy(*keys).agg(F.when((F.count(a) >= 2) & (F.count(b) >= 2) & (pooled > 0), (F.avg(a) - F.avg(b)) / F.sqrt(pooled)).alias("cohens_d"))
+
+
+def gaps(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
+    """KS statistic, 1-D Wasserstein distance and AUROC, from one curve."""
+    rows = curve(df, score, label, keys, descending=False)
+    gap = lambda p, n: F.abs(ratio(p, F.col("tot_p")) - ratio(n, F.col("tot_n")))
+    rows = rows.withColumns({"gap": gap(F.col("tp"), F.col("fp")), "before": gap(F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg"))})
     # the integral of the gap by parts: each value's share of it needs no neighbour
-    rows = rows.withColumn("gap", gap)
-    before = F.abs(ratio(F.col("cp") - F.col("pos"), F.col("tot_p")) - ratio(F.col("cn") - F.col("neg"), F.col("tot_n")))
-    dist = rows.groupBy(*keys).agg(F.max("gap").alias("ks"), F.sum(F.col("score") * (before - F.col("gap"))).alias("wasserstein"))
-    rank = ranking(df, score, label, keys).select(*keys, "auroc")
-    return facts.join(dist, list(keys)).join(rank, list(keys)) if keys else facts.crossJoin(dist).crossJoin(rank)
+    pairs = F.col("pos") * (F.col("fp") - F.col("neg") + F.col("neg") / 2.0)  # negatives below, ties half
+    return rows.groupBy(*keys).agg(
+        F.max("gap").alias("ks"),
+        F.sum(F.col("score") * (F.col("before") - F.col("gap"))).alias("wasserstein"),
+        F.try_divide(F.sum(pairs), F.max(F.col("tot_p").cast("double") * F.col("tot_n"))).alias("auroc"),
+    )
+
+
+def separability(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
+    """Cohen's d, KS statistic, Wasserstein distance and AUROC of the two labels."""
+    facts, dist = cohens_d(df, score, label, keys), gaps(df, score, label, keys)
+    return facts.join(dist, list(keys)) if keys else facts.crossJoin(dist)
 
 
 def distribution(df: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, population std, median, range and exact 5th and 95th percentiles; null when empty."""
     s = F.col(score)
-    return df.groupBy(*keys).agg(
-        F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"),
-        F.percentile(s, F.lit(0.05)).alias("p5"), F.percentile(s, F.lit(0.95)).alias("p95"),
-    )
+    facts = df.groupBy(*keys).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
+    cuts = percentiles(df, score, [0.5, 0.05, 0.95], keys).select(*keys, *[F.get("ps", F.lit(i)).alias(n) for i, n in enumerate(("median", "p5", "p95"))])
+    rows = facts.join(cuts, list(keys)) if keys else facts.crossJoin(F.broadcast(cuts))
+    return rows.select(*keys, "n", "mean", "std", "median", "min", "max", "p5", "p95")
 
 
 #: Levels of the quantile map of a calibration report.
@@ -183,13 +182,12 @@ QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.995)
 
 def quantile_map(df: DataFrame, score: str = "score", levels: Sequence[float] = QUANTILES) -> DataFrame:
     names = F.array(*[F.lit(f"p{100 * q:g}") for q in levels])
-    return df.agg(F.map_from_arrays(names, F.percentile(score, F.array(*[F.lit(q) for q in levels]))).alias("quantiles"))
+    return percentiles(df, score, levels).select(F.map_from_arrays(names, "ps").alias("quantiles"))
 
 
 def truncated_area(points: DataFrame, x: str, y: str, x_max: float) -> DataFrame:
     """Trapezoid area under a curve up to ``x_max``, with the last segment interpolated, over ``x_max``."""
-    w = Window.orderBy(x, y)
-    rows = points.select(F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1")).filter(f"x0 IS NOT NULL AND x0 < {x_max}")
+    rows = with_previous(points.select(F.col(x).alias("x1"), F.col(y).alias("y1")), ["x1", "y1"], {"x0": "x1", "y0": "y1"}).filter(f"x0 IS NOT NULL AND x0 < {x_max}")
     inside = F.least(F.col("x1"), F.lit(x_max))
     y_in = F.when(F.col("x1") <= x_max, F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (x_max - F.col("x0")) / (F.col("x1") - F.col("x0")))
     return rows.agg((F.sum((inside - F.col("x0")) * (F.col("y0") + y_in) / 2) / x_max).alias("area"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import code
 from .bank import first_by
+from .order import ranked
 
 
 def hash_rank(items: DataFrame, namespace: str, seed: int, ident: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -35,17 +36,16 @@ def hash_folds(items: DataFrame, k: int, seed: int, label: str | None = None, id
 
 def circular_pick(items: DataFrame, count: int, seed: int, ident: str = "image_id", exclude: DataFrame | None = None) -> DataFrame:
     """``count`` ids (all for -1) in order of id from place (seed * count) mod n on, around the end; excluded ids are passed over.
-    ``pick`` numbers them from 0. Only the picked rows are ranked in one place."""
+    ``pick`` numbers them from 0."""
     ids = items.select(ident).distinct()
     n = ids.count()
     count = n if count == -1 else count
     if not n or not count:
         return ids.limit(0).withColumn("pick", F.lit(0))
-    pivot = ids.orderBy(ident).offset((seed * count) % n).limit(1).first()[0]
+    pivot = ranked(ids, [F.col(ident)], n).filter(F.col("rank") == (seed * count) % n).first()[0]
     open_ = ids if exclude is None else ids.join(exclude.select(ident), ident, "left_anti")
     turn = (F.col(ident) < F.lit(pivot)).cast("int")
-    picked = open_.withColumn("__t", turn).orderBy("__t", ident).limit(count)
-    return picked.select(ident, (F.row_number().over(Window.orderBy("__t", ident)) - 1).alias("pick"))
+    return ranked(open_, [turn, F.col(ident)], n, "pick").filter(F.col("pick") < count).withColumn("pick", F.col("pick").cast("int"))
 
 
 def class_balanced_pick(members: DataFrame, shots: int, classes: Sequence[int], seed: int, ident: str = "image_id") -> DataFrame:
@@ -61,7 +61,7 @@ def class_balanced_pick(members: DataFrame, shots: int, classes: Sequence[int],
 
 def stable_select(items: DataFrame, n: int, namespace: str, seed: int, ident: str = "image_id") -> DataFrame:
     """n ids by hash rank, ties by id."""
-    return first_by(items.select(ident), [code(namespace, seed, F.col(ident)), ident], n)
+    return first_by(items.select(ident), [code(namespace, seed, F.col(ident)), F.col(ident)], n)
 
 
 def ordered_union(first: DataFrame, second: DataFrame, ident: str = "image_id") -> DataFrame:
@@ -74,13 +74,13 @@ def few_shot_slice(items: DataFrame, n: int, seed: int, ident: str = "image_id")
     """Places seed * n to (seed + 1) * n - 1 in order of id; all for -1; may be empty."""
     if n == -1:
         return items
-    return items.orderBy(ident).offset(seed * n).limit(n)
+    return ranked(items, [F.col(ident)], name="__rank").filter((F.col("__rank") >= seed * n) & (F.col("__rank") < (seed + 1) * n)).drop("__rank")
 
 
 def equalise(items: DataFrame, label: str, seed: int, ident: str = "id") -> DataFrame:
     """As many of each label as the rarest has, by hash rank."""
     least = items.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return first_by(items, [code("equal", seed, F.col(ident)), ident], least, [label])
+    return first_by(items, [code("equal", seed, F.col(ident)), F.col(ident)], least, [label])
 
 
 def leakage(parts: Mapping[str, DataFrame], disjoint: Sequence[tuple[str, str]], within: Sequence[tuple[str, str]] = (), ident: str = "image_id") -> DataFrame:

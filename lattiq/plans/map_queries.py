@@ -9,7 +9,7 @@ from ..sources.tables import event_scores, patch_features, patch_scores, table
 from .registry import EV, PF, PS, query
 from .score_queries import RANK, curve_sql, show
 
-PIX = f"{EV}, pix AS (SELECT image_id, row AS y, col AS x, score AS value FROM ev WHERE image_id < 20)"
+PIX = f"{EV}, pix AS (SELECT image_id, row AS y, col AS x, score AS value FROM ev)"
 KERNEL = "k AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1), (0, 0, 0, 0)) t(a, b, wx, wy))"
 
 
@@ -48,7 +48,7 @@ def score_histogram(spark, d):
     return maps.histogram(table(spark, d, "events"), F.col("value"), 0.0, 100.0, 10, ["event_type"])
 
 
-@query("WITH x AS (SELECT l_linenumber AS fold, l_orderkey % 2 AS seed, l_returnflag, list_sort(list(DISTINCT l_suppkey % 3)) AS ids FROM lineitem WHERE l_orderkey < 50 GROUP BY ALL) SELECT fold, seed, count(DISTINCT ids) AS variants FROM x GROUP BY ALL")
+@query("WITH x AS (SELECT l_linenumber AS fold, l_orderkey % 2 AS seed, l_returnflag, list_sort(list(DISTINCT l_suppkey % 3)) AS ids FROM lineitem GROUP BY ALL) SELECT fold, seed, count(DISTINCT ids) AS variants FROM x GROUP BY ALL")
 def paired_ids(spark, d):
     lists = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("fold"), (F.col("l_orderkey") % 2).alias("seed"), "l_returnflag").agg(F.collect_set(F.col("l_suppkey") % 3).alias("ids"))
     return study.paired_ids(lists)

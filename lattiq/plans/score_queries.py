@@ -127,17 +127,17 @@ c AS (SELECT score, sum(pos) OVER w / (sum(pos) OVER ())::DOUBLE AS cp, sum(neg)
 
 @query(f"WITH {PS} SELECT round((avg(score) FILTER (is_defect) - avg(score) FILTER (NOT is_defect)) / sqrt(((count(*) FILTER (is_defect) - 1) * var_samp(score) FILTER (is_defect) + (count(*) FILTER (NOT is_defect) - 1) * var_samp(score) FILTER (NOT is_defect)) / (count(*) - 2)), 6) AS cohens_d FROM ps")
 def cohens_d(spark, d):
-    return show(ranking.separability(patch_scores(spark, d)).select("cohens_d"), "cohens_d")
+    return show(ranking.cohens_d(patch_scores(spark, d)), "cohens_d")
 
 
 @query(f"WITH {SEP} SELECT round(max(abs(cp - cn)), 6) AS ks FROM c")
 def ks_statistic(spark, d):
-    return show(ranking.separability(patch_scores(spark, d)).select("ks"), "ks")
+    return show(ranking.gaps(patch_scores(spark, d)).select("ks"), "ks")
 
 
 @query(f"WITH {SEP} SELECT round(sum(abs(cp - cn) * step), 6) AS wasserstein FROM c")
 def wasserstein(spark, d):
-    return show(ranking.separability(patch_scores(spark, d)).select("wasserstein"), "wasserstein")
+    return show(ranking.gaps(patch_scores(spark, d)).select("wasserstein"), "wasserstein")
 
 
 @query(f"WITH {EV} SELECT is_defect, count(*) AS n, {rounded('mean', 'std', 'median', 'min', 'max', 'p5', 'p95')} FROM (SELECT is_defect, score, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std, median(score) OVER w AS median, min(score) OVER w AS min, max(score) OVER w AS max, quantile_cont(score, 0.05) OVER w AS p5, quantile_cont(score, 0.95) OVER w AS p95 FROM ev WINDOW w AS (PARTITION BY is_defect)) GROUP BY ALL")

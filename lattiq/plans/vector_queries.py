@@ -59,7 +59,7 @@ def knn_l2_rms(spark, d):
 @query(f"WITH {PF}, {PAIRS} SELECT query_id, bank_id, b.image_id, b.row, b.col, b.class_id, round(dist, 6) + 0.0 AS dist FROM d JOIN pf b ON b.vec_id = bank_id WHERE rank = 1")
 def knn_provenance(spark, d):
     bank_ = part(spark, d, "clean")
-    found = knn.nearest(part(spark, d, "query"), bank_, strategy="sql")
+    found = knn.nearest(part(spark, d, "query"), bank_)
     rows = knn.with_provenance(found, bank_.select("id", "image_id", "row", "col", "class_id", "features"))
     return rounded_score(rows.drop("rank"), "dist")
 
@@ -300,7 +300,7 @@ def ensemble_z(spark, d):
 OFFS = "o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b))"
 
 
-@query(f"WITH {PF}, {OFFS}, n AS (SELECT q.image_id, q.row, q.col, i, avg(p.features[i]) AS x FROM pf q CROSS JOIN o JOIN pf p ON p.image_id = q.image_id AND p.row = greatest(0, least(3, q.row + a)) AND p.col = greatest(0, least(4, q.col + b)), range(1, 65) t(i) WHERE q.image_id < 25 GROUP BY ALL) SELECT image_id, row, col, round(sum(x * i), 6) + 0.0 AS score FROM n GROUP BY ALL")
+@query(f"WITH {PF}, {OFFS}, n AS (SELECT q.image_id, q.row, q.col, i, avg(p.features[i]) AS x FROM pf q CROSS JOIN o JOIN pf p ON p.image_id = q.image_id AND p.row = greatest(0, least(3, q.row + a)) AND p.col = greatest(0, least(4, q.col + b)), range(1, 65) t(i) GROUP BY ALL) SELECT image_id, row, col, round(sum(x * i), 6) + 0.0 AS score FROM n GROUP BY ALL")
 def neighbour_mean(spark, d):
     rows = grid.neighbour_mean(patch_features(spark, d), 4, 5)
     total = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
@@ -336,7 +336,7 @@ def focal_probe(spark, d):
 
 @query()
 def pca_mask(spark, d):
-    return detectors.pca_mask(patch_features(spark, d), 4, 5)
+    return detectors.pca_mask(patch_features(spark, d), 4, 5, limit=0.0)
 
 
 @query(f"WITH {PF}, r AS (SELECT vec_id, image_id, row, col, NOT is_defect AS keep FROM pf) SELECT image_id, row, col, vec_id, keep OR NOT EXISTS (SELECT 1 FROM r b WHERE b.image_id = a.image_id AND NOT b.keep AND abs(a.row - b.row) + abs(a.col - b.col) = 1) AS keep FROM r a")

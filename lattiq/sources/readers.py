@@ -13,12 +13,35 @@ from .tables import ANNOTATION
 
 #: File endings of images.
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png")
-#: Objects of the two public benchmarks with texture or object kind, masking and rotation by default.
-OBJECTS = {
-    "mvtec": ["bottle", "cable", "capsule", "carpet", "grid", "hazelnut", "leather", "metal_nut", "pill", "screw", "tile", "toothbrush", "transistor", "wood", "zipper"],
-    "visa": ["candle", "capsules", "cashew", "chewinggum", "fryum", "macaroni1", "macaroni2", "pcb1", "pcb2", "pcb3", "pcb4", "pipe_fryum"],
+#: Objects of the two public benchmarks with their kinds of anomalies.
+ANOMALIES = {
+    "mvtec": {
+        "bottle": ["broken_large", "broken_small", "contamination"],
+        "cable": ["bent_wire", "cable_swap", "combined", "cut_inner_insulation", "cut_outer_insulation", "missing_wire", "missing_cable", "poke_insulation"],
+        "capsule": ["crack", "faulty_imprint", "poke", "scratch", "squeeze"],
+        "carpet": ["color", "cut", "hole", "metal_contamination", "thread"],
+        "grid": ["bent", "broken", "glue", "metal_contamination", "thread"],
+        "hazelnut": ["crack", "cut", "hole", "print"],
+        "leather": ["color", "cut", "fold", "glue", "poke"],
+        "metal_nut": ["bent", "color", "flip", "scratch"],
+        "pill": ["color", "combined", "contamination", "crack", "faulty_imprint", "pill_type", "scratch"],
+        "screw": ["manipulated_front", "scratch_head", "scratch_neck", "thread_side", "thread_top"],
+        "tile": ["crack", "glue_strip", "gray_stroke", "oil", "rough"],
+        "toothbrush": ["defective"],
+        "transistor": ["bent_lead", "cut_lead", "damaged_case", "misplaced"],
+        "wood": ["color", "combined", "hole", "liquid", "scratch"],
+        "zipper": ["broken_teeth", "combined", "fabric_border", "fabric_interior", "rough", "split_teeth", "squeezed_teeth"],
+    },
+    "visa": {o: ["bad"] for o in ("candle", "capsules", "cashew", "chewinggum", "fryum", "macaroni1", "macaroni2", "pcb1", "pcb2", "pcb3", "pcb4", "pipe_fryum")},
 }
-TEXTURES = ("carpet", "grid", "leather", "tile", "wood")
+#: Objects of the first benchmark that are masked, and that are rotated by the informed modes.
+MASKED = ("capsule", "hazelnut", "pill", "screw", "toothbrush")
+ROTATED = ("hazelnut", "screw")
+#: Preprocess modes.
+PREPROCESS = (
+    "informed", "agnostic", "masking_only", "informed_no_mask", "agnostic_no_mask",
+    "force_no_mask_no_rotation", "force_mask_no_rotation", "force_no_mask_rotation", "force_mask_rotation",
+)
 
 
 def discover_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,10 +115,34 @@ def match_legacy(spark: SparkSession, root: str) -> DataFrame:
     return side("test", "image").join(side("ground_truth", "mask"), key, "left").join(side("maps", "map"), key, "left")
 
 
-def registry(spark: SparkSession, custom: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Objects of each dataset with masking and rotation defaults."""
-    rows = [(d, o, o not in TEXTURES, d == "mvtec") for d, objects in {**OBJECTS, **(custom or {})}.items() for o in objects]
-    return spark.createDataFrame(rows, "dataset string, object string, masking boolean, rotation boolean")
+def registry(spark: SparkSession, preprocess: str = "informed", custom: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> DataFrame:
+    """Objects of each dataset with kinds of anomalies, masking and rotation under a preprocess mode. ``custom`` has other
+    datasets (object -> kinds of anomalies), which aren't masked but rotated; the ``force`` modes hold for all."""
+    if preprocess not in PREPROCESS:
+        raise ValueError(f"unknown preprocess mode {preprocess}")
+
+    def masking(dataset: str, item: str) -> bool:
+        if preprocess.startswith("force"):
+            return "force_mask" in preprocess
+        return not preprocess.endswith("no_mask") and (dataset == "visa" or dataset == "mvtec" and item in MASKED)
+
+    def rotation(dataset: str, item: str) -> bool:
+        if preprocess.startswith("force"):
+            return not preprocess.endswith("no_rotation")
+        if dataset not in ANOMALIES or preprocess.startswith("agnostic"):
+            return True
+        return preprocess.startswith("informed") and dataset == "mvtec" and item in ROTATED
+
+    rows = [(d, o, list(kinds), masking(d, o), rotation(d, o)) for d, objects in {**ANOMALIES, **(custom or {})}.items() for o, kinds in objects.items()]
+    return spark.createDataFrame(rows, "dataset string, object string, anomalies array<string>, masking boolean, rotation boolean")
+
+
+def custom_objects(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Objects below a folder and the kinds of anomalies of each, from paths ``object/test/kind/image`` (``good`` is none)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    parts = files.select(F.regexp_extract("path", r"/([^/]+)/test/([^/]+)/[^/]+$", 1).alias("object"), F.regexp_extract("path", r"/([^/]+)/test/([^/]+)/[^/]+$", 2).alias("kind"))
+    kinds = parts.filter("object != ''").groupBy("object").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "good", F.col("kind")))).alias("kinds"))
+    return {r.object: r.kinds for r in kinds.orderBy("object").collect()}  # folder names
 
 
 def first_images(images: DataFrame, max_images: int | None) -> DataFrame:
