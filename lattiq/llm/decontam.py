@@ -1,5 +1,6 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised test items, run once over each
-text, with hits mapped back to character offsets of the original text. The automaton's letters are whole words."""
+text, with hits mapped back to character offsets of the original text. Words are written in three letters each, so that the
+automaton is small and each of its nodes has few ways on."""
 
 from __future__ import annotations
 
@@ -21,39 +22,37 @@ _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 _HIT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("runs", _RUNS), ("spans", _RUNS)])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
+#: Letters of each of the three places of a word; a letter tells its place.
+BASE = 70
+OTHER = "\0\0\0"
 
 
-class Letters(dict):
-    """A character for each known word, NUL for others; surrogates are left out."""
+def spelled(n: int) -> str:
+    return chr(1 + n % BASE) + chr(1 + BASE + n // BASE % BASE) + chr(1 + 2 * BASE + n // BASE**2)
 
-    def learn(self, word: bytes) -> str:
-        if word not in self:
-            n = len(self) + 1
-            self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return self[word]
 
-    def __missing__(self, word: bytes) -> str:
-        return "\0"
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
 class Windows:
-    """The windows of some items; an item of fewer words is one window, one without words has none."""
+    """The windows of some items, and how their words (``BASE`` ** 3 at most) are spelled. An item of fewer words is one window,
+    one without words has none."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
-        self.letters, self.found = Letters(), {}
+        self.letters: dict[bytes, str] = {}
+        self.found: dict[str, set] = {}
         for key, text in items:
-            line = "".join(map(self.letters.learn, words_of(text)))
+            line = [self.letters.setdefault(w, spelled(len(self.letters))) for w in words_of(text)]
             for i in range(max(1, len(line) - width + 1) if line else 0):
-                self.found.setdefault(line[i : i + width], set()).add(key)
+                self.found.setdefault("".join(line[i : i + width]), set()).add(key)
 
     def machine(self):
         import ahocorasick
 
         machine = ahocorasick.Automaton()
         for window, keys in self.found.items():
-            machine.add_word(window, (len(window), sorted(k for k in keys if k is not None)))
+            machine.add_word(window, (len(window) // 3, sorted(k for k in keys if k is not None)))
         if self.found:
             machine.make_automaton()
         return machine
@@ -64,8 +63,10 @@ def scan(windows: Windows, machine, text: str | None, earlier: dict | None, span
     words = words_of(text)
     keys, hits = (set(earlier["items"]), [(r["start"], r["stop"]) for r in earlier["runs"]]) if earlier else (set(), [])
     if words and len(machine):
-        for end, (n, items) in machine.iter("".join(map(windows.letters.__getitem__, words))):
-            hits.append((end - n + 1, end + 1))
+        letter = windows.letters.get
+        for end, (n, items) in machine.iter("".join([letter(w, OTHER) for w in words])):
+            last = end // 3 + 1
+            hits.append((last - n, last))
             keys.update(items)
     merged: list[list[int]] = []
     for a, b in sorted(hits):
@@ -100,7 +101,7 @@ def _scans(shared, spans: bool):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, out: str = "hit", text_col: str = "text", width: int = 13, with_spans: bool = True, max_words: int = 300_000, item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, out: str = "hit", text_col: str = "text", width: int = 13, with_spans: bool = True, max_words: int = 50_000, item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """``docs`` with a struct column ``out`` (a column of that name is replaced): ``n_words``, ``n_hit`` (words inside any
     occurrence of a window), ``items`` (ids, as strings, sorted, of items with occurring windows), ``runs`` (maximal hit
