@@ -3,12 +3,14 @@ sha256 of namespace, seed and id, so they are the same everywhere."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import code, ratio0
+from ..functions.scalars import code, finite, ratio0
 from .order import first_n, percentiles, ranked
 
 #: Composition modes.
@@ -101,6 +103,11 @@ def bank_stats(clean: DataFrame, candidates: DataFrame, bank: DataFrame) -> Data
     return rows.withColumn("rejected", F.col("n_candidates") - F.col("accepted")).withColumn("acceptance", ratio0(F.col("accepted"), F.col("n_candidates")))
 
 
+def class_counts(bank: DataFrame) -> DataFrame:
+    """Per class of a bank: rows, defect patches and images."""
+    return bank.groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("is_defect")).alias("defects"), F.count_distinct("image_id").alias("images"))
+
+
 def contaminate_by_growth(clean: DataFrame, pool: DataFrame, rate: float, seed: int) -> DataFrame:
     """Adds max(1, min(round(rate / (1 - rate) n), available)) pool rows by hash rank (none for a rate of 0)."""
     n, have = clean.count(), pool.count()
@@ -183,6 +190,37 @@ def overlap_distribution(df: DataFrame, bins: int = 10, overlap: str = "overlap"
     return rows.groupBy(F.least(F.floor(F.col(overlap) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: Percentiles of positive overlaps in a report.
+OVERLAP_LEVELS = (0.0, 1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0, 100.0)
+
+
+def overlap_quantiles(df: DataFrame, levels: Sequence[float] = OVERLAP_LEVELS, overlap: str = "overlap") -> DataFrame:
+    """One row: how many overlaps are positive, and their percentiles as a map (null without any)."""
+    rows = df.filter((F.col(overlap) > 0) & finite(F.col(overlap)).isNotNull())
+    names = F.array(*[F.lit(f"p{q:g}") for q in levels])
+    ps = percentiles(rows, overlap, [q / 100 for q in levels]).select(F.map_from_arrays(names, "ps").alias("quantiles"))
+    return rows.agg(F.count("*").alias("n_positive")).crossJoin(F.broadcast(ps))
+
+
+def keep_mask(rows: DataFrame, chosen: DataFrame, ident: str = "id") -> DataFrame:
+    """``rows`` with ``keep``: whether the id is among the chosen; chosen ids that no row has are an error."""
+    picked = chosen.select(ident).distinct()
+    if not picked.join(rows.select(ident), ident, "left_anti").isEmpty():
+        raise ValueError("chosen ids are out of bounds")
+    return rows.join(picked.withColumn("keep", F.lit(True)), ident, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+
+
+def coreset_by_ratio(bank: DataFrame, ratio: float, seed: int = 42, total: int | None = None) -> DataFrame:
+    """The rows of a coreset of max(1, int(ratio n)) rows, and of ``total`` at most; the start is drawn by the seed. A ratio of 0
+    or less, or of 1 or more, keeps all (up to the cap)."""
+    n = bank.count()
+    k = n if not 0 < ratio < 1 else max(1, int(n * ratio))
+    k = k if total is None else min(k, total)
+    if not n or k >= n:
+        return bank
+    return bank.join(coreset(bank, k, seed % n).select("id"), "id", "left_semi")
+
+
 def coreset(bank: DataFrame, k: int, start: int = 0, max_rows: int = 2_000_000, keys: tuple[str, ...] = ()) -> DataFrame:
     """``id`` and ``pick``: greedy farthest points, in order, from the row of rank ``start`` by id, ties to smaller ids; of each
     group of ``keys`` if given. The choice depends on all before it, so a group is one task; a larger one is refused."""

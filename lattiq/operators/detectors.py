@@ -37,14 +37,16 @@ class Detector(ABC):
 class KnnBank(Detector):
     """Distance to a memory bank; masked-out patches (keep = false) score 0. A budget is by farthest points or by hash."""
 
-    def __init__(self, k: int = 1, metric: str = "cosine", budget: int | None = None, coreset: bool = False, seed: int = 42):
-        self.k, self.metric, self.budget, self.coreset, self.seed = k, metric, budget, coreset, seed
+    def __init__(self, k: int = 1, metric: str = "cosine", budget: int | None = None, coreset: bool = False, seed: int = 42, ratio: float | None = None):
+        self.k, self.metric, self.budget, self.coreset, self.seed, self.ratio = k, metric, budget, coreset, seed, ratio
 
     def fit(self, reference: DataFrame) -> KnnBank:
         rows = banks.active(reference) if "keep" in reference.columns else reference
         if self.budget is not None:
             chosen = banks.coreset(rows, self.budget).select("id") if self.coreset else banks.random_keep(rows, self.budget, "budget", self.seed).select("id")
             rows = rows.join(chosen, "id", "left_semi")
+        if self.ratio is not None:
+            rows = banks.coreset_by_ratio(rows, self.ratio, self.seed)
         self.bank = rows.select("id", "features")
         return self
 
@@ -301,6 +303,15 @@ REGISTRY = {
 
 
 def build(name: str, **params) -> Detector:
-    if name not in REGISTRY:
-        raise ValueError(f"unknown detector {name}; known: {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[name](**params)
+    """A detector by name. ``ensemble`` takes ``members``: detectors, or pairs of a name and its parameters."""
+    from . import fused  # its detectors build on these
+
+    known = REGISTRY | {
+        "attention_rollout": fused.AttentionRollout, "cls_cosine": fused.ClsCosine, "knn_rollout": fused.knn_rollout, "forest_rollout": fused.forest_rollout,
+        "reduced_mahalanobis": fused.ReducedMahalanobis, "branch_forest": fused.BranchForest, "ensemble": fused.Ensemble,
+    }
+    if name not in known:
+        raise ValueError(f"unknown detector {name}; known: {', '.join(sorted(known))}")
+    if name == "ensemble":
+        params["members"] = [m if isinstance(m, Detector) else build(m[0], **m[1]) for m in params["members"]]
+    return known[name](**params)

@@ -66,6 +66,22 @@ def per_object(metrics: DataFrame, names: Sequence[str], key: str = "object") ->
     return rows.unionByName(rows.agg(*[F.avg(n).alias(n) for n in names]).select(F.lit("mean").alias(key), *names))
 
 
+def per_image_sizes(df: DataFrame, image: str = "image_id") -> DataFrame:
+    """One row: the least, largest and mean number of patches of an image."""
+    sizes = df.groupBy(image).agg(F.count("*").alias("n"))
+    return sizes.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.avg("n").alias("mean"))
+
+
+def colour_limits(df: DataFrame, key: str = "object", score: str = "score", label: str = "is_defect") -> DataFrame:
+    """The upper colour limit of each object's maps: the largest score of its good patches."""
+    return df.filter(~F.col(label)).groupBy(key).agg(F.max(score).alias("vmax"))
+
+
+def max_of_smoothed(pixels: DataFrame, height: int | None, width: int, sigma: float) -> DataFrame:
+    """(image_id, score): the largest value of each smoothed map."""
+    return smooth(pixels, height, width, sigma).groupBy("image_id").agg(F.max("score").alias("score"))
+
+
 def timing(df: DataFrame, seconds: str = "seconds", keys: Sequence[str] = ()) -> DataFrame:
     """Total and mean time, and samples per second."""
     s = F.col(seconds)

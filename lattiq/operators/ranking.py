@@ -214,6 +214,12 @@ def image_scores(df: DataFrame, image: str = "image_id", score: str = "score", l
     return rows.groupBy(image).agg(F.avg(F.when(F.col("__top"), F.col(score))).alias("top_mean"), F.max(score).alias("top"), F.bool_or(label).alias(label))
 
 
+def polarity(df: DataFrame, score: str = "score", label: str = "is_defect") -> DataFrame:
+    """One row: the mean scores of either label, and whether defects score at least as high; null without one of them."""
+    a, b = F.avg(F.when(F.col(label), F.col(score))), F.avg(F.when(~F.col(label), F.col(score)))
+    return df.agg(a.alias("positive"), b.alias("negative"), (a >= b).alias("ok"))
+
+
 def overlap_metrics(counts: DataFrame) -> DataFrame:
     """IoU and Dice from tp, fp, fn; null where both masks are empty."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shown
-from ..operators import geometry, ranking, sampling, study
+from ..operators import bank, geometry, maps, sampling, study
 from ..sources import readers
 from ..sources.tables import annotations, event_scores, patch_features, patch_scores, runs, table
 from .registry import EV, PF, PS, RUNS, query, rank_sql
@@ -219,26 +219,17 @@ def ensemble_weight_grid(spark, d):
     return study.ensemble_grid(two).groupBy("weight").agg(shown(F.avg(F.when(t, s)) - F.avg(F.when(~t, s))).alias("gap"))
 
 
-@query(f"WITH {PS}, t AS (SELECT quantile_cont(score, 0.75) AS accept, quantile_cont(score, 0.5) AS query FROM ps WHERE NOT is_defect), c AS (SELECT count(*) FILTER (is_defect AND score >= query) AS tp, count(*) FILTER (NOT is_defect AND score >= query) AS fp, count(*) FILTER (is_defect AND score < query) AS fn FROM ps, t) SELECT round(accept, 6) AS tau_accept, round(query, 6) AS tau_query, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall FROM c, t")
-def calibration_report(spark, d):
-    rows = patch_scores(spark, d)
-    taus = rows.filter("NOT is_defect").agg(F.percentile("score", F.lit(0.75)).alias("tau_accept"), F.percentile("score", F.lit(0.5)).alias("tau_query"))
-    fixed = ranking.fixed_threshold(rows.crossJoin(F.broadcast(taus)), F.col("tau_query"))
-    return show(taus.crossJoin(fixed).select("tau_accept", "tau_query", "precision", "recall"), "tau_accept", "tau_query", "precision", "recall")
-
-
 @query(f"WITH {PS}, n AS (SELECT image_id, count(*) AS n FROM ps GROUP BY 1) SELECT min(n) AS low, max(n) AS high, round(avg(n), 6) AS mean FROM n")
 def patches_per_image(spark, d):
-    per = patch_scores(spark, d).groupBy("image_id").agg(F.count("*").alias("n"))
-    return per.agg(F.min("n").alias("low"), F.max("n").alias("high"), shown(F.avg("n")).alias("mean"))
+    return show(maps.per_image_sizes(patch_scores(spark, d)), "mean")
 
 
 @query(f"WITH {PF} SELECT class_id, count(*) AS n, count(*) FILTER (is_defect) AS defects, count(DISTINCT image_id) AS images FROM pf GROUP BY 1")
 def bank_statistics(spark, d):
-    return patch_features(spark, d).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("is_defect")).alias("defects"), F.count_distinct("image_id").alias("images"))
+    return bank.class_counts(patch_features(spark, d))
 
 
 @query(f"WITH {EV} SELECT image_id, max(score) AS vmax FROM ev WHERE NOT is_defect GROUP BY 1")
 def object_vmax(spark, d):
-    return event_scores(spark, d).filter("NOT is_defect").groupBy("image_id").agg(F.max("score").alias("vmax"))
+    return maps.colour_limits(event_scores(spark, d), "image_id")
 

@@ -248,5 +248,4 @@ def calibrated(spark, d):
 
 @query(f"WITH {EV} SELECT round(avg(score) FILTER (is_defect), 6) AS positive, round(avg(score) FILTER (NOT is_defect), 6) AS negative, avg(score) FILTER (is_defect) >= avg(score) FILTER (NOT is_defect) AS ok FROM ev")
 def polarity_check(spark, d):
-    a, b = F.avg(F.when(F.col("is_defect"), F.col("score"))), F.avg(F.when(~F.col("is_defect"), F.col("score")))
-    return event_scores(spark, d).agg(shown(a).alias("positive"), shown(b).alias("negative"), (a >= b).alias("ok"))
+    return show(ranking.polarity(event_scores(spark, d)), "positive", "negative")
