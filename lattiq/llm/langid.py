@@ -13,15 +13,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_share, small_batches
+from .ragged import release
 
 WORDS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-KNOWN_WORDS = 1 << 19
+#: Unseen words whose rows a worker remembers.
+REMEMBERED = 1 << 16
 _OUT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -43,6 +46,7 @@ def _count_words(batches):
             seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, found in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "k"])
+    release()
 
 
 def _count_grams(batches):
@@ -60,23 +64,26 @@ def _count_grams(batches):
                 [pa.array([lang] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
                 ["lang", "n", "gram", "k"],
             )
+    release()
 
 
 class Model:
     """For each length (0: whole words) an index of known grams and a matrix of their log frequencies per language."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], docs: dict[str, int]):
+    def __init__(self, counts: pa.Table | None, docs: dict[str, int]):
+        """``counts`` has lang, n, gram and k, each gram of a language once."""
         self.langs = sorted(docs)
-        place = {lang: i for i, lang in enumerate(self.langs)}
         total = sum(docs.values()) or 1
         self.prior = np.array([math.log(docs[lang] / total) for lang in self.langs])
         self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
         for n in (0, *LENGTHS):
-            own = [c for c in counts if c[1] == n]
-            index = {g: i for i, g in enumerate(dict.fromkeys(c[2] for c in own))}
+            own = counts.filter(pc.equal(counts.column("n"), n)).combine_chunks() if counts is not None else None
+            grams_ = own.column("gram").combine_chunks().dictionary_encode() if own is not None else pa.array([], pa.string()).dictionary_encode()
+            index = {g: i for i, g in enumerate(grams_.dictionary.to_pylist())}
             seen = np.zeros((len(index), len(self.langs)))
-            for lang, _, gram, k in own:
-                seen[index[gram], place[lang]] += k
+            if len(index):
+                place = pc.index_in(own.column("lang").combine_chunks(), pa.array(self.langs, pa.string())).to_numpy(zero_copy_only=False)
+                seen[grams_.indices.to_numpy(), place] = own.column("k").to_numpy()
             self.tables[n] = index, np.log((seen + 0.5) / (seen.sum(0) + 0.5 * len(index) + 1))
 
     def __getstate__(self) -> dict:
@@ -110,16 +117,16 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not hasattr(self, "index") or self.used > KNOWN_WORDS:
+        if not hasattr(self, "index") or self.used > len(self.tables[0][0]) + REMEMBERED:
             self._start()
         docs = [words_of(t) for t in texts]
         index = self.index
         fresh = [w for w in set().union(*docs) if w not in index] if docs else []
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
+        for i in range(0, len(fresh), 10_000):
+            part = fresh[i : i + 10_000]
             rows = self._unseen(part)
             if self.used + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(self.used, len(part)), len(self.langs)))])
+                self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(self.used // 4, len(part)), len(self.langs)))])
             self.rows[self.used : self.used + len(part)] = rows
             index.update(zip(part, range(self.used, self.used + len(part))))
             self.used += len(part)
@@ -145,14 +152,14 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", keys=
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hash_share(5, *keys).alias("at"))
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], {})
+        return Model(None, {})
     most = max(1, min(docs_per_lang, max_docs // len(sizes)))
     # one row a language, as collected
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in sizes.items()], "lang string, share double")
     drawn = labelled.join(F.broadcast(shares), "lang").filter("at < share").select("lang", "text")
     words = drawn.mapInArrow(_count_words, "lang string, word string, k bigint").groupBy("lang", "word").agg(F.sum("k").alias("k"))
     counts = words.mapInArrow(_count_grams, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    return Model([tuple(r) for r in counts.collect()], sizes)
+    return Model(counts.toArrow(), sizes)
 
 
 def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 256) -> Column:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 #: The character that stands for a blank in pieces.
 BLANK = "▁"
 NONE = np.iinfo(np.int64).max
-KNOWN = 1 << 19
+#: Pre-tokens whose counts a worker remembers.
+KNOWN = 1 << 18
 
 
 class PairTable:
