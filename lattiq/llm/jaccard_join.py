@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, spent, written
 from .components import components
-from .ragged import BASES, LOWER, Rolling, U, chunks, mix, release, text_bytes, word_hashes, word_spans
+from .ragged import BASES, LOWER, PIECE, Rolling, U, chunks, mix, release, text_bytes, word_hashes, word_spans
 from .repeats import keyed, row_key
 from .url_filter import _level
 
@@ -207,17 +207,27 @@ def _suffix_filter(percent: int):
 
 
 def _links(width: int, percent: int):
-    """Whether two whole texts link."""
+    """Whether two whole texts link. Some pairs are judged at once, of ``PIECE`` bytes in all or a single one; a text that stands
+    in several of them is cut into shingles once."""
+
+    def sets(texts: pa.Array):
+        known = texts.dictionary_encode()
+        code, off = shingles(known.dictionary, width)
+        at = known.indices.to_numpy()
+        return code, off[at], off[at + 1]
 
     @F.arrow_udf("boolean")
     def judge(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for i in range(0, len(xs), 100):
-            (a, p), (b, q) = (shingles(z.slice(i, 100), width) for z in (xs, ys))
-            for j in range(len(p) - 1):
-                m, n = p[j + 1] - p[j], q[j + 1] - q[j]
-                same = len(np.intersect1d(a[p[j] : p[j + 1]], b[q[j] : q[j + 1]], assume_unique=True))
-                out.append(bool(same and 100 * same >= percent * (m + n - same)))
+        size = np.cumsum(sum(np.diff(text_bytes(z)[1]) for z in (xs, ys)))
+        out, i = [], 0
+        while i < len(xs):
+            n = max(1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PIECE, "right")) - i)
+            (a, p, p2), (b, q, q2) = (sets(z.slice(i, n)) for z in (xs, ys))
+            for j in range(n):
+                u, v = a[p[j] : p2[j]], b[q[j] : q2[j]]
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                out.append(bool(same and 100 * same >= percent * (len(u) + len(v) - same)))
+            i += n
         return pa.array(out, pa.bool_())
 
     return judge

@@ -13,9 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The character that stands for a blank in pieces.
 BLANK = "▁"
 NONE = np.iinfo(np.int64).max
@@ -187,6 +189,8 @@ def token_count(text: Column, path: str, texts_at_once: int = 256) -> Column:
     merged whole, by the same rounds; repeated rows are counted alike; an empty table gives no rows, and other columns
     play no part. ``path`` must be readable on every executor, as a vocabulary installed with the tokenizer's package is."""
 
+    small_batches(SparkSession.active())
+
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         m, out = model(path), []
