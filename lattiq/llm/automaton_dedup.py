@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ragged import release
 from .repeats import Contexts, Plan, covered, keyed, repeated_spans
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -147,6 +148,7 @@ def _cut(with_text: bool):
             cols = list(zip(*out)) if out else [()] * 5
             types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        release()
 
     return rows
 

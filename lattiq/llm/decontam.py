@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
+from .ragged import release
 
 #: Words of the contract, after A-Z are lower-cased: runs of 0-9, a-z and everything beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
@@ -90,12 +91,16 @@ def _scans(shared, spans: bool):
     @F.arrow_udf(HIT)
     def first(texts: pa.Array) -> pa.Array:
         windows, machine = _machine(shared)
-        return pa.array([scan(windows, machine, t.as_py(), None, spans) for t in texts], _HIT)
+        found = pa.array([scan(windows, machine, t.as_py(), None, spans) for t in texts], _HIT)
+        release()
+        return found
 
     @F.arrow_udf(HIT)
     def further(texts: pa.Array, earlier: pa.Array) -> pa.Array:
         windows, machine = _machine(shared)
-        return pa.array([scan(windows, machine, t.as_py(), e.as_py(), spans) for t, e in zip(texts, earlier)], _HIT)
+        found = pa.array([scan(windows, machine, t.as_py(), e.as_py(), spans) for t, e in zip(texts, earlier)], _HIT)
+        release()
+        return found
 
     return first, further
 

@@ -228,6 +228,7 @@ def _links(width: int, percent: int):
                 same = len(np.intersect1d(u, v, assume_unique=True))
                 out.append(bool(same and 100 * same >= percent * (len(u) + len(v) - same)))
             i += n
+        release()
         return pa.array(out, pa.bool_())
 
     return judge

@@ -175,6 +175,7 @@ def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 25
             found = shared.value.predict(texts.slice(i, texts_at_once).to_pylist())
             langs += found[0]
             scores += found[1]
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(_OUT))
 
     return judge(text)

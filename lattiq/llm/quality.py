@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hash_share, small_batches
-from .ragged import LOWER, chunks, owner_of, text_bytes, word_hashes, word_spans
+from .ragged import LOWER, chunks, owner_of, release, text_bytes, word_hashes, word_spans
 
 FEATURES = (
     "log_bytes", "upper", "lower", "digit", "blank", "newline", "bang", "stop", "mark", "beyond_ascii", "pipe", "symbol", "log_words", "word_length",
@@ -185,6 +185,8 @@ def quality_score(docs: DataFrame, net: Network | None, text: Column) -> Column:
     def judge(texts: pa.Array) -> pa.Array:
         if shared.value is None or not len(texts):
             return pa.array([0.5] * len(texts), pa.float64())
-        return pa.array(np.concatenate([shared.value.score(features(texts.slice(i, 500)).astype(np.float64)) for i in range(0, len(texts), 500)]), pa.float64())
+        found = pa.array(np.concatenate([shared.value.score(features(texts.slice(i, 500)).astype(np.float64)) for i in range(0, len(texts), 500)]), pa.float64())
+        release()
+        return found
 
     return judge(text)

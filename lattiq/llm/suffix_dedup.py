@@ -103,6 +103,7 @@ def _cut(with_text: bool):
             out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
         cols = list(zip(*out)) if out else [()] * 5
         types = [pa.int64()] * 3 + [pa.string()] * 2
+        release()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return cut

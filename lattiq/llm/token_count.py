@@ -17,6 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .ragged import release
 
 #: The character that stands for a blank in pieces.
 BLANK = "▁"
@@ -196,6 +197,7 @@ def token_count(text: Column, path: str, texts_at_once: int = 256) -> Column:
         m, out = model(path), []
         for i in range(0, len(texts), texts_at_once):
             out += m.count(texts.slice(i, texts_at_once).to_pylist())
+        release()
         return pa.array(out, pa.int64())
 
     return count(text)
