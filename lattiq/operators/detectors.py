@@ -15,6 +15,7 @@ from . import bank as banks
 from . import grid
 from .calibration import score_mode, stats, z_score
 from .knn import knn_scores
+from .ranking import probability_sweep
 
 KEYS = ("id", "image_id", "row", "col")
 
@@ -203,42 +204,90 @@ class LinearProbe(Detector):
 
 
 class FocalProbe(Detector):
-    """Linear probe by gradient steps on the focal loss (gamma 0: cross-entropy); each step is one aggregation over the data."""
+    """Linear probe by gradient steps on the focal loss (gamma 0: cross-entropy); each step is one aggregation over the data.
+    ``history`` has the loss of each step, ``threshold`` the best of even probabilities on the reference."""
 
     supports_class = True
 
     def __init__(self, gamma: float = 2.0, alpha: float = 0.25, epochs: int = 20, rate: float = 0.5, decay: float = 1e-4):
         self.gamma, self.alpha, self.epochs, self.rate, self.decay = gamma, alpha, epochs, rate, decay
 
+    def _step(self, rows: DataFrame, dim: int, w: np.ndarray, b: float) -> np.ndarray:
+        """Mean slopes of weights and offset, and the mean loss."""
+        gamma, alpha = self.gamma, self.alpha
+
+        def gradient(batches):
+            total = np.zeros(dim + 3)
+            for x in batches:
+                f = x.column(0).flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
+                y = np.asarray(x.column(1).to_pylist(), float)
+                s = np.clip(1 / (1 + np.exp(-(f @ w + b))), 1e-7, 1 - 1e-7)
+                pt, at = np.where(y == 1, s, 1 - s), np.where(y == 1, alpha, 1 - alpha)
+                g = at * (1 - pt) ** gamma * (gamma * pt * np.log(pt) - (1 - pt)) * np.where(y == 1, 1, -1)
+                total += np.r_[f.T @ g, g.sum(), (-at * (1 - pt) ** gamma * np.log(pt)).sum(), len(y)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 3)), pa.array(total)], ["i", "g"])
+
+        sums = {r.i: r.g for r in rows.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}
+        return np.array([sums[i] for i in range(dim + 2)]) / max(sums[dim + 2], 1)
+
     def fit(self, reference: DataFrame) -> FocalProbe:
-        dim = reference.select(F.size("features").alias("n")).first()[0]
-        w, b, gamma, alpha = np.zeros(dim), 0.0, self.gamma, self.alpha
-        m, v = np.zeros(dim + 1), np.zeros(dim + 1)
+        first = reference.select(F.size("features").alias("n")).first()
+        if first is None:
+            raise ValueError("a probe needs labelled patches")
+        dim, w, b = first.n, np.zeros(first.n), 0.0
+        m, v, self.history = np.zeros(dim + 1), np.zeros(dim + 1), []
         rows = reference.select("features", "is_defect").persist()  # read once for all steps
         for epoch in range(1, self.epochs + 1):
-            def gradient(batches, w=w, b=b):
-                total = np.zeros(dim + 2)
-                for x in batches:
-                    f = x.column(0).flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
-                    y = np.asarray(x.column(1).to_pylist(), float)
-                    s = np.clip(1 / (1 + np.exp(-(f @ w + b))), 1e-7, 1 - 1e-7)
-                    pt, at = np.where(y == 1, s, 1 - s), np.where(y == 1, alpha, 1 - alpha)
-                    g = at * (1 - pt) ** gamma * (gamma * pt * np.log(pt) - (1 - pt)) * np.where(y == 1, 1, -1)
-                    total += np.r_[f.T @ g, g.sum(), len(y)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 2)), pa.array(total)], ["i", "g"])
-
-            sums = {r.i: r.g for r in rows.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}
-            g = np.array([sums[i] for i in range(dim + 1)]) / max(sums[dim + 1], 1)
+            found = self._step(rows, dim, w, b)
+            g = found[:-1]
+            self.history.append({"epoch": epoch, "loss": float(found[-1])})
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = self.rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
             w, b = w * (1 - self.rate * self.decay) - step[:-1], b - step[-1]
-        rows.unpersist()
         self.w, self.b = w.tolist(), float(b)
+        self.threshold = probability_sweep(rows.withColumn("score", self._probability())).first().threshold
+        rows.unpersist()
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def state(self) -> dict:
+        """What a checkpoint keeps."""
+        return {"w": self.w, "b": self.b, "threshold": self.threshold, "history": self.history}
+
+    def restore(self, state: dict) -> FocalProbe:
+        self.w, self.b, self.threshold, self.history = (state[k] for k in ("w", "b", "threshold", "history"))
+        return self
+
+    def _probability(self):
         z = F.aggregate(F.zip_with("features", F.array(*[F.lit(x) for x in self.w]), lambda a, c: a * c), F.lit(self.b), lambda s, x: s + x)
-        return df.select(*KEYS, (1 / (1 + F.exp(-z))).alias("score"))
+        return 1 / (1 + F.exp(-z))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.select(*KEYS, self._probability().alias("score"))
+
+
+class ClassProbe(Detector):
+    """A probe with a class head: the probability of a defect, and among defect patches of the reference a multinomial regression
+    of their class (``pred_class``)."""
+
+    supports_class = True
+
+    def __init__(self, probe: Detector | None = None, steps: int = 50, reg: float = 1e-4):
+        self.probe, self.steps, self.reg = probe or FocalProbe(), steps, reg
+
+    def fit(self, reference: DataFrame) -> ClassProbe:
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import array_to_vector
+
+        self.probe.fit(reference)
+        rows = reference.filter("is_defect").select(array_to_vector(doubles(F.col("features"))).alias("x"), F.col("class_id").cast("double").alias("y"))
+        self.head = LogisticRegression(featuresCol="x", labelCol="y", predictionCol="pred_class", maxIter=self.steps, regParam=self.reg, family="multinomial").fit(rows)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        classes = self.head.transform(df.select("id", array_to_vector(doubles(F.col("features"))).alias("x"))).select("id", F.col("pred_class").cast("int").alias("pred_class"))
+        return self.probe.transform(df).join(classes, "id")
 
 
 def fuse(a: DataFrame, b: DataFrame, how: str = "weighted_sum", weight: float = 0.5) -> DataFrame:
@@ -298,7 +347,7 @@ def pca_mask(df: DataFrame, rows: int, cols: int, limit: float = 10.0, border: f
 #: Names of detectors.
 REGISTRY = {
     "knn_bank": KnnBank, "prototype": Prototype, "vector_norm": VectorNorm, "mahalanobis": Mahalanobis, "sobel": Sobel,
-    "isolation_forest": IsolationForest, "linear_probe": LinearProbe, "focal_probe": FocalProbe,
+    "isolation_forest": IsolationForest, "linear_probe": LinearProbe, "focal_probe": FocalProbe, "class_probe": ClassProbe,
 }
 
 

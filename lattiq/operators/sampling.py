@@ -6,11 +6,11 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code
-from .bank import first_by
+from .bank import MODES, first_by
 from .order import ranked
 
 
@@ -117,6 +117,27 @@ def check_manifest(m: Mapping) -> None:
             raise ValueError(f"{a} and {b} share ids")
 
 
+def save_manifest(spark: SparkSession, m: Mapping, path: str) -> None:
+    """Writes a checked manifest as one line of JSON."""
+    check_manifest(m)
+    spark.createDataFrame([(json.dumps(m, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    """Reads a manifest; one that was changed or leaks is an error."""
+    m = json.loads(spark.read.text(path, wholetext=True).first().value)
+    check_manifest(m)
+    return m
+
+
+def manifest_inputs(m: Mapping, mode: str) -> dict[str, list[str]]:
+    """The clean and additional ids of a mode: every mode has the same clean ids, only ``clean`` has no others."""
+    check_manifest(m)
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; known: {', '.join(MODES)}")
+    return {"clean": list(m["ids"].get("clean", [])), "additional": [] if mode == "clean" else list(m["ids"].get("defect", []))}
+
+
 def bound_hash(ids: DataFrame, ident: str = "image_id", keys: Sequence[str] = ()) -> DataFrame:
     """sha256 of sorted ids joined by newlines, of each key's ids. A bank's ids are few; they are sorted in one place."""
     return ids.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col(ident).cast("string"))), "\n").cast("binary"), 256).alias("sha256"))

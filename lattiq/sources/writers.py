@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..operators.order import ranked
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
@@ -38,6 +41,21 @@ def write_report(report: DataFrame, runs: DataFrame, deltas: DataFrame, folder:
     write_csv([deltas], f"{folder}/deltas.csv")
 
 
+def write_history(spark: SparkSession, records: Sequence[Mapping], folder: str, formats: Sequence[str] = ("json", "csv")) -> None:
+    """A training history, one record an epoch, in order: ``history.json`` (a line each, NaN as null) and ``history.csv`` under all
+    keys in order of their first use, floats with eight digits, nothing for null and NaN."""
+    keys = list(dict.fromkeys(k for r in records for k in r))
+    clean = [{k: None if isinstance(r.get(k), float) and not math.isfinite(r[k]) else r.get(k) for k in keys} for r in records]
+    if "json" in formats:
+        lines = [(i, json.dumps({k: c[k] for k in r})) for i, (r, c) in enumerate(zip(records, clean))]
+        spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{folder}/history.json")
+    if "csv" in formats:
+        text = lambda v: "" if v is None else f"{v:.8g}" if isinstance(v, float) else str(v)
+        rows = [(i, *[text(c[k]) for k in keys]) for i, c in enumerate(clean)]
+        cells = spark.createDataFrame(rows, ", ".join(["`__i` int", *[f"`{k}` string" for k in keys]])) if keys else spark.createDataFrame([], "`__i` int, `empty` string")
+        cells.coalesce(1).sortWithinPartitions("__i").drop("__i").write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(f"{folder}/history.csv")
+
+
 def write_bundle(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Score, rejection or selection bundles, and per-scorer outputs (``by`` = scorer, layer)."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
@@ -59,5 +77,5 @@ def merge_rows(prior: DataFrame, new: DataFrame, key: str = "name") -> DataFrame
     kept = prior.join(latest, key, "left_anti").withColumn("__late", F.lit(0))
     place = prior.select(key, F.col("ord").alias("__old"))
     put = latest.join(place, key, "left").withColumn("__late", F.col("__old").isNull().cast("int")).withColumn("ord", F.coalesce("__old", "ord")).drop("__old")
-    merged = kept.unionByName(put, allowMissingColumns=True)
-    return merged.withColumn("ord", F.row_number().over(Window.orderBy("__late", "ord")) - 1).drop("__late")
+    merged = kept.unionByName(put, allowMissingColumns=True).withColumnRenamed("ord", "__ord")
+    return ranked(merged, [F.col("__late"), F.col("__ord"), F.col(key)], name="ord").withColumn("ord", F.col("ord").cast("int")).drop("__late", "__ord")

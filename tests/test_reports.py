@@ -161,3 +161,69 @@ def test_masks_and_ratios(spark):
         scorers.score("nothing", {})
     with pytest.raises(ValueError):
         scorers.score("sobel_image", {"patches": rows})
+
+
+def test_tuned_ensembles(spark):
+    from lattiq.plans import studies
+
+    rng = np.random.default_rng(5)
+    n = 400
+    truth = rng.random(n) < 0.3
+    a, b = truth + rng.normal(0, 0.4, n), rng.normal(0, 1, n)
+    frame = lambda v: spark.createDataFrame([(i, i // 20, float(x)) for i, x in enumerate(v)], "id long, image_id long, score double")
+    labels = spark.createDataFrame([(i, i // 100, bool(t)) for i, t in enumerate(truth)], "id long, fold long, is_defect boolean")
+    best, bench = studies.tune_ensemble(frame(a), frame(b), labels)
+    best = best.first()
+    z = lambda v: np.concatenate([(p - p.mean()) / (p.std() + 1e-8) for p in v.reshape(-1, 20)])
+    mixed = best.weight * z(a) + (1 - best.weight) * z(b)
+    assert best.weight >= 0.7 and best.recall >= 0.7 and best.recall == pytest.approx((truth & (mixed >= best.threshold))[:100].sum() / truth[:100].sum())
+    for r in bench.collect():
+        of = slice(100 * r.fold, 100 * r.fold + 100)
+        assert r.fold > 0 and r.tp == (truth & (mixed >= best.threshold))[of].sum() and r.fp == (~truth & (mixed >= best.threshold))[of].sum()
+
+
+def test_controls_and_traces(spark):
+    from lattiq.plans import studies
+
+    runs = spark.createDataFrame([("clean", 0, 42, 0.5, 0.4, 1.0, False), ("trim", 0, 42, 0.6, 0.5, 1.2, False), ("auto", 0, 42, 0.7, 0.3, 0.9, False), ("random", 0, 42, 0.9, 0.9, 1.0, True)], "name string, fold int, seed int, auprc double, fixed_f1 double, query_threshold double, is_random boolean")
+    got = {r.name: r for r in studies.against_clean(runs).collect()}
+    assert got["auto"].rank == 1 and got["trim"].rank == 2 and got["random"].rank is None and got["trim"].threshold_delta == pytest.approx(0.2)
+    with pytest.raises(ValueError):
+        studies.against_clean(runs.filter("name <> 'clean'"))
+    rows, _ = patches(spark)
+    made = bank.contaminate_by_replacement(rows.filter("image_id < 2"), rows.filter("image_id = 2").withColumn("id", F.col("id") + 1000), 0.25, 1)
+    traces = studies.contamination_traces(rows.filter("image_id = 3"), made, 3).collect()
+    assert sum(r.n for r in traces) == 60 and {r.source for r in traces} == {"clean", "anomalous"}
+    assert [p["rollout_weight"] for p in studies.attention_plan()] == [0.0, 0.1, 0.2, 0.3, None]
+
+
+def test_probe_history_and_class_head(spark, tmp_path):
+    from lattiq.sources import writers
+
+    rng = np.random.default_rng(6)
+    data = [(i, 0, 0, 0, (rng.normal(size=3) + (3 if i % 3 else 0) * np.eye(3)[i % 3]).tolist(), i % 3, bool(i % 3)) for i in range(300)]
+    rows = spark.createDataFrame(data, "id long, image_id long, row long, col long, features array<double>, class_id int, is_defect boolean")
+    probe = detectors.build("class_probe", probe=detectors.build("focal_probe", gamma=0.0, alpha=0.5, epochs=10)).fit(rows)
+    loss = [h["loss"] for h in probe.probe.history]
+    assert len(loss) == 10 and loss[-1] < loss[0] and 0 <= probe.probe.threshold <= 1
+    got = probe.transform(rows).join(rows.select("id", "class_id", "is_defect"), "id").collect()
+    assert np.mean([r.pred_class == r.class_id for r in got if r.is_defect]) > 0.9 and np.mean([(r.score >= probe.probe.threshold) == r.is_defect for r in got]) > 0.8
+    again = detectors.build("focal_probe").restore(probe.probe.state())
+    assert again.transform(rows).orderBy("id").first().score == probe.probe.transform(rows).orderBy("id").first().score
+    writers.write_history(spark, [{"epoch": 1, "loss": 0.123456789}, {"epoch": 2, "loss": float("nan"), "f1": 0.5}], str(tmp_path / "h"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "h/history.json")).collect()] == ['{"epoch": 1, "loss": 0.123456789}', '{"epoch": 2, "loss": null, "f1": 0.5}']
+    table = spark.read.option("header", "true").csv(str(tmp_path / "h/history.csv"))
+    assert table.columns == ["epoch", "loss", "f1"] and [tuple(r) for r in table.collect()] == [("1", "0.12345679", None), ("2", None, "0.5")]
+
+
+def test_manifests(spark, tmp_path):
+    from lattiq.operators import sampling
+
+    m = sampling.manifest({"clean": ["a", "b"], "defect": ["c"], "validation": ["d"]}, fold=0, seed=42)
+    sampling.save_manifest(spark, m, str(tmp_path / "m"))
+    assert sampling.load_manifest(spark, str(tmp_path / "m")) == m
+    assert sampling.manifest_inputs(m, "clean") == {"clean": ["a", "b"], "additional": []} and sampling.manifest_inputs(m, "auto_purified")["additional"] == ["c"]
+    with pytest.raises(ValueError):
+        sampling.manifest_inputs(m, "none")
+    with pytest.raises(ValueError):
+        sampling.save_manifest(spark, {**m, "fold": 1}, str(tmp_path / "n"))
