@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import gaussian
-from .grid import sobel_norm
+from .grid import SOBEL, per_grid, sobel_norm
 
 
 def image_sobel(pixels: DataFrame, patch: int, pool: str = "mean") -> DataFrame:
@@ -21,6 +21,22 @@ def image_sobel(pixels: DataFrame, patch: int, pool: str = "mean") -> DataFrame:
     return g.groupBy("image_id", F.expr(f"row div {patch}").alias("row"), F.expr(f"col div {patch}").alias("col")).agg(how.alias("score"))
 
 
+def gradient_image(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, value): the size of the grey gradient (mirrored edges) of (image_id, y, x, r, g, b), scaled to 0 to 255 by the
+    image's largest and cut to whole numbers; an image without a gradient is 0. An image is one group."""
+    grey = F.array((0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")).cast("double"))
+
+    def size(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
+        p = np.pad(cells[:, :, 0], 1, mode="reflect") if min(cells.shape[:2]) > 1 else np.pad(cells[:, :, 0], 1, mode="edge")
+        part = lambda a, b: p[1 + a : 1 + a + cells.shape[0], 1 + b : 1 + b + cells.shape[1]]
+        gx, gy = (sum(w[i] * part(a, b) for (a, b), w in SOBEL.items() if w[i]) for i in (0, 1))
+        g = np.sqrt(gx * gx + gy * gy)
+        return np.floor(np.clip(g / g.max() * 255.0, 0, 255)) if g.max() > 1e-8 else np.zeros_like(g)
+
+    rows = pixels.select("image_id", F.col("y").alias("row"), F.col("x").alias("col"), grey.alias("features"))
+    return per_grid(rows, "image_id", size, "value double").withColumnsRenamed({"row": "y", "col": "x"})
+
+
 def smooth(pixels: DataFrame, height: int | None, width: int, sigma: float) -> DataFrame:
     """(image_id, y, x, score) after a Gaussian with mirrored edges; missing pixels count as 0. An image is one group; with no
     ``height`` it ends at its own last row."""

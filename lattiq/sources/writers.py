@@ -77,5 +77,5 @@ def merge_rows(prior: DataFrame, new: DataFrame, key: str = "name") -> DataFrame
     kept = prior.join(latest, key, "left_anti").withColumn("__late", F.lit(0))
     place = prior.select(key, F.col("ord").alias("__old"))
     put = latest.join(place, key, "left").withColumn("__late", F.col("__old").isNull().cast("int")).withColumn("ord", F.coalesce("__old", "ord")).drop("__old")
-    merged = kept.unionByName(put, allowMissingColumns=True).withColumnRenamed("ord", "__ord")
-    return ranked(merged, [F.col("__late"), F.col("__ord"), F.col(key)], name="ord").withColumn("ord", F.col("ord").cast("int")).drop("__late", "__ord")
+    merged = kept.unionByName(put, allowMissingColumns=True).withColumnRenamed("ord", "__was")
+    return ranked(merged, [F.col("__late"), F.col("__was"), F.col(key)], name="ord").withColumn("ord", F.col("ord").cast("int")).drop("__late", "__was")

@@ -227,3 +227,9 @@ def test_manifests(spark, tmp_path):
         sampling.manifest_inputs(m, "none")
     with pytest.raises(ValueError):
         sampling.save_manifest(spark, {**m, "fold": 1}, str(tmp_path / "n"))
+
+
+def test_gradient_image(spark):
+    rows = [(1, y, x, float(10 * (x > 2)), 0.0, 0.0) for y in range(5) for x in range(6)] + [(2, 0, x, 7.0, 7.0, 7.0) for x in range(3)]
+    got = {(r.image_id, r.y, r.x): r.value for r in maps.gradient_image(spark.createDataFrame(rows, "image_id long, y long, x long, r double, g double, b double")).collect()}
+    assert {x for (i, y, x), v in got.items() if i == 1 and v == 255} == {2, 3} and all(v == 0 for (i, _, x), v in got.items() if i == 2 or x not in (2, 3))
