@@ -12,7 +12,7 @@ order gives the same links, this one keeps common shingles out of prefixes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ from .repeats import keyed, row_key
 from .url_filter import _level
 
 SLOTS = 1 << 16
+#: Common shingles whose frequencies are known by themselves: those that a piece of the corpus has in ``OFTEN`` texts or more.
+COMMON = 1 << 16
+OFTEN = 4
 BINS = 96
 #: Rows of one shingle that meet in one task; those of more common ones meet block by block.
 BLOCK = 4096
@@ -61,15 +64,21 @@ def _sum(value: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _features(width: int):
     """Kind 0: a text's set size, set hashes and bins (how many shingles fall in each of ``BINS`` hash ranges, for the suffix
-    filter). Kind 1: how many shingles fell in slot ``d``."""
+    filter). Kind 1: how many shingles fell in slot ``d``. Kind 2: how often a task has seen the common shingle ``d``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
+        often, times = np.array([], U), np.array([], np.int64)
         names = ["kind", "d", "h", "n", "s1", "s2", "bins"]
         for batch in batches:
             for a, b in chunks(batch.column(2)):
                 code, off = shingles(batch.column(2).slice(a, b - a), width)
                 seen += np.bincount((code & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                own, count = np.unique(code, return_counts=True)
+                both, at = np.unique(np.concatenate([often, own[count >= OFTEN]]), return_inverse=True)
+                times = np.bincount(at, np.concatenate([times, count[count >= OFTEN]]), len(both)).astype(np.int64)
+                kept = np.argsort(-times)[:COMMON] if len(both) > COMMON else slice(None)
+                often, times = both[kept], times[kept]
                 n = np.diff(off)
                 s1, s2 = _sum(mix(code + U(1)), off), _sum(mix(code ^ U(BASES[1])), off)
                 place = np.repeat(np.arange(b - a), n) * BINS + (mix(code) % U(BINS)).astype(np.int64)
@@ -81,12 +90,37 @@ def _features(width: int):
         if len(slot):
             zero = pa.array(np.zeros(len(slot), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slot)), pa.int32()), pa.array(slot), zero, zero.cast(pa.int32()), pa.array(seen[slot]), zero, pa.nulls(len(slot), pa.binary())], names)
+        if len(often):
+            zero = pa.array(np.zeros(len(often), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), 2), pa.int32()), pa.array(often.view(np.int64)), zero, zero.cast(pa.int32()), pa.array(times), zero, pa.nulls(len(often), pa.binary())], names)
         release()
 
     return rows
 
 
-def _prefixes(width: int, percent: int, rank: np.ndarray):
+def _frequencies(features: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """How common shingles are: common ones by their own counts, others by what else fell in their slot. At most ``SLOTS`` and
+    ``COMMON`` rows come to the driver."""
+    slot = np.zeros(SLOTS, np.int64)
+    for r in features.filter("kind = 1").groupBy("d").agg(F.sum("s1").alias("k")).collect():
+        slot[r.d] = r.k
+    top = features.filter("kind = 2").groupBy("d").agg(F.sum("s1").alias("k")).orderBy(F.desc("k"), "d").limit(COMMON).collect()
+    often, times = np.array([r.d for r in top], np.int64).view(U), np.array([r.k for r in top], np.int64)
+    order = np.argsort(often)
+    often, times = often[order], times[order]
+    np.subtract.at(slot, (often & U(SLOTS - 1)).astype(np.int64), times)
+
+    def of(code: np.ndarray) -> np.ndarray:
+        found = slot[(code & U(SLOTS - 1)).astype(np.int64)]
+        if len(often):
+            at = np.minimum(np.searchsorted(often, code), len(often) - 1)
+            found = np.where(often[at] == code, times[at], found)
+        return found
+
+    return of
+
+
+def _prefixes(width: int, percent: int, frequency: Callable[[np.ndarray], np.ndarray]):
     """The prefix of each set in global order: (shingle, key, size, place)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +129,7 @@ def _prefixes(width: int, percent: int, rank: np.ndarray):
                 code, off = shingles(batch.column(2).slice(a, b - a), width)
                 n = np.diff(off)
                 owner = np.repeat(np.arange(b - a), n)
-                order = np.lexsort((code, rank[(code & U(SLOTS - 1)).astype(np.int64)], owner))
+                order = np.lexsort((code, frequency(code), owner))
                 place = np.arange(len(code)) - off[:-1][owner]
                 kept = n - -(-percent * n // 100) + 1
                 keep = place < kept[owner]
@@ -327,14 +361,10 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     sets = features.filter("kind = 0")
     same = ["n", "s1", "s2"]
     classes = written(sets.filter("n > 0").groupBy(same).agg(F.min(_key()).alias("r")), "classes")
-    slots = features.filter("kind = 1").groupBy("d").agg(F.sum("s1").alias("k")).collect()  # at most SLOTS rows
-    rank = np.zeros(SLOTS, np.int64)
-    for r in slots:
-        rank[r.d] = r.k
     sizes = sets.select("d", "h", "n", "bins").dropDuplicates(["d", "h"])
     reps = classes.select(F.col("r.d").alias("d"), F.col("r.h").alias("h"))
     mine = docs.select("d", "h", "text").dropDuplicates(["d", "h"]) if docs.select("h").filter("h != 0").limit(1).count() else docs.select("d", "h", "text")
-    mine = mine.join(reps.hint("shuffle_hash"), ["d", "h"], "left_semi").mapInArrow(_prefixes(width, percent, rank), "token long, d long, h long, n int, place int")
+    mine = mine.join(reps.hint("shuffle_hash"), ["d", "h"], "left_semi").mapInArrow(_prefixes(width, percent, _frequencies(features)), "token long, d long, h long, n int, place int")
     mine = written(mine, "prefixes")
     several = mine.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     shared = written(mine.join(several, "token"), "shared")
