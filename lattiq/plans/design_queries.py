@@ -97,7 +97,18 @@ def pick_circular(spark, d):
     return sampling.circular_pick(image_meta(spark, d).filter("NOT has_defect"), 10, 42)
 
 
-@query()
+def balanced_sql(shots: int, classes: list[int], seed: int) -> str:
+    """Each class's ids in a circle from its pivot, without those that classes before it took."""
+    steps, taken = [], "SELECT NULL::BIGINT AS image_id WHERE false"
+    for c in classes:
+        steps.append(f"a{c} AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS n, count(*) OVER () AS m FROM (SELECT DISTINCT image_id FROM ps WHERE is_defect AND class_id = {c}))")
+        steps.append(f"p{c} AS (SELECT image_id AS head FROM a{c} WHERE n = ({seed + c} * {shots}) % m)")
+        steps.append(f"t{c} AS (SELECT image_id, {c} AS class_id FROM a{c}, p{c} WHERE image_id NOT IN ({taken}) ORDER BY image_id < head, image_id LIMIT {shots})")
+        taken = " UNION ALL ".join(f"SELECT image_id FROM t{x}" for x in classes[: classes.index(c) + 1])
+    return f"WITH {PS}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT * FROM t{c}" for c in classes)
+
+
+@query(balanced_sql(2, [1, 2, 3, 4], 42))
 def class_balanced_pick(spark, d):
     return sampling.class_balanced_pick(patch_scores(spark, d).filter("is_defect").select("image_id", "class_id"), 8, [1, 2, 3, 4], 42)
 

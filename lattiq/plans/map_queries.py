@@ -22,7 +22,10 @@ def image_sobel(spark, d):
     return show(maps.image_sobel(pixels(spark, d), 4), "score")
 
 
-@query()
+@query(f"""WITH {EV}, h AS (SELECT image_id, max(row) + 1 AS hh FROM ev GROUP BY 1), g AS (SELECT a, exp(-a * a / 2.0) AS e FROM range(-4, 5) r(a)), tw AS (SELECT a, e / sum(e) OVER () AS w FROM g),
+cells AS (SELECT image_id, hh, unnest(range(hh)) AS y FROM h), k AS (SELECT image_id, hh, y, x, u.w * v.w AS w, ((y + u.a) % (2 * hh) + 2 * hh) % (2 * hh) AS my, ((x + v.a) % 16 + 16) % 16 AS mx FROM cells, range(8) c(x), tw u, tw v),
+m AS (SELECT image_id, y, x, w, CASE WHEN my < hh THEN my ELSE 2 * hh - 1 - my END AS row, CASE WHEN mx < 8 THEN mx ELSE 15 - mx END AS col FROM k)
+SELECT m.image_id, y, x, round(sum(w * coalesce(score, 0)), 6) + 0.0 AS score FROM m LEFT JOIN ev ON ev.image_id = m.image_id AND ev.row = m.row AND ev.col = m.col GROUP BY ALL""")
 def smooth_map(spark, d):
     return show(maps.smooth(pixels(spark, d).withColumnRenamed("value", "score"), None, 8, 1.0), "score")
 

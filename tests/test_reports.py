@@ -233,3 +233,50 @@ def test_gradient_image(spark):
     rows = [(1, y, x, float(10 * (x > 2)), 0.0, 0.0) for y in range(5) for x in range(6)] + [(2, 0, x, 7.0, 7.0, 7.0) for x in range(3)]
     got = {(r.image_id, r.y, r.x): r.value for r in maps.gradient_image(spark.createDataFrame(rows, "image_id long, y long, x long, r double, g double, b double")).collect()}
     assert {x for (i, y, x), v in got.items() if i == 1 and v == 255} == {2, 3} and all(v == 0 for (i, _, x), v in got.items() if i == 2 or x not in (2, 3))
+
+
+def test_coreset_by_plain_search(spark):
+    rows, data = patches(spark, 4, seed=8)
+    x = np.array([d[4] for d in data])
+    picked = [0]
+    while len(picked) < 12:
+        picked.append(int(np.argmax([min(np.linalg.norm(v - x[p]) for p in picked) for v in x])))
+    assert [r.id for r in bank.coreset(rows, 12).orderBy("pick").collect()] == picked
+
+
+def test_colours_are_components(spark):
+    rows, data = patches(spark, 2, seed=9)
+    got = {(r.image_id, r.row, r.col): (r.r, r.g, r.b) for r in maps.pca_colours(rows).collect()}
+    x = np.array([d[4] for d in data]).reshape(2, 20, 6)
+    for i in range(2):
+        z = (x[i] - x[i].mean(0)) @ np.linalg.svd(x[i] - x[i].mean(0), full_matrices=False)[2][:3].T
+        z = (z - z.min(0)) / (z.max(0) - z.min(0))
+        mine = np.array([got[i, r, c] for r in range(4) for c in range(5)])
+        assert all(np.allclose(mine[:, j], z[:, j]) or np.allclose(mine[:, j], 1 - z[:, j]) for j in range(3))
+
+
+def test_forest_paths(spark):
+    rows, data = patches(spark, 4, seed=10)
+    forest = detectors.build("isolation_forest", trees=5, sample=32).fit(rows)
+
+    def depth(tree, v, at=0, steps=0):
+        dim, cut, left, right, length = tree[int(at)]
+        return length if dim < 0 else depth(tree, v, left if v[int(dim)] < cut else right, steps + 1)
+
+    want = {d[0]: 2.0 ** (-np.mean([depth(t, d[4]) for t in forest.forest]) / forest.norm) for d in data}
+    assert {r.id: pytest.approx(r.score) for r in forest.transform(rows).collect()} == want
+
+
+def test_bootstrap_by_plain_draws(spark):
+    from lattiq.operators import study
+
+    values = [float(x) for x in np.random.default_rng(11).random(40)]
+    rows = spark.createDataFrame([("m", f"c{i % 4}", v) for i, v in enumerate(values)], "metric string, condition string, value double")
+    rng = np.random.default_rng(12)
+    plain = np.percentile([rng.choice(values, 40).mean() for _ in range(4000)], [2.5, 97.5])
+    got = study.bootstrap(rows, ["metric"], n_boot=4000).first()
+    assert got.mean == pytest.approx(np.mean(values)) and np.allclose([got.ci_low, got.ci_high], plain, atol=0.02)
+    parts = [np.array(values[i::4]) for i in range(4)]
+    plain = np.percentile([np.concatenate([rng.choice(parts[i], 10) for i in rng.integers(0, 4, 4)]).mean() for _ in range(4000)], [2.5, 97.5])
+    got = study.bootstrap(rows, ["metric"], n_boot=4000, group="condition").first()
+    assert np.allclose([got.ci_low, got.ci_high], plain, atol=0.03)
