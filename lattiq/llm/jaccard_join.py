@@ -282,7 +282,8 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Distinct pairs (xd, xh, yd, yh) with ``linked``: each is judged once, on whole texts."""
+    """Distinct pairs (xd, xh, yd, yh) of a written table, which is then deleted, with ``linked``: each is judged once, on whole
+    texts."""
 
     def side(rows: DataFrame, s: str, *cols: str) -> DataFrame:
         return rows.select(F.col("d").alias(f"{s}d"), F.col("h").alias(f"{s}h"), *[F.col(c).alias(f"{s}{c}") for c in cols])
@@ -291,7 +292,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     texts = written(_only(docs, ends).select("d", "h", "text").join(ends, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "texts")
     both = pairs.join(side(texts, "x", "text"), ["xd", "xh"]).join(side(texts, "y", "text"), ["yd", "yh"])
     judged = written(both.select("xd", "xh", "yd", "yh", _links(width, percent)("xtext", "ytext").alias("linked")), "judged")
-    spent(texts)
+    spent(texts, pairs)
     return judged
 
 

@@ -13,16 +13,22 @@ BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each embedding whose id is divisible by 100, the 10 others that score highest. Null and broken vectors and null ids
+    take no part; repeated rows are rows of their own; no embeddings, no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10, scale=1024)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without windows of 50 words that one with a smaller id has. Null and empty texts have no
+    words; rows of one id don't count against each other, and a null id neither loses nor takes; texts of any length."""
     kept = automaton_dedup.remove_substrings(table(spark, sf_dir, "documents"), min_words=50, with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from two thirds of the labels. Null and empty texts are scored too, equal texts
+    alike; without a label of 1 every score is 0.5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = quality.train(docs, labels, id_crc() % 3 != 1)
     scored = docs.select("doc_id", (id_crc() % 3 == 1).alias("held_out"), quality.quality_score(docs, net, F.col("text")).alias("score"))
@@ -30,10 +36,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page. Null urls and those without ``://`` fit no rule and are allowed; repeated rows are judged alike."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), BLOCK, ALLOW).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them. Texts that are null, empty or without a letter are
+    ``und`` with score 0, as all are where nothing can be learned; repeated rows are judged alike."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(id_crc() % 5 != 0))
     found = docs.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), langid.predict(docs, model, F.col("text")).alias("p"))
@@ -41,6 +50,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. Null and empty texts have none; texts and pre-tokens of any length count whole."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
@@ -53,16 +63,22 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 200 bytes that occur again anywhere. Null and empty texts have no bytes;
+    repeated rows lose all that is in such strings; texts of any length."""
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200, with_text=False)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each document by links of 85 % of four-word shingles. Null, empty and word-less texts link with nothing;
+    repeated rows link as any others; a null id counts as 0."""
     groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark windows in every document. Null and empty texts have no words; null items have no windows, items with a null
+    id hit words but are not listed; repeated rows are judged alike."""
     docs = table(spark, sf_dir, "documents")
     found = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "h", with_spans=False)
     return found.select(
@@ -76,6 +92,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document. Null and empty texts have size 0; a null source is a source; repeated rows
+    are documents of their own; no words at all, no targets."""
     mix = mixing.fair_queue(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
