@@ -154,8 +154,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", keys=
     if not sizes:
         return Model(None, {})
     most = max(1, min(docs_per_lang, max_docs // len(sizes)))
-    # one row a language, as collected
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in sizes.items()], "lang string, share double")
+    # one row a language, as collected; from Arrow, as rows of Python objects would start workers of another kind
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(sizes), pa.string()), "share": pa.array([min(1.0, most / n) for n in sizes.values()], pa.float64())}))
     drawn = labelled.join(F.broadcast(shares), "lang").filter("at < share").select("lang", "text")
     words = drawn.mapInArrow(_count_words, "lang string, word string, k bigint").groupBy("lang", "word").agg(F.sum("k").alias("k"))
     counts = words.mapInArrow(_count_grams, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))

@@ -162,7 +162,7 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: st
         return keys.select(a.alias("a"), b.alias("b"))
 
     for rules in (block, allow):
-        listed = spark.createDataFrame([(r,) for r in dict.fromkeys(rules)], "k string")
+        listed = spark.createDataFrame(pa.table({"k": pa.array(list(dict.fromkeys(rules)), pa.string())}))
         others = universe.join(listed, "k", "left_anti")
         cascades.append(build_cascade(hashed(listed), hashed(others)))
     shared = spark.sparkContext.broadcast(cascades)
