@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text: Column, texts_at_once: int = 25
         release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(_OUT))
 
-    return judge(text)
+    return judge.asNondeterministic()(text)  # else a filter on the result would have it computed twice
 
 
 def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text", least: float = 0.5) -> DataFrame:
