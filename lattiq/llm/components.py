@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from .common import spent, written
 
+#: Rows of links or labels that a file is meant to hold: few rows in as many files as shuffles have partitions cost more than they hold.
+FILE_ROWS = 200_000
 
-def _roots(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def _roots(table: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     """(node, comp) with every ``comp`` at the root of its tree, and the table that it is in; the depth halves at each step."""
     parent = table
     while True:
         jump = parent.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-        step = written(parent.join(jump, "comp").select("node", "comp", "new"), "labels")
+        step = written(parent.join(jump, "comp").select("node", "comp", "new").coalesce(files), "labels")
         spent(table)
         table, parent = step, step.select("node", F.col("new").alias("comp"))
         if not step.filter(F.col("new") < F.col("comp")).limit(1).count():
@@ -29,20 +32,21 @@ def components(links: DataFrame) -> DataFrame:
     halve in two rounds.
     """
     edges = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x != y").distinct(), "edges")
+    files = 1 + edges.count() // FILE_ROWS
     label = None
     while True:
-        parent = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("comp")), "labels")
-        roots, table = _roots(parent)
+        parent = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("comp")).coalesce(files), "labels")
+        roots, table = _roots(parent, files)
         if label is None:
-            new = written(roots, "components")
+            new = written(roots.coalesce(files), "components")
         else:  # roots without links to others stay as they are
             up = roots.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            new = written(label.join(up, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
+            new = written(label.join(up, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")).coalesce(files), "components")
             spent(label)
         label, old = new, edges
         low = lambda c: roots.select(F.col("node").alias(c), F.col("comp").alias(f"r{c}"))
         edges = edges.join(low("x"), "x").join(low("y"), "y").filter("rx != ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct()
-        edges = written(edges, "edges")
+        edges = written(edges.coalesce(files), "edges")
         spent(table, old)
         if not edges.limit(1).count():
             spent(edges)
