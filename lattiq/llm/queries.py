@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, decontam, jaccard_join, langid, mixing, quality, suffix_dedup, token_count, topk, url_filter
+from . import automaton_dedup, collocations, decontam, fill_middle, jaccard_join, langid, mixing, packing, quality, suffix_dedup, token_count, topk, url_filter
 from .common import id_crc, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -98,10 +98,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two or three words of each language. Null and empty texts have no words, a null language is
+    ``und``; repeated rows count again, and texts of any length count whole."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, top=2000, percent=50)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each token of every document is packed. Null and empty texts are the end token alone; repeated rows and null ids are
+    documents of their own, and texts of any length are packed whole."""
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example, and the text got back from it. Null and empty texts and those with a mark
+    stay plain; a null id counts as an empty one, equal rows come out alike, and texts of any length are cut whole."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), "f", seed=1, plain_percent=10, spm_percent=20)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "f.n", "f.form", "f.prefix_chars", "f.middle_chars",
+        digest(F.col("f.output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("f.output"), F.col("f.form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_substring_dedup, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op7_suffix_array, op8_jaccard_join, op9_decontamination, op10_mixing)
-}
+    for f in (
+        op1_topk, op2_substring_dedup, op3_quality, op4_url_cascade, op5_langid, op6_token_count, op7_suffix_array, op8_jaccard_join, op9_decontamination, op10_mixing,
+        op11_collocations, op12_packing, op13_fill_middle,
+    )
+}
 
 ORACLES = {
     "op1_topk": """
@@ -138,5 +168,36 @@ b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, k, start, epoch, encod
 g AS (SELECT source, start, sum(least(size, budget - before)) AS words FROM b WHERE before < budget GROUP BY source, start)
 SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken
 FROM r LEFT JOIN g ON size > 0 AND r.source IS NOT DISTINCT FROM g.source AND r.start = g.start
+""",
+    "op11_collocations": r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                        unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(m))),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, m, phrase),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS rest
+      FROM c, (VALUES (1), (2)) s(k) WHERE k < m),
+s AS (SELECT k.lang, k.m, k.phrase, k.a, k.k, x.a AS l, y.a AS r, 1000000 * k.a * k.a // (x.a * y.a) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.rest),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s) WHERE i = 1),
+h AS (SELECT lang, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2], string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS phrase, a FROM c WHERE m = 3),
+d AS (SELECT lang, phrase, max(a) AS longest FROM h GROUP BY lang, phrase),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank
+      FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE d.longest IS NULL OR 100 * d.longest < 50 * b.a)
+SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000
+""",
+    "op13_fill_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+d AS (SELECT *, ('0x' || s[1:8])::BIGINT % (n + 1) AS c1, ('0x' || s[9:16])::BIGINT % (n + 1) AS c2, ('0x' || s[17:24])::BIGINT % 100 AS h3, ('0x' || s[25:32])::BIGINT % 100 AS h4 FROM h),
+f AS (SELECT *, least(c1, c2) AS x, greatest(c1, c2) AS y,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+o AS (SELECT *, substring(t, 1, x) AS p, substring(t, x + 1, y - x) AS m, substring(t, y + 1, n - y) AS e FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || e END) AS restored_sha256
+FROM o
 """,
 }
