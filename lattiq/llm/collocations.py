@@ -27,7 +27,7 @@ from .ragged import U, mix, release
 #: Bytes A-Z in lower case, tabs as spaces, and what parts pieces as a full stop, which no word has.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 #: Positions of a block at most, and bytes of a text that are split into words at once.
-BLOCK, SLICE = 1 << 20, 1 << 22
+BLOCK, SLICE = 1 << 18, 1 << 20
 #: Bits for each frequent phrase in the array that is broadcast, and bounds of its size (32 MiB at most).
 BITS_EACH, FEWEST, MOST = 16, 1 << 20, 1 << 28
 #: Parts into which each language's candidates go before the last ranking.
@@ -174,12 +174,12 @@ def phrases(lists: DataFrame, width: int, frequent: list) -> DataFrame:
                 words = batch.column(2)[row].values
                 ends, places = (np.frombuffer(batch.column(c)[row].as_buffer(), "<i4") for c in (4, 5))
                 code = codes(lang, words.to_pylist())
-                word = np.repeat(np.arange(len(words)), np.diff(np.r_[0, ends]))
+                word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(np.r_[0, ends]))
                 keep = frequent[0].value.has(code)[word]
                 order = np.argsort(places[keep], kind="stable")
-                at, word = places[keep][order].astype(np.int64), word[keep][order]  # postings in order of position
+                at, word = places[keep][order], word[keep][order]  # postings in order of position
                 # a list of occurrences: where they start, which phrase, and each phrase's words
-                start, phrase, spelled, known = at, word, np.arange(len(words))[:, None], code
+                start, phrase, spelled, known = at, word, np.arange(len(words), dtype=np.int32)[:, None], code
                 for k in range(2, width + 1):
                     # the occurrences go on where a list of the same width starts one position later
                     next_to = np.searchsorted(at, start + k - 1)
@@ -187,7 +187,7 @@ def phrases(lists: DataFrame, width: int, frequent: list) -> DataFrame:
                     hit[hit] = at[next_to[hit]] == start[hit] + k - 1
                     start, follow = start[hit], word[next_to[hit]]
                     key, phrase = np.unique(phrase[hit].astype(np.int64) * len(words) + follow, return_inverse=True)
-                    spelled = np.c_[spelled[key // len(words)], key % len(words)]
+                    spelled = np.c_[spelled[key // len(words)], (key % len(words)).astype(np.int32)]
                     known = joined(known[key // len(words)], code[key % len(words)])
                     if k == width:
                         break
