@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code, finite, ratio0
+from .coreset import greedy, squares
 from .order import first_n, percentiles, ranked
 
 #: Composition modes.
@@ -221,25 +222,49 @@ def coreset_by_ratio(bank: DataFrame, ratio: float, seed: int = 42, total: int |
     return bank.join(coreset(bank, k, seed % n).select("id"), "id", "left_semi")
 
 
-def coreset(bank: DataFrame, k: int, start: int = 0, max_rows: int = 2_000_000, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``id`` and ``pick``: greedy farthest points, in order, from the row of rank ``start`` by id, ties to smaller ids; of each
-    group of ``keys`` if given. The choice depends on all before it, so a group is one task; a larger one is refused."""
-    if (bank.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > max_rows:
-        raise ValueError(f"a group has over {max_rows} rows; take a random budget first")
+def coreset(bank: DataFrame, k: int, start: int = 0, keys: tuple[str, ...] = (), one_task: int = 100_000) -> DataFrame:
+    """``id`` and ``pick``: greedy farthest points, in order, from the row of rank ``start`` by id (distinct longs), ties to smaller
+    ids; of each group of ``keys`` if given. Rows without a vector don't take part; fewer rows than ``k`` are all picked.
+
+    A bank of any size goes in rounds over blocks (``coreset.greedy``), and so does each group of over ``one_task`` rows, one
+    group after the other; smaller groups are a task each."""
+    spark = bank.sparkSession
+    rows = bank.filter("id IS NOT NULL AND features IS NOT NULL").select(*keys, "id", "features")
+    kinds = [f"{c} {dict(bank.dtypes)[c]}" for c in keys]
+
+    def whole(part: DataFrame, of: tuple = ()) -> DataFrame:
+        ids = part.select("id")
+        n = ids.count() if start else 1
+        if not start:
+            first = ids.agg(F.min("id")).first()[0]
+        else:
+            first = ranked(ids, [F.col("id")]).filter(F.col("rank") == start % max(n, 1)).select("id").first()
+            first = first[0] if first else None
+        picked = greedy(part.select("id", "features"), k, first)[0] if first is not None and k > 0 else []
+        return spark.createDataFrame([(*of, i, n) for n, i in enumerate(picked)], ", ".join([*kinds, "id long", "pick int"]))
+
+    if not keys:
+        return whole(rows)
+    sizes = rows.groupBy(*keys).count()
+    large = [tuple(r)[:-1] for r in sizes.filter(F.col("count") > one_task).collect()]  # one at most for each one_task rows
 
     def pick(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
         ids = table.column("id").to_numpy()
-        x = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        norms = (x * x).sum(1)
+        x = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
         least, out, at = np.full(len(ids), np.inf), [], start % len(ids)
         for _ in range(min(k, len(ids))):
             out.append(at)
-            np.minimum(least, norms + norms[at] - 2 * (x @ x[at]), out=least)
-            least[at] = -np.inf
+            np.minimum(least, squares(x, x[at]), out=least)
+            least[at] = -1.0
             at = int(least.argmax())
         return pa.table({"id": ids[out], "pick": np.arange(len(out), dtype=np.int32), **{c: table.column(c).take(pa.array(out)) for c in keys}})
 
-    kinds = ", ".join(f"{c} {dict(bank.dtypes)[c]}" for c in keys)
-    own = [*keys] or [F.lit(0).alias("__one")]
-    return bank.select(*keys, "id", "features").groupBy(*own).applyInArrow(pick, f"id long, pick int{', ' + kinds if kinds else ''}")
+    same = lambda values: [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(keys, values)]
+    others = rows
+    for values in large:
+        others = others.filter(~np.logical_and.reduce(same(values)))
+    found = others.groupBy(*keys).applyInArrow(pick, ", ".join(["id long", "pick int", *kinds]))
+    for values in large:
+        found = found.unionByName(whole(rows.filter(np.logical_and.reduce(same(values))), values))
+    return found

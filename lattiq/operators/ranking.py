@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f1_of, finite, ratio, ratio0
-from .order import cumulated, part_of, percentiles, with_previous
+from .order import cumulated, percentiles, with_previous, with_ranges
 
 
 def usable(df: DataFrame, score: str = "score", valid: str | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def score_groups(df: DataFrame, score: str = "score", label: str = "is_defect",
 def running(df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """Adds running sums (name -> column) in order of ``order``, whose values are distinct within ``keys``."""
     lead = -F.col(order) if descending else F.col(order)
-    return cumulated(df.withColumn("__part", part_of(df, [lead])), "__part", [lead], {n: F.col(c) for n, c in sums.items()}, keys).drop("__part")
+    return cumulated(with_ranges(df, lead), "__part", [lead], {n: F.col(c) for n, c in sums.items()}, keys).drop("__part")
 
 
 def with_totals(rows: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,16 +60,19 @@ def with_totals(rows: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) ->
     return rows.join(totals, list(keys)) if keys else rows.crossJoin(F.broadcast(totals))
 
 
+def curve_of(groups: DataFrame, keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """``curve`` from ``score_groups``."""
+    return with_totals(running(groups, "score", {"tp": "pos", "fp": "neg"}, keys, descending), groups, keys)
+
+
 def curve(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """One row per distinct score: counts at or above it (or below, if not ``descending``) as tp and fp, and totals."""
-    groups = score_groups(df, score, label, keys)
-    return with_totals(running(groups, "score", {"tp": "pos", "fp": "neg"}, keys, descending), groups, keys)
+    return curve_of(score_groups(df, score, label, keys), keys, descending)
 
 
-def ranking(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
-    """AUROC (ties count half; null with one class), average precision (ties grouped), exact F1-max with its threshold (the
-    highest of equals) and counts, in one pass over the curve."""
-    c = curve(df, score, label, keys)
+def ranking_of(groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``ranking`` from ``score_groups``."""
+    c = curve_of(groups, keys)
     tp, fp, p, n = (F.col(x).cast("double") for x in ("tp", "fp", "tot_p", "tot_n"))
     f1 = F.coalesce(2 * tp / F.nullif(2 * tp + fp + p - tp, F.lit(0.0)), F.lit(0.0))
     return c.groupBy(*keys).agg(
@@ -82,6 +85,12 @@ def ranking(df: DataFrame, score: str = "score", label: str = "is_defect", keys:
     )
 
 
+def ranking(df: DataFrame, score: str = "score", label: str = "is_defect", keys: Sequence[str] = ()) -> DataFrame:
+    """AUROC (ties count half; null with one class), average precision (ties grouped), exact F1-max with its threshold (the
+    highest of equals) and counts, in one pass over the curve."""
+    return ranking_of(score_groups(df, score, label, keys), keys)
+
+
 def threshold_grid(df: DataFrame, score: str = "score", n: int = 80) -> DataFrame:
     """Distinct default thresholds: exact percentiles at max(n / 2, 20) even steps and n even steps from least to largest.
     Constant scores give one threshold, no scores the even steps of 0 to 1."""
@@ -185,24 +194,45 @@ def quantile_map(df: DataFrame, score: str = "score", levels: Sequence[float] =
     return percentiles(df, score, levels).select(F.map_from_arrays(names, "ps").alias("quantiles"))
 
 
-def truncated_area(points: DataFrame, x: str, y: str, x_max: float) -> DataFrame:
-    """Trapezoid area under a curve up to ``x_max``, with the last segment interpolated, over ``x_max``."""
-    rows = with_previous(points.select(F.col(x).alias("x1"), F.col(y).alias("y1")), ["x1", "y1"], {"x0": "x1", "y0": "y1"}).filter(f"x0 IS NOT NULL AND x0 < {x_max}")
+def _area(steps: DataFrame, x_max: float) -> DataFrame:
+    """Trapezoids of steps from (x0, y0) to (x1, y1) up to ``x_max``, the last one interpolated, over ``x_max``."""
     inside = F.least(F.col("x1"), F.lit(x_max))
     y_in = F.when(F.col("x1") <= x_max, F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (x_max - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    rows = steps.filter(F.col("x0").isNotNull() & (F.col("x0") < x_max))
     return rows.agg((F.sum((inside - F.col("x0")) * (F.col("y0") + y_in) / 2) / x_max).alias("area"))
 
 
-def pro_curve(pixels: DataFrame, score: str = "score", region: str = "region") -> DataFrame:
-    """False-positive rate against mean region overlap: a pixel of a region counts 1 / its size, one without counts as ok.
-    One point per distinct score, clipped at 1, with (0, 0) and (1, 1)."""
+def truncated_area(points: DataFrame, x: str, y: str, x_max: float) -> DataFrame:
+    """Trapezoid area under a curve up to ``x_max``, with the last segment interpolated, over ``x_max``."""
+    rows = points.select(F.col(x).alias("x1"), F.col(y).alias("y1"))
+    return _area(with_previous(rows, ["x1", "y1"], {"x0": "x1", "y0": "y1"}), x_max)
+
+
+def _pro_steps(pixels: DataFrame, score: str, region: str) -> DataFrame:
+    """The steps of ``pro_curve``, a row per distinct score: the point after it (``fpr``, ``pro``) and the one before (``x0``, ``y0``)."""
     sizes = pixels.filter(F.col(region).isNotNull()).groupBy(region).agg(F.count("*").alias("__size"))
     rows = pixels.join(sizes, region, "left")
     groups = rows.groupBy(F.col(score).alias("score")).agg(F.coalesce(F.sum(1.0 / F.col("__size")), F.lit(0.0)).alias("gain"), F.count_if(F.col(region).isNull()).alias("ok"))
     totals = sizes.agg(F.count("*").alias("regions")).crossJoin(pixels.agg(F.count_if(F.col(region).isNull()).alias("oks")))
     cum = running(groups, "score", {"cum_gain": "gain", "cum_ok": "ok"}).crossJoin(F.broadcast(totals))
-    curve_ = cum.select(F.least(ratio0(F.col("cum_ok"), F.col("oks")), F.lit(1.0)).alias("fpr"), F.least(ratio0(F.col("cum_gain"), F.col("regions")), F.lit(1.0)).alias("pro"))
-    return curve_.union(pixels.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, pro double"))
+    part = lambda a, b: F.least(ratio0(a, F.col(b)), F.lit(1.0))
+    gain, ok = F.col("cum_gain"), F.col("cum_ok")
+    return cum.select(part(ok, "oks").alias("fpr"), part(gain, "regions").alias("pro"), part(ok - F.col("ok"), "oks").alias("x0"), part(gain - F.col("gain"), "regions").alias("y0"))
+
+
+def pro_curve(pixels: DataFrame, score: str = "score", region: str = "region") -> DataFrame:
+    """False-positive rate against mean region overlap: a pixel of a region counts 1 / its size, one without counts as ok.
+    One point per distinct score, clipped at 1, with (0, 0) and (1, 1)."""
+    steps = _pro_steps(pixels, score, region).select("fpr", "pro")
+    return steps.union(pixels.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, pro double"))
+
+
+def pro_area(pixels: DataFrame, x_max: float = 0.3, score: str = "score", region: str = "region") -> DataFrame:
+    """``truncated_area`` of ``pro_curve``: each distinct score knows its own step, so no row needs its neighbour."""
+    steps = _pro_steps(pixels, score, region)
+    last = steps.agg(F.max("fpr").alias("x0"), F.max("pro").alias("y0")).select(F.lit(1.0).alias("fpr"), F.lit(1.0).alias("pro"), F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("y0", F.lit(0.0)).alias("y0"))
+    steps = steps.union(last).select(F.col("fpr").alias("x1"), F.col("pro").alias("y1"), "x0", "y0")
+    return _area(steps, x_max)
 
 
 def image_scores(df: DataFrame, image: str = "image_id", score: str = "score", label: str = "is_defect", share: float = 0.01) -> DataFrame:

@@ -9,10 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .calibration import threshold_at
 from .knn import knn_scores
 from .order import percentiles
-from .ranking import confusion, fixed_threshold, grid_f1, pro_curve, ranking, sweep, threshold_grid, truncated_area, usable, with_prf
+from .ranking import confusion, fixed_threshold, grid_f1, pro_area, ranking, ranking_of, sweep, threshold_grid, usable, with_prf
+from .shared import written
 
 CELL = ("image_id", "row", "col")
 #: Percentiles of a calibration report, its methods and its exclusion modes.
@@ -58,7 +58,7 @@ def ranking_report(df: DataFrame, threshold: float | None = None, score: str = "
 
 def region_report(pixels: DataFrame, limit: float = 0.3, score: str = "score", region: str = "region") -> DataFrame:
     """One row: area under the region-overlap curve up to ``limit``, and AUROC and best F1 of pixels."""
-    area = truncated_area(pro_curve(pixels, score, region), "fpr", "pro", limit).select(F.col("area").alias("au_pro"))
+    area = pro_area(pixels, limit, score, region).select(F.col("area").alias("au_pro"))
     one = ranking(pixels.withColumn("__p", F.col(region).isNotNull()), score, "__p")
     return area.crossJoin(one.select(F.col("auroc").alias("pixel_auroc"), F.col("f1_max").alias("pixel_f1")))
 
@@ -74,27 +74,56 @@ def cross_fit_both(clean: DataFrame, final: DataFrame, **how) -> tuple[DataFrame
     return knn_scores(own(clean), own(clean), **how), knn_scores(own(clean), own(final), **how)
 
 
-def _map(rows: DataFrame, levels: Sequence[float], name: str) -> DataFrame:
-    names = F.array(*[F.lit(f"p{q:g}") for q in levels])
-    return percentiles(rows, "score", [q / 100 for q in levels]).select(F.map_from_arrays(names, "ps").alias(name))
+#: The score tables of a report of which percentile maps are given.
+PARTS = ("held_out", "clean_calibration", "validation_all", "validation_positive", "validation_negative")
 
 
 def calibration_row(held_out: DataFrame, cross_fitted: DataFrame, validation: DataFrame, accept_level: float = 99.0, query_level: float = 99.5, valid: str | None = None, levels: Sequence[float] = LEVELS) -> DataFrame:
     """One row: the acceptance threshold (a percentile of ``held_out`` scores), the query threshold (of ``cross_fitted`` scores),
     confusion and metrics of ``validation`` (score, is_defect) at the latter, its exact best F1 with threshold (the highest of
-    equals), and percentile maps. Validation labels have no part in either threshold."""
-    held, cross, val = usable(held_out), usable(cross_fitted), usable(validation, valid=valid)
-    accept = threshold_at(held, accept_level).select(F.col("threshold").alias("tau_accept"))
-    query = threshold_at(cross, query_level).select(F.col("threshold").alias("tau_query"))
-    fixed = fixed_threshold(val.crossJoin(F.broadcast(query)), F.col("tau_query")).select("tp", "fp", "fn", "tn", "precision", "recall", "f1", F.col("n_gt_pos"), F.col("n_pred_pos"))
-    best = ranking(val).select(F.col("f1_threshold").alias("f1_max_threshold"), "f1_max")
-    at = fixed_threshold(val.crossJoin(F.broadcast(best.select("f1_max_threshold"))), F.col("f1_max_threshold"))
-    at = at.select(*[F.col(c).alias(f"f1_max_{c}") for c in ("precision", "recall", "tp", "fp", "fn", "tn")])
-    row = accept.crossJoin(held.agg(F.count("*").alias("n_accept"))).crossJoin(query).crossJoin(cross.agg(F.count("*").alias("n_query")))
-    row = row.crossJoin(fixed).crossJoin(best).crossJoin(at)
-    parts = (("held_out", held), ("clean_calibration", cross), ("validation_all", val), ("validation_positive", val.filter("is_defect")), ("validation_negative", val.filter("NOT is_defect")))
-    for name, rows in parts:
-        row = row.crossJoin(_map(rows, levels, f"quantiles_{name}"))
+    equals), and percentile maps. Validation labels have no part in either threshold. ``calibration_report`` refuses the row of
+    an empty validation.
+
+    The scores behind it are computed once: all tables are collapsed to (part, score, pos, neg) in one shuffle and written to
+    the shared folder; thresholds and maps are one keyed search for percentiles, and the curve is read from the same table.
+    """
+    tables = zip(PARTS[:3], (usable(held_out), usable(cross_fitted), usable(validation, valid=valid)))
+    label = {"validation_all": F.col("is_defect")}
+    rows = None
+    for name, table in tables:
+        one = table.select(F.lit(name).alias("part"), F.col("score").cast("double").alias("score"), label.get(name, F.lit(None).cast("boolean")).alias("is_defect"))
+        rows = one if rows is None else rows.unionByName(one)
+    groups = rows.groupBy("part", "score").agg(F.count("*").alias("all"), F.count_if("is_defect").alias("pos"), F.count_if(~F.col("is_defect")).alias("neg"))
+    groups = written(groups, "calibration")
+    share = lambda name, times: F.struct(F.lit(name).alias("map"), F.col(times).alias("times"))
+    of_part = F.when(F.col("part") == PARTS[2], F.array(share(PARTS[2], "all"), share(PARTS[3], "pos"), share(PARTS[4], "neg")))
+    of_part = of_part.otherwise(F.array(F.struct(F.col("part").alias("map"), F.col("all").alias("times"))))
+    spread = groups.select("score", F.inline(of_part)).filter("times > 0")
+    ps = percentiles(spread, "score", [accept_level / 100, query_level / 100, *(q / 100 for q in levels)], ["map"], times="times")
+    of = lambda m, c: F.first(F.when(F.col("map") == m, c), ignorenulls=True)
+    maps = ps.agg(
+        of(PARTS[0], F.get("ps", F.lit(0))).alias("tau_accept"),
+        of(PARTS[1], F.get("ps", F.lit(1))).alias("tau_query"),
+        *[of(m, F.slice("ps", 3, len(levels))).alias(m) for m in PARTS],
+    )
+    names = F.array(*[F.lit(f"p{q:g}") for q in levels])
+    maps = maps.select("tau_accept", "tau_query", *[F.map_from_arrays(names, F.col(m)).alias(f"quantiles_{m}") for m in PARTS])
+    sizes = groups.agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("all"))), F.lit(0)).alias(n) for p, n in zip(PARTS[:2], ("n_accept", "n_query"))])
+    val = groups.filter(F.col("part") == PARTS[2]).select("score", "pos", "neg")
+    best = ranking_of(val).select(F.col("f1_threshold").alias("f1_max_threshold"), "f1_max")
+    row = sizes.crossJoin(F.broadcast(maps)).crossJoin(F.broadcast(best))
+    for prefix, at in (("", "tau_query"), ("f1_max_", "f1_max_threshold")):
+        over = F.col("score") >= F.col(at)
+        one = val.crossJoin(F.broadcast(row.select(at))).agg(
+            F.coalesce(F.sum(F.when(over, F.col("pos"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(over, F.col("neg"))), F.lit(0)).alias("fp"),
+            F.coalesce(F.sum(F.when(over, 0).otherwise(F.col("pos"))), F.lit(0)).alias("fn"), F.coalesce(F.sum(F.when(over, 0).otherwise(F.col("neg"))), F.lit(0)).alias("tn"),
+        )
+        one = with_prf(one, zero=True)
+        if not prefix:
+            one = one.withColumn("n_gt_pos", F.col("tp") + F.col("fn")).withColumn("n_pred_pos", F.col("tp") + F.col("fp"))
+        else:
+            one = one.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("precision", "recall", "tp", "fp", "fn", "tn")])
+        row = row.crossJoin(F.broadcast(one))
     return row
 
 
@@ -115,6 +144,8 @@ def calibration_report(row: DataFrame, clean_bank: str, final_bank: str, parts:
     r = row.first().asDict(recursive=True)
     if not r["n_accept"] or not r["n_query"]:
         raise ValueError("calibration needs scores")
+    if not r["tp"] + r["fp"] + r["fn"] + r["tn"]:
+        raise ValueError("calibration needs validation scores")
     bound = bank_hash(final_bank, *parts)
     report = {
         "final_bank_hash": bound,

@@ -208,7 +208,7 @@ def pro_curve(spark, d):
 
 @query(f"WITH {PRO}, s AS (SELECT lag(fpr) OVER w AS x0, lag(pro) OVER w AS y0, fpr AS x1, pro AS y1 FROM p WINDOW w AS (ORDER BY fpr, pro)) SELECT round(sum((least(x1, 0.3) - x0) * (y0 + CASE WHEN x1 <= 0.3 THEN y1 ELSE y0 + (y1 - y0) * (0.3 - x0) / (x1 - x0) END) / 2) / 0.3, 6) AS area FROM s WHERE x0 IS NOT NULL AND x0 < 0.3")
 def au_pro(spark, d):
-    return show(ranking.truncated_area(ranking.pro_curve(regions(spark, d)), "fpr", "pro", 0.3), "area")
+    return show(ranking.pro_area(regions(spark, d), 0.3), "area")
 
 
 TOP = f"{EV}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC) AS n, count(*) OVER (PARTITION BY image_id) AS m FROM ev), im AS (SELECT image_id, avg(score) FILTER (n <= greatest(floor(m * 0.05), 1)) AS top_mean, max(score) AS top, bool_or(is_defect) AS is_defect FROM r GROUP BY 1)"
