@@ -25,7 +25,7 @@ PIECE = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long
 #: Texts encoded together.
 AT_ONCE = 256
 #: Chunks of text whose ids a worker remembers, and new ones that are encoded together.
-KNOWN, NEW = 1 << 19, 1 << 14
+KNOWN, NEW = 1 << 20, 1 << 14
 #: Sequence ids are the task's number times this, and on.
 SPREAD = 1 << 40
 LETTER, STOP, BLANK = (np.zeros(256, bool) for _ in range(3))
