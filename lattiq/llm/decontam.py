@@ -5,13 +5,14 @@ automaton is small and each of its nodes has few ways on."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import free_name, small_batches, written
 from .ragged import release
 
 #: Words of the contract, after A-Z are lower-cased: runs of 0-9, a-z and everything beyond ASCII.
@@ -59,78 +60,120 @@ class Windows:
         return machine
 
 
-def scan(windows: Windows, machine, text: str | None, earlier: dict | None, spans: bool) -> dict:
-    """The hits of a text, with those of ``earlier`` scans."""
-    words = words_of(text)
-    keys, hits = (set(earlier["items"]), [(r["start"], r["stop"]) for r in earlier["runs"]]) if earlier else (set(), [])
-    if words and len(machine):
-        letter = windows.letters.get
-        for end, (n, items) in machine.iter("".join([letter(w, OTHER) for w in words])):
-            last = end // 3 + 1
-            hits.append((last - n, last))
-            keys.update(items)
-    merged: list[list[int]] = []
-    for a, b in sorted(hits):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    places = []
-    if merged and spans:
-        where = [m.span() for m in ORIGINAL_WORD.finditer(text)]
-        places = [{"start": where[a][0], "stop": where[b - 1][1]} for a, b in merged]
-    return {"n_words": len(words), "n_hit": sum(b - a for a, b in merged), "items": sorted(keys), "runs": [{"start": a, "stop": b} for a, b in merged], "spans": places}
+class Hits:
+    """What has been found in a text so far."""
+
+    __slots__ = ("n_words", "keys", "spans")
+
+    def __init__(self, earlier: dict | None = None):
+        self.n_words = 0
+        self.keys = set(earlier["items"]) if earlier else set()
+        self.spans = [[r["start"], r["stop"]] for r in earlier["runs"]] if earlier else []
+
+    def scan(self, windows: Windows, machine, text: str | None) -> None:
+        words = words_of(text)
+        self.n_words = len(words)
+        if words and len(machine):
+            letter = windows.letters.get
+            for end, (n, items) in machine.iter("".join([letter(w, OTHER) for w in words])):
+                last = end // 3 + 1
+                if self.spans and self.spans[-1][1] >= last - n >= self.spans[-1][0]:
+                    self.spans[-1][1] = max(last, self.spans[-1][1])
+                else:
+                    self.spans.append([last - n, last])
+                self.keys.update(items)
+
+    def found(self, text: str | None, places: bool) -> dict:
+        merged: list[list[int]] = []
+        for a, b in sorted(self.spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        where = [m.span() for m in ORIGINAL_WORD.finditer(text)] if merged and places else []
+        spans = [{"start": where[a][0], "stop": where[b - 1][1]} for a, b in merged] if where else []
+        return {"n_words": self.n_words, "n_hit": sum(b - a for a, b in merged), "items": sorted(self.keys), "runs": [{"start": a, "stop": b} for a, b in merged], "spans": spans}
 
 
 @lru_cache(maxsize=1)
-def _machine(shared):
-    return shared.value, shared.value.machine()
+def _only_machine(shared):
+    windows = Windows(*shared.value[0])
+    return windows, windows.machine()
+
+
+def _scans(shared, spans: bool, at_once: int):
+    """One pass over the texts. A single automaton stays with the worker; of several, each is made in turn and all texts at hand
+    (about ``at_once`` bytes) go through it."""
+
+    def judged(held: list[tuple]) -> Iterator[pa.Array]:
+        texts = [part[0].to_pylist() for part in held]
+        hits = [[Hits(e) for e in (part[1].to_pylist() if len(part) > 1 else [None] * len(part[0]))] for part in held]
+        several = len(shared.value) > 1
+        for shard in shared.value:
+            if several:
+                windows = Windows(*shard)
+                machine = windows.machine()
+            else:
+                windows, machine = _only_machine(shared)
+            for part, own in zip(texts, hits):
+                for text, hit in zip(part, own):
+                    hit.scan(windows, machine, text)
+        for part, own in zip(texts, hits):
+            yield pa.array([hit.found(text, spans) for text, hit in zip(part, own)], _HIT)
+        release()
 
+    def streamed(batches: Iterator[tuple]) -> Iterator[pa.Array]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch[0].nbytes
+            if len(shared.value) == 1 or size >= at_once:
+                yield from judged(held)
+                held, size = [], 0
+        if held:
+            yield from judged(held)
 
-def _scans(shared, spans: bool):
     @F.arrow_udf(HIT)
-    def first(texts: pa.Array) -> pa.Array:
-        windows, machine = _machine(shared)
-        found = pa.array([scan(windows, machine, t.as_py(), None, spans) for t in texts], _HIT)
-        release()
-        return found
+    def first(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from streamed((t,) for t in texts)
 
     @F.arrow_udf(HIT)
-    def further(texts: pa.Array, earlier: pa.Array) -> pa.Array:
-        windows, machine = _machine(shared)
-        found = pa.array([scan(windows, machine, t.as_py(), e.as_py(), spans) for t, e in zip(texts, earlier)], _HIT)
-        release()
-        return found
+    def further(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from streamed(batches)
 
     return first, further
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, out: str = "hit", text_col: str = "text", width: int = 13, with_spans: bool = True, max_words: int = 50_000, item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, out: str = "hit", text_col: str = "text", width: int = 13, with_spans: bool = True, max_words: int = 50_000, item_id: str = "item_id", item_text: str = "text", at_once: int = 64 << 20, max_sent: int = 400
 ) -> DataFrame:
     """``docs`` with a struct column ``out`` (a column of that name is replaced): ``n_words``, ``n_hit`` (words inside any
     occurrence of a window), ``items`` (ids, as strings, sorted, of items with occurring windows), ``runs`` (maximal hit
     runs of words) and ``spans`` (the same as character offsets of the text).
 
-    The windows of at most ``max_words`` benchmark words are broadcast, as one automaton; a larger benchmark is cut into shards
-    of whole items, which are scanned for one after the other with the hits so far in a table. Null and empty texts have no
-    words; texts are scanned whole, however long. Null item texts and items without words have no windows; the windows of
-    items with a null id hit words but are listed under no id; repeated items hit together. An empty benchmark hits
-    nothing, an empty table of documents gives no rows, and repeated rows are judged alike.
+    The texts of the benchmark are broadcast, and documents are read once. The windows of at most ``max_words`` benchmark words
+    are one automaton; a larger benchmark is dealt to several by the hash of its items, and each goes over the texts at hand,
+    about ``at_once`` bytes, before the next is made. Only of a benchmark of over ``max_sent`` automata (about 64 MB of text) is
+    a part broadcast at a time, with the documents and their hits so far written in between. Null and empty texts have no words; texts are scanned whole, however
+    long. Null item texts and items without words have no windows; the windows of items with a null id hit words but are
+    listed under no id; repeated items hit together. An empty benchmark hits nothing, an empty table of documents gives no
+    rows, and repeated rows are judged alike.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t")).filter("t is not null")
     words = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(ORIGINAL))), F.lit(0))).first()[0]
     shards = max(1, -(-2 * words // max_words)) if words > max_words else 1  # half full on average, as items are dealt by hash
+    items = items.withColumn("s", F.pmod(F.xxhash64("k", "t"), F.lit(shards)))
     rows = docs
-    for i in range(shards):
-        part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == i) if shards > 1 else items
-        shared = spark.sparkContext.broadcast(Windows([(r.k, r.t) for r in part.collect()], width))
-
-        first, further = _scans(shared, with_spans)
-        rows = rows.withColumn(out, further(F.col(text_col), F.col(out)) if i else first(F.col(text_col)))
-        if i + 1 < shards:
+    for at in range(0, shards, max_sent):
+        dealt: list[list] = [[] for _ in range(min(max_sent, shards - at))]
+        for r in items.filter((F.col("s") >= at) & (F.col("s") < at + max_sent)).collect():
+            dealt[r.s - at].append((r.k, r.t))
+        shared = spark.sparkContext.broadcast([(part, width) for part in dealt])
+        first, further = _scans(shared, with_spans, at_once)
+        rows = rows.withColumn(out, further(F.col(text_col), F.col(out)) if at else first(F.col(text_col)))
+        if at + max_sent < shards:
             rows = written(rows, "hits")
     return rows
 
@@ -142,7 +185,5 @@ def is_contaminated(hit: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns; null and empty texts stay."""
-    hit = "__hit"
-    while hit in docs.columns:
-        hit += "_"
+    hit = free_name(docs, "__hit")
     return contamination(docs, benchmark, hit, text_col, with_spans=False).filter(~is_contaminated(F.col(hit))).drop(hit)

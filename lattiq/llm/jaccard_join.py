@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, spent, written
+from .common import WORD, free_name, spent, written
 from .components import components
 from .ragged import BASES, LOWER, PIECE, Rolling, U, chunks, mix, release, text_bytes, word_hashes, word_spans
 from .repeats import keyed, row_key
@@ -348,10 +348,12 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     apart = _with_comps(shared, comps)
     pair = ["xd", "xh", "yd", "yh"]
     more = _sized(_centred(apart, percent, F.xxhash64("token", "d", "h")).join(judged, pair, "left_anti"), sizes, percent)
-    judged = written(judged.unionByName(_verified(docs, written(more, "pairs"), width, percent)), "judged")
-    spent(comps)
+    first, second = judged, _verified(docs, written(more, "pairs"), width, percent)
+    judged = written(first.unionByName(second), "judged")
+    spent(comps, first, second)
     comps = components(_linked(judged))
     # 3. all pairs of different components that the filters leave
+    spent(shared)
     shared = _with_comps(apart.drop("comp"), comps)
     ahead = Window.partitionBy("d", "h").orderBy("place").rowsBetween(-BEFORE, -1)  # a text's own prefix
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -367,6 +369,7 @@ def linked_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: st
     rest = _verified(docs, written(pairs, "pairs"), width, percent)
     spent(comps, apart, shared)
     comps = components(_linked(judged.unionByName(rest))).select(F.col("node").alias("r"), F.col("comp"))
+    spent(judged, rest)
     groups = classes.join(comps, "r", "left").select(*same, F.coalesce("comp", "r").alias("component"))
     member = sets.join(groups, same, "left").select("d", "h", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", _key()).alias("component"))
     member = member.withColumn("component_id", F.col("component.d"))
@@ -378,11 +381,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     rows). Rows whose text is null, empty or without words are no copies of anything and all stay."""
     groups = linked_groups(docs, width, percent, id_col, text_col)
     best = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(_key()).alias("best"))
-    chosen = best.select(F.col("best.d").alias("__d"), F.col("best.h").alias("__h"))
+    own, other = free_name(docs, "__d"), free_name(docs, "__h")
+    chosen = best.select(F.col("best.d").alias(own), F.col("best.h").alias(other))
     d, h, plain = row_key(docs, id_col, text_col)
-    rows = docs.withColumns({"__d": d, "__h": h})
-    kept = rows.join(chosen, ["__d", "__h"], "left_semi")
+    rows = docs.withColumns({own: d, other: h})
+    kept = rows.join(chosen, [own, other], "left_semi")
     if not plain:
-        kept = kept.dropDuplicates(["__d", "__h"])
+        kept = kept.dropDuplicates([own, other])
     blank = rows.filter(~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
-    return kept.unionByName(blank).drop("__d", "__h").select(*[f"`{c}`" for c in docs.columns])
+    return kept.unionByName(blank).drop(own, other).select(*[f"`{c}`" for c in docs.columns])

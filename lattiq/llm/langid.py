@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, small_batches
+from .common import free_name, hash_share, small_batches
 from .ragged import release
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -186,5 +186,7 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
     that has learned no language rejects only texts without a letter."""
     if not model.langs:
         return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    rows = docs.withColumn("__p", predict(docs, model, F.col(text_col))).filter((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least))
-    return rows.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__p.lang_pred"))).drop("__p")
+    name = free_name(docs, "__p")
+    found = F.col(name)
+    rows = docs.withColumn(name, predict(docs, model, F.col(text_col))).filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))
+    return rows.withColumn(lang_col, F.coalesce(F.col(lang_col), found["lang_pred"])).drop(name)

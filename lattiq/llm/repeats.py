@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, spent, written
@@ -182,7 +182,7 @@ def _compare(plan: Plan, method: Callable[[Plan, Contexts], tuple[np.ndarray, np
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, plan: Plan, method, max_group: int = MAX_GROUP) -> DataFrame:
-    """(d, h, spans): for each text with repeated runs, start << 32 | stop in units; the spans may overlap."""
+    """(d, h, spans): for each text with repeated runs, start << 32 | stop in units of each maximal one."""
     occ = written(docs.select("d", "h", "text").mapInArrow(_occurrences(plan), "d long, h long, at long, anchor long, ctx long"), "anchors")
     again = F.col("d0") < F.col("d1") if plan.first_wins else F.col("n") > 1
     by_anchor = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1")).filter(again)
@@ -224,7 +224,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, plan: Plan, method, max
         ends = ends.select("anchor", "ctx", "d", "far", "near").join(multi, ["anchor", "ctx", "d"])
     p = F.shiftright("at", AT)
     spans = spans.unionByName(ends.select("d", "h", (F.shiftleft(p - F.col("far"), 32) + p - F.col("near") + plan.length).alias("span")))
-    return spans.distinct().groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
+    return merged(spans).groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(d, h, span): the maximal runs that a text's spans cover, so that a text is left with fewer than it has units by the length
+    of a run, however often it repeats itself. A text's spans are sorted, not held."""
+    text = Window.partitionBy("d", "h").orderBy("span")
+    start, stop = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    so_far = F.max(stop).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.distinct().withColumn("new", F.when(so_far.isNull() | (start > so_far), F.col("span")))
+    rows = rows.withColumn("run", F.last(F.shiftright("new", 32), ignorenulls=True).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("d", "h", "run").agg(F.max(stop).alias("stop"))
+    return runs.select("d", "h", (F.shiftleft("run", 32) + F.col("stop")).alias("span"))
 
 
 def _counted(contexts: DataFrame, plan: Plan) -> DataFrame:

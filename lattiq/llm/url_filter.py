@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ensure_checkpoint_dir
+from .common import ascii_lower, ensure_checkpoint_dir, free_name
 
 SEED_A, SEED_B = 11, 13
 #: 64-bit words of a bit array that come to the driver as one row.
@@ -153,8 +153,9 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: st
     rows = pages.withColumns({"host": host_of(url), "path": path_of(url)})
     if not lengths:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    rows = rows.withColumn("__keys", rule_keys(F.col("host"), F.col("path"), lengths))
-    universe = rows.select(F.explode("__keys").alias("k")).distinct()
+    keys, hit = free_name(rows, "__keys"), free_name(rows, "__hit")
+    rows = rows.withColumn(keys, rule_keys(F.col("host"), F.col("path"), lengths))
+    universe = rows.select(F.explode(keys).alias("k")).distinct()
     cascades = []
 
     def hashed(keys: DataFrame) -> DataFrame:
@@ -181,11 +182,12 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], url_col: st
         bad[who] = blocked[hit[first]]
         return pa.StructArray.from_arrays([pa.array(at), pa.array(bad)], ["at", "blocked"])
 
-    a, b = F.transform("__keys", lambda k: _hashes(k)[0]), F.transform("__keys", lambda k: _hashes(k)[1])
-    judged = rows.withColumn("__hit", first_rule(a, b))
+    a, b = F.transform(keys, lambda k: _hashes(k)[0]), F.transform(keys, lambda k: _hashes(k)[1])
+    judged = rows.withColumn(hit, first_rule(a, b))
+    at = F.col(hit)["at"]
     return judged.withColumns(
         {
-            "rule": F.when(F.col("__hit.at") > 0, F.element_at("__keys", F.greatest(F.col("__hit.at"), F.lit(1)))),
-            "verdict": F.when(F.col("__hit.blocked"), "block").otherwise("allow"),
+            "rule": F.when(at > 0, F.element_at(keys, F.greatest(at, F.lit(1)))),
+            "verdict": F.when(F.col(hit)["blocked"], "block").otherwise("allow"),
         }
-    ).drop("__hit", "__keys")
+    ).drop(hit, keys)

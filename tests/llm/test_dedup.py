@@ -176,3 +176,14 @@ def test_common_shingles_meet_in_blocks(spark, monkeypatch):
         got = jaccard_join.linked_groups(frame(spark, docs)).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert len({w[2] for w in want}) > 1
+
+
+def test_spans_are_merged_before_they_are_collected(spark):
+    from lattiq.llm.repeats import covered, merged
+
+    rng = random.Random(9)
+    rows = [(d, h, a << 32 | a + rng.randint(1, 9)) for d in (1, 2, None) for h in (0, 7) for a in [rng.randint(0, 200) for _ in range(60)]]
+    found = {}
+    for r in merged(spark.createDataFrame(rows, "d long, h long, span long")).collect():
+        found.setdefault((r.d, r.h), []).append((r.span >> 32, r.span & 0xFFFFFFFF))
+    assert {k: sorted(v) for k, v in found.items()} == {(d, h): covered([s for x, y, s in rows if (x, y) == (d, h)]) for d in (1, 2, None) for h in (0, 7)}

@@ -60,6 +60,8 @@ def test_languages(spark):
     rows = spark.createDataFrame([(1, None, None, 1), (2, "12 ²! _", None, 1), (3, "the and", None, 1), (4, "", "en", 1)], "doc_id long, text string, lang string, score int")
     judged = {r.doc_id: r.p for r in rows.select("doc_id", langid.predict(rows, model, F.col("text")).alias("p")).collect()}
     assert [judged[i].lang_pred for i in (1, 2, 4)] == ["und"] * 3 and judged[3].lang_pred == "en"
+    own = langid.keep_identified(rows.withColumn("__P", F.lit(9)), model).collect()
+    assert [(r.doc_id, r["__P"]) for r in own] == [(3, 9)]
     kept = langid.keep_identified(rows, model).collect()
     assert [(r.doc_id, r.lang, r.score) for r in kept] == [(3, "en", 1)]
     blank = langid.train(rows.limit(0))
@@ -83,8 +85,12 @@ def test_contamination(spark):
     texts = ["a, b! C d e f", "A b c d", "c--D é b", None, "", "zz", "b c d e a b c d e", "x" * 3000 + " x", "o p q R s", "a b " * 20_000 + "c", "zz"]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (300_000, 4):  # one automaton, and several after each other
-        got = decontam.contamination(docs, bench, "h", width=3, max_words=most).collect()
+    for most, sent in ((300_000, 400), (4, 400), (4, 2)):  # one automaton, several in one pass, and several passes
+        judged = decontam.contamination(docs, bench, "h", width=3, max_words=most, at_once=50_000, max_sent=sent)
+        if sent == 400:  # one scan of the documents, and nothing is written
+            assert not hasattr(judged, "written_to") and str(judged._jdf.queryExecution().optimizedPlan()).count("Relation") == 0
+            assert str(judged._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+        got = judged.collect()
         assert len(got) == len(texts)
         for r in got:
             n, k, ids = contamination(r.text, items, 3)
@@ -106,6 +112,9 @@ def test_urls(spark):
     assert got[5] == ("a.net", "", None, "allow") and got[6] == ("", "", None, "allow") == got[7]
     assert got[8] == ("net", "/x", "net/", "block") and got[9][2] is None and got[10] == ("u.com", "", None, "allow") and got[11][2:] == ("net/", "block")
     assert url_filter.judge_urls(df.limit(0), queries.BLOCK, queries.ALLOW).count() == 0
+    own = df.withColumns({"__KEYS": F.lit(5), "__hit": F.lit("h")})
+    judged = url_filter.judge_urls(own, queries.BLOCK, queries.ALLOW)
+    assert set(own.columns) <= set(judged.columns) and {(r.page_id, r.rule, r["__KEYS"], r["__hit"]) for r in judged.collect()} == {(i, g[2], 5, "h") for i, g in got.items()}
     assert url_filter.judge_urls(df, [], []).filter("verdict = 'allow'").count() == len(urls)
 
 
