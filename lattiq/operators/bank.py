@@ -110,7 +110,10 @@ def class_counts(bank: DataFrame) -> DataFrame:
 
 
 def contaminate_by_growth(clean: DataFrame, pool: DataFrame, rate: float, seed: int) -> DataFrame:
-    """Adds max(1, min(round(rate / (1 - rate) n), available)) pool rows by hash rank (none for a rate of 0)."""
+    """Adds max(1, min(round(rate / (1 - rate) n), available)) pool rows by hash rank (none for a rate of 0). A rate of 1 is the
+    whole pool alone."""
+    if rate >= 1:
+        return pool.select(*clean.columns).withColumn("source", F.lit("anomalous"))
     n, have = clean.count(), pool.count()
     add = max(1, min(round(rate / (1 - rate) * n), have)) if rate > 0 and have else 0
     return clean.withColumn("source", F.lit("clean")).unionByName(random_keep(pool, add, "growth", seed).withColumn("source", F.lit("anomalous")))
@@ -135,21 +138,6 @@ def dual_margin(df: DataFrame, alpha: float, normal: str = "d_n", defect: str =
     return df.withColumn("margin", F.coalesce(F.col(normal) - alpha * F.col(defect), F.col(normal)))
 
 
-def dual_bank_scores(df: DataFrame, normal: DataFrame, defect: DataFrame, gate: float) -> DataFrame:
-    """Scores of five modes from raw d_n, d_d and robust z calibrations (one row of median, iqr each): normal,
-    anomaly_diagnostic (nearer to the defect bank is higher), margin, ratio, and gated_hybrid, whose gate is on raw d_n."""
-    a = F.broadcast(normal.select(F.col("median").alias("__nm"), F.col("iqr").alias("__ni")))
-    b = F.broadcast(defect.select(F.col("median").alias("__dm"), F.col("iqr").alias("__di")))
-    rows = df.crossJoin(a).crossJoin(b)
-    zn, zd = (F.col("d_n") - F.col("__nm")) / F.col("__ni"), (F.col("d_d") - F.col("__dm")) / F.col("__di")
-    return rows.withColumns(
-        {
-            "normal": zn, "anomaly_diagnostic": -zd, "margin": zn - zd, "ratio": F.col("d_n") / F.greatest("d_d", F.lit(1e-8)),
-            "gated_hybrid": F.when(F.col("d_n") >= gate, zn - zd).otherwise(zn),
-        }
-    ).drop("__nm", "__ni", "__dm", "__di")
-
-
 def select_anomalies(df: DataFrame, rule: str, *, level: float | None = None, per_image: int | None = None, total: int | None = None, held_out: int | None = None, ident: str = "id", seed: int = 42, allow_oracle: bool = False) -> DataFrame:
     """Patches for an anomaly memory, from (id, image_id, class_id, overlap, score): an overlap rule (any, ratio_10, ratio_50),
     without a held-out class, above a percentile of all distances, the most distant of each image, and a cap by hash."""

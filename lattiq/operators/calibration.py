@@ -72,13 +72,15 @@ def percentile_score(df: DataFrame, level: float = 95.0, score: str = "score", i
 
 
 def score_mode(df: DataFrame, mode: str, facts: DataFrame | None = None, score: str = "score", **params) -> DataFrame:
-    """``mode_score`` by mode: raw, zscore (with calibration facts: theirs; else each image's own), iqr or percentile."""
-    if mode == "raw":
-        return df.withColumn("mode_score", F.col(score))
-    if mode == "zscore" and facts is not None:
-        return df.crossJoin(F.broadcast(facts.select(F.col("mean").alias("__m"), F.col("std").alias("__s")))).withColumn("mode_score", (F.col(score) - F.col("__m")) / (F.col("__s") + 1e-8)).drop("__m", "__s")
+    """``mode_score`` by mode: raw, zscore, iqr or percentile. With calibration ``facts`` (a row with mean and std of a reference)
+    every mode starts from (score - mean) / (std + 1e-8), and zscore is just that; without, zscore is the image's own."""
     made = {"zscore": (z_score, "z"), "iqr": (iqr_score, "iqr_score"), "percentile": (percentile_score, "percentile_score")}
-    if mode not in made:
+    if mode != "raw" and mode not in made:
         raise ValueError(f"unknown score mode {mode}")
+    rows = df.withColumn("__v", F.col(score).cast("double"))
+    if facts is not None:
+        rows = rows.crossJoin(F.broadcast(facts.select(F.col("mean").alias("__m"), F.col("std").alias("__s")))).withColumn("__v", (F.col(score) - F.col("__m")) / (F.col("__s") + 1e-8)).drop("__m", "__s")
+    if mode == "raw" or mode == "zscore" and facts is not None:
+        return rows.withColumn("mode_score", F.col("__v")).drop("__v")
     f, name = made[mode]
-    return f(df, score=score, **params).withColumnRenamed(name, "mode_score")
+    return f(rows, score="__v", **params).withColumnRenamed(name, "mode_score").drop("__v")

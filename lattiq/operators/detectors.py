@@ -96,7 +96,7 @@ class Mahalanobis(Detector):
 
 
 class Sobel(Detector):
-    """Gradient of the feature grid under a score mode."""
+    """Gradient of the feature grid under a score mode, calibrated on the reference."""
 
     def __init__(self, reduce: str = "l2", mode: str = "raw"):
         self.reduce, self.mode = reduce, mode
@@ -106,7 +106,7 @@ class Sobel(Detector):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = score_mode(grid.sobel_norm(df, self.reduce), self.mode, self.facts if self.mode == "zscore" else None)
+        rows = score_mode(grid.sobel_norm(df, self.reduce), self.mode, self.facts)
         return df.select(*KEYS).join(rows.select("image_id", "row", "col", F.col("mode_score").alias("score")), ["image_id", "row", "col"]).select(*KEYS, "score")
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import percentiles
+from .shared import written
+
 #: The Sobel weights (row offset, column offset) -> (x, y).
 SOBEL = {(-1, -1): (-1, -1), (-1, 0): (0, -2), (-1, 1): (1, -1), (0, -1): (-2, 0), (0, 1): (2, 0), (1, -1): (-1, 1), (1, 0): (0, 2), (1, 1): (1, 1)}
 
@@ -53,17 +56,30 @@ def neighbour_mean(df: DataFrame, rows: int, cols: int, kernel: int = 3, image:
     return per_grid(df, image, mean, "features array<double>", (rows, cols))
 
 
+def gradient(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel derivatives (x, y) of an array whose border of one cell is already there."""
+    high, wide = p.shape[0] - 2, p.shape[1] - 2
+    return tuple(sum(w[i] * p[1 + a : 1 + a + high, 1 + b : 1 + b + wide] for (a, b), w in SOBEL.items() if w[i]) for i in (0, 1))
+
+
+def mirrored(x: np.ndarray) -> np.ndarray:
+    """``x`` with a border of one cell that mirrors at the edge cells; an axis of one cell repeats it."""
+    for axis in (0, 1):
+        width = [(0, 0)] * x.ndim
+        width[axis] = (1, 1)
+        x = np.pad(x, width, mode="reflect" if x.shape[axis] > 1 else "edge")
+    return x
+
+
 def sobel_norm(df: DataFrame, reduce: str = "l2", image: str = "image_id") -> DataFrame:
     """(image, row, col, score): sqrt(gx^2 + gy^2 + 1e-8) of each channel with zero padding, then l2, mean or max over channels."""
     how = {"l2": lambda g: np.sqrt((g * g).sum(2)), "mean": lambda g: g.mean(2), "max": lambda g: g.max(2)}[reduce]
 
-    def gradient(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
-        p = np.pad(cells, ((1, 1), (1, 1), (0, 0)))
-        part = lambda a, b: p[1 + a : 1 + a + cells.shape[0], 1 + b : 1 + b + cells.shape[1]]
-        gx, gy = (sum(w[i] * part(a, b) for (a, b), w in SOBEL.items() if w[i]) for i in (0, 1))
+    def size(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
+        gx, gy = gradient(np.pad(cells, ((1, 1), (1, 1), (0, 0))))
         return how(np.sqrt(gx * gx + gy * gy + 1e-8))
 
-    return per_grid(df, image, gradient, "score double")
+    return per_grid(df, image, size, "score double")
 
 
 def reduce_heads(attention: DataFrame, how: str = "mean") -> DataFrame:
@@ -71,30 +87,58 @@ def reduce_heads(attention: DataFrame, how: str = "mean") -> DataFrame:
     return attention.groupBy("image_id", "layer", "q", "k").agg({"mean": F.avg, "max": F.max}[how]("w").alias("w"))
 
 
-def rollout(attention: DataFrame, discard: float = 0.0, residual: bool = True) -> DataFrame:
-    """(image_id, q, k, w): the product over layers, in order, of each layer's matrix: weights below the percentile
-    100 (1 - discard) are zeroed (so the top share ``discard`` is kept; 0 keeps all), identity is added, rows sum to 1.
-    An image's matrices are multiplied in one task."""
-
-    def one(t: pa.Table) -> pa.Table:
-        image, layer, q, k, w = (t.column(c).to_numpy() for c in ("image_id", "layer", "q", "k", "w"))
-        n = int(max(q.max(), k.max())) + 1
-        total = np.eye(n)
-        for x in np.unique(layer):
-            m, of = np.zeros((n, n)), layer == x
-            m[q[of], k[of]] = w[of]
-            if discard > 0:
-                m[m < np.percentile(m, 100 * (1 - discard))] = 0
-            m = m + np.eye(n) if residual else m
-            total = total @ (m / np.maximum(m.sum(1, keepdims=True), 1e-12))
-        a, b = np.indices((n, n)).reshape(2, -1)
-        return pa.table({"image_id": np.full(n * n, image[0]), "q": a, "k": b, "w": total.reshape(-1)})
-
-    return attention.select("image_id", "layer", "q", "k", "w").groupBy("image_id").applyInArrow(one, "image_id long, q long, k long, w double")
+#: Added to sums of rows before weights are divided by them.
+ROW_EPS = 1e-8
+
+
+def _rows_to_one(weights: DataFrame) -> DataFrame:
+    row = Window.partitionBy("image_id", "layer", "q")  # as many weights as there are tokens
+    return weights.withColumn("w", F.col("w") / (F.sum("w").over(row) + ROW_EPS))
+
+
+def rollout_weights(attention: DataFrame, discard: float = 0.0, residual: bool = True) -> DataFrame:
+    """(image_id, layer, q, k, w): each layer's matrix with the identity added and rows summing to 1; then, with ``discard``, weights
+    below the matrix's own percentile 100 (1 - discard) are dropped and rows sum to 1 again. Pairs that the table lacks are
+    weights of 0, and count as such in the percentile. With ``discard`` the weights are written to the shared folder first."""
+    w = attention.select("image_id", "layer", F.col("q").cast("long").alias("q"), F.col("k").cast("long").alias("k"), F.col("w").cast("double").alias("w"))
+    keys = ["image_id", "layer"]
+    tokens = w.groupBy(*keys).agg((F.max(F.greatest("q", "k")) + 1).alias("n"))
+    if residual:
+        own = tokens.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("q")).select(*keys, "q", F.col("q").alias("k"), F.lit(1.0).alias("w"))
+        w = w.unionByName(own).groupBy(*keys, "q", "k").agg(F.sum("w").alias("w"))
+    w = _rows_to_one(w)
+    if discard <= 0:
+        return w
+    w = written(w, "weights")
+    tokens = w.groupBy(*keys).agg((F.max(F.greatest("q", "k")) + 1).alias("n"))
+    missing = w.groupBy(*keys).count().join(tokens, keys).select(*keys, F.lit(0.0).alias("w"), (F.col("n") * F.col("n") - F.col("count")).alias("times")).filter("times > 0")
+    values = w.select(*keys, "w", F.lit(1).cast("long").alias("times")).unionByName(missing)
+    limits = percentiles(values, "w", [1 - discard], keys, times="times").select(*keys, F.get("ps", F.lit(0)).alias("__t"))
+    return _rows_to_one(w.join(limits, keys).filter(F.col("w") >= F.col("__t")).drop("__t"))
+
+
+def rollout(attention: DataFrame, discard: float = 0.0, residual: bool = True, starts: Column | None = None) -> DataFrame:
+    """(image_id, q, k, w): rows of the product over layers, in order, of their ``rollout_weights``, which are written to the shared
+    folder. Only the rows wanted (``starts`` on q; the class token's, if None) go through the layers, each by a join and a
+    sum, so no matrix is ever made and nothing but the weights grows with the square of the tokens. An image without some
+    layer ends there; weights that come to nothing have no row."""
+    weights = written(rollout_weights(attention, discard, residual), "rollout")
+    layers = sorted(r[0] for r in weights.select("layer").distinct().collect())
+    first = (F.col("q") == 0) if starts is None else starts
+    row = None
+    for layer in layers:
+        step = weights.filter(F.col("layer") == layer).drop("layer")
+        if row is None:
+            row = step.filter(first)
+            continue
+        step = step.select("image_id", F.col("q").alias("__on"), F.col("k").alias("__k"), F.col("w").alias("__w"))
+        joined = row.withColumnRenamed("k", "__on").join(step, ["image_id", "__on"])
+        row = joined.groupBy("image_id", "q", F.col("__k").alias("k")).agg(F.sum(F.col("w") * F.col("__w")).alias("w"))
+    return weights.limit(0).drop("layer") if row is None else row.select("image_id", "q", "k", "w")
 
 
 def cls_row(matrix: DataFrame, width: int) -> DataFrame:
-    """The first token's weights on the patches, as grid cells."""
+    """The first token's weights on the patches, as grid cells; a patch without weight has no row."""
     return with_grid(matrix.filter("q = 0 AND k > 0").select("image_id", (F.col("k") - 1).alias("idx"), F.col("w").alias("score")), width)
 
 

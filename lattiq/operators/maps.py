@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import gaussian
-from .grid import SOBEL, per_grid, sobel_norm
+from .grid import gradient, mirrored, per_grid
 
 
 def image_sobel(pixels: DataFrame, patch: int, pool: str = "mean") -> DataFrame:
-    """(image_id, row, col, score): gradient size of each pixel (zero padding), pooled per patch by mean, l2 or max."""
+    """(image_id, row, col, score): gradient size of each pixel (mirrored edges), pooled per patch by mean, l2 or max. Missing pixels
+    count as 0."""
     cells = pixels.select("image_id", F.col("y").alias("row"), F.col("x").alias("col"), F.array(F.col("value").cast("double")).alias("features"))
-    g = sobel_norm(cells, "max")
+
+    def size(image: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.hypot(*gradient(mirrored(image[:, :, 0])))
+
+    g = per_grid(cells, "image_id", size, "score double")
     how = {"mean": F.avg("score"), "l2": F.sqrt(F.sum(F.col("score") * F.col("score"))), "max": F.max("score")}[pool]
     return g.groupBy("image_id", F.expr(f"row div {patch}").alias("row"), F.expr(f"col div {patch}").alias("col")).agg(how.alias("score"))
 
@@ -27,9 +32,7 @@ def gradient_image(pixels: DataFrame) -> DataFrame:
     grey = F.array((0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")).cast("double"))
 
     def size(cells: np.ndarray, there: np.ndarray) -> np.ndarray:
-        p = np.pad(cells[:, :, 0], 1, mode="reflect") if min(cells.shape[:2]) > 1 else np.pad(cells[:, :, 0], 1, mode="edge")
-        part = lambda a, b: p[1 + a : 1 + a + cells.shape[0], 1 + b : 1 + b + cells.shape[1]]
-        gx, gy = (sum(w[i] * part(a, b) for (a, b), w in SOBEL.items() if w[i]) for i in (0, 1))
+        gx, gy = gradient(mirrored(cells[:, :, 0]))
         g = np.sqrt(gx * gx + gy * gy)
         return np.floor(np.clip(g / g.max() * 255.0, 0, 255)) if g.max() > 1e-8 else np.zeros_like(g)
 

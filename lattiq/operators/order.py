@@ -56,12 +56,13 @@ def value_of(bits: Column) -> Column:
 
 
 def _joined(rows: DataFrame, small: DataFrame, keys: Sequence[str], on: Sequence[str], bounded: bool) -> DataFrame:
-    """An inner join in which null keys are equal; ``small`` is broadcast only where its size is bounded."""
+    """An inner join in which nulls are equal, so that no filter for nulls goes down below the shuffle that the scans share;
+    ``small`` is broadcast only where its size is bounded."""
     names = [*keys, *on]
     other = small.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(names)], *[c for c in small.columns if c not in names])
     match = F.lit(True)
     for i, k in enumerate(names):
-        match = match & (F.col(k).eqNullSafe(F.col(f"__j{i}")) if k in keys else F.col(k) == F.col(f"__j{i}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"__j{i}"))
     return rows.join(F.broadcast(other) if bounded else other, match).drop(*[f"__j{i}" for i in range(len(names))])
 
 
@@ -72,10 +73,9 @@ def percentiles(df: DataFrame, score: str, levels: Sequence[float], keys: Sequen
     All levels and keys go together: values are collapsed in one shuffle, and of them come three histograms, each of the next
     digit of the values that the one before has left for a wanted rank. No task holds more than the digits of a key.
     """
-    count = F.count(F.col(score)) if times is None else F.coalesce(F.sum(F.when(F.col(score).isNotNull(), F.col(times))), F.lit(0))
-    groups = df.groupBy(*keys, F.col(score).cast("double").alias("__v")).agg(count.alias("__c"))
     bit = F.col("__b")
-    rows = groups.select(*keys, ordered_bits(F.col("__v")).alias("__b"), "__c")
+    rows = df.select(*keys, ordered_bits(F.col(score)).alias("__b"), F.lit(1).cast("long").alias("__c") if times is None else F.col(times).alias("__c"))
+    rows = rows.groupBy(*keys, "__b").agg(F.coalesce(F.sum(F.when(bit.isNotNull(), F.col("__c"))), F.lit(0)).alias("__c"))
     low = (1 << AFTER_SECOND) - 1
     rows = rows.select(*keys, "__c", F.shiftright(bit, AFTER_FIRST).alias("__1"), F.shiftright(bit, AFTER_SECOND).bitwiseAND(F.lit(low)).alias("__2"), bit.bitwiseAND(F.lit(low)).alias("__3"))
     wanted = None
@@ -110,7 +110,7 @@ def percentiles(df: DataFrame, score: str, levels: Sequence[float], keys: Sequen
     found = found.select(*keys, F.array(*[between(i) for i in range(len(levels))]).alias("ps"))
     if not keys:  # one row even of no values
         return found.select(F.when(F.get("ps", F.lit(0)).isNotNull(), F.col("ps")).alias("ps"))
-    left, right = df.select(*keys).distinct().alias("l"), found.alias("r")
+    left, right = rows.select(*keys).distinct().alias("l"), found.alias("r")
     match = F.lit(True)
     for k in keys:
         match = match & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
@@ -120,11 +120,13 @@ def percentiles(df: DataFrame, score: str, levels: Sequence[float], keys: Sequen
 def with_ranges(rows: DataFrame, order: Column, name: str = "__part") -> DataFrame:
     """Adds each row's range (a long) in ascending order of a numeric column, whose equal values share one. Ranges are of equal
     first digits, those of more than ``RANGE_ROWS`` rows of equal first and second digits."""
-    first, second = F.shiftright("__b", AFTER_FIRST), F.shiftright("__b", AFTER_SECOND)
-    rows = rows.withColumn("__b", ordered_bits(order))
-    crowded = rows.groupBy(first.alias("__full")).count().filter(F.col("count") > RANGE_ROWS).select("__full")  # at most a row per RANGE_ROWS
-    rows = rows.join(F.broadcast(crowded), first == F.col("__full"), "left")
-    return rows.withColumn(name, F.when(F.col("__full").isNotNull(), second).otherwise(F.shiftleft(first, AFTER_FIRST - AFTER_SECOND))).drop("__b", "__full")
+    # never null, so that no filter for nulls goes down below a shuffle that all readers of ``rows`` share
+    first = F.coalesce(F.shiftright("__b", AFTER_FIRST), F.lit(-(1 << 22)).cast("long"))
+    rows = rows.withColumn("__b", ordered_bits(order)).withColumn("__first", first)
+    crowded = rows.groupBy(F.col("__first").alias("__full")).count().filter(F.col("count") > RANGE_ROWS).select("__full")  # at most a row per RANGE_ROWS
+    rows = rows.join(F.broadcast(crowded), F.col("__first") == F.col("__full"), "left")
+    finer = F.when(F.col("__full").isNotNull(), F.shiftright("__b", AFTER_SECOND)).otherwise(F.shiftleft("__first", AFTER_FIRST - AFTER_SECOND))
+    return rows.withColumn(name, F.coalesce(finer, F.lit(-(1 << 43)).cast("long"))).drop("__b", "__first", "__full")
 
 
 def in_ranges(rows: DataFrame, leads: Sequence[Column], name: str = "__part") -> DataFrame:

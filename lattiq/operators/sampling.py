@@ -60,8 +60,8 @@ def class_balanced_pick(members: DataFrame, shots: int, classes: Sequence[int],
 
 
 def stable_select(items: DataFrame, n: int, namespace: str, seed: int, ident: str = "image_id") -> DataFrame:
-    """n ids by hash rank, ties by id."""
-    return first_by(items.select(ident), [code(namespace, seed, F.col(ident)), F.col(ident)], n)
+    """n distinct ids by hash rank, ties by id."""
+    return first_by(items.select(ident).distinct(), [code(namespace, seed, F.col(ident)), F.col(ident)], n)
 
 
 def ordered_union(first: DataFrame, second: DataFrame, ident: str = "image_id") -> DataFrame:

@@ -17,7 +17,14 @@ def pixels(spark, d):
     return event_scores(spark, d).select("image_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("score").alias("value"))
 
 
-@query(f"WITH {PIX}, {KERNEL}, g AS (SELECT p.image_id, p.y, p.x, sqrt(sum(o.value * wx) ** 2 + sum(o.value * wy) ** 2 + 1e-8) AS m FROM pix p CROSS JOIN k JOIN pix o ON o.image_id = p.image_id AND o.y = p.y + a AND o.x = p.x + b GROUP BY ALL) SELECT image_id, y // 4 AS row, x // 4 AS col, round(avg(m), 6) + 0.0 AS score FROM g GROUP BY ALL")
+#: Edges mirror: -1 is 1 and n is n - 2; an axis of one pixel repeats it.
+MIRROR = "CASE WHEN {n} = 1 THEN 0 WHEN {i} < 0 THEN 1 WHEN {i} >= {n} THEN {n} - 2 ELSE {i} END"
+
+
+@query(f"""WITH {PIX}, {KERNEL}, size AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pix GROUP BY 1),
+spot AS (SELECT p.image_id, p.y, p.x, wx, wy, {MIRROR.format(i='(p.y + a)', n='h')} AS my, {MIRROR.format(i='(p.x + b)', n='w')} AS mx FROM pix p JOIN size USING (image_id) CROSS JOIN k),
+g AS (SELECT spot.image_id, spot.y, spot.x, sqrt(sum(coalesce(o.value, 0) * wx) ** 2 + sum(coalesce(o.value, 0) * wy) ** 2) AS m FROM spot LEFT JOIN pix o ON o.image_id = spot.image_id AND o.y = my AND o.x = mx GROUP BY ALL)
+SELECT image_id, y // 4 AS row, x // 4 AS col, round(avg(m), 6) + 0.0 AS score FROM g GROUP BY ALL""")
 def image_sobel(spark, d):
     return show(maps.image_sobel(pixels(spark, d), 4), "score")
 

@@ -10,29 +10,17 @@ from ..sources.tables import patch_features, patch_scores
 from .design_queries import image_meta
 from .registry import DIST, PF, PS, query
 from .score_queries import PRO, RANK, curve_sql, regions, show
-from .vector_queries import ATT, MEAN, NORM, attention, part, rounded_score
-
-#: One layer of attention for every image: a class token and the 20 patches.
-ATT21 = "att AS (SELECT image_id, k, ((image_id + 1) * 3 * (k + 5)) % 7 + 1.0::DOUBLE AS w FROM (SELECT DISTINCT image_id FROM pf), range(21) t(k))"
-MAP21 = "roll AS (SELECT image_id, (k - 1) // 5 AS row, (k - 1) % 5 AS col, w / (sum(w) OVER (PARTITION BY image_id) + 1) AS score, k FROM att QUALIFY k > 0)"
-
-
-def attention21(spark, d):
-    cells = patch_features(spark, d).select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("q")).select("*", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
-    w = ((F.col("image_id") + 1) * (F.col("q") + 3) * (F.col("k") + 5)) % 7 + F.lit(1.0)
-    return cells.select("image_id", F.lit(0).alias("layer"), F.lit(0).alias("head"), F.col("q").cast("long"), F.col("k").cast("long"), w.alias("w"))
-
+from .vector_queries import ATT, MEAN, attention, part, rollout_sql, rounded_score
 
 def class_tokens(spark, d):
     return patch_features(spark, d).filter("row = 0 AND col = 0").select("image_id", F.col("features").alias("cls"))
 
 
-@query(f"""WITH {ATT}, {NORM}, r AS (SELECT a.image_id, b.k - 1 AS idx, sum(a.w * b.w) AS w FROM nrm a JOIN nrm b ON a.image_id = b.image_id AND a.layer = 0 AND b.layer = 1 AND a.k = b.q WHERE a.q = 0 AND b.k > 0 GROUP BY ALL),
-f AS (SELECT avg(w) AS m, stddev_pop(w) AS s FROM r WHERE image_id = 0) SELECT image_id * 4 + idx AS id, round((w - m) / (s + 1e-8), 6) + 0.0 AS score FROM r, f""")
+@query(f"""WITH {PF}, {ATT}, {rollout_sql(0.3)}, m AS (SELECT vec_id AS id, role, coalesce(score, 0) AS v FROM pf JOIN roll USING (image_id, row, col)),
+f AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM m WHERE role = 'clean') SELECT id, round((v - f.m) / (s + 1e-8), 5) + 0.0 AS score FROM m, f WHERE role = 'query'""")
 def attention_rollout(spark, d):
-    cells = spark.range(12).select("id", F.expr("id div 4").alias("image_id"), F.expr("(id % 4) div 2").alias("row"), (F.col("id") % 2).alias("col"))
-    found = detectors.build("attention_rollout", attention=attention(spark), width=2).fit(cells.filter("image_id = 0"))
-    return rounded_score(found.transform(cells).select("id", "score"))
+    found = detectors.build("attention_rollout", attention=attention(spark, d), width=5, discard=0.3).fit(part(spark, d, "clean"))
+    return rounded_score(found.transform(part(spark, d, "query")).select("id", "score"), digits=5)
 
 
 @query(f"""WITH {PF}, c AS (SELECT image_id, features AS cls FROM pf WHERE row = 0 AND col = 0),
@@ -43,18 +31,18 @@ def cls_cosine_image(spark, d):
     return rounded_score(found.transform(part(spark, d, "query")).select("id", "score"))
 
 
-@query(f"""WITH {PF}, {ATT21}, {MAP21}, st AS (SELECT row, col, avg(score) AS m, coalesce(stddev_samp(score), 0) + 1e-5 AS s FROM roll WHERE image_id IN (SELECT image_id FROM pf WHERE role = 'clean') GROUP BY ALL),
+@query(f"""WITH {PF}, {ATT}, {rollout_sql(0)}, st AS (SELECT row, col, avg(score) AS m, coalesce(stddev_samp(score), 0) + 1e-5 AS s FROM roll WHERE image_id IN (SELECT image_id FROM pf WHERE role = 'clean') GROUP BY ALL),
 b AS (SELECT q.vec_id AS id, q.image_id, q.row, q.col, min({DIST}) AS a FROM pf q, pf b WHERE q.role = 'query' AND b.role = 'clean' GROUP BY ALL),
 x AS (SELECT b.*, abs(score - m) / s AS v FROM b JOIN roll USING (image_id, row, col) JOIN st USING (row, col)),
 z AS (SELECT id, (a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8) AS za, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8) AS zv FROM x WINDOW w AS (PARTITION BY image_id)) SELECT id, round(0.75 * za + 0.25 * zv, 5) + 0.0 AS score FROM z""")
 def knn_rollout(spark, d):
-    found = detectors.build("knn_rollout", attention=attention21(spark, d), width=5, height=4, weights=(3.0, 1.0)).fit(part(spark, d, "clean"))
+    found = detectors.build("knn_rollout", attention=attention(spark, d), width=5, height=4, weights=(3.0, 1.0)).fit(part(spark, d, "clean"))
     return found.transform(part(spark, d, "query")).select("id", shown(F.col("score"), 5).alias("score"))
 
 
 @query()
 def forest_rollout(spark, d):
-    found = detectors.build("forest_rollout", attention=attention21(spark, d), width=5, height=4, trees=16, neighbours=True).fit(part(spark, d, "clean"))
+    found = detectors.build("forest_rollout", attention=attention(spark, d), width=5, height=4, trees=16, neighbours=True).fit(part(spark, d, "clean"))
     return found.transform(part(spark, d, "query"))
 
 

@@ -240,10 +240,19 @@ def percentile_image(spark, d):
     return show(calibration.percentile_score(event_scores(spark, d)).select("event_id", "percentile_score"), "percentile_score")
 
 
-@query(f"WITH {EV}, m AS (SELECT avg(score) AS a, stddev_pop(score) AS s FROM ev WHERE NOT is_defect) SELECT event_id, round((score - a) / (s + 1e-8), 6) + 0.0 AS mode_score FROM ev, m")
+@query(f"""WITH {EV}, m AS (SELECT avg(score) AS a, stddev_pop(score) AS s FROM ev WHERE NOT is_defect), v AS (SELECT event_id, image_id, (score - a) / (s + 1e-8) AS v FROM ev, m),
+p AS (SELECT image_id, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.95) AS t, max(v) AS top FROM v GROUP BY 1),
+r AS (SELECT event_id, unnest(['raw', 'zscore', 'iqr', 'percentile']) AS mode,
+ unnest([v, v, (v - q3) / (q3 - q1 + 1e-8) / 1.5, coalesce(greatest(v - t, 0) / nullif(greatest(top - t, 0), 0), 0)]) AS x FROM v JOIN p USING (image_id)) SELECT event_id, mode, round(x, 6) + 0.0 AS mode_score FROM r""")
 def calibrated(spark, d):
+    """All modes on scores calibrated by the normal events."""
     rows = event_scores(spark, d)
-    return show(calibration.score_mode(rows, "zscore", calibration.stats(rows.filter(~F.col("is_defect")))).select("event_id", "mode_score"), "mode_score")
+    facts = calibration.stats(rows.filter(~F.col("is_defect")))
+    out = None
+    for mode in ("raw", "zscore", "iqr", "percentile"):
+        one = calibration.score_mode(rows, mode, facts).select("event_id", F.lit(mode).alias("mode"), "mode_score")
+        out = one if out is None else out.unionByName(one)
+    return show(out, "mode_score")
 
 
 @query(f"WITH {EV} SELECT round(avg(score) FILTER (is_defect), 6) AS positive, round(avg(score) FILTER (NOT is_defect), 6) AS negative, avg(score) FILTER (is_defect) >= avg(score) FILTER (NOT is_defect) AS ok FROM ev")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, norm, shown
+from ..functions.scalars import cosine, dot, norm, shown
 from ..operators import bank, calibration, detectors, geometry, grid, knn, ranking
+from ..operators.dual_bank import MODES as DUAL_MODES
+from ..operators.dual_bank import DualBank
+from ..operators.fused import cls_rollout
 from ..sources.tables import event_scores, patch_features
 from .registry import CAND, DIST, EV, L2, PF, query, rank_sql
 from .score_queries import RANK, curve_sql, show
@@ -15,8 +18,8 @@ def part(spark, d, *roles):
     return patch_features(spark, d).filter(F.col("role").isin(*roles)).withColumnRenamed("vec_id", "id")
 
 
-def rounded_score(df, name="score"):
-    return df.withColumn(name, shown(F.col(name)))
+def rounded_score(df, name="score", digits=6):
+    return df.withColumn(name, shown(F.col(name), digits))
 
 
 def candidates(spark, d):
@@ -187,12 +190,24 @@ def dual_bank_margin(spark, d):
     return show(bank.dual_margin(dual(spark, d), 0.5).select("id", "margin"), "margin")
 
 
-@query(f"WITH {DUAL}, r AS (SELECT median(d_n) AS nm, quantile_cont(d_n, 0.75) - quantile_cont(d_n, 0.25) AS ni, median(d_d) AS dm, quantile_cont(d_d, 0.75) - quantile_cont(d_d, 0.25) AS di FROM two), z AS (SELECT id, d_n, d_d, (d_n - nm) / ni AS zn, (d_d - dm) / di AS zd FROM two, r) SELECT id, round(zn, 6) + 0.0 AS normal, round(-zd, 6) + 0.0 AS anomaly_diagnostic, round(zn - zd, 6) + 0.0 AS margin, round(d_n / greatest(d_d, 1e-8), 6) + 0.0 AS ratio, round(CASE WHEN d_n >= 0.6 THEN zn - zd ELSE zn END, 6) + 0.0 AS gated_hybrid FROM z")
+#: Reference patches are normal candidates, defect banks the candidates' defects by class, the gate is at 80 %.
+DUAL_CLASSES = f"""WITH {PF}, x AS (SELECT * FROM pf WHERE role = 'query' OR role = 'candidate' AND NOT is_defect),
+n AS (SELECT q.vec_id AS id, q.role, min({DIST}) AS d_n FROM x q, pf b WHERE b.role = 'clean' GROUP BY ALL),
+a AS (SELECT q.vec_id AS id, q.role, b.class_id AS c, min({DIST}) AS d_a FROM x q, pf b WHERE b.role = 'candidate' AND b.is_defect GROUP BY ALL),
+nf AS (SELECT median(d_n) AS m, quantile_cont(d_n, 0.75) - quantile_cont(d_n, 0.25) AS i, quantile_cont(d_n, 0.8) AS gate FROM n WHERE role = 'candidate'),
+af AS (SELECT c, median(-d_a) AS m, quantile_cont(-d_a, 0.75) - quantile_cont(-d_a, 0.25) AS i FROM a WHERE role = 'candidate' GROUP BY c),
+z AS (SELECT id, d_n, gate, (d_n - m) / CASE WHEN i <= 1e-12 THEN 1 ELSE i END AS zn FROM n, nf WHERE role = 'query'),
+v AS (SELECT id, c, d_a, (-d_a - m) / CASE WHEN i <= 1e-12 THEN 1 ELSE i END AS za FROM a JOIN af USING (c) WHERE role = 'query'),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY za DESC, c) = 1)
+SELECT id, c AS predicted_class, round(zn, 6) + 0.0 AS normal, round(za, 6) + 0.0 AS anomaly_diagnostic, round(zn + 0.7 * za, 6) + 0.0 AS margin, round(zn / greatest(d_a, 1e-8), 6) + 0.0 AS ratio,
+ round(CASE WHEN d_n >= gate THEN zn + 0.7 * za ELSE zn END, 6) + 0.0 AS gated_hybrid FROM z JOIN b USING (id)"""
+
+
+@query(DUAL_CLASSES)
 def dual_bank_modes(spark, d):
-    rows = dual(spark, d)
-    out = bank.dual_bank_scores(rows, calibration.robust(rows, "d_n"), calibration.robust(rows, "d_d"), 0.6)
-    names = ["normal", "anomaly_diagnostic", "margin", "ratio", "gated_hybrid"]
-    return show(out.select("id", *names), *names)
+    candidates = part(spark, d, "candidate")
+    found = DualBank(part(spark, d, "clean"), candidates.filter("is_defect"), weight=0.7, gate_level=80.0).fit(candidates.filter("NOT is_defect"))
+    return show(found.transform(part(spark, d, "query")).select("id", "predicted_class", *DUAL_MODES), *DUAL_MODES)
 
 
 @query(f"WITH {PF}, s AS (SELECT q.vec_id AS query_id, b.class_id, round(min({DIST}), 6) AS dist FROM pf q, pf b WHERE q.role = 'query' AND b.role = 'candidate' AND b.class_id > 0 GROUP BY ALL) SELECT query_id, arg_min(class_id, (dist, class_id)) AS class_id, min(dist) AS dist FROM s GROUP BY 1")
@@ -254,18 +269,49 @@ def mahalanobis_diag(spark, d):
     return rounded_score(detectors.build("mahalanobis").fit(part(spark, d, "clean")).transform(part(spark, d, "query")).select("id", "score"))
 
 
-ATT = "att AS (SELECT i AS image_id, l AS layer, q, k, ((i + 1) * (l + 2) * (q + 3) * (k + 5)) % 7 + 1.0::DOUBLE AS w FROM range(3) a(i), range(2) b(l), range(5) c(q), range(5) e(k))"
-NORM = "nrm AS (SELECT image_id, layer, q, k, (w + CASE WHEN q = k THEN 1 ELSE 0 END) / (sum(w) OVER (PARTITION BY image_id, layer, q) + 1) AS w FROM att)"
-
-
-def attention(spark):
-    i = spark.range(3 * 2 * 5 * 5).select(F.expr("id div 50").alias("image_id"), F.expr("(id div 25) % 2").alias("layer"), F.expr("(id div 5) % 5").alias("q"), (F.col("id") % 5).alias("k"))
-    return i.withColumn("w", ((F.col("image_id") + 1) * (F.col("layer") + 2) * (F.col("q") + 3) * (F.col("k") + 5)) % 7 + F.lit(1.0))
+#: Attention between the vectors of an image: a class token (its mean vector) and its 20 patches; layer and head l and h look at
+#: the four components from 8 l + 4 h on, by softmax of their products over sqrt(4).
+TOKENS = """tok AS (SELECT image_id, 1 + row * 5 + col AS t, features AS f FROM pf UNION ALL
+ SELECT image_id, 0, list(m ORDER BY i) FROM (SELECT image_id, i, avg(features[i]) AS m FROM pf, range(1, 65) r(i) GROUP BY ALL) GROUP BY image_id)"""
+ATT = f"""{TOKENS}, raw AS (SELECT a.image_id, l AS layer, h AS head, a.t AS q, b.t AS k, list_inner_product(a.f[8 * l + 4 * h + 1 : 8 * l + 4 * h + 4], b.f[8 * l + 4 * h + 1 : 8 * l + 4 * h + 4]) / 2.0 AS z
+ FROM tok a JOIN tok b ON a.image_id = b.image_id, range(4) x(l), range(2) y(h)),
+sm AS (SELECT image_id, layer, head, q, k, exp(z - max(z) OVER w) AS e FROM raw WINDOW w AS (PARTITION BY image_id, layer, head, q)),
+att AS (SELECT image_id, layer, q, k, avg(w) AS w FROM (SELECT *, e / sum(e) OVER (PARTITION BY image_id, layer, head, q) AS w FROM sm) GROUP BY ALL)"""
+
+
+def rollout_sql(discard: float, last: int = 4) -> str:
+    """Row weights ``nrm`` of the last layers, with the discard of the smallest, and the class token's way ``roll`` through them."""
+    ids = range(4 - last, 4)
+    chain = f"v{ids[0]} AS (SELECT image_id, k, w FROM nrm WHERE layer = {ids[0]} AND q = 0)"
+    for i in ids[1:]:
+        chain += f", v{i} AS (SELECT v.image_id, n.k, sum(v.w * n.w) AS w FROM v{i - 1} v JOIN nrm n ON n.image_id = v.image_id AND n.layer = {i} AND n.q = v.k GROUP BY ALL)"
+    return f"""one AS (SELECT image_id, layer, q, k, (w + CASE WHEN q = k THEN 1 ELSE 0 END) / (sum(w) OVER (PARTITION BY image_id, layer, q) + 1 + 1e-8) AS w FROM att),
+lim AS (SELECT image_id, layer, quantile_cont(w, {1 - discard}) AS t FROM one GROUP BY ALL), cut AS (SELECT one.* FROM one JOIN lim USING (image_id, layer) WHERE {discard} = 0 OR w >= t),
+nrm AS (SELECT image_id, layer, q, k, CASE WHEN {discard} = 0 THEN w ELSE w / (sum(w) OVER (PARTITION BY image_id, layer, q) + 1e-8) END AS w FROM cut), {chain},
+roll AS (SELECT image_id, (k - 1) // 5 AS row, (k - 1) % 5 AS col, w AS score FROM v3 WHERE k > 0)"""
+
+
+def attention(spark, d):
+    """(image_id, layer, head, q, k, w) of the vectors, as in ``ATT``."""
+    patches = patch_features(spark, d)
+    mean = grid.mean_vector(patches, ("image_id",)).select("image_id", F.lit(0).cast("long").alias("t"), F.col("prototype").alias("f"))
+    tokens = patches.select("image_id", (1 + F.col("row") * 5 + F.col("col")).cast("long").alias("t"), F.col("features").alias("f")).unionByName(mean)
+    layers = F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(h).alias("head")) for i in range(4) for h in range(2)])
+    sides = lambda n: tokens.select("image_id", F.col("t").alias(n), F.inline(layers), F.col("f").alias(f"f{n}")).withColumn(f"f{n}", F.expr(f"slice(f{n}, 8 * layer + 4 * head + 1, 4)"))
+    pairs = sides("q").join(sides("k"), ["image_id", "layer", "head"])
+    return grid.softmax_attention(pairs.select("image_id", "layer", "head", "q", "k", dot(F.col("fq"), F.col("fk")).alias("score")), 4)
+
+
+@query(f"WITH {PF}, {ATT}, {rollout_sql(0)} SELECT a.image_id, a.q, b.k, round(sum(a.w * b.w), 6) + 0.0 AS w FROM nrm a JOIN nrm b ON a.image_id = b.image_id AND a.layer = 0 AND b.layer = 1 AND a.k = b.q GROUP BY ALL")
+def rollout_product(spark, d):
+    two = grid.reduce_heads(attention(spark, d).filter("layer < 2"))
+    return rounded_score(grid.rollout(two, starts=F.lit(True)), "w")
 
 
-@query(f"WITH {ATT}, {NORM} SELECT a.image_id, a.q, b.k, round(sum(a.w * b.w), 6) + 0.0 AS w FROM nrm a JOIN nrm b ON a.image_id = b.image_id AND a.layer = 0 AND b.layer = 1 AND a.k = b.q GROUP BY ALL")
-def rollout_product(spark, d):
-    return rounded_score(grid.rollout(attention(spark)), "w")
+@query(f"WITH {PF}, {ATT}, {rollout_sql(0.3, 3)} SELECT image_id, row, col, round(score, 6) + 0.0 AS score FROM roll")
+def rollout_discard(spark, d):
+    """The last three layers, of which the smallest 70 % of weights go."""
+    return rounded_score(cls_rollout(attention(spark, d), 5, last_layers=3, discard=0.3).select("image_id", "row", "col", "score"))
 
 
 @query(f"WITH {EV}, s AS (SELECT row, col, avg(score) AS m, coalesce(stddev_samp(score), 0) + 1e-5 AS s FROM ev WHERE image_id % 2 = 0 GROUP BY ALL) SELECT event_id, round(abs(score - m) / s, 6) + 0.0 AS deviation FROM ev JOIN s USING (row, col) WHERE image_id % 2 = 1")
