@@ -2,7 +2,8 @@
 
 A bank whose size is known to fit is broadcast as one matrix and queries stream past it in one map stage. A larger bank is
 cut into blocks; every block meets the query blocks in a keyed join, and the k best of each block are merged. Both score
-all pairs by block products. ``strategy="sql"`` writes the same as plain expressions over pairs, for small inputs.
+all pairs by block products. ``strategy="sql"`` writes the same as plain expressions over pairs, for small inputs, and
+``strategy="cells"`` prunes by the triangle inequality, for banks that have clusters (module ``cells``).
 """
 
 from __future__ import annotations
@@ -59,12 +60,20 @@ def _nearest(ids, groups, vectors, bank_ids, bank_groups, bank, k: int, metric:
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "cosine", strategy: str = "auto", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``query_id, bank_id, dist, rank`` for (id, features[, grp]) tables. A query's candidates are all bank rows whose ``grp``
-    differs from its own (no column: all). Fewer candidates give fewer rows."""
+    differs from its own (no column: all). Fewer candidates give fewer rows. ``strategy`` is ``auto``, ``blocks``, ``sql`` or
+    ``cells``, which meets only the cells of the bank that can hold a neighbour (query ids must be distinct) and adds
+    ``compared``, the bank rows that the query was held against."""
     have = "grp" in queries.columns and "grp" in bank.columns
     q = queries.select("id", (F.col("grp") if have else F.lit(-1)).cast("long").alias("grp"), "features").filter("features IS NOT NULL")
     b = bank.select("id", (F.col("grp") if have else F.lit(-2)).cast("long").alias("grp"), "features").filter("features IS NOT NULL")
     if strategy == "sql":
         return _by_expressions(q, b, k, metric)
+    if strategy == "cells":
+        from .cells import pruned
+
+        found, compared = pruned(q, b, k, metric)
+        w = Window.partitionBy("query_id").orderBy("dist", "bank_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).join(compared, "query_id")
     size = b.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] * 8
     found = _broadcast(q, b, k, metric) if size <= limit_bytes and strategy != "blocks" else _blocks(q, b, k, metric)
     w = Window.partitionBy("query_id").orderBy("dist", "bank_id")
