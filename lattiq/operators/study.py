@@ -84,6 +84,21 @@ def contamination_conditions(spark: SparkSession) -> DataFrame:
     return rows.unionByName(spark.createDataFrame([(0, "none")], "rate int, composition string"))
 
 
+def contamination_plan(spark: SparkSession, clean: DataFrame, defects: DataFrame) -> DataFrame:
+    """The contamination conditions with what a pool of defect patches (class_id) has for each (``available``: a class's patches,
+    all for ``random``, and as many of each class as the rarest has for ``class_balanced``) and how many a bank of the clean
+    patches gets (``added``: the rate's share of the grown bank, halves to even, at least one of what there is)."""
+    per = defects.groupBy("class_id").agg(F.count("*").alias("n"))
+    have = per.select(F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("composition"), F.col("n").alias("available"))
+    have = have.unionByName(per.agg(F.sum("n").alias("available")).select(F.lit("random").alias("composition"), "available"))
+    have = have.unionByName(per.agg((F.min("n") * F.count("*")).alias("available")).select(F.lit("class_balanced").alias("composition"), "available"))
+    rows = contamination_conditions(spark).join(F.broadcast(have), "composition", "left").crossJoin(F.broadcast(clean.agg(F.count("*").alias("n"))))
+    rows = rows.withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
+    share = F.bround(F.col("rate") / (100.0 - F.col("rate")) * F.col("n"), 0).cast("long")
+    added = F.when((F.col("rate") == 0) | (F.col("available") == 0), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.least(share, F.col("available"))))
+    return rows.select("rate", "composition", "available", added.alias("added"))
+
+
 def held_out_matrix(spark: SparkSession, folds: Sequence[int], seeds: Sequence[int], conditions: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f, s, c) for f in folds for s in seeds for c in conditions], "fold int, seed int, condition string")
 

@@ -7,72 +7,96 @@ from pyspark.sql import functions as F
 from ..functions.scalars import shown
 from ..operators import bank, geometry, maps, sampling, study
 from ..sources import readers
-from ..sources.tables import annotations, event_scores, patch_features, patch_scores, runs, table
+from ..sources.tables import MASK_SIDE, annotations, event_scores, patch_features, patch_scores, runs, table
 from .registry import EV, PF, PS, RUNS, query, rank_sql
 from .score_queries import show
 
-ANN = "ann AS (SELECT * FROM (VALUES ('img_a', 1, '3 2 10 1'), ('img_a', 3, '257 4'), ('img_b', 2, '1 256'), ('img_c', 1, NULL)) t(image_id, class_id, rle))"
-PX = f"{ANN}, nums AS (SELECT image_id, class_id, list_transform(string_split(rle, ' '), lambda x: x::BIGINT) AS v FROM ann WHERE rle IS NOT NULL), px AS (SELECT DISTINCT image_id, class_id, unnest(range(v[2 * i + 1] - 1, v[2 * i + 1] - 1 + v[2 * i + 2])) AS px FROM nums, range(0, 8) t(i) WHERE 2 * i + 2 <= len(v))"
+#: Masks of images of 64 by 64 pixels, as text and as pixels.
+ANN = """ev0 AS (SELECT user_id AS image_id, (event_id % 4 + 1)::INTEGER AS class_id, floor(abs(value) * 40)::BIGINT % 4000 AS s, event_id % 37 + 1 AS n FROM events),
+ann AS (SELECT image_id, class_id, string_agg((s + 1) || ' ' || n, ' ' ORDER BY s, n) AS rle FROM ev0 GROUP BY ALL
+ UNION ALL SELECT DISTINCT user_id, 5, CASE user_id % 3 WHEN 1 THEN '' WHEN 2 THEN ' NaN ' END FROM events WHERE user_id % 7 = 0)"""
+PX = f"""{ANN}, nums AS (SELECT image_id, class_id, list_transform(string_split(rle, ' '), lambda x: x::BIGINT) AS v FROM ann WHERE class_id < 5),
+px AS (SELECT DISTINCT image_id, class_id, unnest(range(a - 1, a - 1 + n)) AS px FROM (SELECT image_id, class_id, v[2 * i + 1] AS a, v[2 * i + 2] AS n FROM (SELECT *, unnest(range(len(v) // 2)) AS i FROM nums)))"""
 
 
-@query(f"WITH {PX} SELECT image_id, class_id, px, px % 256 AS y, px // 256 AS x FROM px")
+def masks(spark, d):
+    return annotations(spark, d).filter(readers.has_rle(F.col("rle")))
+
+
+def mask_pixels(spark, d):
+    return geometry.rle_pixels(masks(spark, d), MASK_SIDE)
+
+
+@query(f"WITH {PX} SELECT image_id, class_id, px, px % 64 AS y, px // 64 AS x FROM px")
 def rle_decode(spark, d):
-    return geometry.rle_pixels(annotations(spark), 256)
+    return mask_pixels(spark, d)
 
 
-@query(f"WITH {ANN} SELECT image_id, class_id, rle FROM ann WHERE rle IS NOT NULL")
+@query(f"""WITH {PX}, i AS (SELECT image_id, class_id, px, px - row_number() OVER (PARTITION BY image_id, class_id ORDER BY px) AS island FROM px),
+r AS (SELECT image_id, class_id, min(px) + 1 AS s, count(*) AS n FROM i GROUP BY image_id, class_id, island) SELECT image_id, class_id, string_agg(s || ' ' || n, ' ' ORDER BY s) AS rle FROM r GROUP BY ALL""")
 def rle_encode(spark, d):
-    return geometry.rle_encode(geometry.rle_pixels(annotations(spark), 256))
+    """Overlapping and touching runs become one."""
+    return geometry.rle_encode(mask_pixels(spark, d))
 
 
-OV = f"{PX}, n AS (SELECT image_id, class_id, (px % 256) // 14 AS row, (px // 256) // 14 AS col, count(*) / 196.0::DOUBLE AS o FROM px GROUP BY ALL), keys AS (SELECT DISTINCT image_id, class_id FROM px), ov AS (SELECT image_id, class_id, row, col, coalesce(o, 0) AS overlap FROM keys CROSS JOIN range(18) r(row) CROSS JOIN range(4) c(col) LEFT JOIN n USING (image_id, class_id, row, col))"
+OV = f"""{PX}, n AS (SELECT image_id, class_id, (px % 64) // 8 AS row, (px // 64) // 8 AS col, count(*) / 64.0::DOUBLE AS o FROM px GROUP BY ALL), keys AS (SELECT DISTINCT image_id, class_id FROM px),
+ov AS (SELECT image_id, class_id, row, col, coalesce(o, 0) AS overlap FROM keys CROSS JOIN range(8) r(row) CROSS JOIN range(8) c(col) LEFT JOIN n USING (image_id, class_id, row, col))"""
 
 
-def overlaps(spark):
-    px = geometry.rle_pixels(annotations(spark), 256)
-    return geometry.patch_overlap(px, px, 18, 4, 14)
+def overlaps(spark, d):
+    px = mask_pixels(spark, d)
+    return geometry.patch_overlap(px, px, 8, 8, 8)
 
 
 @query(f"WITH {OV} SELECT image_id, class_id, row, col, round(overlap, 6) AS overlap FROM ov")
 def rle_overlap(spark, d):
-    return show(overlaps(spark), "overlap")
+    return show(overlaps(spark, d), "overlap")
 
 
-for _rule, _sql in (("any_overlap", "overlap > 0"), ("overlap_ratio_threshold", "overlap >= 0.02"), ("majority_vote", "overlap > 0.5")):
+for _rule, _sql in (("any_overlap", "overlap > 0"), ("overlap_ratio_threshold", "overlap >= 0.25"), ("majority_vote", "overlap > 0.5")):
     query(f"WITH {OV} SELECT image_id, class_id, row, col, {_sql} AS label FROM ov", f"patch_label_{_rule}")(
-        lambda spark, d, rule=_rule: overlaps(spark).select("image_id", "class_id", "row", "col", geometry.patch_label(F.col("overlap"), rule, 0.02).alias("label"))
+        lambda spark, d, rule=_rule: overlaps(spark, d).select("image_id", "class_id", "row", "col", geometry.patch_label(F.col("overlap"), rule, 0.25).alias("label"))
     )
 
 
-@query(f"WITH {OV} SELECT ov.image_id, ov.class_id, ov.row, ov.col, c.image_id IS NOT NULL AS label FROM ov LEFT JOIN (SELECT DISTINCT image_id, class_id, (px % 256) // 14 AS row, (px // 256) // 14 AS col FROM px WHERE (px % 256) % 14 = 7 AND (px // 256) % 14 = 7) c USING (image_id, class_id, row, col)")
+@query(f"WITH {OV} SELECT ov.image_id, ov.class_id, ov.row, ov.col, c.image_id IS NOT NULL AS label FROM ov LEFT JOIN (SELECT DISTINCT image_id, class_id, (px % 64) // 8 AS row, (px // 64) // 8 AS col FROM px WHERE (px % 64) % 8 = 4 AND (px // 64) % 8 = 4) c USING (image_id, class_id, row, col)")
 def patch_label_center(spark, d):
-    hits = geometry.center_hits(geometry.rle_pixels(annotations(spark), 256), 14)
-    rows = overlaps(spark).join(hits, ["image_id", "class_id", "row", "col"], "left")
+    hits = geometry.center_hits(mask_pixels(spark, d), 8)
+    rows = overlaps(spark, d).join(hits, ["image_id", "class_id", "row", "col"], "left")
     return rows.select("image_id", "class_id", "row", "col", geometry.patch_label(F.col("overlap"), "center_point", center=F.col("center")).alias("label"))
 
 
-@query(f"WITH {OV}, u AS (SELECT image_id, 0 AS class_id, row, col, least(sum(overlap), 1) AS overlap FROM ov GROUP BY ALL), a AS (SELECT * FROM ov UNION ALL SELECT * FROM u) SELECT image_id, row, col, max(CASE WHEN class_id = 0 AND overlap >= 0.01 THEN 1.0 ELSE 0.0 END)::DOUBLE AS binary, coalesce(arg_max(class_id - 1, (overlap, -class_id)) FILTER (class_id > 0 AND overlap >= 0.01), -1)::INTEGER AS multiclass FROM a GROUP BY ALL")
+@query(f"""WITH {OV}, u AS (SELECT image_id, 0 AS class_id, row, col, least(sum(overlap), 1) AS overlap FROM ov GROUP BY ALL), a AS (SELECT * FROM ov UNION ALL SELECT * FROM u)
+SELECT image_id, row, col, max(CASE WHEN class_id = 0 AND overlap >= 0.2 THEN 1.0 ELSE 0.0 END)::DOUBLE AS binary,
+ coalesce(arg_max(class_id - 1, (overlap, -class_id)) FILTER (class_id > 0 AND overlap >= 0.2), -1)::INTEGER AS multiclass FROM a GROUP BY ALL""")
 def multiclass_target(spark, d):
-    rows = overlaps(spark)
+    rows = overlaps(spark, d)
     union = rows.groupBy("image_id", "row", "col").agg(F.least(F.sum("overlap"), F.lit(1.0)).alias("overlap")).withColumn("class_id", F.lit(0))
-    return geometry.multiclass_target(rows.unionByName(union), 0.01)
+    return geometry.multiclass_target(rows.unionByName(union), 0.2)
 
 
-@query(f"WITH {PX}, b AS (SELECT t.y, y2, t.x, x2, image_id, class_id FROM (SELECT image_id, class_id, px % 256 AS y2, px // 256 AS x2 FROM px WHERE image_id = 'img_a') s, (SELECT y, x FROM range(0, 448) a(y), range(0, 8) b(x)) t WHERE floor(t.y * 256 / 448) = y2 AND floor(t.x * 4 / 8) = x2) SELECT image_id, class_id, y, x FROM b WHERE y < 448 AND x < 8")
+@query(f"""WITH {PX}, ys AS (SELECT t, floor(t * 64 / 96)::BIGINT AS s FROM range(90) r(t)), xs AS (SELECT t, floor(t * 64 / 80)::BIGINT AS s FROM range(75) r(t))
+SELECT image_id, class_id, ys.t AS y, xs.t AS x FROM px JOIN ys ON ys.s = px % 64 JOIN xs ON xs.s = px // 64""")
 def mask_resize(spark, d):
-    px = geometry.rle_pixels(annotations(spark), 256).filter("image_id = 'img_a'")
-    return geometry.resized(px, 256, 4, 448, 8, 448, 8)
+    """To 96 rows and 80 columns, of which 90 and 75 stay."""
+    return geometry.resized(mask_pixels(spark, d), MASK_SIDE, MASK_SIDE, 96, 80, 90, 75)
 
 
-@query("SELECT h::BIGINT AS height, w::BIGINT AS width, ph - ph % 14 AS proc_height, pw - pw % 14 AS proc_width, (ph - ph % 14) // 14 AS grid_rows, (pw - pw % 14) // 14 AS grid_cols FROM (SELECT h, w, CASE WHEN h < w THEN 448 ELSE round_even(h * 448 / w, 0)::BIGINT END AS ph, CASE WHEN h < w THEN round_even(w * 448 / h, 0)::BIGINT ELSE 448 END AS pw FROM (VALUES (256::DOUBLE, 1600::DOUBLE), (900, 900), (1024, 700), (333, 777)) t(h, w))")
+SIZE = "sz AS (SELECT p_partkey, (200 + p_size * 20)::BIGINT AS h, 100 + p_partkey * 7 % 1500 AS w FROM part)"
+
+
+@query(f"""WITH {SIZE}, p AS (SELECT *, CASE WHEN h < w THEN 448 ELSE round_even(h * 448 / w, 0)::BIGINT END AS ph, CASE WHEN h < w THEN round_even(w * 448 / h, 0)::BIGINT ELSE 448 END AS pw FROM sz)
+SELECT p_partkey, h AS height, w AS width, ph - ph % 14 AS proc_height, pw - pw % 14 AS proc_width, (ph - ph % 14) // 14 AS grid_rows, (pw - pw % 14) // 14 AS grid_cols FROM p""")
 def grid_shape(spark, d):
-    rows = spark.createDataFrame([(256, 1600), (900, 900), (1024, 700), (333, 777)], "height long, width long")
+    rows = table(spark, d, "part").select("p_partkey", (200 + F.col("p_size") * 20).cast("long").alias("height"), (100 + F.col("p_partkey") * 7 % 1500).alias("width"))
     return rows.withColumns(geometry.grid_shape(F.col("height"), F.col("width")))
 
 
-@query("SELECT * FROM (VALUES ('img_a', [1, 3]), ('img_b', [2]), ('img_d', []::INTEGER[])) t(image_id, classes)")
+@query(f"""WITH {ANN}, f AS (SELECT image_id, list_sort(list(DISTINCT class_id)) AS classes FROM ann WHERE lower(trim(rle)) NOT IN ('', 'nan') GROUP BY 1)
+SELECT c_custkey AS image_id, coalesce(classes, []) AS classes FROM customer LEFT JOIN f ON image_id = c_custkey""")
 def class_index(spark, d):
-    return readers.class_index(annotations(spark), spark.createDataFrame([("img_a",), ("img_b",), ("img_d",)], "image_id string"))
+    """Customers are the known images; users who are none are left out."""
+    return readers.class_index(annotations(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("image_id")))
 
 
 @query(f"WITH {PF} SELECT vec_id, [row, col, row * 14, col * 14, (row + 1) * 14, (col + 1) * 14] AS box FROM pf")
@@ -80,6 +104,12 @@ def patch_boxes(spark, d):
     return patch_features(spark, d).select("vec_id", geometry.patch_box(F.col("row"), F.col("col"), 14).alias("box"))
 
 
+def part_counts(spark, d):
+    """Clean patches, and defects of the candidates."""
+    rows = patch_features(spark, d)
+    return {"clean": rows.filter("role = 'clean'"), "defects": rows.filter("role = 'candidate' AND is_defect")}
+
+
 META = "im AS (SELECT l_orderkey AS image_id, bool_or(l_returnflag = 'R') AS has_defect FROM lineitem GROUP BY 1)"
 
 
@@ -208,15 +238,22 @@ def hierarchical_bootstrap(spark, d):
     return study.bootstrap(study.long_metrics(runs(spark, d), METRICS), ["metric"], n_boot=500, group="condition")
 
 
-@query("SELECT rate, composition FROM (VALUES (1), (2), (5), (10), (20), (30)) r(rate), (VALUES ('class_1'), ('class_2'), ('class_3'), ('class_4'), ('random'), ('class_balanced')) c(composition) UNION ALL SELECT 0, 'none'")
+@query(f"""WITH {PF}, n AS (SELECT count(*) AS n FROM pf WHERE role = 'clean'), p AS (SELECT class_id FROM pf WHERE role = 'candidate' AND is_defect),
+have AS (SELECT 'class_' || c AS composition, (SELECT count(*) FROM p WHERE class_id = c) AS have FROM range(1, 5) r(c) UNION ALL SELECT 'random', count(*) FROM p
+ UNION ALL SELECT 'class_balanced', coalesce(min(k), 0) * count(*) FROM (SELECT count(*) AS k FROM p GROUP BY class_id)),
+m AS (SELECT rate, composition, have FROM (VALUES (1), (2), (5), (10), (20), (30)) r(rate), have UNION ALL SELECT 0, 'none', 0)
+SELECT rate, composition, have AS available, CASE WHEN rate = 0 OR have = 0 THEN 0 ELSE greatest(1, least(round_even(rate / (100.0 - rate) * n, 0)::BIGINT, have)) END AS added FROM m, n""")
 def condition_matrix(spark, d):
-    return study.contamination_conditions(spark)
+    rows = part_counts(spark, d)
+    return study.contamination_plan(spark, rows["clean"], rows["defects"])
 
 
-@query("SELECT f::INTEGER AS fold, s::INTEGER AS seed, c AS condition FROM range(5) a(f), range(42, 47) b(s), (VALUES ('clean'), ('auto')) t(c) WHERE NOT (f = 0 AND s = 42) ORDER BY 1, 2, 3")
+@query(f"""WITH {RUNS} SELECT f::INTEGER AS fold, s::INTEGER AS seed, c AS condition FROM range(2) a(f), range(1, 10) b(s), (VALUES ('A'), ('N'), ('R'), ('X')) t(c)
+WHERE NOT EXISTS (SELECT 1 FROM runs WHERE fold = f AND seed = s AND condition = c)""")
 def open_jobs(spark, d):
-    jobs = study.held_out_matrix(spark, range(5), range(42, 47), ["clean", "auto"]).select("condition", "fold", "seed")
-    return study.open_jobs(jobs, spark.createDataFrame([(0, 42)], "fold int, seed int")).select("fold", "seed", "condition")
+    """Of two folds, nine seeds and four conditions, those that no line of an order is a run of."""
+    jobs = study.held_out_matrix(spark, range(2), range(1, 10), ["A", "N", "R", "X"])
+    return study.open_jobs(jobs, runs(spark, d).select("fold", "seed", "condition")).select("fold", "seed", "condition")
 
 
 @query(f"WITH {EV}, z AS (SELECT event_id, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-8) AS z1, (row - avg(row) OVER w) / (stddev_pop(row) OVER w + 1e-8) AS z2, is_defect FROM ev WINDOW w AS (PARTITION BY image_id)), g AS (SELECT i / 10.0::DOUBLE AS weight, i / 10.0::DOUBLE * z1 + (1 - i / 10.0::DOUBLE) * z2 AS s, is_defect FROM z, range(11) t(i)) SELECT weight, round(avg(s) FILTER (is_defect) - avg(s) FILTER (NOT is_defect), 6) + 0.0 AS gap FROM g GROUP BY 1")

@@ -171,6 +171,12 @@ def contamination_replacement(spark, d):
     return bank.contaminate_by_replacement(part(spark, d, "clean").select("id", "class_id"), pool, 0.1, 3)
 
 
+@query(f"WITH {PF}, {PAIRS} SELECT query_id, bank_id, rank, round(dist, 6) + 0.0 AS dist FROM d WHERE rank <= 3")
+def knn_cells(spark, d):
+    """Three neighbours, by cells of the bank."""
+    return show(knn.nearest(part(spark, d, "query"), part(spark, d, "clean"), 3, strategy="cells").select("query_id", "bank_id", "rank", "dist"), "dist")
+
+
 def dist_to(where: str, alias: str) -> str:
     return f"(SELECT q.vec_id AS id, min({DIST}) AS {alias} FROM pf q, pf b WHERE q.role = 'query' AND {where} GROUP BY 1)"
 

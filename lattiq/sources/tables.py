@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import doubles
 
 ANNOTATION = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("class_id", T.IntegerType()), T.StructField("rle", T.StringType())])
-#: Run-length annotations of images of 256 rows: 1-based starts and lengths, column by column.
-EXAMPLES = [("img_a", 1, "3 2 10 1"), ("img_a", 3, "257 4"), ("img_b", 2, "1 256"), ("img_c", 1, None)]
+#: Rows and columns of the images that ``annotations`` are masks of.
+MASK_SIDE = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.round(F.avg("l_discount"), 6).alias("auprc"), F.round(F.avg("l_tax"), 6).alias("auroc"))
 
 
-def annotations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXAMPLES, ANNOTATION)
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-length masks (1-based starts and lengths, column by column) of images of ``MASK_SIDE`` rows and columns: user = image,
+    id of the event modulo 4 = class, each event a run from a place given by its value; every seventh user has a mask
+    without runs, too."""
+    rows = table(spark, sf_dir, "events")
+    start = F.pmod(F.floor(F.abs("value") * 40).cast("long"), F.lit(4000))
+    runs_ = rows.select(F.col("user_id").alias("image_id"), (F.col("event_id") % 4 + 1).cast("int").alias("class_id"), F.struct(start.alias("s"), (F.col("event_id") % 37 + 1).alias("n")).alias("r"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat_ws(" ", (r["s"] + 1).cast("string"), r["n"].cast("string"))), " ")
+    masks = runs_.groupBy("image_id", "class_id").agg(text.alias("rle"))
+    blank = rows.filter("user_id % 7 = 0").select(F.col("user_id").alias("image_id")).distinct()
+    none = F.when(F.col("image_id") % 3 == 1, "").when(F.col("image_id") % 3 == 2, " NaN ")
+    return masks.unionByName(blank.select("image_id", F.lit(5).alias("class_id"), none.alias("rle")))
