@@ -8,7 +8,7 @@ from ..functions.scalars import shown
 from ..operators import bank, geometry, maps, sampling, study
 from ..sources import readers
 from ..sources.tables import MASK_SIDE, annotations, event_scores, patch_features, patch_scores, runs, table
-from .registry import EV, PF, PS, RUNS, query, rank_sql
+from .registry import CAND, EV, PF, PS, RUNS, query, rank_sql
 from .score_queries import show
 
 #: Masks of images of 64 by 64 pixels, as text and as pixels.
@@ -273,10 +273,21 @@ def patches_per_image(spark, d):
 
 
 @query(f"WITH {PF} SELECT class_id, count(*) AS n, count(*) FILTER (is_defect) AS defects, count(DISTINCT image_id) AS images FROM pf GROUP BY 1")
-def bank_statistics(spark, d):
+def bank_classes(spark, d):
     return bank.class_counts(patch_features(spark, d))
 
 
+@query(f"""WITH {PF}, {CAND}, c AS (SELECT count(*) AS n_clean FROM pf WHERE role = 'clean'), k AS (SELECT count(*) AS n_candidates, count(*) FILTER (score <= 0.6) AS accepted FROM cand)
+SELECT n_clean, n_candidates, n_clean + accepted AS bank_size, accepted, n_candidates - accepted AS rejected, round(accepted / n_candidates::DOUBLE, 6) AS acceptance FROM c, k""")
+def bank_statistics(spark, d):
+    """Of the bank that takes candidates up to a distance of 0.6."""
+    from .vector_queries import candidates
+
+    clean, more = part_counts(spark, d)["clean"].withColumnRenamed("vec_id", "id").withColumn("score", F.lit(0.0)), candidates(spark, d)
+    cols = ["id", "class_id", "is_defect", "score"]
+    return show(bank.bank_stats(clean, more, bank.compose(clean.select(*cols), more.select(*cols), "auto_purified", threshold=0.6)), "acceptance")
+
+
 @query(f"WITH {EV} SELECT image_id, max(score) AS vmax FROM ev WHERE NOT is_defect GROUP BY 1")
 def object_vmax(spark, d):
     return maps.colour_limits(event_scores(spark, d), "image_id")

@@ -211,15 +211,16 @@ def au_pro(spark, d):
     return show(ranking.pro_area(regions(spark, d), 0.3), "area")
 
 
-TOP = f"{EV}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC) AS n, count(*) OVER (PARTITION BY image_id) AS m FROM ev), im AS (SELECT image_id, avg(score) FILTER (n <= greatest(floor(m * 0.05), 1)) AS top_mean, max(score) AS top, bool_or(is_defect) AS is_defect FROM r GROUP BY 1)"
+def top_sql(share: float) -> str:
+    return f"{EV}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC) AS n, count(*) OVER (PARTITION BY image_id) AS m FROM ev), im AS (SELECT image_id, avg(score) FILTER (n <= greatest(floor(m * {share}), 1)) AS top_mean, max(score) AS top, bool_or(is_defect) AS is_defect FROM r GROUP BY 1)"
 
 
-@query(f"WITH {TOP} SELECT image_id, round(top_mean, 6) AS top_mean, top, is_defect FROM im")
+@query(f"WITH {top_sql(0.01)} SELECT image_id, round(top_mean, 6) AS top_mean, top, is_defect FROM im")
 def top1p_score(spark, d):
-    return show(ranking.image_scores(event_scores(spark, d), share=0.05), "top_mean")
+    return show(ranking.image_scores(event_scores(spark, d)), "top_mean")
 
 
-@query(f"WITH {TOP}, f AS (SELECT round(top_mean, 6) AS score, top >= 95 AS is_defect FROM im), {curve_sql('f')} SELECT {RANK} FROM c")
+@query(f"WITH {top_sql(0.05)}, f AS (SELECT round(top_mean, 6) AS score, top >= 95 AS is_defect FROM im), {curve_sql('f')} SELECT {RANK} FROM c")
 def image_classification(spark, d):
     per = ranking.image_scores(event_scores(spark, d), share=0.05).select(F.round("top_mean", 6).alias("score"), (F.col("top") >= 95).alias("is_defect"))
     return show(ranking.ranking(per), "auroc", "average_precision", "f1_max")

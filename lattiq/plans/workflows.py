@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import code, shown
+from ..functions.scalars import shown
 from ..operators import bank, calibration, knn, ranking, sampling
 from .registry import CAND, DIST, PF, query, rank_sql
 from .score_queries import RANK, curve_sql, show
@@ -143,9 +143,10 @@ def _few_shot(spark, d):
     return show(few_shot_images(q, part(spark, d, "clean"), 0.1), *SHOWN)
 
 
-@query(f"WITH {PF} SELECT vec_id AS id, {rank_sql('order', 1, 'vec_id')} AS rank FROM pf", "hash_rank")
+@query(f"WITH {PF} SELECT vec_id AS id, class_id, row_number() OVER (PARTITION BY class_id ORDER BY {rank_sql('order', 1, 'vec_id')}, vec_id) - 1 AS rank FROM pf", "hash_rank")
 def _hash_rank(spark, d):
-    return part(spark, d, "query", "clean", "candidate", "unused").select("id", code("order", 1, F.col("id")).alias("rank"))
+    rows = part(spark, d, "query", "clean", "candidate", "unused").select("id", "class_id")
+    return sampling.hash_rank(rows, "order", 1, "id", ["class_id"])
 
 
 @query(f"WITH {PF}, {CAND}, l AS (SELECT round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr FROM cand) SELECT * FROM l", "robust_calibration")
