@@ -19,7 +19,7 @@ from ..functions.scalars import dot, norm, squared_distance
 BROADCAST_BYTES = 128 << 20
 #: Bytes of vectors that a block of either side holds, so that both sides of a larger search are copied about equally.
 BLOCK_BYTES = 32 << 20
-#: Bytes of distances that a task of ``mutual_scores`` holds.
+#: Bytes of counts that a task of ``mutual_scores`` holds.
 HELD_BYTES = 128 << 20
 FOUND = "query_id long, bank_id long, dist double"
 MUTUAL = "id long, grp long, score double"
@@ -178,11 +178,14 @@ def _low_mean(other: np.ndarray, n: int) -> float | None:
 
 def mutual_scores(rows: DataFrame, q: float, metric: str = "cosine") -> DataFrame:
     """Zero-shot scores: each patch against all patches of other images; the mean of distances strictly below the int(q n)-th
-    smallest. Null where that is none. Up to ``BROADCAST_BYTES`` all patches are broadcast; more go in blocks."""
+    smallest. Null where that is none. Up to ``BROADCAST_BYTES`` all patches are broadcast; more go in passes over blocks
+    (module ``mutual``)."""
     shared = rows.select("id", F.col("grp").cast("long").alias("grp"), "features")
     size = shared.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] * 8
     if size > BROADCAST_BYTES:
-        return _mutual_blocks(shared, q, metric)
+        from .mutual import in_passes
+
+        return in_passes(shared, q, metric, HELD_BYTES)
     table = shared.toArrow().combine_chunks()
     held = rows.sparkSession.sparkContext.broadcast((table.column("grp").to_numpy(), _matrix(table.column("features").combine_chunks())))
 
@@ -198,52 +201,3 @@ def mutual_scores(rows: DataFrame, q: float, metric: str = "cosine") -> DataFram
             yield pa.RecordBatch.from_arrays([ids, x.column(1), pa.array(out, pa.float64())], ["id", "grp", "score"])
 
     return shared.mapInArrow(score, MUTUAL)
-
-
-def _mutual_blocks(rows: DataFrame, q: float, metric: str) -> DataFrame:
-    """The patches of one block, then all patches, come in a row to the task of that block, which keeps the int(q n) smallest
-    distances of each patch as they pass. Blocks are of so many patches that these take about ``HELD_BYTES``."""
-    counts = rows.groupBy("grp").agg(F.count("*").alias("own"))
-    total = counts.agg(F.sum("own")).first()[0]
-    blocks = -(-total // max(1, HELD_BYTES // (8 * max(1, int(q * total)))))
-    asked = rows.join(counts, "grp", "left").select(
-        F.pmod(F.xxhash64("id", "grp"), F.lit(blocks)).cast("int").alias("blk"), F.lit(0).alias("kind"), "id", "grp", "features", (F.lit(total) - F.coalesce("own", F.lit(0))).alias("n")
-    )
-    every = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(1).alias("kind"), "id", "grp", "features", F.lit(0).cast("long").alias("n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = asked.unionByName(every).repartition(max(parts, min(blocks, 4096)), "blk").sortWithinPartitions("blk", "kind")
-
-    def score(batches):
-        now, mine, seen = None, [], None
-
-        def ended():
-            t = pa.Table.from_batches(mine)
-            out = [_low_mean(low, int(q * n)) for low, n in zip(seen, t.column("n").to_numpy())]
-            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("id", "grp")] + [pa.array(out, pa.float64())], ["id", "grp", "score"])
-
-        for x in batches:
-            blk, kind = x.column(0).to_numpy(), x.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((blk[1:] != blk[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), x.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if blk[a] != now:
-                    if mine:
-                        yield ended()
-                    now, mine, seen = blk[a], [], None
-                if kind[a] == 0:
-                    mine.append(x.slice(a, b - a))
-                elif mine:
-                    if seen is None:
-                        t = pa.Table.from_batches(mine).combine_chunks()
-                        own, vec, need = t.column("grp").to_numpy(), _matrix(t.column("features").combine_chunks()), (q * t.column("n").to_numpy()).astype(np.int64)
-                        seen = [np.array([])] * len(own)
-                    there, bank = x.column(3).slice(a, b - a).to_numpy(zero_copy_only=False), _matrix(x.column(4).slice(a, b - a))
-                    for i in range(0, len(own), 256):
-                        for j, d in enumerate(distances(vec[i : i + 256], bank, metric), i):
-                            d = np.concatenate([seen[j], d[there != own[j]]])
-                            seen[j] = np.partition(d, need[j] - 1)[: need[j]].copy() if 1 <= need[j] < len(d) else d if need[j] else d[:0]
-        if mine:
-            yield ended()
-
-    return sent.mapInArrow(score, MUTUAL)
