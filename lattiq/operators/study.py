@@ -1,14 +1,14 @@
-"""Reports over runs: paired contrasts, seed summaries, bootstrap intervals, condition tables."""
+"""Reports over runs: paired contrasts, seed summaries, conditions; bootstrap intervals come from ``bootstrap``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bootstrap import bootstrap, condition_table  # noqa: F401
+
 #: Contamination rates in percent, and compositions of the contamination study.
 RATES = (1, 2, 5, 10, 20, 30)
 COMPOSITIONS = ("class_1", "class_2", "class_3", "class_4", "random", "class_balanced")
@@ -53,31 +53,6 @@ def control_rank(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w))
 
 
-def _interval(means: np.ndarray) -> tuple[float, float]:
-    return tuple(np.percentile(means, [2.5, 97.5]))
-
-
-def bootstrap(rows: DataFrame, keys: Sequence[str], value: str = "value", n_boot: int = 2000, seed: int = 0, group: str | None = None) -> DataFrame:
-    """Mean with a percentile interval per key; with ``group``, groups are drawn first, then rows of each. A key's values are the
-    results of runs, one task's worth; draws are made a bounded number at a time."""
-    schema = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", n long, mean double, ci_low double, ci_high double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values([*([group] if group else []), value])
-        rng, v = np.random.default_rng(seed), pdf[value].to_numpy()
-        if not len(v):
-            return pd.DataFrame()
-        if group:
-            parts = [g[value].to_numpy() for _, g in pdf.groupby(group)]
-            means = [np.concatenate([parts[i][rng.integers(0, len(parts[i]), len(parts[i]))] for i in rng.integers(0, len(parts), len(parts))]).mean() for _ in range(n_boot)]
-        else:
-            means = [v[rng.integers(0, len(v), len(v))].mean() for _ in range(n_boot)]
-        low, high = _interval(np.array(means))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": len(v), "mean": v.mean(), "ci_low": low, "ci_high": high})
-
-    return rows.select(*keys, value, *([group] if group and group not in keys else [])).groupBy(*keys).applyInPandas(one, schema)
-
-
 def contamination_conditions(spark: SparkSession) -> DataFrame:
     """Rates by compositions, and one shared condition of rate 0."""
     rows = spark.createDataFrame([(r,) for r in RATES], "rate int").join(spark.createDataFrame([(c,) for c in COMPOSITIONS], "composition string"), F.lit(True))

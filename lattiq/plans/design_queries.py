@@ -238,6 +238,13 @@ def hierarchical_bootstrap(spark, d):
     return study.bootstrap(study.long_metrics(runs(spark, d), METRICS), ["metric"], n_boot=500, group="condition")
 
 
+@query()
+def condition_table(spark, d):
+    """Every image is a run, its largest class the condition: mean and largest score."""
+    rows = patch_scores(spark, d).groupBy("image_id").agg(F.max("class_id").alias("condition"), F.avg("score").alias("mean_score"), F.max("score").alias("top_score"))
+    return show(study.condition_table(rows, ["mean_score", "top_score"], n_boot=500), "mean", "ci_low", "ci_high")
+
+
 @query(f"""WITH {PF}, n AS (SELECT count(*) AS n FROM pf WHERE role = 'clean'), p AS (SELECT class_id FROM pf WHERE role = 'candidate' AND is_defect),
 have AS (SELECT 'class_' || c AS composition, (SELECT count(*) FROM p WHERE class_id = c) AS have FROM range(1, 5) r(c) UNION ALL SELECT 'random', count(*) FROM p
  UNION ALL SELECT 'class_balanced', coalesce(min(k), 0) * count(*) FROM (SELECT count(*) AS k FROM p GROUP BY class_id)),
