@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import code, finite, ratio0
 from .coreset import greedy, squares
-from .order import first_n, percentiles, ranked
+from .order import first_n, hash_rank, percentiles, ranked
 
 #: Composition modes.
 MODES = ("clean", "contaminated_all", "class_balanced_all", "oracle_purified", "auto_purified", "random_filtered", "fixed_ratio_trim")
@@ -124,9 +124,9 @@ def contaminate_by_replacement(clean: DataFrame, pool: DataFrame, rate: float, s
     are no more slots than rows in the pool."""
     n, have = clean.count(), pool.count()
     slots = min(round(rate * n), have)
-    rank = lambda ns, rows, size: ranked(rows, [code(ns, seed, F.col("id")), F.col("id")], size, "__rank").filter(F.col("__rank") < slots)
-    chosen = rank("slot", clean.select("id"), n)
-    donors = rank("donor", pool, have).select("__rank", *[F.col(c).alias(f"__d_{c}") for c in pool.columns])
+    first = lambda ns, rows: hash_rank(rows, ns, seed, "id").withColumnRenamed("rank", "__rank").filter(F.col("__rank") < slots)
+    chosen = first("slot", clean.select("id"))
+    donors = first("donor", pool).select("__rank", *[F.col(c).alias(f"__d_{c}") for c in pool.columns])
     put = clean.join(chosen.join(donors, "__rank").drop("__rank"), "id", "left")
     hit = F.col("__d_id").isNotNull()
     cols = [F.when(hit, F.col(f"__d_{c}")).otherwise(F.col(c)).alias(c) for c in clean.columns if c != "id"]
@@ -157,6 +157,12 @@ def overlap_rule(overlap: Column, rule: str) -> Column:
     return {"any": overlap > 0, "ratio_10": overlap >= 0.10, "ratio_50": overlap >= 0.50}[rule]
 
 
+def overlap_counts(df: DataFrame, threshold: float, keys: tuple[str, ...] = (), overlap: str = "overlap") -> DataFrame:
+    """How many known overlaps are above the threshold (``above``) and at or above it (``reached``), of how many (``n``)."""
+    o = F.col(overlap)
+    return df.groupBy(*keys).agg(F.count(o).alias("n"), F.count_if(o > threshold).alias("above"), F.count_if(o >= threshold).alias("reached"))
+
+
 def rejection_quality(df: DataFrame, truth: Column, rejected: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Normal retention, anomaly rejection recall, rejected precision and final contamination, 0 on zero denominators."""
     t, r = truth, rejected

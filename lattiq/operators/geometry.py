@@ -100,6 +100,23 @@ def multiclass_target(overlaps: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def patch_labels(annotations: DataFrame, images: DataFrame, height: int, width: int, patch: int, rule: str = "any_overlap", threshold: float = 0.5, resize: tuple[int, int] | None = None) -> DataFrame:
+    """(image_id, class_id, row, col, overlap, label): run-length masks of ``height`` x ``width`` pixels, resized if asked for, as labels of
+    every patch of every image and of each class that any mask has; class 0 is any of them. Images without masks have
+    labels of false."""
+    px = rle_pixels(annotations, height)
+    px = mask_union(px).unionByName(px)
+    high, wide = resize or (height, width)
+    rows, cols = high // patch, wide // patch
+    classes = px.select("class_id").distinct().unionByName(annotations.sparkSession.createDataFrame([(0,)], "class_id int")).distinct()
+    keys = images.select("image_id").distinct().join(F.broadcast(classes), F.lit(True))  # classes are a short list
+    shown = px.select("image_id", "class_id", "y", "x") if resize is None else resized(px, height, width, high, wide, rows * patch, cols * patch)
+    shown = shown.filter((F.col("y") < rows * patch) & (F.col("x") < cols * patch))
+    found = patch_overlap(shown, keys, rows, cols, patch).join(center_hits(shown, patch), ["image_id", "class_id", "row", "col"], "left")
+    label = patch_label(F.col("overlap"), rule, threshold, F.col("center"))
+    return found.select("image_id", "class_id", "row", "col", "overlap", label.alias("label"))
+
+
 def _label(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
     """Component numbers of cells of one image, by least label with pointer jumping."""
     place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist()))}

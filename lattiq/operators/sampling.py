@@ -11,21 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import code
 from .bank import MODES, first_by
-from .order import ranked
-
-
-def hash_rank(items: DataFrame, namespace: str, seed: int, ident: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ``rank`` from 0 by sha256 code, ties by id, within ``keys``. Codes are even, so their first digits cut the rows into
-    4,096 parts: counts of parts are cumulated, then rows are ranked inside each part."""
-    rows = items.withColumn("__c", code(namespace, seed, F.col(ident))).withColumn("__b", F.substring("__c", 1, 3))
-    heads = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    ahead = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__h"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
-    match = F.col("__b") == F.col("__h")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__c", ident)) - 1
-    return rows.withColumn("rank", inside).join(heads, match).withColumn("rank", F.col("rank") + F.col("__before")).drop("__c", "__b", "__h", "__before", *[f"__k{i}" for i in range(len(keys))])
+from .order import hash_rank, ranked
 
 
 def hash_folds(items: DataFrame, k: int, seed: int, label: str | None = None, ident: str = "image_id") -> DataFrame:

@@ -99,6 +99,25 @@ def class_index(spark, d):
     return readers.class_index(annotations(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("image_id")))
 
 
+@query(f"""WITH {PX}, im AS (SELECT c_custkey AS image_id FROM customer), cl AS (SELECT DISTINCT class_id FROM px UNION SELECT 0), a AS (SELECT image_id, class_id, px FROM px UNION SELECT image_id, 0, px FROM px),
+n AS (SELECT image_id, class_id, (px % 64) // 16 AS row, (px // 64) // 16 AS col, count(*) / 256.0::DOUBLE AS o FROM a GROUP BY ALL)
+SELECT im.image_id, cl.class_id, r.row, c.col, round(coalesce(o, 0), 6) AS overlap, coalesce(o, 0) >= 0.1 AS label FROM im CROSS JOIN cl CROSS JOIN range(4) r(row) CROSS JOIN range(4) c(col) LEFT JOIN n ON n.image_id = im.image_id AND n.class_id = cl.class_id AND n.row = r.row AND n.col = c.col""")
+def patch_labels(spark, d):
+    """From run-length text to the labels of every patch of every known image."""
+    images = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"))
+    return show(geometry.patch_labels(masks(spark, d), images, MASK_SIDE, MASK_SIDE, 16, "overlap_ratio_threshold", 0.1), "overlap")
+
+
+@query(f"WITH {ANN}, f AS (SELECT image_id, list_sort(list(DISTINCT class_id)) AS classes FROM ann WHERE lower(trim(rle)) NOT IN ('', 'nan') GROUP BY 1) SELECT c_custkey AS image_id, classes, true AS has_defect FROM customer JOIN f ON image_id = c_custkey WHERE list_contains(classes, 2)")
+def images_with_class(spark, d):
+    return readers.with_defects(table(spark, d, "customer").select(F.col("c_custkey").alias("image_id")), annotations(spark, d), 2)
+
+
+@query(f"WITH {OV} SELECT class_id, count(*) AS n, count(*) FILTER (overlap > 0.25) AS above, count(*) FILTER (overlap >= 0.25) AS reached FROM ov GROUP BY 1")
+def overlap_counts(spark, d):
+    return bank.overlap_counts(overlaps(spark, d), 0.25, ("class_id",))
+
+
 @query(f"WITH {PF} SELECT vec_id, [row, col, row * 14, col * 14, (row + 1) * 14, (col + 1) * 14] AS box FROM pf")
 def patch_boxes(spark, d):
     return patch_features(spark, d).select("vec_id", geometry.patch_box(F.col("row"), F.col("col"), 14).alias("box"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import maps, ranking, study
+from ..functions.scalars import norm
+from ..operators import maps, ranking, study, tiles
 from ..sources.tables import event_scores, patch_features, patch_scores, table
 from .registry import EV, PF, PS, query
 from .score_queries import RANK, curve_sql, show
@@ -37,6 +38,32 @@ def smooth_map(spark, d):
     return show(maps.smooth(pixels(spark, d).withColumnRenamed("value", "score"), None, 8, 1.0), "score")
 
 
+def line_sql(name: str, cells: int, size: int) -> str:
+    """How much each of the cells of a line counts at each pixel: bilinear, then a Gaussian of sigma 1 with mirrored ends."""
+    return f"""{name}p AS (SELECT t, w, CASE WHEN m >= {size} THEN {2 * size - 1} - m ELSE m END AS p FROM (SELECT t, w, (t + a + {2 * size}) % {2 * size} AS m FROM range({size}) r(t), tw)),
+{name}c AS (SELECT t, w, least(greatest((p + 0.5::DOUBLE) * {cells} / {size} - 0.5, 0), {cells - 1}) AS c FROM {name}p),
+{name} AS (SELECT t, k, sum(w * greatest(0, 1 - abs(c - k))) AS w FROM {name}c, range({cells}) r(k) GROUP BY ALL)"""
+
+
+MAP = f"""{PF}, sc AS (SELECT image_id, row, col, sqrt(list_inner_product(features, features)) AS v FROM pf), g AS (SELECT a, exp(-a * a / 2.0) AS e FROM range(-4, 5) r(a)), tw AS (SELECT a, e / sum(e) OVER () AS w FROM g),
+{line_sql('ly', 4, 40)}, {line_sql('lx', 5, 50)}, mp AS (SELECT image_id, ly.t AS y, lx.t AS x, sum(v * ly.w * lx.w) AS score FROM sc JOIN ly ON ly.k = row AND ly.w > 0 JOIN lx ON lx.k = col AND lx.w > 0 GROUP BY ALL)"""
+
+
+def norms(spark, d):
+    return patch_features(spark, d).select("image_id", "row", "col", norm(F.col("features")).alias("score"))
+
+
+@query(f"WITH {MAP} SELECT image_id, y, x, round(score, 6) AS score FROM mp")
+def distance_map(spark, d):
+    """Grids of 4 by 5 as maps of 40 by 50 pixels, in tiles of 16."""
+    return show(tiles.distance_map(norms(spark, d), 4, 5, 40, 50, 1.0, 16), "score")
+
+
+@query(f"WITH {MAP} SELECT image_id, round(max(score), 6) AS score FROM mp GROUP BY 1")
+def max_of_map(spark, d):
+    return show(tiles.max_of_map(norms(spark, d), 4, 5, 40, 50, 1.0, 16), "score")
+
+
 @query()
 def pca_colours(spark, d):
     return show(maps.pca_colours(patch_features(spark, d)), "r", "g", "b")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import shown
 from ..operators import bank, calibration, knn, ranking, sampling
+from ..operators.shared import written
+from ..operators.study import COMPOSITIONS
 from .registry import CAND, DIST, PF, query, rank_sql
 from .score_queries import RANK, curve_sql, show
-from .vector_queries import candidates, part
+from .vector_queries import MODES, candidates, part
 
 SHOWN = ("auroc", "average_precision", "f1_max")
 
@@ -22,16 +24,74 @@ def scored(queries: DataFrame, bank_: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("query_id"), "image_id", "is_defect").join(found, "query_id")
 
 
+def ranked_banks(queries: DataFrame, banks: DataFrame, key: str) -> DataFrame:
+    """One row per bank: ranking metrics and ``bank_size``, all banks (``key``, features) in one search. Banks are a short list."""
+    names = {r[0]: i for i, r in enumerate(sorted(banks.select(key).distinct().collect()))}
+    number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    rows = banks.withColumn("class_id", number[F.col(key)])
+    found = knn.class_scores(queries, rows.select("id", "class_id", "features")).select("query_id", F.col("class_id").alias("bank_no"), shown(F.col("dist")).alias("score"))
+    labelled = queries.select(F.col("id").alias("query_id"), "is_defect").join(found, "query_id")
+    metrics = ranking.ranking(labelled, keys=["bank_no"])
+    sizes = rows.groupBy(key, F.col("class_id").alias("bank_no")).agg(F.count("*").alias("bank_size"))
+    return metrics.join(F.broadcast(sizes), "bank_no").drop("bank_no")
+
+
 def composition_study(queries: DataFrame, clean: DataFrame, pool: DataFrame, modes: Sequence[str], **how) -> DataFrame:
-    """One row per mode: bank size and ranking metrics on the queries. ``pool`` has each candidate's distance as ``score``."""
-    out = None
-    base = clean.withColumn("score", F.lit(0.0))
+    """One row per mode: bank size and ranking metrics on the queries. ``pool`` has each candidate's distance as ``score``. The banks are
+    written to the shared folder."""
+    banks, base = None, clean.withColumn("score", F.lit(0.0))
     for mode in modes:
-        made = bank.compose(base, pool.select(*base.columns), mode, **how)
-        size = made.agg(F.count("*").alias("bank_size"))
-        row = ranking.ranking(scored(queries, made)).crossJoin(size).withColumn("mode", F.lit(mode))
-        out = row if out is None else out.unionByName(row)
-    return out
+        made = bank.compose(base, pool.select(*base.columns), mode, **how).select(F.lit(mode).alias("mode"), "id", "features")
+        banks = made if banks is None else banks.unionByName(made)
+    return ranked_banks(queries, written(banks, "banks"), "mode")
+
+
+def composed_pool(defects: DataFrame, composition: str, seed: int) -> DataFrame:
+    """Defect patches of a composition: ``class_N`` alone, all (``random``), or as many of each class as the rarest has, by hash rank
+    (``class_balanced``)."""
+    if composition.startswith("class_") and composition != "class_balanced":
+        return defects.filter(F.col("class_id") == int(composition.removeprefix("class_")))
+    if composition == "random":
+        return defects
+    if composition != "class_balanced":
+        raise ValueError(f"unknown composition {composition}")
+    least = defects.groupBy("class_id").count().agg(F.min("count").alias("__least"))
+    rows = sampling.hash_rank(defects, "balance", seed, "id", ["class_id"]).crossJoin(F.broadcast(least))
+    return rows.filter(F.col("rank") < F.col("__least")).drop("rank", "__least")
+
+
+def contamination_study(queries: DataFrame, clean: DataFrame, defects: DataFrame, rates: Sequence[float], compositions: Sequence[str], seed: int) -> DataFrame:
+    """One row per composition and rate, with a clean bank of rate 0: ranking metrics with banks contaminated by replacement, how many
+    of their rows are anomalous, and for how many queries the nearest row is one (``traced``). All banks go in one search."""
+    cols = ["id", "class_id", "features"]
+    banks = clean.select(F.lit("none:0").alias("bank"), "id", F.lit("clean").alias("source"), "features")
+    for name in compositions:
+        pool = composed_pool(defects.select(*cols), name, seed)
+        for rate in rates:
+            made = bank.contaminate_by_replacement(clean.select(*cols), pool, rate, seed)
+            banks = banks.unionByName(made.select(F.lit(f"{name}:{rate:g}").alias("bank"), "id", "source", "features"))
+    banks = written(banks, "banks")
+    metrics = ranked_banks(queries, banks, "bank")
+    both = banks.withColumn("half", F.concat_ws("|", "bank", "source"))
+    names = {r[0]: i for i, r in enumerate(sorted(both.select("half").distinct().collect()))}
+    number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    near = knn.class_scores(queries, both.select("id", number[F.col("half")].alias("class_id"), "features"))
+    back = F.create_map(*[F.lit(x) for n, i in names.items() for x in (i, n)])
+    near = near.withColumn("half", F.split(back[F.col("class_id")], r"\|")).select("query_id", F.col("half")[0].alias("bank"), F.col("half")[1].alias("source"), "dist")
+    wins = near.groupBy("bank", "query_id").agg(F.min(F.when(F.col("source") == "anomalous", F.col("dist"))).alias("a"), F.min(F.when(F.col("source") == "clean", F.col("dist"))).alias("c"))
+    traced = wins.groupBy("bank").agg(F.count_if(F.col("a").isNotNull() & (F.col("c").isNull() | (F.col("a") < F.col("c")))).alias("traced"))
+    counts = banks.groupBy("bank").agg(F.count_if(F.col("source") == "anomalous").alias("anomalous"))
+    rows = metrics.join(F.broadcast(counts), "bank").join(F.broadcast(traced), "bank")
+    return rows.withColumn("composition", F.substring_index("bank", ":", 1)).withColumn("rate", F.substring_index("bank", ":", -1).cast("double")).drop("bank")
+
+
+def zero_shot(patches: DataFrame, q: float, share: float = 0.01) -> DataFrame:
+    """Without references: each patch against all other images (``mutual_scores``), image scores as the mean of the top share of
+    patches, and their ranking against any(label). One row."""
+    scores = knn.mutual_scores(patches.withColumn("grp", F.col("image_id")), q).select("id", "score")
+    rows = patches.select("id", "image_id", "is_defect").join(scores, "id")
+    per = ranking.image_scores(rows, share=share)
+    return ranking.ranking(per.select(shown(F.col("top_mean")).alias("score"), "is_defect"))
 
 
 def contamination_curve(queries: DataFrame, clean: DataFrame, pool: DataFrame, rates: Sequence[float], seed: int) -> DataFrame:
@@ -85,10 +145,7 @@ def held_out_classes(classes: Sequence[int]) -> list[dict]:
     return [{"held_out": c, "classes": [x for x in classes if x != c]} for c in classes]
 
 
-MODE_ROWS = {
-    "clean": "SELECT id FROM clean", "contaminated_all": "SELECT id FROM clean UNION ALL SELECT id FROM cand",
-    "oracle_purified": "SELECT id FROM clean UNION ALL SELECT id FROM cand WHERE NOT is_defect", "auto_purified": "SELECT id FROM clean UNION ALL SELECT id FROM cand WHERE score <= 0.6",
-}
+MODE_ROWS = {m: f"SELECT id FROM clean UNION ALL SELECT id FROM ({sql})" for m, (sql, _) in MODES.items()}
 STUDY = f"WITH {PF}, {CAND}, clean AS (SELECT vec_id AS id FROM pf WHERE role = 'clean'), bk AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, id FROM ({s})" for m, s in MODE_ROWS.items()) + f"""),
 s AS (SELECT mode, q.vec_id, q.is_defect, round(min({DIST}), 6) AS score FROM pf q, pf b, bk WHERE q.role = 'query' AND b.vec_id = bk.id GROUP BY ALL), {curve_sql('s', 'mode')}
 SELECT mode, (SELECT count(*) FROM bk WHERE bk.mode = c.mode) AS bank_size, {RANK} FROM c GROUP BY mode"""
@@ -98,7 +155,7 @@ SELECT mode, (SELECT count(*) FROM bk WHERE bk.mode = c.mode) AS bank_size, {RAN
 def _composition(spark, d):
     cols = ["id", "image_id", "row", "col", "class_id", "is_defect", "features"]
     pool = candidates(spark, d).select("id", "score").join(part(spark, d, "candidate").select(*cols), "id")
-    rows = composition_study(part(spark, d, "query"), part(spark, d, "clean").select(*cols), pool, list(MODE_ROWS), threshold=0.6, allow_oracle=True)
+    rows = composition_study(part(spark, d, "query"), part(spark, d, "clean").select(*cols), pool, list(MODE_ROWS), threshold=0.6, fraction=0.2, allow_oracle=True)
     return show(rows, *SHOWN)
 
 
@@ -114,6 +171,38 @@ def _contamination(spark, d):
     return show(contamination_curve(part(spark, d, "query"), part(spark, d, "clean"), pool, [0.0, 0.1, 0.3], 3), *SHOWN)
 
 
+CONTAMINATION = f"""WITH {PF}, od AS (SELECT vec_id AS id, class_id FROM pf WHERE role = 'candidate' AND is_defect),
+bal AS (SELECT id, row_number() OVER (PARTITION BY class_id ORDER BY {rank_sql('balance', 3, 'id')}, id) AS b FROM od), least AS (SELECT min(k) AS k FROM (SELECT count(*) AS k FROM od GROUP BY class_id)),
+pl AS (SELECT 'class_' || c AS composition, id FROM od, range(1, 5) r(c) WHERE class_id = c UNION ALL SELECT 'random', id FROM od UNION ALL SELECT 'class_balanced', id FROM bal, least WHERE b <= k),
+o AS (SELECT composition, id, row_number() OVER (PARTITION BY composition ORDER BY {rank_sql('donor', 3, 'id')}, id) AS r, count(*) OVER (PARTITION BY composition) AS m FROM pl),
+s0 AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {rank_sql('slot', 3, 'vec_id')}, vec_id) AS r, count(*) OVER () AS n FROM pf WHERE role = 'clean'),
+cr AS (SELECT composition, rate FROM (SELECT DISTINCT composition FROM pl), (VALUES (0.1::DOUBLE), (0.3)) t(rate)),
+bk AS (SELECT cr.composition, rate, coalesce(o.id, s0.id) AS id, o.id IS NOT NULL AS bad FROM cr CROSS JOIN s0 LEFT JOIN o ON o.composition = cr.composition AND o.r = s0.r AND s0.r <= least(round_even(rate * n, 0), m)
+ UNION ALL SELECT 'none', 0, id, false FROM s0),
+s1 AS (SELECT composition, rate, q.vec_id, q.is_defect, min({DIST}) AS d, min({DIST}) FILTER (bad) AS da, min({DIST}) FILTER (NOT bad) AS dc FROM pf q, pf b, bk WHERE q.role = 'query' AND b.vec_id = bk.id GROUP BY ALL),
+s AS (SELECT composition || ':' || rate AS key, round(d, 6) AS score, is_defect FROM s1), {curve_sql('s', 'key')}, k AS (SELECT key, {RANK} FROM c GROUP BY key),
+x AS (SELECT composition, rate, composition || ':' || rate AS key, count(*) FILTER (da < coalesce(dc, 9)) AS traced FROM s1 GROUP BY ALL), z AS (SELECT composition || ':' || rate AS key, count(*) AS bank_size, count(*) FILTER (bad) AS anomalous FROM bk GROUP BY ALL)
+SELECT composition, rate::DOUBLE AS rate, bank_size, anomalous, traced, * EXCLUDE (composition, rate, bank_size, anomalous, traced, key) FROM k JOIN x USING (key) JOIN z USING (key)"""
+
+
+@query(CONTAMINATION, "contamination_study")
+def _contamination_study(spark, d):
+    """All compositions that have patches, at two rates."""
+    defects = part(spark, d, "candidate").filter("is_defect")
+    rows = contamination_study(part(spark, d, "query"), part(spark, d, "clean"), defects, [0.1, 0.3], COMPOSITIONS, 3)
+    return show(rows, *SHOWN)
+
+
+@query(f"""WITH {PF}, n AS (SELECT count(*) AS n FROM pf), own AS (SELECT image_id, count(*) AS own FROM pf GROUP BY 1),
+d AS (SELECT q.vec_id, q.image_id, {DIST} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}) AS r, floor(0.1 * (n - own))::BIGINT AS need FROM pf q JOIN own USING (image_id), pf b, n WHERE q.image_id <> b.image_id),
+cut AS (SELECT vec_id, dist AS c FROM d WHERE r = need), m AS (SELECT d.vec_id, d.image_id, avg(dist) AS score FROM d JOIN cut USING (vec_id) WHERE dist < c GROUP BY ALL),
+r AS (SELECT m.image_id, m.score, is_defect AND class_id = 4 AS is_defect, row_number() OVER (PARTITION BY m.image_id ORDER BY m.score DESC) AS i, count(*) OVER (PARTITION BY m.image_id) AS k FROM m JOIN pf USING (vec_id)),
+s AS (SELECT image_id, round(avg(score) FILTER (i <= greatest(floor(k * 0.1), 1)), 6) AS score, bool_or(is_defect) AS is_defect FROM r GROUP BY 1), {curve_sql('s')} SELECT {RANK} FROM c""", "zero_shot_images")
+def _zero_shot(spark, d):
+    rows = part(spark, d, "query", "clean", "candidate", "unused").withColumn("is_defect", F.col("is_defect") & (F.col("class_id") == 4))
+    return show(zero_shot(rows, 0.1, 0.1), *SHOWN)
+
+
 @query(f"WITH {PF}, s AS (SELECT q.vec_id, round(min({DIST}), 6) + 0.0 AS score FROM pf q, pf b WHERE q.role = 'clean' AND b.role = 'clean' AND q.image_id <> b.image_id GROUP BY 1) SELECT vec_id AS query_id, score FROM s", "cross_fit_scores")
 def _cross_fit(spark, d):
     return show(cross_fit(part(spark, d, "clean")), "score")

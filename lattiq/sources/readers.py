@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import ANNOTATION
 
@@ -73,6 +74,12 @@ def class_index(annotations: DataFrame, images: DataFrame) -> DataFrame:
     return images.select("image_id").distinct().join(found, "image_id", "left").select("image_id", F.coalesce("classes", F.array().cast("array<int>")).alias("classes"))
 
 
+def with_defects(images: DataFrame, annotations: DataFrame, class_id: int | None = None) -> DataFrame:
+    """Known images with their sorted ``classes`` and ``has_defect``; only those that have ``class_id``, if it is given."""
+    rows = class_index(annotations, images).withColumn("has_defect", F.size("classes") > 0)
+    return rows if class_id is None else rows.filter(F.array_contains("classes", class_id))
+
+
 def load_folds(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
     """Fold map (JSON object image -> fold) as rows; ids without a fold are an error if ``images`` is given."""
     text = spark.read.text(path, wholetext=True)
@@ -92,8 +99,11 @@ def load_metrics(spark: SparkSession, root: str, fields: Mapping[str, str], excl
 
 
 def strict_runs(runs: DataFrame, expected: Mapping[str, object]) -> DataFrame:
-    """``runs`` if every row has the expected provenance, else an error."""
-    bad = [n for n, v in expected.items() if runs.filter(~F.col(n).eqNullSafe(F.lit(v))).limit(1).count()]
+    """``runs`` if every row has the expected provenance, else an error; all fields are checked in one pass."""
+    if not expected:
+        return runs
+    counts = runs.agg(*[F.count_if(~F.col(n).eqNullSafe(F.lit(v))).alias(n) for n, v in expected.items()]).first().asDict()
+    bad = [n for n in expected if counts[n]]
     if bad:
         raise ValueError(f"runs differ from what is expected in {', '.join(bad)}")
     return runs
@@ -104,6 +114,36 @@ def bundles(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     return spark.read.parquet(*dict.fromkeys(patterns)).withColumn("path", F.input_file_name())
 
 
+#: Columns of the four kinds of bundles.
+BUNDLES = {
+    "scores": "image_id string, row int, col int, score double, valid boolean",
+    "rejections": "bank string, image_id string, row int, col int, overlap double, score double, rejected boolean",
+    "distances": "image_id string, row int, col int, distance double",
+    "selection": "bank_index long, image_id string, row int, col int, class_id int, source string",
+}
+
+
+def bundle(spark: SparkSession, patterns: Sequence[str], kind: str) -> DataFrame:
+    """Bundles of one kind, with exactly its columns and ``path``. A missing column, one that can't be cast without loss of kind
+    (text for a number), or a null in a key (``image_id``, ``row``, ``col``) is an error."""
+    if kind not in BUNDLES:
+        raise ValueError(f"unknown bundle {kind}; known: {', '.join(BUNDLES)}")
+    rows = bundles(spark, patterns)
+    want = spark.createDataFrame([], BUNDLES[kind]).schema
+    have = {f.name: f.dataType for f in rows.schema}
+    missing = [f.name for f in want if f.name not in have]
+    if missing:
+        raise ValueError(f"a bundle of {kind} lacks {', '.join(missing)}")
+    family = lambda t: "text" if isinstance(t, T.StringType) else "flag" if isinstance(t, T.BooleanType) else "number" if isinstance(t, T.NumericType) else t.simpleString()
+    wrong = [f.name for f in want if family(have[f.name]) != family(f.dataType)]
+    if wrong:
+        raise ValueError(f"a bundle of {kind} has other kinds of values in {', '.join(wrong)}")
+    keys = [c for c in ("image_id", "row", "col") if c in want.names]
+    if not rows.filter(" OR ".join(f"{c} IS NULL" for c in keys)).isEmpty():
+        raise ValueError(f"a bundle of {kind} has rows without a place")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want], "path")
+
+
 def match_legacy(spark: SparkSession, root: str) -> DataFrame:
     """Test images, their ground-truth masks (null for good ones) and score maps, matched by object, kind and stem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")

@@ -71,6 +71,13 @@ def ordered_columns(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
     return df.select(*first, *[c for c in df.columns if c not in first])
 
 
+def gap_csv(runs: DataFrame, oracle: str, auto: str, metrics: Sequence[str], path: str, keys: Sequence[str] = ("fold", "seed")) -> None:
+    """The differences between the oracle's and the automatic condition's runs as one CSV table: keys, metric, both values, gap."""
+    o, a = (runs.filter(F.col("condition") == c).unpivot(list(keys), list(metrics), "metric", n) for c, n in ((oracle, "oracle"), (auto, "auto")))
+    rows = o.join(a, [*keys, "metric"]).withColumn("gap", F.col("oracle") - F.col("auto"))
+    rows.orderBy(*keys, "metric").coalesce(1).write.mode("overwrite").csv(path, header=True)  # one row a run and metric
+
+
 def merge_rows(prior: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
     """Rows by name: new values replace old ones in their old place, new names follow in their order (column ``ord``)."""
     latest = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ord")))).filter("__n = 1").drop("__n")
