@@ -42,3 +42,22 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(most))
+
+
+def placed(spark: SparkSession, writer, path: str) -> bool:
+    """Saves by a ``DataFrameWriter`` beside ``path``, then moves the whole there, so that what is at ``path`` is complete; what is
+    there already stays. Whether it was moved."""
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}.aside"
+    writer.save(aside)
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target) and files.rename(source, target):
+        return True
+    files.delete(source, True)
+    return False
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

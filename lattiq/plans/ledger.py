@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bootstrap import condition_table
+from ..operators.shared import placed, present
 from ..operators.study import held_out_matrix
 
 
@@ -33,41 +33,22 @@ class Ledger:
             raise ValueError("a job is listed twice")
         self.mark = fingerprint({"settings": settings, "jobs": self.keys})
         known = self._path("settings")
-        if self._exists(known):
+        if present(self.spark, known):
             found = spark.read.text(known).first()[0]
             if found != self.mark:
                 raise ValueError("the folder holds a study of other settings")
         else:
-            self._placed(spark.createDataFrame([(self.mark,)], "value string").coalesce(1).write.format("text"), known)
+            placed(self.spark, spark.createDataFrame([(self.mark,)], "value string").coalesce(1).write.format("text"), known)
 
     def _path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
 
-    def _files(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        files, p = self._files(path)
-        return files.exists(p)
-
-    def _placed(self, writer, path: str) -> None:
-        """Writes aside, then moves to ``path``; what another run has put there meanwhile stays."""
-        aside = self._path("aside", uuid.uuid4().hex)
-        writer.save(aside)
-        files, source = self._files(aside)
-        target = self._files(path)[1]
-        files.mkdirs(target.getParent())
-        if files.exists(target) or not files.rename(source, target):
-            files.delete(source, True)
-
     def name(self, job: Sequence) -> str:
         return fingerprint({"job": list(job)})[:32]
 
     def open(self) -> list[tuple]:
         """Jobs without a result, in order."""
-        return [j for j in self.jobs if not self._exists(self._path("results", self.name(j)))]
+        return [j for j in self.jobs if not present(self.spark, self._path("results", self.name(j)))]
 
     def run(self, one: Callable[..., DataFrame], limit: int | None = None) -> int:
         """Runs open jobs (at most ``limit``); ``one`` takes a job's columns by name and gives its result table, whose columns must
@@ -79,12 +60,12 @@ class Ledger:
                 raise ValueError(f"results have columns of jobs: {', '.join(sorted(clash))}")
             for k, v in zip(self.keys, job):
                 made = made.withColumn(k, F.lit(v).cast(self.kinds[k]))
-            self._placed(made.write.format("parquet"), self._path("results", self.name(job)))
+            placed(self.spark, made.write.format("parquet"), self._path("results", self.name(job)))
         return len(todo)
 
     def results(self) -> DataFrame:
         """All results in place, with their jobs' columns first; an error while there is none."""
-        done = [self._path("results", self.name(j)) for j in self.jobs if self._exists(self._path("results", self.name(j)))]
+        done = [self._path("results", self.name(j)) for j in self.jobs if present(self.spark, self._path("results", self.name(j)))]
         if not done:
             raise ValueError("no job has a result yet")
         rows = self.spark.read.parquet(*done)
