@@ -28,6 +28,8 @@ from .ragged import U, mix, release
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 #: Positions of a block at most, and bytes of a text that are split into words at once.
 BLOCK, SLICE = 1 << 18, 1 << 20
+#: Bytes of a row group of the index.
+ROW_GROUP = 16 << 20
 #: Bits for each frequent phrase in the array that is broadcast, and bounds of its size (32 MiB at most).
 BITS_EACH, FEWEST, MOST = 16, 1 << 20, 1 << 28
 #: Parts into which each language's candidates go before the last ranking.
@@ -244,7 +246,8 @@ def collocations(
     of any length count whole, in several blocks. An empty table, or one without frequent phrases, gives no rows, and other
     columns play no part.
     """
-    lists = written(index(docs, max_words - 1, text_col, lang_col, block), "postings")
+    # rows are large, and a reader holds a row group at once
+    lists = written(index(docs, max_words - 1, text_col, lang_col, block), "postings", **{"parquet.block.size": str(ROW_GROUP)})
     words = lists.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").cast("long").alias("n"))
     levels, shared = [], []
     for width in range(1, max_words + 1):
