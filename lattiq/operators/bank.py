@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import code, finite, ratio0
 from .coreset import greedy, squares
 from .order import first_n, hash_rank, percentiles, ranked
+from .shared import written
 
 #: Composition modes.
 MODES = ("clean", "contaminated_all", "class_balanced_all", "oracle_purified", "auto_purified", "random_filtered", "fixed_ratio_trim")
@@ -138,9 +139,11 @@ def dual_margin(df: DataFrame, alpha: float, normal: str = "d_n", defect: str =
     return df.withColumn("margin", F.coalesce(F.col(normal) - alpha * F.col(defect), F.col(normal)))
 
 
-def select_anomalies(df: DataFrame, rule: str, *, level: float | None = None, per_image: int | None = None, total: int | None = None, held_out: int | None = None, ident: str = "id", seed: int = 42, allow_oracle: bool = False) -> DataFrame:
+def select_anomalies(df: DataFrame, rule: str, *, level: float | None = None, per_image: int | None = None, cap: int | None = None, total: int | None = None, coreset_size: int | None = None, held_out: int | None = None, ident: str = "id", seed: int = 42, allow_oracle: bool = False) -> DataFrame:
     """Patches for an anomaly memory, from (id, image_id, class_id, overlap, score): an overlap rule (any, ratio_10, ratio_50),
-    without a held-out class, above a percentile of all distances, the most distant of each image, and a cap by hash."""
+    without a held-out class, above a percentile of all distances, the most distant of each image (``per_image``, then ``cap``
+    of each image and class), and last either a coreset of ``coreset_size`` patches of each class (by ``features``) or a cap
+    of ``total`` by hash."""
     if not allow_oracle:
         raise PermissionError("anomaly memories use ground truth; pass allow_oracle=True")
     rows = df if held_out is None else df.withColumn("overlap", F.when(F.col("class_id") == held_out, 0.0).otherwise(F.col("overlap")))
@@ -150,6 +153,12 @@ def select_anomalies(df: DataFrame, rule: str, *, level: float | None = None, pe
         rows = rows.crossJoin(F.broadcast(gate)).filter(F.col("score") >= F.col("__g")).drop("__g")
     if per_image is not None:
         rows = top_distance(rows, per_image, None, ident)
+    if cap is not None:
+        rows = first_by(rows, [-F.col("score"), F.col(ident)], cap, ["image_id", "class_id"])
+    if coreset_size is not None:
+        rows = written(rows, "anomalies")  # the choice reads them in rounds
+        chosen = coreset(rows.withColumnRenamed(ident, "id") if ident != "id" else rows, coreset_size, seed, ("class_id",))
+        return rows.join(chosen.select(F.col("id").alias(ident)), ident, "left_semi")
     return rows if total is None else random_keep(rows, total, "cap", seed, ident)
 
 

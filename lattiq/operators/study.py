@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bankers
 from .bootstrap import bootstrap, condition_table  # noqa: F401
+from .order import hash_rank, percentiles, ranked
+from .shared import written
 
 #: Contamination rates in percent, and compositions of the contamination study.
 RATES = (1, 2, 5, 10, 20, 30)
@@ -74,6 +77,52 @@ def contamination_plan(spark: SparkSession, clean: DataFrame, defects: DataFrame
     return rows.select("rate", "composition", "available", added.alias("added"))
 
 
+#: Acceptance percentiles and trimmed shares of the purification controls, patches of a bank of a fixed budget.
+CONTROL_LEVELS, CONTROL_TRIMS, FINAL_BUDGET = (95.0, 97.5, 99.0, 99.5), (0.05, 0.10, 0.20), 51_200
+
+
+def control_conditions(spark: SparkSession) -> DataFrame:
+    """(name, condition, percentile, trim_fraction) of the purification controls: acceptance at each percentile, as many candidates by
+    chance, and trims of a fixed share."""
+    tag = lambda q: f"{q:g}".replace(".", "_")
+    rows = [(f"{n}_p{tag(q)}", c, q, None) for q in CONTROL_LEVELS for n, c in (("auto", "auto_purified"), ("random_matched", "random_filtered"))]
+    rows += [(f"trim_{round(100 * f)}pct", "fixed_ratio_trim", None, f) for f in CONTROL_TRIMS]
+    return spark.createDataFrame(rows, "name string, condition string, percentile double, trim_fraction double")
+
+
+def budget_conditions(spark: SparkSession, purification: str = "auto_purified", oracle: str = "oracle_purified", optional: bool = True) -> DataFrame:
+    """(name, condition, clean_shots, additional_shots, budget_policy, budget, filter) of the studies of a fixed budget: clean banks of 1
+    to 8 images, the expanded bank in full and by chance, purified expansions of 1, 2 and 4 clean images, and the expansions
+    that a purified one is held against at the same budget."""
+    greedy, none = "greedy_coreset", "none"
+    rows = [(f"clean_{n}", "clean", n, 0, greedy, FINAL_BUDGET, none) for n in (1, 2, 4, 8)]
+    rows += [("expanded_full_2plus8", "contaminated_all", 2, 8, None, None, none), ("expanded_random_budget_2plus8", "contaminated_all", 2, 8, "random", FINAL_BUDGET, none)]
+    rows += [(f"purified_budget_{n}plus8", purification, n, 8, greedy, FINAL_BUDGET, "selected_purification") for n in (1, 2, 4)]
+    rows += [("naive_greedy_budget_2plus8", "contaminated_all", 2, 8, greedy, FINAL_BUDGET, none), ("random20_greedy_budget_2plus8", "random_filtered", 2, 8, greedy, FINAL_BUDGET, "random_reject_20")]
+    rows += [("oracle_greedy_budget_2plus8", oracle, 2, 8, greedy, FINAL_BUDGET, "oracle_overlap")]
+    rows += [("naive_greedy_budget_4plus8", "contaminated_all", 4, 8, greedy, FINAL_BUDGET, none)] if optional else []
+    return spark.createDataFrame(rows, "name string, condition string, clean_shots int, additional_shots int, budget_policy string, budget int, filter string")
+
+
+def control_outcomes(clean: DataFrame, candidates: DataFrame, seed: int = 42) -> DataFrame:
+    """(name, condition, accepted, defects): what each purification control takes of the candidates (id, score, is_defect). Percentiles are
+    of ``clean`` scores, candidates by chance go by hash rank, trims by score, then id."""
+    spark = clean.sparkSession
+    ps = percentiles(clean, "score", [q / 100 for q in CONTROL_LEVELS])
+    rows = written(hash_rank(ranked(candidates.select("id", "score", "is_defect"), [F.col("score"), F.col("id")], name="near"), "matched", seed, "id"), "controls")
+    limits = [F.get("ps", F.lit(i)) for i in range(len(CONTROL_LEVELS))]
+    counts = rows.crossJoin(F.broadcast(ps)).agg(F.first("ps").alias("ps"), F.count("*").alias("n"), F.array(*[F.count_if(F.col("score") <= t) for t in limits]).alias("taken"))
+    cells = []
+    for i, q in enumerate(CONTROL_LEVELS):
+        cells += [(q, "auto_purified", F.col("score") <= limits[i]), (q, "random_filtered", F.col("rank") < F.get("taken", F.lit(i)))]
+    cells += [(f, "fixed_ratio_trim", F.col("near") < bankers((1 - f) * F.col("n"))) for f in CONTROL_TRIMS]
+    key = F.coalesce("percentile", "trim_fraction")
+    kept = F.filter(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(c).alias("condition"), t.alias("taken")) for k, c, t in cells]), lambda s: s["taken"])
+    taken = rows.crossJoin(F.broadcast(counts)).select("is_defect", F.explode(kept).alias("s")).groupBy("s.k", "s.condition").agg(F.count("*").alias("accepted"), F.count_if("is_defect").alias("defects"))
+    names = control_conditions(spark).withColumn("k", key)
+    return names.join(taken, ["k", "condition"], "left").select("name", "condition", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("defects", F.lit(0)).alias("defects"))
+
+
 def held_out_matrix(spark: SparkSession, folds: Sequence[int], seeds: Sequence[int], conditions: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f, s, c) for f in folds for s in seeds for c in conditions], "fold int, seed int, condition string")
 

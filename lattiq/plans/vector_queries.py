@@ -245,7 +245,14 @@ def anomaly_selection_8c(spark, d):
     return bank.select_anomalies(anomalies(spark, d), "ratio_10", per_image=3, total=20, allow_oracle=True).select("id")
 
 
-@query()
+#: Each step keeps every row with its least squared distance to the picks (-1 for a pick); the first of a step is its pick.
+GREEDY = f"""WITH RECURSIVE {PF}, w(pick, id, f, near) AS (SELECT 0, vec_id, features, 'infinity'::DOUBLE FROM pf UNION ALL
+ SELECT pick + 1, id, f, CASE WHEN id = far THEN -1 ELSE least(near, list_sum(list_transform(list_zip(f, far_f), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) END
+ FROM (SELECT *, first_value(id) OVER o AS far, first_value(f) OVER o AS far_f FROM w WINDOW o AS (ORDER BY near DESC, id)) WHERE pick < 24)
+SELECT id, pick::INTEGER AS pick FROM w QUALIFY row_number() OVER (PARTITION BY pick ORDER BY near DESC, id) = 1"""
+
+
+@query(GREEDY)
 def coreset_greedy(spark, d):
     return bank.coreset(patch_features(spark, d).select(F.col("vec_id").alias("id"), "features"), 25)
 

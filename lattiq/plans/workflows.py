@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shown
-from ..operators import bank, calibration, knn, ranking, sampling
+from ..operators import bank, calibration, knn, ranking, sampling, study
 from ..operators.shared import written
 from ..operators.study import COMPOSITIONS
 from .registry import CAND, DIST, PF, query, rank_sql
@@ -241,3 +241,17 @@ def _hash_rank(spark, d):
 @query(f"WITH {PF}, {CAND}, l AS (SELECT round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr FROM cand) SELECT * FROM l", "robust_calibration")
 def _robust(spark, d):
     return show(calibration.robust(candidates(spark, d)), "median", "iqr")
+
+
+@query(f"""WITH {PF}, {CAND}, lo AS (SELECT q.vec_id, round(min({DIST}), 6) + 0.0 AS score FROM pf q, pf b WHERE q.role = 'clean' AND b.role = 'clean' AND q.image_id <> b.image_id GROUP BY 1),
+t AS (SELECT unnest([95.0, 97.5, 99.0, 99.5])::DOUBLE AS q, unnest(quantile_cont(score, [0.95, 0.975, 0.99, 0.995])) AS tau FROM lo),
+r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS near, row_number() OVER (ORDER BY {rank_sql('matched', 42, 'id')}, id) AS drawn, count(*) OVER () AS n FROM cand),
+a AS (SELECT q, count(*) FILTER (score <= tau) AS k, count(*) FILTER (score <= tau AND is_defect) AS d FROM r, t GROUP BY q),
+m AS (SELECT q, count(*) AS k, count(*) FILTER (is_defect) AS d FROM r JOIN a ON drawn <= a.k GROUP BY q),
+f AS (SELECT f, count(*) AS k, count(*) FILTER (is_defect) AS d FROM r, (VALUES (5), (10), (20)) v(f) WHERE near <= round_even((100 - f) / 100.0 * n, 0) GROUP BY f)
+SELECT 'auto_p' || replace(printf('%g', q), '.', '_') AS name, 'auto_purified' AS condition, k AS accepted, d AS defects FROM a
+UNION ALL SELECT 'random_matched_p' || replace(printf('%g', t.q), '.', '_'), 'random_filtered', coalesce(k, 0), coalesce(d, 0) FROM t LEFT JOIN m ON m.q = t.q
+UNION ALL SELECT 'trim_' || f || 'pct', 'fixed_ratio_trim', k, d FROM f""", "control_outcomes")
+def _controls(spark, d):
+    clean = show(cross_fit(part(spark, d, "clean")), "score")
+    return study.control_outcomes(clean, candidates(spark, d))

@@ -71,3 +71,30 @@ def test_coreset_of_groups(spark):
         found = bank.coreset(df, 12, 3, ("g",), one_task).orderBy("g", "pick").collect()
         for g, own in (("a", ids[:100]), ("b", ids[100:140]), (None, ids[140:])):
             assert [r.id for r in found if r.g == g] == plain(own, x[own], 12, 3)
+
+
+def test_anomaly_memory_with_caps_and_coreset(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 3))
+    rows = [(i, i // 30, 1 + i % 2, 0.6, float(x[i, 0]), x[i].tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, image_id int, class_id int, overlap double, score double, features array<double>")
+    capped = bank.select_anomalies(df, "any", per_image=20, cap=6, allow_oracle=True).collect()
+    for image in range(4):
+        for c in (1, 2):
+            top = sorted(range(30 * image, 30 * image + 30), key=lambda i: (-x[i, 0], i))[:20]
+            want = [i for i in top if 1 + i % 2 == c][:6]
+            assert sorted(r.id for r in capped if r.image_id == image and r.class_id == c) == sorted(want)
+    chosen = bank.select_anomalies(df, "any", coreset_size=9, seed=4, allow_oracle=True).collect()
+    for c in (1, 2):
+        own = np.array([i for i in range(120) if 1 + i % 2 == c])
+        assert sorted(r.id for r in chosen if r.class_id == c) == sorted(plain(own, x[own], 9, 4))
+
+
+def test_conditions_of_controls_and_budgets(spark):
+    from lattiq.operators import study
+
+    names = [r.name for r in study.control_conditions(spark).collect()]
+    assert len(names) == 11 and {"auto_p97_5", "random_matched_p99", "trim_5pct"} <= set(names)
+    rows = {r.name: r for r in study.budget_conditions(spark).collect()}
+    assert len(rows) == 13 and rows["expanded_full_2plus8"].budget is None and rows["purified_budget_4plus8"].budget == 51_200
+    assert study.budget_conditions(spark, optional=False).count() == 12
