@@ -46,16 +46,18 @@ def _reached(at: Column, cells: int, size: int, r: int, tile: int) -> Column:
     return F.sequence(F.floor(F.greatest(low, F.lit(0)) / tile), F.floor(F.least(high, F.lit(size - 1)) / tile))
 
 
-def distance_map(patches: DataFrame, rows: int, cols: int, height: int, width: int, sigma: float = 4.0, tile: int = TILE, score: str = "score", largest: bool = False) -> DataFrame:
+def distance_map(patches: DataFrame, rows: int, cols: int, height: int, width: int, sigma: float = 4.0, tile: int = TILE, score: str = "score", largest: bool = False, whole: bool = True) -> DataFrame:
     """(image_id, y, x, score): the scores of grids of ``rows`` x ``cols`` patches (image_id, row, col, score) as maps of ``height`` x
     ``width`` pixels, bilinear and then smoothed; with ``largest`` (image_id, score) of each tile's largest value. Missing
-    patches count as 0; images without any patch have no map."""
+    patches count as 0; images without any patch have no map. Unless maps are ``whole``, pixels that no patch reaches are left
+    out."""
     r = int(4 * sigma + 0.5) if sigma > 0 else 0
     sent = patches.select("image_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(score).cast("double").alias("score"))
     images = sent.select("image_id").distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit((height - 1) // tile)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit((width - 1) // tile))))
     none = images.select("image_id", F.col("ty").cast("long"), F.col("tx").cast("long"), *[F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("col", "long"), ("score", "double"))])
     sent = sent.withColumn("ty", F.explode(_reached(F.col("row"), rows, height, r, tile))).withColumn("tx", F.explode(_reached(F.col("col"), cols, width, r, tile)))
-    sent = sent.select("image_id", "ty", "tx", "row", "col", "score").unionByName(none)  # tiles that no patch reaches are 0
+    sent = sent.select("image_id", "ty", "tx", "row", "col", "score")
+    sent = sent.unionByName(none) if whole else sent  # tiles that no patch reaches are 0
 
     def one(t: pa.Table) -> pa.Table:
         ty, tx = t.column("ty")[0].as_py() * tile, t.column("tx")[0].as_py() * tile
@@ -70,8 +72,12 @@ def distance_map(patches: DataFrame, rows: int, cols: int, height: int, width: i
         m = down @ s @ across.T
         if largest:
             return pa.table({"image_id": t.column("image_id").slice(0, 1), "score": pa.array([m.max()])})
-        at = np.indices(m.shape).reshape(2, -1)
-        return pa.table({"image_id": pa.repeat(t.column("image_id")[0], m.size), "y": at[0] + ty, "x": at[1] + tx, "score": m.reshape(-1)})
+        there = np.ones(s.shape, bool)
+        if not whole:
+            there[:] = False
+            there[y[near], x[near]] = True
+        at = np.nonzero((down > 0).astype(float) @ there @ (across > 0).T.astype(float))
+        return pa.table({"image_id": pa.repeat(t.column("image_id")[0], len(at[0])), "y": at[0] + ty, "x": at[1] + tx, "score": m[at]})
 
     kind = dict(patches.dtypes)["image_id"]
     return sent.groupBy("image_id", "ty", "tx").applyInArrow(one, f"image_id {kind}, score double" if largest else f"image_id {kind}, y long, x long, score double")

@@ -45,3 +45,18 @@ def test_missing_patches_and_wide_gaps(spark):
     want = plain(s, 200, 10, 1.0)
     assert len(got) == 2000 and all(np.isclose(got[y, x], want[y, x], atol=1e-12) for y in range(200) for x in range(10))
     assert tiles.distance_map(df.limit(0), 2, 2, 4, 4).count() == 0
+
+
+def test_registered_map_of_a_grid_with_gaps(spark, tmp_path):
+    """The last image has one patch, so its map has the pixels which that patch reaches, as in the SQL."""
+    import duckdb
+
+    from lattiq.plans import all_oracles, all_queries
+
+    rows = [(i, [float(i % 7) - 3.0, 1.0], i % 10) for i in [*range(20), 27]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT image_id, y, x, score FROM ({all_oracles()['distance_map']})").fetchall()
+    got = [tuple(r) for r in all_queries()["distance_map"](spark, str(tmp_path)).select("image_id", "y", "x", "score").collect()]
+    assert sorted(got) == sorted(want) and 2000 < len(got) < 4000
