@@ -2,7 +2,7 @@
 
 A bank whose size is known to fit is broadcast as one matrix and queries stream past it in one map stage. A larger bank is
 cut into blocks; every block meets the query blocks in a keyed join, and the k best of each block are merged. Both score
-all pairs by block products. ``strategy="sql"`` writes the same as plain expressions over pairs, for small inputs, and
+all pairs by products of pieces, so that a worker holds as many distances for a large bank as for a small one. ``strategy="sql"`` writes the same as plain expressions over pairs, for small inputs, and
 ``strategy="cells"`` prunes by the triangle inequality, for banks that have clusters (module ``cells``).
 """
 
@@ -14,47 +14,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm, squared_distance
+from .shared import small_batches
 
 #: Bytes of a bank (8 a component) up to which it is broadcast.
 BROADCAST_BYTES = 128 << 20
 #: Bytes of vectors that a block of either side holds, so that both sides of a larger search are copied about equally.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Queries and bank rows whose distances a worker holds at once (8 MiB of them), whatever the bank's size.
+QUERIES, BANK_ROWS = 512, 2048
 #: Bytes of counts that a task of ``mutual_scores`` holds.
 HELD_BYTES = 128 << 20
 FOUND = "query_id long, bank_id long, dist double"
 MUTUAL = "id long, grp long, score double"
 
 
+def _ready(m: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as ``_between`` takes them: of length 1 for ``cosine``."""
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if metric == "cosine" else m
+
+
+def _between(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    d = q @ b.T
+    if metric == "cosine":
+        return np.subtract(1.0, d, out=d)
+    d *= -2.0
+    d += (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    return np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+
+
 def distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """``cosine``: 1 - cos with lengths of at least 1e-12; ``l2``: Euclidean."""
-    if metric == "cosine":
-        q, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (q, b))
-        return 1.0 - q @ b.T
-    square = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+    return _between(_ready(q, metric), _ready(b, metric), metric)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+class _Best:
+    """The k nearest bank rows so far of a few queries, by distance and then by bank id."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.row, self.dist, self.bank = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.limit, self.limit_id = np.full(n, np.finfo(float).max), np.full(n, np.iinfo(np.int64).max)
+
+    def take(self, d: np.ndarray, bank_ids: np.ndarray) -> None:
+        if self.k == 1:
+            cut = np.fmin.reduce(d, axis=1)
+        else:
+            at = min(self.k, d.shape[1]) - 1
+            cut = np.partition(d, at, axis=1)[:, at]
+        row, col = np.nonzero(d <= np.fmin(cut, self.limit)[:, None])
+        dist, bank = d[row, col], bank_ids[col]
+        new = (dist < self.limit[row]) | (bank < self.limit_id[row])
+        if not new.any():
+            return
+        row, dist, bank = (np.r_[x, y[new]] for x, y in ((self.row, row), (self.dist, dist), (self.bank, bank)))
+        order = np.lexsort((bank, dist, row))
+        row, dist, bank = row[order], dist[order], bank[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        self.row, self.dist, self.bank = (x[rank < self.k] for x in (row, dist, bank))
+        last = rank == self.k - 1
+        self.limit[row[last]], self.limit_id[row[last]] = dist[last], bank[last]
+
+
 def _nearest(ids, groups, vectors, bank_ids, bank_groups, bank, k: int, metric: str):
     """The k nearest bank rows of each query, ties to smaller bank ids; rows of the query's own group don't count."""
-    out_q, out_b, out_d = [], [], []
-    for i in range(0, len(ids), 512):
-        d = distances(vectors[i : i + 512], bank, metric)
-        d[groups[i : i + 512, None] == bank_groups[None, :]] = np.inf
-        n = min(k, d.shape[1])
-        cut = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-        row, col = np.nonzero((d <= cut) & np.isfinite(d))
-        order = np.lexsort((bank_ids[col], d[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[rank < k], col[rank < k]
-        out_q.append(ids[i : i + 512][row])
-        out_b.append(bank_ids[col])
-        out_d.append(d[row, col])
-    cols = [np.concatenate(x) if x else np.array([], t) for x, t in ((out_q, np.int64), (out_b, np.int64), (out_d, float))]
+    starts = range(0, len(ids), QUERIES)
+    q = [_ready(vectors[i : i + QUERIES], metric) for i in starts]
+    best = [_Best(len(x), k) for x in q]
+    for j in range(0, len(bank_ids), BANK_ROWS):
+        b, b_ids, b_groups = _ready(bank[j : j + BANK_ROWS], metric), bank_ids[j : j + BANK_ROWS], bank_groups[j : j + BANK_ROWS]
+        kinds = np.unique(b_groups)
+        for i, x, found in zip(starts, q, best):
+            own = groups[i : i + QUERIES]
+            d = _between(x, b, metric)
+            if np.isin(own, kinds).any():
+                d[own[:, None] == b_groups[None, :]] = np.inf
+            found.take(d, b_ids)
+    out = [(ids[i + f.row], f.bank, f.dist) for i, f in zip(starts, best)]
+    cols = [np.concatenate(x) if len(x) else np.array([], t) for x, t in zip(zip(*out) if out else [()] * 3, (np.int64, np.int64, float))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "bank_id", "dist"])
 
 
@@ -99,6 +139,7 @@ def _blocks(q: DataFrame, b: DataFrame, k: int, metric: str, search=_nearest) ->
     def packed(rows: DataFrame, name: str, count: int) -> DataFrame:
         return rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("blk").agg(F.collect_list(F.struct("id", "grp", "features")).alias(name))
 
+    small_batches(q.sparkSession)
     n_q, n_b = (max(1, -(-8 * (x.agg(F.sum(F.size("features"))).first()[0] or 0) // BLOCK_BYTES)) for x in (q, b))
     spread = min(n_b, 256)
     left = packed(q, "q", n_q).select("q", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
@@ -147,11 +188,19 @@ def with_provenance(found: DataFrame, bank: DataFrame) -> DataFrame:
 
 def _nearest_of_classes(ids, groups, vectors, bank_ids, classes, bank, k: int, metric: str):
     """For each query and class, the least distance; the class stands in the place of the bank id."""
-    order = np.argsort(classes, kind="stable")
-    kinds, first = np.unique(classes[order], return_index=True)
-    out = [np.minimum.reduceat(distances(vectors[i : i + 512], bank[order], metric), first, axis=1) for i in range(0, len(ids), 512)]
-    found = np.concatenate(out) if out else np.zeros((0, len(kinds)))
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids)).astype(np.int64)), pa.array(found.reshape(-1))], ["query_id", "bank_id", "dist"])
+    kinds = np.unique(classes)
+    starts = range(0, len(ids), QUERIES)
+    q = [_ready(vectors[i : i + QUERIES], metric) for i in starts]
+    least = np.full((len(ids), len(kinds)), np.inf)
+    for j in range(0, len(bank_ids), BANK_ROWS):
+        own = classes[j : j + BANK_ROWS]
+        order = np.argsort(own, kind="stable")
+        there, first = np.unique(own[order], return_index=True)
+        b, at = _ready(bank[j : j + BANK_ROWS][order], metric), np.searchsorted(kinds, there)
+        for i, x in zip(starts, q):
+            found = np.minimum.reduceat(_between(x, b, metric), first, axis=1)
+            least[i : i + QUERIES, at] = np.minimum(least[i : i + QUERIES, at], found)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids)).astype(np.int64)), pa.array(least.reshape(-1))], ["query_id", "bank_id", "dist"])
 
 
 def class_scores(queries: DataFrame, bank: DataFrame, metric: str = "cosine", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
