@@ -22,8 +22,8 @@ BROADCAST_BYTES = 128 << 20
 BLOCK_BYTES = 16 << 20
 #: Queries and bank rows whose distances a worker holds at once (8 MiB of them), whatever the bank's size.
 QUERIES, BANK_ROWS = 512, 2048
-#: Bytes of counts that a task of ``mutual_scores`` holds.
-HELD_BYTES = 128 << 20
+#: Bytes of counts that a task of ``mutual_scores`` holds, and of distances where its patches are broadcast.
+HELD_BYTES, ROW_BYTES = 128 << 20, 8 << 20
 FOUND = "query_id long, bank_id long, dist double"
 MUTUAL = "id long, grp long, score double"
 
@@ -225,6 +225,17 @@ def _low_mean(other: np.ndarray, n: int) -> float | None:
     return float(low.mean()) if len(low) else None
 
 
+def _low_means(own, vectors, groups, matrix, q: float, metric: str) -> list[float | None]:
+    """Scores of ``mutual_scores`` against a matrix of all patches (``_ready``), few at a time."""
+    out, vectors = [], _ready(vectors, metric)
+    step = min(256, max(1, ROW_BYTES // (8 * max(1, len(groups)))))
+    for i in range(0, len(own), step):
+        for mine, row in zip(own[i : i + step], _between(vectors[i : i + step], matrix, metric)):
+            other = row[groups != mine]
+            out.append(_low_mean(other, int(q * len(other))))
+    return out
+
+
 def mutual_scores(rows: DataFrame, q: float, metric: str = "cosine") -> DataFrame:
     """Zero-shot scores: each patch against all patches of other images; the mean of distances strictly below the int(q n)-th
     smallest. Null where that is none. Up to ``BROADCAST_BYTES`` all patches are broadcast; more go in passes over blocks
@@ -236,17 +247,12 @@ def mutual_scores(rows: DataFrame, q: float, metric: str = "cosine") -> DataFram
 
         return in_passes(shared, q, metric, HELD_BYTES)
     table = shared.toArrow().combine_chunks()
-    held = rows.sparkSession.sparkContext.broadcast((table.column("grp").to_numpy(), _matrix(table.column("features").combine_chunks())))
+    held = rows.sparkSession.sparkContext.broadcast((table.column("grp").to_numpy(), _ready(_matrix(table.column("features").combine_chunks()), metric)))
 
     def score(batches):
         groups, matrix = held.value
         for x in batches:
-            ids, grp, vec, out = x.column(0), x.column(1).to_numpy(), _matrix(x.column(2)), []
-            for i in range(0, len(grp), 256):
-                d = distances(vec[i : i + 256], matrix, metric)
-                for own, row in zip(grp[i : i + 256], d):
-                    other = row[groups != own]
-                    out.append(_low_mean(other, int(q * len(other))))
-            yield pa.RecordBatch.from_arrays([ids, x.column(1), pa.array(out, pa.float64())], ["id", "grp", "score"])
+            out = _low_means(x.column(1).to_numpy(), _matrix(x.column(2)), groups, matrix, q, metric)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.float64())], ["id", "grp", "score"])
 
     return shared.mapInArrow(score, MUTUAL)

@@ -42,6 +42,19 @@ def subbin(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((d - low) / width * SUBBINS), 0, SUBBINS - 1).astype(np.int64)
 
 
+def reached(counts: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bin (the last, if none does) in which running counts reach ``need``, and what is below it. Few rows at a time, as running
+    counts take twice the bytes of counts."""
+    at, below = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for i in range(0, len(counts), 64):
+        own = counts[i : i + 64]
+        upto = np.cumsum(own, axis=1, dtype=np.int64)
+        found = np.minimum((upto < need[i : i + 64, None]).sum(1), own.shape[1] - 1)
+        r = np.arange(len(own))
+        at[i : i + 64], below[i : i + 64] = found, upto[r, found] - own[r, found]
+    return at, below
+
+
 class First:
     """Counts by leading bits."""
 
@@ -57,12 +70,9 @@ class First:
         own += np.bincount(row * BINS + digit[other], minlength=own.size).reshape(own.shape).astype(np.int32)
 
     def ended(self) -> list[np.ndarray]:
-        need, upto = self.asked["need"], np.cumsum(self.counts, axis=1, dtype=np.int64)
-        at = (upto < need[:, None]).sum(1)
-        at = np.minimum(at, BINS - 1)
-        r = np.arange(len(at))
-        last = at == BINS - 1
-        return [need, edge(at), np.where(last, np.inf, edge(at + 1)), upto[r, at] - self.counts[r, at], np.zeros(len(at), np.int32)]
+        need = self.asked["need"]
+        at, below = reached(self.counts, need)
+        return [need, edge(at), np.where(at == BINS - 1, np.inf, edge(at + 1)), below, np.zeros(len(at), np.int32)]
 
 
 class Second:
@@ -81,10 +91,8 @@ class Second:
 
     def ended(self) -> list[np.ndarray]:
         a = self.asked
-        upto = a["below"][:, None] + np.cumsum(self.counts, axis=1, dtype=np.int64)
-        at = np.minimum((upto < a["need"][:, None]).sum(1), SUBBINS - 1)
-        r = np.arange(len(at))
-        return [a["need"], a["lo"], a["hi"], upto[r, at] - self.counts[r, at], at.astype(np.int32)]
+        at, below = reached(self.counts, a["need"] - a["below"])
+        return [a["need"], a["lo"], a["hi"], a["below"] + below, at.astype(np.int32)]
 
 
 class Third:
