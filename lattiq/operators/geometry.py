@@ -100,21 +100,49 @@ def multiclass_target(overlaps: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def patch_counts(runs: DataFrame, height: int, rows: int, cols: int, patch: int) -> DataFrame:
+    """(image_id, class_id, row, col, n, center) of patches that runs (image_id, class_id, start, length) reach: their pixels, each once, and
+    whether the centre pixel is one of them. Runs are cut where others began before and at the edges of patches, and never
+    become pixels. All runs of an image and class are one group."""
+    stop = F.col("start") + F.col("length")
+    before = F.max("stop").over(Window.partitionBy("image_id", "class_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    own = runs.select("image_id", "class_id", F.greatest("start", F.lit(0)).alias("start"), F.least(stop, F.lit(height * cols * patch)).alias("stop"))
+    own = own.withColumn("start", F.greatest("start", before)).filter("start < stop")
+    lines = own.select("*", F.explode(F.sequence(F.expr(f"start div {height}"), F.expr(f"(stop - 1) div {height}"))).alias("x"))
+    top, end = F.greatest(F.col("start") - F.col("x") * height, F.lit(0)), F.least(F.col("stop") - F.col("x") * height, F.lit(rows * patch))
+    lines = lines.select("image_id", "class_id", "x", top.alias("top"), end.alias("end")).filter("top < end")
+    bits = lines.select("*", F.explode(F.sequence(F.expr(f"top div {patch}"), F.expr(f"(end - 1) div {patch}"))).alias("row"))
+    n = F.least("end", (F.col("row") + 1) * patch) - F.greatest("top", F.col("row") * patch)
+    mid = F.col("row") * patch + patch // 2
+    center = (F.col("x") % patch == patch // 2) & (F.col("top") <= mid) & (F.col("end") > mid)
+    return bits.groupBy("image_id", "class_id", "row", F.expr(f"x div {patch}").alias("col")).agg(F.sum(n).alias("n"), F.bool_or(center).alias("center"))
+
+
 def patch_labels(annotations: DataFrame, images: DataFrame, height: int, width: int, patch: int, rule: str = "any_overlap", threshold: float = 0.5, resize: tuple[int, int] | None = None) -> DataFrame:
     """(image_id, class_id, row, col, overlap, label): run-length masks of ``height`` x ``width`` pixels, resized if asked for, as labels of
     every patch of every image and of each class that any mask has; class 0 is any of them. Images without masks have
-    labels of false."""
-    px = rle_pixels(annotations, height)
-    px = mask_union(px).unionByName(px)
+    labels of false. Only masks to be resized become pixels."""
+    runs = rle_runs(annotations)
+    classes = runs.select("class_id").distinct().unionByName(annotations.sparkSession.createDataFrame([(0,)], "class_id int")).distinct()
+    keys = images.select("image_id").distinct().join(F.broadcast(classes), F.lit(True))  # classes are a short list
     high, wide = resize or (height, width)
     rows, cols = high // patch, wide // patch
-    classes = px.select("class_id").distinct().unionByName(annotations.sparkSession.createDataFrame([(0,)], "class_id int")).distinct()
-    keys = images.select("image_id").distinct().join(F.broadcast(classes), F.lit(True))  # classes are a short list
-    shown = px.select("image_id", "class_id", "y", "x") if resize is None else resized(px, height, width, high, wide, rows * patch, cols * patch)
-    shown = shown.filter((F.col("y") < rows * patch) & (F.col("x") < cols * patch))
-    found = patch_overlap(shown, keys, rows, cols, patch).join(center_hits(shown, patch), ["image_id", "class_id", "row", "col"], "left")
-    label = patch_label(F.col("overlap"), rule, threshold, F.col("center"))
-    return found.select("image_id", "class_id", "row", "col", "overlap", label.alias("label"))
+    if resize is None:
+        counts = patch_counts(runs.unionByName(runs.withColumn("class_id", F.lit(0))), height, rows, cols, patch)
+    else:
+        px = rle_pixels(annotations, height)
+        shown = resized(mask_union(px).unionByName(px), height, width, high, wide, rows * patch, cols * patch)
+        counts = shown.groupBy("image_id", "class_id", F.expr(f"y div {patch}").alias("row"), F.expr(f"x div {patch}").alias("col")).agg(F.count("*").alias("n"), F.bool_or((F.col("y") % patch == patch // 2) & (F.col("x") % patch == patch // 2)).alias("center"))
+    # a grid is one row until it has been joined, and its patches without pixels are the places that are left
+    place = (F.col("row") * cols + F.col("col")).cast("long").alias("place")
+    grids = counts.groupBy("image_id", "class_id").agg(F.collect_list(F.struct(place, F.col("n").cast("long").alias("n"), "center")).alias("found"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(rows * cols - 1).cast("long"))
+    found = F.coalesce("found", F.array().cast("array<struct<place: bigint, n: bigint, center: boolean>>"))
+    none = F.transform(F.array_except(every, F.transform(found, lambda c: c["place"])), lambda i: F.struct(i.alias("place"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("center")))
+    cells = keys.join(grids, ["image_id", "class_id"], "left").select("image_id", "class_id", F.inline(F.concat(found, none)))
+    overlap = F.col("n") / float(patch * patch)
+    cells = cells.select("image_id", "class_id", F.expr(f"place div {cols}").alias("row"), (F.col("place") % cols).alias("col"), overlap.alias("overlap"), "center")
+    return cells.select("image_id", "class_id", "row", "col", "overlap", patch_label(F.col("overlap"), rule, threshold, F.col("center")).alias("label"))
 
 
 def _label(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
