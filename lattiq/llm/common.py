@@ -38,12 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
 
 
+#: Written tables have no ``_SUCCESS`` file: in a local folder the driver starts two processes for each, of its own size at first.
+NO_MARKER = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: computed once, and safe from lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**NO_MARKER, **options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -87,3 +87,16 @@ def test_sql(spark, name):
     names = [d[0] for d in cur.description]
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key) == sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=key)
+
+
+def test_tables_of_steps_have_no_marker(spark):
+    """The driver starts two processes for each ``_SUCCESS`` file, in whose first moment its memory counts twice."""
+    import os
+
+    from lattiq.llm.common import written
+    from lattiq.operators import shared
+
+    for table in (written(spark.range(3), "a"), shared.written(spark.range(3), "b"), written(spark.range(0), "c")):
+        files = os.listdir(table.written_to.removeprefix("file:"))
+        assert any(f.endswith(".parquet") for f in files) and not any("_SUCCESS" in f for f in files)
+        assert table.count() in (0, 3)
