@@ -9,26 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bank import MODES
-from .order import ranked
-from .sampling import circular_pick, class_balanced_pick
+from .sampling import circular_pick, class_balanced_pick, id_ranges, pool_pick
+from .shared import written
 
 SAMPLING = ("class_balanced", "random_train", "mixed")
 
 
-def pool_pick(pool: DataFrame, count: int, seed: int, exclude: DataFrame | None = None, ident: str = "image_id") -> DataFrame:
-    """``count`` ids of what is left of a pool, in order of id from place (seed * count) mod size on, around the end; all, if there
-    are no more. ``place`` numbers them."""
-    ids = pool.select(ident).distinct()
-    if exclude is not None:
-        ids = ids.join(exclude.select(ident), ident, "left_anti")
-    n = ids.count()
-    if count <= 0 or not n:
-        return ids.limit(0).withColumn("place", F.lit(0).cast("long"))
-    start = 0 if count >= n else (seed * count) % n
-    rows = ranked(ids, [F.col(ident)], n, "place").withColumn("place", F.pmod(F.col("place") - start, F.lit(n)))
-    return rows.filter(F.col("place") < count)
-
-
 def additional_references(train: DataFrame, members: DataFrame, n: int, seed: int, sampling: str = "class_balanced", exclude: DataFrame | None = None, classes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """``n`` more images of a training fold that are not excluded. ``class_balanced``: the same number of each class, less the
     excluded, topped up from all defect images (seed + 17); ``random_train`` and ``mixed``: of all images."""
@@ -37,7 +23,7 @@ def additional_references(train: DataFrame, members: DataFrame, n: int, seed: in
     if n <= 0:
         return train.select("image_id").limit(0)
     if sampling != "class_balanced":
-        return pool_pick(train, n, seed, exclude).select("image_id")
+        return pool_pick(train.select("image_id"), n, seed, exclude).select("image_id")
     members = members.join(train.select("image_id"), "image_id", "left_semi")
     first = class_balanced_pick(members, n, classes, seed).select("image_id")
     if exclude is not None:
@@ -52,10 +38,12 @@ def additional_references(train: DataFrame, members: DataFrame, n: int, seed: in
 def reference_plan(train: DataFrame, validation: DataFrame, members: DataFrame, mode: str, seed: int, clean_shots: int = 2, additional_shots: int = 0, sampling: str = "class_balanced", classes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """(image_id, part, has_defect, classes): the clean and additional images of a mode, an image of both parts as clean. Fails if
     one of them is in the validation fold, or not in the training fold. ``class_balanced_all`` takes 8 additional ones if
-    none are asked for; ``clean`` takes none."""
+    none are asked for; ``clean`` takes none. The training fold is read once, to be written in ranges of ids, and the picks
+    are written."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    clean = circular_pick(train.filter("NOT has_defect"), clean_shots, seed).select("image_id") if clean_shots else train.select("image_id").limit(0)
+    train = id_ranges(train, ["has_defect"])
+    clean = written(circular_pick(train.filter("NOT has_defect"), clean_shots, seed).select("image_id"), "clean") if clean_shots else train.select("image_id").limit(0)
     if mode == "class_balanced_all":
         more = additional_references(train, members, additional_shots or 8, seed + 1, "class_balanced", clean, classes)
     elif mode == "clean":
@@ -63,13 +51,15 @@ def reference_plan(train: DataFrame, validation: DataFrame, members: DataFrame,
     else:
         more = additional_references(train, members, additional_shots, seed + 1, sampling, clean, classes)
     both = clean.withColumn("part", F.lit("clean")).unionByName(more.withColumn("part", F.lit("additional")))
-    both = both.groupBy("image_id").agg(F.max("part").alias("part"))  # clean comes after additional
-    if not both.join(validation.select("image_id"), "image_id", "left_semi").isEmpty():
+    both = written(both.groupBy("image_id").agg(F.max("part").alias("part")), "references")  # clean comes after additional
+    # large tables meet the few references, and never the other way round
+    if not validation.join(both, "image_id", "left_semi").isEmpty():
         raise ValueError("reference images are in the validation fold")
-    if not both.join(train.select("image_id"), "image_id", "left_anti").isEmpty():
+    found = written(train.select("image_id", "has_defect").join(both, "image_id").select("image_id", "part", "has_defect"), "references")
+    if not both.join(found, "image_id", "left_anti").isEmpty():
         raise ValueError("reference images are not in the training fold")
-    known = members.groupBy("image_id").agg(F.sort_array(F.collect_set("class_id")).alias("classes"))
-    return both.join(train.select("image_id", "has_defect"), "image_id").join(known, "image_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast(known.schema["classes"].dataType)))
+    known = members.join(both, "image_id", "left_semi").groupBy("image_id").agg(F.sort_array(F.collect_set("class_id")).alias("classes"))
+    return found.join(known, "image_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast(known.schema["classes"].dataType)))
 
 
 def training_ids(train: DataFrame, members: DataFrame, shots: int | None, seed: int, sampling: str = "class_balanced", classes: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:

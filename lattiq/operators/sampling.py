@@ -11,36 +11,89 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import code
 from .bank import MODES, first_by
-from .order import hash_rank, ranked
+from .order import ONE_TASK, first_n, hash_rank, in_ranges, ranked
+from .shared import written
 
 
-def hash_folds(items: DataFrame, k: int, seed: int, label: str | None = None, ident: str = "image_id") -> DataFrame:
-    """(id, fold): folds by hash rank, in each label if given."""
-    ranked = hash_rank(items.select(ident, *([label] if label else [])), "fold", seed, ident, [label] if label else [])
-    return ranked.select(ident, (F.col("rank") % k).cast("int").alias("fold"))
+def hash_folds(items: DataFrame, k: int, seed: int, label: str | None = None, ident: str = "image_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, fold) and the columns to keep: folds by hash rank, in each label if given."""
+    wanted = dict.fromkeys([ident, *([label] if label else []), *keep])
+    ranked = hash_rank(items.select(*wanted), "fold", seed, ident, [label] if label else [])
+    return ranked.select(ident, *keep, (F.col("rank") % k).cast("int").alias("fold"))
+
+
+def id_ranges(items: DataFrame, keep: Sequence[str] = (), ident: str = "image_id") -> DataFrame:
+    """Distinct ids (with the columns to keep) as a written table in ranges of ids, ``__part``. Picks take any part of it as it is,
+    so several picks of a table sort it once."""
+    return in_ranges(items.select(ident, *keep).distinct(), [F.col(ident)])
+
+
+def _ranges(items: DataFrame, ident: str) -> DataFrame:
+    return items.select(ident, "__part") if "__part" in items.columns else id_ranges(items, (), ident)
+
+
+def _sizes(ids: DataFrame) -> list[tuple[int, int]]:
+    """(range, ids) in order, as many as there are ranges."""
+    return sorted(tuple(r) for r in ids.groupBy("__part").agg(F.count("*").alias("n")).collect())
+
+
+def _id_at(ids: DataFrame, sizes: Sequence[tuple[int, int]], place: int, ident: str):
+    """The id at a place in order of id; only its range is sorted."""
+    for part, n in sizes:
+        if place < n:
+            inside = F.row_number().over(Window.partitionBy("__part").orderBy(ident))
+            return ids.filter(F.col("__part") == part).withColumn("__at", inside).filter(F.col("__at") == place + 1).first()[ident]
+        place -= n
+    raise IndexError(place)
+
+
+def _first_from(ids: DataFrame, pivot, count: int, ident: str, name: str) -> DataFrame:
+    """``count`` ids in order of id from ``pivot`` on, around the end, numbered from 0: by a top-n where they are few."""
+    leads = [(F.col(ident) < F.lit(pivot)).cast("int"), F.col(ident)]
+    ids = ids.select(ident)
+    if count > ONE_TASK:
+        return ranked(ids, leads, name=name).filter(F.col(name) < count)
+    return first_n(ids, leads, count).withColumn(name, F.row_number().over(Window.orderBy(*leads)).cast("long") - 1)
 
 
 def circular_pick(items: DataFrame, count: int, seed: int, ident: str = "image_id", exclude: DataFrame | None = None) -> DataFrame:
     """``count`` ids (all for -1) in order of id from place (seed * count) mod n on, around the end; excluded ids are passed over.
     ``pick`` numbers them from 0."""
-    ids = items.select(ident).distinct()
-    n = ids.count()
+    ids = _ranges(items, ident)
+    sizes = _sizes(ids)
+    n = sum(m for _, m in sizes)
     count = n if count == -1 else count
     if not n or not count:
-        return ids.limit(0).withColumn("pick", F.lit(0))
-    pivot = ranked(ids, [F.col(ident)], n).filter(F.col("rank") == (seed * count) % n).first()[0]
+        return ids.select(ident).limit(0).withColumn("pick", F.lit(0))
+    pivot = _id_at(ids, sizes, (seed * count) % n, ident)
     open_ = ids if exclude is None else ids.join(exclude.select(ident), ident, "left_anti")
-    turn = (F.col(ident) < F.lit(pivot)).cast("int")
-    return ranked(open_, [turn, F.col(ident)], n, "pick").filter(F.col("pick") < count).withColumn("pick", F.col("pick").cast("int"))
+    return _first_from(open_, pivot, count, ident, "pick").withColumn("pick", F.col("pick").cast("int"))
+
+
+def pool_pick(pool: DataFrame, count: int, seed: int, exclude: DataFrame | None = None, ident: str = "image_id") -> DataFrame:
+    """``count`` ids of what is left of a pool, in order of id from place (seed * count) mod size on, around the end; all, if there
+    are no more. ``place`` numbers them."""
+    ids = _ranges(pool, ident)
+    if exclude is not None:
+        ids = ids.join(exclude.select(ident), ident, "left_anti")
+    sizes = _sizes(ids) if count > 0 else []
+    n = sum(m for _, m in sizes)
+    if not n:
+        return ids.select(ident).limit(0).withColumn("place", F.lit(0).cast("long"))
+    pivot = _id_at(ids, sizes, 0 if count >= n else (seed * count) % n, ident)
+    return _first_from(ids, pivot, min(count, n), ident, "place")
 
 
 def class_balanced_pick(members: DataFrame, shots: int, classes: Sequence[int], seed: int, ident: str = "image_id") -> DataFrame:
-    """shots / classes ids per class (seed + class), none twice: classes take turns, and earlier picks are excluded."""
+    """shots / classes ids per class (seed + class), none twice: classes take turns, and earlier picks are excluded. The classes
+    share one table in ranges, and each one's picks are written, as all later ones read them."""
     if shots % len(classes):
         raise ValueError("shots must be a multiple of the number of classes")
+    cut = id_ranges(members.filter(F.col("class_id").isin(*classes)), ["class_id"], ident)
     taken = None
     for c in classes:
-        picks = circular_pick(members.filter(F.col("class_id") == c), shots // len(classes), seed + c, ident, taken).select(ident, F.lit(c).alias("class_id"))
+        picks = circular_pick(cut.filter(F.col("class_id") == c), shots // len(classes), seed + c, ident, taken).select(ident, F.lit(c).alias("class_id"))
+        picks = written(picks, "picks")
         taken = picks if taken is None else taken.unionByName(picks)
     return taken
 

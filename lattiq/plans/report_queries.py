@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm, shown
 from ..operators import bank, detectors, references, reports, sampling, scorers
+from ..operators.shared import spent, written
 from ..sources.tables import patch_features, patch_scores
 from .design_queries import image_meta
 from .registry import DIST, PF, PS, query
@@ -151,11 +152,11 @@ def scorer_analysis(spark, d):
 
 @query()
 def reference_plan(spark, d):
-    images = image_meta(spark, d).select("image_id", "has_defect")
+    images = written(image_meta(spark, d).select("image_id", "has_defect"), "images")
     members = patch_features(spark, d).filter("class_id > 0").select("image_id", "class_id").distinct()
-    folds = sampling.hash_folds(images, 5, 42)
-    train = images.join(folds.filter("fold <> 0"), "image_id").drop("fold")
-    return references.reference_plan(train, folds.filter("fold = 0"), members, "contaminated_all", 42, 2, 4)
+    folds = written(sampling.hash_folds(images, 5, 42, keep=["has_defect"]), "folds")
+    spent(images)
+    return references.reference_plan(folds.filter("fold <> 0").drop("fold"), folds.filter("fold = 0"), members, "contaminated_all", 42, 2, 4)
 
 
 @query(f"WITH {PF} SELECT vec_id AS id, vec_id % 7 = 0 AS keep FROM pf")
